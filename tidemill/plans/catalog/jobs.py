@@ -62,9 +62,8 @@ def failures(s, d):
     )
 
 
-def job_events(s, d):
+def as_job_events(e):
     """Events of one user on one day are the life of one job."""
-    e = load(s, d, "events")
     action = (
         F.when(F.col("event_type") == "signup", F.lit("enqueue"))
         .when(F.col("event_type").isin("view", "click"), F.lit("start"))
@@ -74,6 +73,10 @@ def job_events(s, d):
     return e.select((F.col("user_id") * 100 + F.dayofmonth("ts")).alias("job_id"), action.alias("action"), "ts", "event_id")
 
 
+def job_events(s, d):
+    return as_job_events(load(s, d, "events"))
+
+
 JOB_EVENTS = """je AS (
   SELECT user_id * 100 + day(ts) AS job_id, ts, event_id,
          CASE WHEN event_type = 'signup' THEN 'enqueue' WHEN event_type IN ('view', 'click') THEN 'start' WHEN event_type = 'purchase' THEN 'complete' ELSE 'fail' END AS action,

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.plans.session import tune
 
-TOPICS = ["profile", "checks", "jobs"]
+TOPICS = ["profile", "checks", "jobs", "route", "model", "images", "sources", "streams"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -18,30 +18,36 @@ def header(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).csv(path).columns
 
 
-def read_text_cells(spark: SparkSession, path: str, **options) -> DataFrame:
-    """All cells as strings, plus the raw text of lines that do not fit the header."""
-    names = header(spark, path)
+def read_text_cells(spark: SparkSession, path: str, names: list[str] | None = None, **options) -> DataFrame:
+    """All cells as strings, plus the raw text of lines that do not fit the columns.
+
+    Column names come from the header line, unless ``names`` says that there is none.
+    """
+    has_header = names is None
+    names = header(spark, path) if has_header else names
     schema = StructType([StructField(n, StringType()) for n in names] + [StructField(BROKEN, StringType())])
     reader = (
         spark.read.schema(schema)
-        .option("header", True)
+        .option("header", has_header)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", BROKEN)
         .option("nullValue", "\u0000")
         .option("emptyValue", "")
         .option("escape", '"')
+        # a pruned parser would not notice lines that are too short or too long
+        .option("columnPruning", False)
     )
     for k, v in options.items():
         reader = reader.option(k, v)
     return reader.csv(path)
 
 
-def broken_lines(spark: SparkSession, path: str, **options) -> DataFrame:
+def broken_lines(spark: SparkSession, path: str, names: list[str] | None = None, **options) -> DataFrame:
     """Lines with too few or too many fields or an open quote. No rows: the file is sound."""
-    cells = read_text_cells(spark, path, **options)
-    # the reader only fills the broken-line column when another column is read with it
-    first = cells.columns[0]
-    return cells.where(F.col(BROKEN).isNotNull()).select(F.col(BROKEN).alias("line"), col(first).isNull().alias("no_fields"))
+    cells = read_text_cells(spark, path, names, **options)
+    # Spark refuses to read the broken-line column alone, so the line also refers to a cell
+    nothing = F.substring(F.coalesce(col(cells.columns[0]), F.lit("")), 1, 0)
+    return cells.where(F.col(BROKEN).isNotNull()).select(F.concat(F.col(BROKEN), nothing).alias("line"))
 
 
 def _readings(c: Column) -> dict[str, Column]:
@@ -95,7 +101,7 @@ def read_locations(spark: SparkSession, path: str) -> DataFrame:
     lacking = [c for c in LOCATION_COLUMNS if c not in cells.columns]
     if lacking:
         raise ValueError(f"the locations file lacks columns {lacking}")
-    return cells.drop(BROKEN)
+    return cells.drop(BROKEN).fillna("", LOCATION_COLUMNS)
 
 
 def typed_locations(cells: DataFrame) -> DataFrame:

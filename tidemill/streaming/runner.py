@@ -11,7 +11,7 @@ from tidemill.plans.session import tune, work_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 # A time after all data; one row carrying it closes every open window of a finite stream.
-END_OF_STREAM = "2999-01-01 00:00:00"
+END_OF_STREAM = "2200-01-01 00:00:00"
 
 
 def table_stream(spark: SparkSession, sf_dir: str, table: str, time_column: str, **options) -> DataFrame:
