@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidemill.functions import quantiles
 from tidemill.functions.quantiles import exact_quantiles
 
 PROBS = {"q1": 0.25, "q2": 0.5, "p95": 0.95}
@@ -24,10 +25,13 @@ def frame(spark):
 
 
 @pytest.mark.parametrize("method", ["linear", "lower"])
-@pytest.mark.parametrize("forced", [False, True])
-def test_matches_numpy(spark, method, forced):
+@pytest.mark.parametrize("path", ["sort", "buckets", "sketch"])
+def test_matches_numpy(spark, method, path, monkeypatch):
     pdf, df = frame(spark)
-    if forced:
+    if path == "buckets":
+        monkeypatch.setattr(quantiles, "SORTED_ROWS", 10)
+        monkeypatch.setattr(quantiles, "BUCKET_ROWS", 7)
+    if path == "sketch":
         spark.conf.set("tidemill.groupRows", "20")
     try:
         got = exact_quantiles(df, ["g"], "v", PROBS, method).toPandas()
@@ -48,3 +52,11 @@ def test_global_group(spark, small_groups):
 def test_lower_rank_takes_element_27_of_30(spark):
     got = exact_quantiles(spark.range(30).select(F.col("id").alias("v")), [], "v", {"p": 0.95}, "lower").first()
     assert got.p == 27.0
+
+
+def test_infinite_values_sort_last(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "SORTED_ROWS", 1)
+    monkeypatch.setattr(quantiles, "BUCKET_ROWS", 2)
+    df = spark.createDataFrame([(float(x),) for x in [5, 1, 3]] + [(float("inf"),), (1e300,)], "v double")
+    got = exact_quantiles(df, [], "v", {"low": 0.25, "top": 0.75})
+    assert tuple(got.first()) == (3.0, 1e300)

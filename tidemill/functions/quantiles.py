@@ -1,7 +1,7 @@
 """Exact order statistics per group, without one task ever holding a large group.
 
-Groups up to the configured row limit use Spark's own ``percentile`` (its state is then
-bounded by that limit). Larger groups are solved by selection: a mergeable sketch proposes
+Groups up to the configured row limit are first counted in equal-width buckets; only the
+buckets that hold a wanted rank are shuffled and sorted. Larger groups are solved by selection: a mergeable sketch proposes
 two pivots for every wanted rank, an exact count says on which side of the pivots the rank
 lies, and only the rows between the pivots stay. Pivots affect speed only, never the answer,
 because every step is decided by exact counts.
@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemill.plans.joins import join_null_safe
-from tidemill.plans.session import cut_lineage, group_rows
+from tidemill.plans.session import cut_lineage, group_rows, hint_small
 
 SKETCH_K = 4096
 GRID = 512
+# groups up to this length are sorted directly; longer ones in buckets of about this many rows
+SORTED_ROWS = 20_000
+BUCKET_ROWS = 1_000
 MAX_ROUNDS = 60
 
 
@@ -47,31 +50,64 @@ def exact_quantiles(
 
 
 def _solve(data: DataFrame, keys: list[str], probs: dict[str, float], method: str, limit: int) -> DataFrame:
-    sizes = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    sizes = cut_lineage(
+        data.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    )
+    groups, worst = sizes.agg(F.count(F.lit(1)), F.max("n")).first()
+    if (worst or 0) <= limit:
+        return _within_groups(data, sizes, groups, keys, probs, method, worst or 0)
     # at most (total rows / limit) groups can be this large, so the table is small
-    large = cut_lineage(sizes.where(F.col("n") > limit))
-    if large.isEmpty():
-        return _within_groups(data, keys, probs, method)
+    large = cut_lineage(sizes.where(F.col("n") > limit).drop("lo", "hi"))
     large_keys = F.broadcast(large.select(*keys))
     picked = _select_ranks(join_null_safe(data, large_keys, keys, "left_semi"), large, keys, probs, method, limit)
-    rest = _within_groups(join_null_safe(data, large_keys, keys, "left_anti"), keys, probs, method)
-    return rest.unionByName(picked)
-
-
-def _within_groups(data: DataFrame, keys: list[str], probs: dict[str, float], method: str) -> DataFrame:
-    if method == "linear":
-        return data.groupBy(*keys).agg(
-            *[F.percentile("v", F.lit(p)).alias(name) for name, p in probs.items()]
+    rest = join_null_safe(data, large_keys, keys, "left_anti")
+    return _within_groups(rest, sizes, groups, keys, probs, method, limit).unionByName(picked)
+
+
+def _within_groups(data, sizes, groups: int, keys: list[str], probs: dict[str, float], method: str, longest: int) -> DataFrame:
+    """Ranks inside groups that are at most as long as the limit."""
+    ends = {}
+    for i, p in enumerate(probs.values()):
+        ends[f"below{i}"] = f"bigint(floor((n - 1) * double('{float(p)!r}')))"
+        if method == "linear":
+            ends[f"above{i}"] = f"bigint(ceil((n - 1) * double('{float(p)!r}')))"
+    hits = {k: f"({e} < upto AND {e} >= upto - c)" for k, e in ends.items()}
+    hit = " OR ".join(hits.values())
+    rows = join_null_safe(data, hint_small(sizes, groups), keys)
+    if longest <= SORTED_ROWS:
+        rows = rows.selectExpr(*keys, "n", "v", "0 AS bucket", "0 AS base")
+    else:
+        # the position grows with v, so buckets are in the order of their values
+        place = "floor((v - lo) / (hi - lo) * buckets)"
+        rows = rows.withColumn("buckets", F.expr(f"bigint(ceil(n / {BUCKET_ROWS}))")).selectExpr(
+            *keys, "n", "v", f"if(hi > lo AND hi - lo < double('inf'), least({place}, buckets - 1), 0) AS bucket"
         )
-    w = Window.partitionBy(*keys)
-    ranked = data.withColumn("rn", F.row_number().over(w.orderBy("v")) - 1).withColumn(
-        "n", F.count(F.lit(1)).over(w)
+        order = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+        wanted = (
+            rows.groupBy(*keys, "n", "bucket")
+            .agg(F.count(F.lit(1)).alias("c"))
+            .withColumn("upto", F.sum("c").over(order))
+            .where(hit)
+            .selectExpr(*keys, "bucket", "upto - c AS base")
+        )
+        rows = join_null_safe(rows, hint_small(wanted, groups * len(hits)), [*keys, "bucket"])
+    by_value = Window.partitionBy(*keys, "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    found = (
+        rows.groupBy(*keys, "n", "bucket", "base", "v")
+        .agg(F.count(F.lit(1)).alias("c"))
+        .withColumn("upto", F.col("base") + F.sum("c").over(by_value))
+        .where(hit)
+        .groupBy(*keys, "n")
+        .agg(*[F.expr(f"max(if({h}, v, NULL)) AS {k}") for k, h in hits.items()])
     )
-    return ranked.groupBy(*keys).agg(
+    if method == "lower":
+        return found.select(*keys, *[F.col(f"below{i}").alias(name) for i, name in enumerate(probs)])
+    return found.select(
+        *keys,
         *[
-            F.max(F.when(F.col("rn") == F.floor((F.col("n") - 1) * F.lit(p)), F.col("v"))).alias(name)
-            for name, p in probs.items()
-        ]
+            F.expr(f"below{i} + (above{i} - below{i}) * ((n - 1) * double('{float(p)!r}') - {ends[f'below{i}']})").alias(name)
+            for i, (name, p) in enumerate(probs.items())
+        ],
     )
 
 

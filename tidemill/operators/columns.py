@@ -16,8 +16,16 @@ def numeric_columns(schema: StructType) -> list[str]:
     return [f.name for f in schema if isinstance(f.dataType, NumericType)]
 
 
+def name_sql(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def text_sql(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def col(name: str):
-    return F.col(f"`{name}`")
+    return F.col(name_sql(name))
 
 
 def long_numeric(df: DataFrame, columns: list[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -25,21 +33,29 @@ def long_numeric(df: DataFrame, columns: list[str] | None = None, keep: tuple[st
     columns = numeric_columns(df.schema) if columns is None else columns
     if not columns:
         raise ValueError("the table has no numeric columns")
-    wide = df.select(*keep, *[col(c).cast("double").alias(c) for c in columns])
+    wide = df.selectExpr(*map(name_sql, keep), *[f"double({name_sql(c)}) AS {name_sql(c)}" for c in columns])
     return wide.unpivot(list(keep), [col(c) for c in columns], "column_name", "value").where("value is not null")
 
 
 def long_text(df: DataFrame, columns: list[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """(keep..., column_name, value string), one row per cell, null cells left out."""
     columns = df.columns if columns is None else columns
-    wide = df.select(*keep, *[col(c).cast("string").alias(c) for c in columns])
+    wide = df.selectExpr(*map(name_sql, keep), *[f"string({name_sql(c)}) AS {name_sql(c)}" for c in columns])
     return wide.unpivot(list(keep), [col(c) for c in columns], "column_name", "value").where("value is not null")
 
 
 def wide_to_long(one_row: DataFrame, columns: list[str], metrics: list[str]) -> DataFrame:
-    """Turn the single row of a wide aggregate (``<metric>__<i>`` columns) into one row per column."""
+    """Turn the single row of a wide aggregate (``<metric>__<i>`` columns) into one row per column.
+
+    Written as SQL text: a table may have thousands of columns, and text costs one call each.
+    """
     entries = [
-        F.struct(F.lit(c).alias("column_name"), *[F.col(f"{m}__{i}").alias(m) for m in metrics])
+        f"named_struct('column_name', {text_sql(c)}, " + ", ".join(f"'{m}', `{m}__{i}`" for m in metrics) + ")"
         for i, c in enumerate(columns)
     ]
-    return one_row.select(F.inline(F.array(*entries)))
+    return one_row.selectExpr(f"inline(array({', '.join(entries)}))")
+
+
+def aggregate_sql(df: DataFrame, expressions: list[str]) -> DataFrame:
+    """A global aggregate written as SQL expressions."""
+    return df.agg(*[F.expr(e) for e in expressions])

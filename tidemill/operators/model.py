@@ -16,6 +16,7 @@ from tidemill.functions.quantiles import exact_quantiles
 from tidemill.operators.checks import drop_null_target, project_features
 from tidemill.operators.columns import col, long_numeric, numeric_columns, string_columns
 from tidemill.operators.profile import categorical_summary
+from tidemill.plans.session import work_dir
 
 SEED = 42
 TEST_PERCENT = 20
@@ -24,9 +25,15 @@ DEEPEST = 30  # the deepest tree Spark grows; stands for "no limit"
 MAX_CATEGORIES = 10_000
 
 
-def modes(df: DataFrame, columns: list[str]) -> dict[str, str]:
-    """Most frequent value per column: one driver value per column."""
-    rows = categorical_summary(df.select(*[col(c) for c in columns])).select("column_name", "mode").collect()
+def modes(df: DataFrame, columns: list[str], at_most: int | None = None) -> dict[str, str]:
+    """Most frequent value per column: one driver value per column.
+
+    ``at_most`` refuses columns with more distinct values than that.
+    """
+    rows = categorical_summary(df.select(*[col(c) for c in columns])).collect()
+    worst = [r["column_name"] for r in rows if at_most is not None and r["unique_values"] > at_most]
+    if worst:
+        raise ValueError(f"too many categories to encode: {worst}")
     return {r["column_name"]: r["mode"] for r in rows if r["mode"] is not None}
 
 
@@ -69,7 +76,7 @@ def one_hot_stages(columns: list[str]) -> list:
 
 def one_hot(train: DataFrame, df: DataFrame, columns: list[str]) -> DataFrame:
     """Add a ``<column>__hot`` vector per column, with categories learned from ``train``."""
-    check_categories(train, columns)
+    modes(train, columns, at_most=MAX_CATEGORIES)  # category lists become part of the model
     encoded = Pipeline(stages=one_hot_stages(columns)).fit(train).transform(df)
     return encoded.drop(*[f"{c}__index" for c in columns])
 
@@ -80,14 +87,6 @@ def hot_slots(df: DataFrame, column: str) -> DataFrame:
     return df.select("*", slots).where("on > 0").drop("on", f"{column}__hot")
 
 
-def check_categories(df: DataFrame, columns: list[str]) -> None:
-    """Category lists become part of the model, so their size is checked before they are fetched."""
-    counts = categorical_summary(df.select(*[col(c) for c in columns]))
-    worst = counts.where(F.col("unique_values") > MAX_CATEGORIES).select("column_name").collect()
-    if worst:
-        raise ValueError(f"too many categories to encode: {[r.column_name for r in worst]}")
-
-
 @dataclass
 class ForestResult:
     model: PipelineModel
@@ -124,6 +123,10 @@ def train_forest(
     flags = [f.name for f in data.schema if isinstance(f.dataType, BooleanType)]
     data = data.withColumns({c: col(c).cast("int") for c in flags}) if flags else data
     data = train_test_split(data.withColumn(target, col(target).cast("double")), keys)
+    # every later step reads the prepared rows several times, so they are written once
+    path = work_dir(df.sparkSession, "training")
+    data.write.partitionBy("is_test").parquet(path)
+    data = df.sparkSession.read.schema(data.schema).parquet(path)
     train, test = data.where(~F.col("is_test")), data.where("is_test")
     if len(train.take(1)) + len(data.take(2)) < 3:
         raise ValueError("insufficient rows available for training")
@@ -131,8 +134,7 @@ def train_forest(
     text, numbers = string_columns(chosen.schema), numeric_columns(chosen.schema)
     filled_train, filled_test = train, test
     if text:
-        check_categories(train, text)
-        fill = modes(train, text)
+        fill = modes(train, text, at_most=MAX_CATEGORIES)
         filled_train, filled_test = filled_train.fillna(fill), filled_test.fillna(fill)
     if numbers:
         fill = medians(train, numbers)

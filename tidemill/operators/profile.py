@@ -17,11 +17,14 @@ from pyspark.sql.window import Window
 from tidemill.functions.quantiles import exact_quantiles
 from tidemill.functions.scalars import is_blank
 from tidemill.operators.columns import (
+    aggregate_sql,
     col,
     long_numeric,
     long_text,
+    name_sql,
     numeric_columns,
     string_columns,
+    text_sql,
     wide_to_long,
 )
 from tidemill.plans.joins import join_null_safe
@@ -29,6 +32,8 @@ from tidemill.plans.joins import join_null_safe
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 # aggregates per pass: keeps generated code within what the JVM compiles well
 EXPRESSIONS_PER_PASS = 300
+# what is summed per pair of columns: rows, values, squares and products
+SUMS = ("n", "sx", "sy", "xx", "yy", "xy")
 
 
 def schema_report(df: DataFrame) -> DataFrame:
@@ -46,27 +51,21 @@ def shape(df: DataFrame) -> DataFrame:
 
 
 def missing(df: DataFrame) -> DataFrame:
-    total = F.count(F.lit(1))
-    row = df.agg(
-        *[(total - F.count(col(c))).alias(f"missing__{i}") for i, c in enumerate(df.columns)],
-        *[
-            F.try_divide((total - F.count(col(c))) * F.lit(100.0), total).alias(f"missing_pct__{i}")
-            for i, c in enumerate(df.columns)
-        ],
-    )
-    return wide_to_long(row, df.columns, ["missing", "missing_pct"])
+    sums = []
+    for i, c in enumerate(df.columns):
+        gap = f"(count(1) - count({name_sql(c)}))"
+        sums += [f"{gap} AS missing__{i}", f"try_divide({gap} * 100D, count(1)) AS missing_pct__{i}"]
+    return wide_to_long(aggregate_sql(df, sums), df.columns, ["missing", "missing_pct"])
 
 
 def blank_entries(df: DataFrame) -> DataFrame:
     """Strings of white space only; 0 for columns that are not strings."""
     text = string_columns(df.schema)
-    row = df.agg(
-        *[
-            (F.count_if(is_blank(col(c))) if c in text else F.sum(F.lit(0).cast("long"))).alias(f"invalid__{i}")
-            for i, c in enumerate(df.columns)
-        ]
-    )
-    return wide_to_long(row, df.columns, ["invalid"]).withColumn("invalid", F.coalesce("invalid", F.lit(0)).cast("long"))
+    blanks = [F.count_if(is_blank(col(c))).alias(f"invalid__{i}") for i, c in enumerate(text)]
+    found = wide_to_long(df.agg(*blanks), text, ["invalid"]) if text else None
+    others = [(c, 0) for c in df.columns if c not in text]
+    zeros = df.sparkSession.createDataFrame(others, "column_name string, invalid bigint")
+    return zeros if found is None else found.unionByName(zeros)
 
 
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -97,21 +96,11 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 
 def moments(df: DataFrame, columns: list[str]) -> DataFrame:
-    metrics = {
-        "count": F.count,
-        "mean": F.avg,
-        "std": F.stddev_samp,
-        "min": F.min,
-        "max": F.max,
-    }
-    row = df.agg(
-        *[
-            fn(col(c).cast("double")).alias(f"{metric}__{i}")
-            for i, c in enumerate(columns)
-            for metric, fn in metrics.items()
-        ]
-    )
-    return wide_to_long(row, columns, list(metrics))
+    metrics = {"count": "count", "mean": "avg", "std": "stddev_samp", "min": "min", "max": "max"}
+    sums = [
+        f"{fn}(double({name_sql(c)})) AS {metric}__{i}" for i, c in enumerate(columns) for metric, fn in metrics.items()
+    ]
+    return wide_to_long(aggregate_sql(df, sums), columns, list(metrics))
 
 
 def describe(df: DataFrame) -> DataFrame:
@@ -192,7 +181,7 @@ def value_frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFr
     columns = numeric_columns(df.schema) + string_columns(df.schema) if columns is None else columns
     # the totals are a wide aggregate with one row per column, so no column is windowed as a whole
     totals = wide_to_long(
-        df.agg(*[F.count(col(c)).alias(f"total__{i}") for i, c in enumerate(columns)]), columns, ["total"]
+        aggregate_sql(df, [f"count({name_sql(c)}) AS total__{i}" for i, c in enumerate(columns)]), columns, ["total"]
     )
     return (
         value_counts(df, columns)
@@ -214,47 +203,37 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
     plain sums: one per pair of gapless columns, six where a column has gaps.
     """
     columns = numeric_columns(df.schema) if columns is None else columns
-    doubles = df.select(*[col(c).cast("double").alias(c) for c in columns])
-    total = F.count(F.lit(1)).alias("total")
-    stats = doubles.agg(
-        total,
-        *[
-            fn(col(c)).alias(f"{name}{i}")
-            for i, c in enumerate(columns)
-            for name, fn in (("n", F.count), ("mean", F.avg), ("min", F.min), ("max", F.max))
-        ],
-    ).first()
-    centred = doubles.select(*[(col(c) - F.lit(stats[f"mean{i}"])).alias(f"x{i}") for i, c in enumerate(columns)])
-    gaps = {i for i in range(len(columns)) if stats[f"n{i}"] < stats["total"]}
+    doubles = df.selectExpr(*[f"double({name_sql(c)}) AS c{i}" for i, c in enumerate(columns)])
+    wanted = [f"{fn}(c{i}) AS {fn}{i}" for i in range(len(columns)) for fn in ("count", "avg", "min", "max")]
+    stats = aggregate_sql(doubles, ["count(1) AS total", *wanted]).first()
+    centres = [0.0 if stats[f"avg{i}"] is None else stats[f"avg{i}"] for i in range(len(columns))]
+    centred = doubles.selectExpr(*[f"c{i} - double('{m!r}') AS x{i}" for i, m in enumerate(centres)])
+    gaps = {i for i in range(len(columns)) if stats[f"count{i}"] < stats["total"]}
     flat = {i for i in range(len(columns)) if stats[f"min{i}"] == stats[f"max{i}"]}
     parts = []
     for pairs in _passes(list(combinations_with_replacement(range(len(columns)), 2)), gaps):
-        sums, entries, whole = {}, [], set()
-        zero, none = F.lit(0.0), F.lit(None).cast("double")
+        sums, entries = {"total": "count(1)"}, []
         for i, j in pairs:
-            x, y = F.col(f"x{i}"), F.col(f"x{j}")
+            x, y, at = f"x{i}", f"x{j}", f"_{i}_{j}"
             if i in flat or j in flat:
-                found = [F.lit(1), zero, zero, none, none, none]
+                found = ["1", "0", "0", "NULL", "NULL", "NULL"]
             elif gaps & {i, j}:
-                named = {
-                    "n": F.count(x * y),
-                    "sx": F.sum(F.when(y.isNotNull(), x)),
-                    "sy": F.sum(F.when(x.isNotNull(), y)),
-                    "xx": F.sum(F.when(y.isNotNull(), x * x)),
-                    "yy": F.sum(F.when(x.isNotNull(), y * y)),
-                    "xy": F.sum(x * y),
+                found = [f"{k}{at}" for k in SUMS]
+                sums |= {
+                    f"n{at}": f"count({x} * {y})",
+                    f"sx{at}": f"sum(if({y} IS NOT NULL, {x}, NULL))",
+                    f"sy{at}": f"sum(if({x} IS NOT NULL, {y}, NULL))",
+                    f"xx{at}": f"sum(if({y} IS NOT NULL, {x} * {x}, NULL))",
+                    f"yy{at}": f"sum(if({x} IS NOT NULL, {y} * {y}, NULL))",
+                    f"xy{at}": f"sum({x} * {y})",
                 }
-                sums.update({f"{k}_{i}_{j}": e for k, e in named.items()})
-                found = [F.col(f"{k}_{i}_{j}") for k in named]
             else:
-                whole |= {i, j}
-                sums[f"xy_{i}_{j}"] = F.sum(x * y)
-                found = [F.lit(1), zero, zero, F.col(f"own_{i}"), F.col(f"own_{j}"), F.col(f"xy_{i}_{j}")]
-            labels = (F.lit(columns[i]).alias("x"), F.lit(columns[j]).alias("y"))
-            values = [c.cast("double").alias(k) for c, k in zip(found, ("n", "sx", "sy", "xx", "yy", "xy"))]
-            entries.append(F.struct(*labels, *values))
-        sums.update({f"own_{i}": F.sum(F.col(f"x{i}") * F.col(f"x{i}")) for i in whole})
-        parts.append(centred.agg(total, *[e.alias(k) for k, e in sums.items()]).select(F.inline(F.array(*entries))))
+                found = ["1", "0", "0", f"own{i}", f"own{j}", f"xy{at}"]
+                sums |= {f"own{i}": f"sum({x} * {x})", f"own{j}": f"sum({y} * {y})", f"xy{at}": f"sum({x} * {y})"}
+            values = ", ".join(f"'{k}', double({v})" for k, v in zip(SUMS, found))
+            entries.append(f"named_struct('x', {text_sql(columns[i])}, 'y', {text_sql(columns[j])}, {values})")
+        found = aggregate_sql(centred, [f"{e} AS {k}" for k, e in sums.items()])
+        parts.append(found.selectExpr(f"inline(array({', '.join(entries)}))"))
     sums = parts[0]
     for p in parts[1:]:
         sums = sums.unionByName(p)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemill.operators import model as M
 from tidemill.plans.catalog.profile import ITEMS, items, rounded
-from tidemill.plans.session import load
+from tidemill.plans.session import load, spread
 
 KEYS = ["l_orderkey", "l_linenumber"]
 FEATURES = ["l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
@@ -15,7 +15,7 @@ FOREST = {"n_estimators": 10, "max_depth": 6}
 
 
 def forest(s, d):
-    return M.train_forest(items(s, d), "l_extendedprice", KEYS, FEATURES, **FOREST)
+    return M.train_forest(spread(items(s, d)), "l_extendedprice", KEYS, FEATURES, **FOREST)
 
 
 def predictor(s, d):

@@ -77,9 +77,14 @@ def work_dir(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write an intermediate result to the shared folder, once, and go on from there.
+
+    Survives the loss of executors, and later jobs read the table instead of redoing the work.
+    """
+    spark = df.sparkSession
+    path = work_dir(spark, "step")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def hint_small(df: DataFrame, rows: int) -> DataFrame:
@@ -91,6 +96,15 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal a scan out over all cores when the table is stored in fewer pieces than that.
+
+    Only for plain scans that feed expensive work; a table of many files is left as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN means "missing" in this library, so it becomes null when data enters."""
     floats = {f.name for f in df.schema if isinstance(f.dataType, (DoubleType, FloatType))}
