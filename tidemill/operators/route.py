@@ -20,6 +20,7 @@ from tidemill.functions.scalars import finite_number, hhmm_minutes, improvement_
 from tidemill.plans.session import cut_lineage, group_rows
 
 LINEAGE_STEPS = 25
+LITERAL_ROUTES = 200
 
 
 # ---------------------------------------------------------------- inputs and their rules
@@ -323,7 +324,8 @@ def _solve_by_steps(problems, stops, edges, two_opt: bool) -> DataFrame:
     # rows leaving one stop lie together, so each step reads only a small part of the table
     arcs = cut_lineage(arcs.repartitionByRange("route_id", "src").sortWithinPartitions("route_id", "src"))
     order = stops.select("route_id", F.col("stop").alias("dst"), "input_pos")
-    longest = stops.groupBy("route_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first().n
+    sizes = stops.groupBy("route_id").agg(F.count(F.lit(1)).alias("n"))
+    routes, longest = sizes.agg(F.count(F.lit(1)), F.max("n")).first()
     ends = problems.select("route_id", F.explode(F.array("start", "end")).alias("dst")).distinct()
     waiting = cut_lineage(order.join(ends, ["route_id", "dst"], "left_anti"))
     here = cut_lineage(problems.select("route_id", F.col("start").alias("stop")))
@@ -332,7 +334,7 @@ def _solve_by_steps(problems, stops, edges, two_opt: bool) -> DataFrame:
     for pos in range(1, longest + 1):
         near = (
             waiting.join(here, "route_id")
-            .join(arcs.withColumnRenamed("src", "stop"), ["route_id", "stop", "dst"], "left")
+            .join(_leaving(arcs, here, routes).withColumnRenamed("src", "stop"), ["route_id", "stop", "dst"], "left")
             .groupBy("route_id")
             .agg(best.alias("b"), F.bool_or(F.col("dist").isNull()).alias("broken"))
         )
@@ -360,6 +362,18 @@ def _solve_by_steps(problems, stops, edges, two_opt: bool) -> DataFrame:
     return out.select("route_id", "kind", F.col("pos").cast("int").alias("pos"), "stop")
 
 
+def _leaving(arcs: DataFrame, here: DataFrame, routes: int) -> DataFrame:
+    """The arcs worth reading for this step.
+
+    With few routes their current stops become a literal filter, which the sorted table answers
+    from its statistics; with many, the join has to find them.
+    """
+    if routes > LITERAL_ROUTES:
+        return arcs
+    now = here.collect()
+    return arcs.where(F.col("route_id").isin([r.route_id for r in now]) & F.col("src").isin([r.stop for r in now]))
+
+
 def _two_opt_by_steps(tour: DataFrame, arcs: DataFrame) -> DataFrame:
     """2-opt with one Spark job per accepted change; all routes advance in the same job.
 

@@ -47,7 +47,7 @@ def broken_lines(spark: SparkSession, path: str, names: list[str] | None = None,
     cells = read_text_cells(spark, path, names, **options)
     # Spark refuses to read the broken-line column alone, so the line also refers to a cell
     nothing = F.substring(F.coalesce(col(cells.columns[0]), F.lit("")), 1, 0)
-    return cells.where(F.col(BROKEN).isNotNull()).select(F.concat(F.col(BROKEN), nothing).alias("line"))
+    return cells.select(F.concat(F.col(BROKEN), nothing).alias("line")).where("line is not null")
 
 
 def _readings(c: Column) -> dict[str, Column]:

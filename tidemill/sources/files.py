@@ -13,7 +13,10 @@ IMAGE_GLOB = "*.{jpg,jpeg,png,webp,gif,JPG,JPEG,PNG,WEBP,GIF}"
 
 
 def read_images(spark: SparkSession, path: str, glob: str = IMAGE_GLOB) -> DataFrame:
-    """``(path, modificationTime, length, content)`` of every image below a folder."""
+    """``(path, modificationTime, length, content)`` of every image below a folder.
+
+    Spark's file scan leaves empty files out, so those never reach the inventory.
+    """
     return (
         spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     )
