@@ -32,12 +32,13 @@ def test_repeated_deliveries_are_dropped(spark, tmp_path):
 
 def test_late_rows_are_dropped(spark, tmp_path):
     put(spark, tmp_path, [(1, at(0), 1, "click"), (2, at(300), 1, "click")], 0)
-    put(spark, tmp_path, [(3, at(1), 1, "click"), (4, at(295), 1, "click")], 1)
+    put(spark, tmp_path, [(5, at(301), 1, "click")], 1)  # lateness is judged by the watermark one batch back
+    put(spark, tmp_path, [(3, at(1), 1, "click"), (4, at(295), 1, "click")], 2)
     source = stream(spark, str(tmp_path))
     closing = ClosingSource(source, "ts")
     out = run_append(S.tumbling_counts(source.unionByName(closing.stream()), ["event_type"]), "t-late", closing)
     got = {r.start: r.events for r in out.collect()}
-    assert got == {at(0): 1, at(240): 1, at(300): 1}  # the row for minute 1 came too late
+    assert got == {at(0): 1, at(240): 1, at(300): 2}  # the row for minute 1 came too late
 
 
 def test_sliding_windows(spark, tmp_path):
