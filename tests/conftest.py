@@ -26,3 +26,10 @@ def small_groups(spark):
     spark.conf.set("tidemill.groupRows", "20")
     yield 20
     spark.conf.unset("tidemill.groupRows")
+
+
+@pytest.fixture
+def row_limit(spark):
+    """Set how many rows a group may have before it counts as large."""
+    yield lambda n: spark.conf.set("tidemill.groupRows", str(n))
+    spark.conf.unset("tidemill.groupRows")

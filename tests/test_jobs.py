@@ -75,7 +75,9 @@ def test_counter_rate_counts_resets(spark):
 
 
 @pytest.mark.parametrize("slice_seconds", [1, 7, 300])
-def test_counter_rate_does_not_depend_on_slices(spark, slice_seconds):
+@pytest.mark.parametrize("limit", [1_000_000, 20])
+def test_counter_rate_does_not_depend_on_slices(spark, slice_seconds, limit, row_limit):
+    row_limit(limit)
     rnd = random.Random(2)
     rows = [(f"s{i % 2}", DAY + dt.timedelta(milliseconds=rnd.randrange(900_000)), float(rnd.randrange(50)), i) for i in range(400)]
     df = spark.createDataFrame(rows, "k string, ts timestamp, v double, id int")
@@ -115,7 +117,9 @@ def fold_slowly(events):
     return state, attempts, rejected
 
 
-def test_fold_matches_a_plain_loop(spark):
+@pytest.mark.parametrize("limit", [1_000_000, 5])
+def test_fold_matches_a_plain_loop(spark, limit, row_limit):
+    row_limit(limit)
     rnd = random.Random(9)
     acts = ["enqueue", "start", "complete", "fail", "noise"]
     rows = []

@@ -19,7 +19,7 @@ from tidemill.plans.session import cut_lineage, group_rows, hint_small
 SKETCH_K = 4096
 GRID = 512
 # groups up to this length are sorted directly; longer ones in buckets of about this many rows
-SORTED_ROWS = 20_000
+SORTED_ROWS = 200_000
 BUCKET_ROWS = 1_000
 MAX_ROUNDS = 60
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType, StringType, StructType
+from pyspark.sql.types import DecimalType, FractionalType, IntegralType, NumericType, StringType, StructType
 
 
 def string_columns(schema: StructType) -> list[str]:
@@ -37,11 +37,24 @@ def long_numeric(df: DataFrame, columns: list[str] | None = None, keep: tuple[st
     return wide.unpivot(list(keep), [col(c) for c in columns], "column_name", "value").where("value is not null")
 
 
-def long_text(df: DataFrame, columns: list[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(keep..., column_name, value string), one row per cell, null cells left out."""
+def cells_by_kind(df: DataFrame, columns: list[str] | None = None) -> list[DataFrame]:
+    """(column_name, value) cells without nulls, one table per value type.
+
+    Whole numbers stay whole, fractions stay double and everything else becomes text, so values
+    can be counted before any of them is formatted.
+    """
     columns = df.columns if columns is None else columns
-    wide = df.selectExpr(*map(name_sql, keep), *[f"string({name_sql(c)}) AS {name_sql(c)}" for c in columns])
-    return wide.unpivot(list(keep), [col(c) for c in columns], "column_name", "value").where("value is not null")
+    kinds: dict[str, list[str]] = {}
+    for c in columns:
+        t = df.schema[c].dataType
+        kind = "bigint" if isinstance(t, IntegralType) else "double" if isinstance(t, FractionalType) and not isinstance(t, DecimalType) else "string"
+        kinds.setdefault(kind, []).append(c)
+    return [
+        df.selectExpr(*[f"{kind}({name_sql(c)}) AS {name_sql(c)}" for c in names])
+        .unpivot([], [col(c) for c in names], "column_name", "value")
+        .where("value is not null")
+        for kind, names in kinds.items()
+    ]
 
 
 def wide_to_long(one_row: DataFrame, columns: list[str], metrics: list[str]) -> DataFrame:

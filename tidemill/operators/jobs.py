@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tidemill.functions.quantiles import exact_quantiles
 from tidemill.plans.joins import join_null_safe
+from tidemill.plans.skew import ordered_pieces
 
 # Job types that are always reported, states that count as outstanding,
 # error categories, histogram bounds in seconds, and limits.
@@ -173,7 +174,8 @@ def counter_rate(
     """Per-second rate of a counter in fixed windows, a drop counting as a restart from zero.
 
     Neighbouring samples are compared inside short slices first; the slices of a window are
-    then chained through their first and last samples. No task sorts a whole series.
+    then chained through their first and last samples. No task sorts a whole series, and a slice
+    that is still too large is cut into pieces.
     """
     at = F.unix_micros(F.col(ts).cast("timestamp"))
     base = samples.select(
@@ -184,7 +186,8 @@ def counter_rate(
         F.col(tiebreak).alias("_tie"),
         F.col(value).cast("double").alias("_v"),
     ).where("_v is not null")
-    in_slice = Window.partitionBy(*keys, "_win", "_slice").orderBy("_at", "_tie")
+    base = ordered_pieces(base, [*keys, "_win", "_slice"], ["_at", "_tie"])
+    in_slice = Window.partitionBy(*keys, "_win", "_slice", "piece").orderBy("_at", "_tie")
 
     def gain(now: Column, before: Column) -> Column:
         return F.when(before.isNull(), F.lit(0.0)).when(now < before, now).otherwise(now - before)
@@ -192,7 +195,7 @@ def counter_rate(
     order = F.struct("_at", "_tie")
     slices = (
         base.withColumn("_gain", gain(F.col("_v"), F.lag("_v").over(in_slice)))
-        .groupBy(*keys, "_win", "_slice")
+        .groupBy(*keys, "_win", "_slice", "piece")
         .agg(
             F.count(F.lit(1)).alias("_n"),
             F.sum("_gain").alias("_gain"),
@@ -200,7 +203,7 @@ def counter_rate(
             F.max_by("_v", order).alias("_last"),
         )
     )
-    chain = Window.partitionBy(*keys, "_win").orderBy("_slice")
+    chain = Window.partitionBy(*keys, "_win").orderBy("_slice", "piece")
     return (
         slices.withColumn("_gain", F.col("_gain") + gain(F.col("_first"), F.lag("_last").over(chain)))
         .groupBy(*keys, "_win")
@@ -257,7 +260,7 @@ def fold_job_states(events: DataFrame, job: str, action: str, ts: str, tiebreak:
 
     A run of events maps every possible state to an outcome, and such maps can be chained.
     Events are therefore reduced per (job, minute), then per (job, day), so the job's own
-    group only sees one short map per day.
+    group only sees one short map per day. A minute with too many events is cut into pieces.
     """
     step = F.coalesce(
         *[F.when((F.col(action) == act), F.lit(act)) for act in sorted({a for _, a in MOVES})], F.lit("other")
@@ -299,18 +302,20 @@ def fold_job_states(events: DataFrame, job: str, action: str, ts: str, tiebreak:
         )
 
     minutes = (
-        timed.groupBy("job_id", "minute")
+        ordered_pieces(timed, ["job_id", "minute"], ["at", "tie"])
+        .groupBy("job_id", "minute", "piece")
         .agg(run.alias("run"), F.count(F.lit(1)).alias("n"), F.max("at").alias("at"))
         .select(
             "job_id",
             "minute",
+            "piece",
             F.floor(F.col("minute") / F.lit(1440)).alias("day"),
             "n",
             "at",
             F.aggregate("run", identity, lambda acc, act: F.transform(acc, lambda c: move(c, act))).alias("outcome"),
         )
     )
-    in_order = F.array_sort(F.collect_list(F.struct("minute", "outcome")))
+    in_order = F.array_sort(F.collect_list(F.struct("minute", "piece", "outcome")))
     days = minutes.groupBy("job_id", "day").agg(
         F.sum("n").alias("n"),
         F.max("at").alias("at"),

@@ -18,9 +18,9 @@ from tidemill.functions.quantiles import exact_quantiles
 from tidemill.functions.scalars import is_blank
 from tidemill.operators.columns import (
     aggregate_sql,
+    cells_by_kind,
     col,
     long_numeric,
-    long_text,
     name_sql,
     numeric_columns,
     string_columns,
@@ -70,7 +70,16 @@ def blank_entries(df: DataFrame) -> DataFrame:
 
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column_name, value, n) over non-null cells: the shared base of the value-based metrics."""
-    return long_text(df, columns).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    parts = [
+        cells.groupBy("column_name", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select("column_name", F.col("value").cast("string").alias("value"), "n")
+        for cells in cells_by_kind(df, columns)
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def distinct_counts(df: DataFrame) -> DataFrame:
