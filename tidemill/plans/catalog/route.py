@@ -88,7 +88,7 @@ def used(s, d):
 def matrix(s, d):
     """The wide form: one column per destination."""
     v = vectors(s, d)
-    return v.select("route_id", F.col("stop").alias("location"), *[F.get("embedding", F.lit(i)).alias(f"S{i:02d}") for i in range(SIZE)])
+    return v.select("route_id", F.col("stop").alias("location"), *[F.get("embedding", F.lit(i)).cast("double").alias(f"S{i:02d}") for i in range(SIZE)])
 
 
 def q_unpivot(s, d):
