@@ -28,6 +28,7 @@ from tidemill.operators.columns import (
     wide_to_long,
 )
 from tidemill.plans.joins import join_null_safe
+from tidemill.plans.session import cut_lineage
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 # aggregates per pass: keeps generated code within what the JVM compiles well
@@ -112,12 +113,15 @@ def moments(df: DataFrame, columns: list[str]) -> DataFrame:
     return wide_to_long(aggregate_sql(df, sums), columns, list(metrics))
 
 
-def describe(df: DataFrame) -> DataFrame:
-    """count, mean, sample standard deviation, min, quartiles and max of every numeric column."""
+def describe(df: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
+    """count, mean, sample standard deviation, min, quartiles and max of every numeric column.
+
+    ``bounds`` takes the result of ``quartile_bounds`` where several reports share it.
+    """
     columns = numeric_columns(df.schema)
     if not columns:
         return describe_text(df)
-    quartiles = exact_quantiles(long_numeric(df, columns), ["column_name"], "value", QUARTILES)
+    quartiles = quartile_bounds(df, columns) if bounds is None else bounds
     return (
         moments(df, columns)
         .join(F.broadcast(quartiles), "column_name", "left")  # one row per column
@@ -160,9 +164,9 @@ def outlier_rows(df: DataFrame, row_id: list[str], columns: list[str] | None = N
     )
 
 
-def outlier_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def outlier_counts(df: DataFrame, columns: list[str] | None = None, bounds: DataFrame | None = None) -> DataFrame:
     cells = long_numeric(df, columns)
-    bounds = F.broadcast(quartile_bounds(df, columns))
+    bounds = F.broadcast(quartile_bounds(df, columns) if bounds is None else bounds)
     outside = (F.col("value") < F.col("lower_bound")) | (F.col("value") > F.col("upper_bound"))
     return cells.join(bounds, "column_name").groupBy("column_name").agg(
         F.count_if(outside).alias("num_outliers"),
@@ -364,9 +368,10 @@ def full_profile(df: DataFrame) -> DataFrame:
         rows(duplicate_rows(df), "duplicates", ["duplicate_rows"]),
     ]
     if numbers:
+        bounds = cut_lineage(quartile_bounds(df, numbers))
         parts += [
-            rows(describe(df), "describe", ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]),
-            rows(outlier_counts(df), "outliers", ["num_outliers", "lower_bound", "upper_bound"]),
+            rows(describe(df, bounds), "describe", ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]),
+            rows(outlier_counts(df, numbers, bounds), "outliers", ["num_outliers", "lower_bound", "upper_bound"]),
             correlation_matrix(df).select(
                 F.lit("correlation").alias("section"),
                 F.col("column_x").alias("column_name"),

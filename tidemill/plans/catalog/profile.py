@@ -129,7 +129,43 @@ CATEGORICAL_SQL = each(
     "(SELECT count(*) FROM items WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY 1 DESC LIMIT 1) AS mode_count, count(DISTINCT {c}) AS unique_values FROM items",
 )
 
+ITEM_TYPES = """SELECT column_name, {types} AS data_type, CASE data_type WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'other' ELSE 'numeric' END AS kind
+FROM (SELECT column_name, column_type AS data_type FROM (DESCRIBE WITH {items} SELECT * FROM items))""".format(types=SPARK_TYPES, items=ITEMS)
+
+
+def section(name, table, metrics, texts=()):
+    """One section of the full profile from a table with a column per metric."""
+    return "\nUNION ALL ".join(
+        f"SELECT '{name}' AS section, column_name, '{m}' AS metric, "
+        + (f"NULL::DOUBLE AS value_num, {m}::VARCHAR AS value_text" if m in texts else f"{m}::DOUBLE AS value_num, NULL::VARCHAR AS value_text")
+        + f" FROM {table}"
+        for m in metrics
+    )
+
+
+ALL_QUARTILES = each(NUM, "SELECT '{c}' AS column_name, quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM items")
+ALL_CELLS = each(NUM, "SELECT '{c}' AS column_name, {c}::DOUBLE AS value FROM items WHERE {c} IS NOT NULL")
+FULL_SQL = f"""WITH {ITEMS}, s_types AS ({ITEM_TYPES}), s_missing AS ({MISSING_SQL}), s_blank AS ({BLANK_SQL}), s_distinct AS ({DISTINCT_SQL}),
+  s_shape AS (SELECT '*' AS column_name, count(*) AS num_rows, {len(COLUMNS)} AS num_columns FROM items),
+  s_dup AS (SELECT '*' AS column_name, sum(n - 1) AS duplicate_rows FROM (SELECT count(*) AS n FROM items GROUP BY {", ".join(COLUMNS)})),
+  s_desc AS ({DESCRIBE_SQL}), s_cat AS ({CATEGORICAL_SQL}), s_q AS ({ALL_QUARTILES}), s_cells AS ({ALL_CELLS}),
+  s_out AS (SELECT c.column_name, count(*) FILTER (WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) AS num_outliers,
+    round(any_value(q1 - 1.5 * (q3 - q1)), 4) AS lower_bound, round(any_value(q3 + 1.5 * (q3 - q1)), 4) AS upper_bound
+    FROM s_cells c JOIN s_q q ON c.column_name = q.column_name GROUP BY 1),
+  s_corr AS ({corr_sql(NUM, CORR + " AS corr")})
+{section("schema", "s_types", ["data_type", "kind"], ("data_type", "kind"))}
+UNION ALL {section("shape", "s_shape", ["num_rows", "num_columns"])}
+UNION ALL {section("missing", "s_missing", ["missing", "missing_pct"])}
+UNION ALL {section("invalid", "s_blank", ["invalid"])}
+UNION ALL {section("unique", "s_distinct", ["distinct_values"])}
+UNION ALL {section("duplicates", "s_dup", ["duplicate_rows"])}
+UNION ALL {section("describe", "s_desc", ["count", "mean", "std", "min", "q25", "q50", "q75", "max"])}
+UNION ALL {section("outliers", "s_out", ["num_outliers", "lower_bound", "upper_bound"])}
+UNION ALL {section("categorical", "s_cat", ["mode", "mode_count", "unique_values"], ("mode",))}
+UNION ALL SELECT 'correlation', column_x, column_y, round(corr, 4), NULL FROM s_corr"""
+
 SQL = {
+    "profile_full": FULL_SQL,
     "schema_report": f"""SELECT ordinal, column_name, {SPARK_TYPES} AS data_type,
   CASE WHEN data_type = 'VARCHAR' THEN 'string' WHEN data_type IN ('BIGINT', 'INTEGER', 'DOUBLE') THEN 'numeric' ELSE 'other' END AS kind
 FROM (SELECT (row_number() OVER () - 1)::INTEGER AS ordinal, column_name, column_type AS data_type FROM (DESCRIBE lineitem))""",

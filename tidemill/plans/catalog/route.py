@@ -60,7 +60,7 @@ def driven(s, d):
     """A given order of stops per route; some of them break the rules."""
     st = stops(s, d)
     main = st.select("route_id", F.col("input_pos").alias("pos"), stop_name(F.pmod(F.col("input_pos") * 5, F.lit(SIZE))).alias("stop"))
-    back = st.where("input_pos = 0 and route_id % 2 = 0").select("route_id", F.lit(SIZE).alias("pos"), F.lit("S00").alias("stop"))
+    back = problems(s, d).where("start = end").select("route_id", F.lit(SIZE).alias("pos"), F.col("start").alias("stop"))
     return main.unionByName(back)
 
 
@@ -72,7 +72,7 @@ edges AS (SELECT c.route_id, src, dst, round(abs(raw), 6) AS dist FROM cells c J
   WHERE src_pos < dst_pos AND dst_pos < n),
 two AS (SELECT route_id, src, dst, dist FROM edges UNION ALL SELECT route_id, dst, src, dist FROM edges),
 driven AS (SELECT route_id, input_pos AS pos, 'S' || lpad(((input_pos * 5) % 64)::VARCHAR, 2, '0') AS stop FROM stops
-  UNION ALL SELECT route_id, 64, 'S00' FROM stops WHERE input_pos = 0 AND route_id % 2 = 0),
+  UNION ALL SELECT route_id, 64, start FROM problems WHERE start = fin),
 legs AS (SELECT * FROM (SELECT route_id, pos AS leg, stop AS src, lead(stop) OVER (PARTITION BY route_id ORDER BY pos) AS dst FROM driven) WHERE dst IS NOT NULL),
 priced AS (SELECT l.*, t.dist FROM legs l LEFT JOIN two t ON l.route_id = t.route_id AND l.src = t.src AND l.dst = t.dst)"""
 
