@@ -8,7 +8,6 @@ step for all large problems together, so no task ever holds a large problem.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
