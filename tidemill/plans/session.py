@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +45,17 @@ def tune(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    return ship(spark)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once per application, for code that runs in Python workers."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tidemill_shipped", None) != sc.applicationId:
+        package = Path(__file__).resolve().parents[1]
+        archive = Path(tempfile.mkdtemp(prefix=f"{package.name}-")) / package.name
+        sc.addPyFile(shutil.make_archive(str(archive), "zip", package.parent, package.name))
+        sc._tidemill_shipped = sc.applicationId
     return spark
 
 
