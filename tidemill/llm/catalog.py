@@ -5,13 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import chat, host_rules, mixing, sharding, warc
+from tidemill.llm import chat, host_rules, mixing, quality, sharding, toxicity, warc
 from tidemill.llm.common import table
 from tidemill.plans.session import cut_lineage, work_dir
 
 SHARDS = 24
 
 
+def op1(s: SparkSession, d: str) -> DataFrame:
+    """Toxicity of all documents, learned from the labelled ones that are not held out."""
+    docs = table(s, d, "documents").select("doc_id", "text")
+    known = docs.where(~toxicity.held_out("doc_id"))
+    model = toxicity.fit(known, table(s, d, "labels").select("doc_id", F.col("toxic").alias("label")), "doc_id", "label")
+    scored = toxicity.score(docs, model)
+    return scored.select(
+        "doc_id",
+        F.coalesce(toxicity.held_out("doc_id"), F.lit(False)).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+def op3(s: SparkSession, d: str) -> DataFrame:
+    """Expected grade and tail probabilities of all documents, and whether they are selected."""
+    docs = table(s, d, "documents").select("doc_id", "text")
+    model = quality.fit(docs, quality.graded(table(s, d, "labels")), "doc_id", "grade")
+    return quality.grade(docs, model).withColumn("kept", F.col("tail_1") >= quality.SELECT)
+
+
 def op2(s: SparkSession, d: str) -> DataFrame:
     """Pages written as WARC transactions and read back as captures."""
     folder = work_dir(s, "warc")
@@ -63,7 +84,9 @@ def op10(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ftrl_toxicity": op1,
     "op2_warc_captures": op2,
+    "op3_ordinal_quality": op3,
     "op4_chat_blocks": op4,
     "op6_host_rules": op6,
     "op8_pivotal_mix": op8,
