@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import chat, host_rules, mixing, quality, sharding, toxicity, warc
+from tidemill.llm import chat, host_rules, mixing, quality, sharding, toxicity, vectors, warc
 from tidemill.llm.common import table
 from tidemill.plans.session import cut_lineage, work_dir
 
@@ -63,6 +63,11 @@ def op4(s: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op5(s: SparkSession, d: str) -> DataFrame:
+    """Links and components of all vectors by cosine."""
+    return vectors.link_vectors(table(s, d, "embeddings").select("vec_id", "embedding"))
+
+
 def op6(s: SparkSession, d: str) -> DataFrame:
     """Counts and verdicts of all documents."""
     measured = host_rules.measure(table(s, d, "documents").select("doc_id", "source", "text")).drop("text")
@@ -88,6 +93,7 @@ QUERIES = {
     "op2_warc_captures": op2,
     "op3_ordinal_quality": op3,
     "op4_chat_blocks": op4,
+    "op5_vector_links": op5,
     "op6_host_rules": op6,
     "op8_pivotal_mix": op8,
     "op10_feistel_shards": op10,
