@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import chat, host_rules, mixing, quality, sharding, toxicity, vectors, warc
+from tidemill.llm import chat, host_rules, mixing, quality, sharding, shingles, toxicity, vectors, warc
 from tidemill.llm.common import table
 from tidemill.plans.session import cut_lineage, work_dir
 
@@ -81,6 +81,11 @@ def op8(s: SparkSession, d: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op9(s: SparkSession, d: str) -> DataFrame:
+    """Links and classes of all documents by their 5-word n-grams."""
+    return shingles.link_texts(table(s, d, "documents").select("doc_id", "text")).drop("row")
+
+
 def op10(s: SparkSession, d: str) -> DataFrame:
     """Shard and slot of each document."""
     text = F.coalesce("text", F.lit("")).cast("binary")
@@ -96,6 +101,7 @@ QUERIES = {
     "op5_vector_links": op5,
     "op6_host_rules": op6,
     "op8_pivotal_mix": op8,
+    "op9_minhash_join": op9,
     "op10_feistel_shards": op10,
 }
 
@@ -115,4 +121,15 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(n + CASE WHEN starts THEN 12 + r + 1 + 11 ELSE 11 END)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id""",
+    "op9_minhash_join": """WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS gs FROM w),
+u AS MATERIALIZED (SELECT doc_id, len(gs) AS n, unnest(gs) AS s FROM g),
+p AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.s = b.s AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 10 * count(*) >= 8 * (a.n + b.n - count(*))),
+r(a, b) AS (SELECT doc_id, doc_id FROM g UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+c AS (SELECT a AS doc_id, min(b) AS class_id FROM r GROUP BY a),
+k AS (SELECT doc_id, CASE WHEN len(gs) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY list_sort(gs)) END AS copy_of FROM g),
+l AS (SELECT a AS doc_id, count(*) AS n FROM p GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_links, class_id, copy_of, class_id = doc_id AS kept FROM c JOIN k USING (doc_id) LEFT JOIN l USING (doc_id)""",
 }
