@@ -85,42 +85,48 @@ def pack_shards(sample: DataFrame, featurise: Callable[[list[bytes]], tuple[np.n
     return cut_lineage(dealt.mapInArrow(pack, "shard int, grades binary, starts binary, buckets binary, values binary"))
 
 
-def shard_rounds(packed: DataFrame, learn: Callable[..., dict[str, np.ndarray]], state: dict[str, np.ndarray], rounds: int) -> dict[str, np.ndarray]:
+def shard_rounds(packed: DataFrame, learn: Callable[..., dict[str, np.ndarray]], state: dict[str, np.ndarray], size: int, rounds: int) -> dict[str, np.ndarray]:
     """Parameter mixing: in each round every shard learns from the common state, and the results are averaged.
 
-    ``learn(state, grades, starts, buckets, values)`` returns the new state's arrays. States have a fixed size
-    (the number of buckets), so what the driver gathers is bounded by shards times buckets.
+    ``learn(state, grades, starts, buckets, values)`` returns the new state. Arrays of ``size`` numbers start
+    at 0 and travel without the buckets that are still 0; what the driver gathers is bounded by shards times
+    buckets. Smaller arrays are averaged as they are.
     """
     sc = packed.sparkSession.sparkContext
     names = list(state)
+    large = [k for k in names if len(state[k]) == size]
+
+    def dense(at: np.ndarray, values: np.ndarray) -> np.ndarray:
+        out = np.zeros(size)
+        out[at] = values
+        return out
+
+    at = np.zeros(0, np.int32)
+    state = {k: v[at] if k in large else v for k, v in state.items()}
     for _ in range(rounds):
-        now = sc.broadcast(state)
+        now = sc.broadcast((at, state))
 
         def one(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row in batch.to_pylist():
                     data = [np.frombuffer(row[k], t) for k, t in (("grades", np.float64), ("starts", np.int64), ("buckets", np.int32), ("values", np.float32))]
-                    new = learn({k: v.copy() for k, v in now.value.items()}, *data)
-                    at = np.flatnonzero(np.any([new[k] != now.value[k] for k in names if new[k].ndim and len(new[k]) > 64], axis=0)).astype(np.int32)
-                    out = [at.tobytes(), *[(new[k] if len(new[k]) <= 64 else new[k][at]).tobytes() for k in names]]
-                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in out], names=["at", *names])
+                    new = learn({k: dense(now.value[0], v) if k in large else v.copy() for k, v in now.value[1].items()}, *data)
+                    used = np.flatnonzero(np.any([new[k] != 0 for k in large], axis=0)).astype(np.int32)
+                    out = [used.tobytes(), *[(new[k][used] if k in large else new[k]).tobytes() for k in names]]
+                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in out], names=["used", *names])
 
-        got = packed.mapInArrow(one, ", ".join(f"{k} binary" for k in ["at", *names])).toLocalIterator()
-        total = {k: np.zeros_like(v) for k, v in state.items()}
+        sums = {k: np.zeros(size if k in large else len(state[k])) for k in names}
         n = 0
-        for row in got:
+        for row in packed.mapInArrow(one, ", ".join(f"{k} binary" for k in ["used", *names])).toLocalIterator():
             n += 1
-            at = np.frombuffer(row["at"], np.int32)
+            used = np.frombuffer(row["used"], np.int32)
             for k in names:
-                new = np.frombuffer(row[k], state[k].dtype)
-                if len(state[k]) <= 64:
-                    total[k] += new - state[k]
-                else:
-                    total[k][at] += new - state[k][at]
-        now.unpersist()
+                sums[k][used if k in large else slice(None)] += np.frombuffer(row[k], np.float64)
+        now.destroy()
         if n:
-            state = {k: v + total[k] / n for k, v in state.items()}
-    return state
+            at = np.flatnonzero(np.any([sums[k] != 0 for k in large], axis=0)).astype(np.int32)
+            state = {k: (sums[k][at] if k in large else sums[k]) / n for k in names}
+    return {k: dense(at, v) if k in large else v for k, v in state.items()}
 
 
 def score_batches(batches: Iterator[pa.RecordBatch], score: Callable[[list[bytes]], list[np.ndarray]], names: list[str]) -> Iterator[pa.RecordBatch]:

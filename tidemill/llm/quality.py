@@ -120,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, grade: str, settings: Sett
     packed = features.pack_shards(sample, lambda t: features.joined(t, lambda x: sparse(x, s.bits)))
     size = s.grades - 1
     start = {"w": np.zeros(1 << s.bits), "g2": np.zeros(1 << s.bits), "cut": np.append(-(size - 1) / 2, np.zeros(size - 1)), "cut2": np.ones(size)}
-    state = features.shard_rounds(packed, learner(s), start, s.rounds)
+    state = features.shard_rounds(packed, learner(s), start, 1 << s.bits, s.rounds)
     return Model(state["w"].astype(np.float32), thresholds(state["cut"]), s.bits)
 
 

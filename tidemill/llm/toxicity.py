@@ -24,9 +24,9 @@ class Settings:
     """Hash bits, learning rates and penalties; ``least`` documents of a shard must have a feature that is learned."""
 
     bits: int = 22
-    alpha: float = 0.3
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 0.6
+    l1: float = 4.0
     l2: float = 0.1
     passes: int = 2
     rounds: int = 4
@@ -114,7 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, label: str, settings: Sett
     sample = features.labelled_sample(docs, labels, label, key, s.sample)
     packed = features.pack_shards(sample, featuriser(s.bits, s.least))
     zero = {"z": np.zeros(1 << s.bits), "n": np.zeros(1 << s.bits), "bias": np.zeros(2)}
-    state = features.shard_rounds(packed, learner(s), zero, s.rounds)
+    state = features.shard_rounds(packed, learner(s), zero, 1 << s.bits, s.rounds)
     w = weights_of(state["z"], state["n"], s)
     at = np.flatnonzero(w)
     z0, n0 = state["bias"]
