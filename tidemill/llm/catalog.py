@@ -37,7 +37,8 @@ def op2(s: SparkSession, d: str) -> DataFrame:
     """Pages written as WARC transactions and read back as captures."""
     folder = work_dir(s, "warc")
     warc.write_archives(table(s, d, "pages").select("page_id", "url", "html"), folder)
-    captures = warc.resolve_revisits(warc.assemble(warc.read_records(s, folder)))
+    records = cut_lineage(warc.read_records(s, folder).drop("payload"))
+    captures = warc.resolve_revisits(warc.assemble(records))
     number = lambda c: F.nullif(F.col(c), F.lit("")).cast("long")
     return captures.select(
         number("page").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), number("refers_to_page").alias("refers_to")

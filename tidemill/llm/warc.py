@@ -176,12 +176,18 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
-    """All records of the archives (plain or gzip) in a folder, one row each, told apart by Content-Length."""
-    return spark.read.format("binaryFile").load(folder).select("content").mapInArrow(_read, FIELDS)
+    """All records of the archives (plain or gzip) in a folder, one row each, told apart by Content-Length.
+
+    Length and digest are those of a record's own payload, null without one.
+    """
+    records = spark.read.format("binaryFile").load(folder).select("content").mapInArrow(_read, FIELDS)
+    return records.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """One row per capture: (record_id, warc_type, target, refers_to, payload_*, request, metadata).
+    """One row per capture: (record_id, warc_type, target, refers_to, payload, its length and digest, request, metadata).
+
+    ``records`` may come without the payload, which then doesn't move.
 
     A capture is a response or revisit; request and metadata records join it through their concurrent-to
     identifier, directly or through the request. Several requests or metadata records of a capture are all
@@ -197,23 +203,27 @@ def assemble(records: DataFrame) -> DataFrame:
     # one transaction has a handful of records, each with an identifier of its own
     sides = linked.groupBy("capture").agg(pick("request").alias("request"), pick("metadata").alias("metadata"))
     none = F.array().cast("array<struct<record_id:string,target:string,page:string,block_bytes:bigint>>")
+    own = [c for c in ("record_id", "warc_type", "target", "refers_to", "payload", "payload_bytes", "payload_digest") if c in records.columns]
     return captures.join(sides, captures["record_id"] == sides["capture"], "left").select(
-        captures["record_id"], "warc_type", "target", "refers_to", "payload", F.coalesce("request", none).alias("request"), F.coalesce("metadata", none).alias("metadata")
+        *[captures[c] for c in own], F.coalesce("request", none).alias("request"), F.coalesce("metadata", none).alias("metadata")
     )
 
 
 def resolve_revisits(captures: DataFrame) -> DataFrame:
-    """Add ``payload_bytes``, ``payload_digest`` and ``refers_to_page``: a revisit has those of its response.
+    """Add ``refers_to_page``; a revisit gets the length and digest of the payload that it refers to.
 
-    Only the digests move, not the payloads. A response that very many captures revisit is one row on
-    its side of the join, and the other side is split.
+    Only these move, and the payloads if they are asked for. A response that very many captures revisit is
+    one row on its side of the join, and the other side is split.
     """
-    full = captures.withColumns({"own_bytes": F.octet_length("payload").cast("long"), "own_digest": F.sha2("payload", 256), "page": F.get(F.col("metadata"), 0)["page"]})
-    full = full.drop("payload")
-    originals = full.where("warc_type = 'response'").select(
-        F.col("record_id").alias("refers_to"), F.col("own_bytes").alias("there_bytes"), F.col("own_digest").alias("there_digest"), F.col("page").alias("refers_to_page")
-    )
-    joined = full.join(originals, "refers_to", "left")
-    return joined.withColumns({"payload_bytes": F.coalesce("own_bytes", "there_bytes"), "payload_digest": F.coalesce("own_digest", "there_digest")}).drop(
-        "own_bytes", "own_digest", "there_bytes", "there_digest"
+    # a response looks itself up: a null here would bring all of them to one place
+    paged = captures.withColumns({"page": F.get(F.col("metadata"), 0)["page"], "there": F.coalesce("refers_to", "record_id")})
+    originals = captures.where("warc_type = 'response'").select(
+        F.col("record_id").alias("there"),
+        F.col("payload_bytes").alias("there_bytes"),
+        F.col("payload_digest").alias("there_digest"),
+        F.get(F.col("metadata"), 0)["page"].alias("there_page"),
     )
+    joined = paged.join(originals, "there", "left")
+    full = {"payload_bytes": F.coalesce("payload_bytes", "there_bytes"), "payload_digest": F.coalesce("payload_digest", "there_digest")}
+    referred = F.when(F.col("refers_to").isNotNull(), F.col("there_page"))
+    return joined.withColumns(full | {"refers_to_page": referred}).drop("there", "there_bytes", "there_digest", "there_page")
