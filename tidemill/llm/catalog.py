@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import chat, host_rules, mixing, quality, sharding, shingles, toxicity, vectors, warc
+from tidemill.llm import chat, host_rules, mixing, packing, quality, sharding, shingles, toxicity, vectors, warc
 from tidemill.llm.common import table
 from tidemill.plans.session import cut_lineage, work_dir
 
@@ -76,6 +76,20 @@ def op6(s: SparkSession, d: str) -> DataFrame:
     return judged.select("doc_id", *[f"quality.{k}" for k in [*host_rules.COUNTS, "base_failed", "kept"]])
 
 
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    """Content of one of the public tokenizers' files."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), encoding="utf-8") as f:
+        return f.read()
+
+
+def op7(s: SparkSession, d: str) -> DataFrame:
+    """Pieces of all documents in packed sequences."""
+    packed = packing.pack(table(s, d, "documents").select("doc_id", "text"), tokenizer_file())
+    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 def op8(s: SparkSession, d: str) -> DataFrame:
     """Words that the mix takes from each document."""
     plan = mixing.plan_copies(table(s, d, "documents").select("doc_id", "source", "text"))
@@ -101,6 +115,7 @@ QUERIES = {
     "op4_chat_blocks": op4,
     "op5_vector_links": op5,
     "op6_host_rules": op6,
+    "op7_open_windows": op7,
     "op8_pivotal_mix": op8,
     "op9_minhash_join": op9,
     "op10_feistel_shards": op10,
