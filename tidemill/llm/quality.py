@@ -125,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, grade: str, settings: Sett
 
 
 def grade(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Add ``expected_grade`` and ``tails`` (probability of each grade from 1 on, or better) for each whole text.
+    """Add ``expected_grade`` and ``tail_1``, ``tail_2``, ... (probability of that grade or better) for each whole text.
 
     Null and empty texts are graded by the thresholds alone. All rows and columns are kept but the text;
     columns that already have the new names are replaced.
