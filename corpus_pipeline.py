@@ -5,28 +5,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import host_rules, mixing
-from tidemill.llm.common import table
+from tidemill.llm import host_rules, mixing, packing, quality, shingles
+from tidemill.llm.catalog import tokenizer_file
+from tidemill.llm.common import fresh_name, row_numbers, table
 from tidemill.plans.session import cut_lineage
 
 
+def grade(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are good text with a probability of at least one half, by the classifier learned from the labels."""
+    labels = quality.graded(table(spark, sf_dir, "labels"))
+    model = quality.fit(docs.select("doc_id", "text"), labels, "doc_id", "grade")
+    row = fresh_name(docs, "row")
+    graded = quality.grade(row_numbers(docs.select("text"), row), model)
+    kept = graded.where(F.col("tail_1") >= quality.SELECT).select(row)
+    return row_numbers(docs, row).join(kept, row, "left_semi").drop(row)
+
+
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and their host's verdict."""
     return host_rules.judge_documents(docs).where("quality.kept").select(docs.columns)
 
 
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return shingles.one_per_class(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
     return mixing.mix(docs)
 
 
-STAGES = [("quality rules", rules), ("mix", mix)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of bounded length, piece by piece."""
+    return packing.pack(docs.select("doc_id", "text"), tokenizer_file())
+
+
+STAGES = [("quality classifier", grade), ("quality rules", rules), ("n-gram Jaccard join", deduplicate), ("mix", mix), ("pack", pack)]
 
-# The rounding draws and the trained model have no SQL form.
+# The trained model, the rounding draws and the tokenizer have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each one's result is written and read again before the next."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = cut_lineage(stage(spark, docs, sf_dir))
