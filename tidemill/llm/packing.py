@@ -66,7 +66,10 @@ class WordIds:
         parts, owners = [], []
         whole = []
         for k, t in enumerate(texts):
-            if "\x01" in t or len(t.split()) != t.count(" ") + t.count("\n") + 1:
+            words = t.split()
+            # every gap is one character, and that is a space or a line break
+            plain = len(" ".join(words)) == len(t) and t.count(" ") + t.count("\n") == len(words) - 1
+            if not plain or "\x01" in t:
                 whole.append(k)
             else:
                 parts.append(t.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01"))

@@ -31,7 +31,7 @@ def choose_bands(least: float, recall: float, most: int = 128) -> tuple[int, int
     best = None
     for rows in range(1, most + 1):
         p = least**rows
-        bands = 1 if p >= 1 else max(1, math.ceil(math.log(1 - recall) / math.log(1 - p)))
+        bands = 1 if p >= 1 else max(1, math.ceil(math.log(1 - recall) / math.log1p(-p)))
         if bands * rows <= most:
             best = bands, rows
     if best is None:
