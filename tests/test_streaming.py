@@ -1,9 +1,11 @@
 import datetime as dt
 import random
 
+import pytest
+
 from tests.test_jobs import fold_slowly
 from tidemill.streaming import jobs as S
-from tidemill.streaming.runner import ClosingSource, keyed_overwrite, newest_per_key, run_append, run_update
+from tidemill.streaming.runner import ROCKSDB, ClosingSource, keyed_overwrite, newest_per_key, replay_delay, run_append, run_update, table_stream
 
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string"
 T0 = dt.datetime(2024, 1, 1)
@@ -63,21 +65,61 @@ def test_state_across_batches_matches_a_plain_loop(spark, tmp_path):
     rnd = random.Random(4)
     acts = ["enqueue", "start", "complete", "fail"]
     rows = [(i, at(i), rnd.randrange(12), rnd.choice(acts)) for i in range(120)]
-    put(spark, tmp_path, rows[:60], 0)
-    put(spark, tmp_path, rows[60:], 1)
-    out = run_update(S.job_states(stream(spark, str(tmp_path)), "user_id", "event_type", "ts", "event_id"), "t-state", ["job_id"])
+    mixed = rnd.sample(rows, len(rows))  # every batch has events that belong before those of earlier ones
+    for k in range(3):
+        put(spark, tmp_path, mixed[k::3], k)
+    source = stream(spark, str(tmp_path))
+    closing = ClosingSource(source, "ts")
+    states = S.job_states(source.unionByName(closing.stream()), "user_id", "event_type", "ts", "event_id", "3 hours")
+    out = run_update(states, "t-state", ["job_id"], closing, ROCKSDB)
     per_job = {}
     for i, ts, job, act in rows:
         per_job.setdefault(job, []).append((ts, i, act))
     assert {r.job_id: (r.status, r.attempts, r.rejected) for r in out.collect()} == {j: fold_slowly(e) for j, e in per_job.items()}
 
 
+def test_start_before_enqueue_in_another_batch(spark, tmp_path):
+    put(spark, tmp_path, [(2, at(1), 7, "start"), (3, at(2), 7, "complete")], 0)
+    put(spark, tmp_path, [(1, at(0), 7, "enqueue")], 1)
+    source = stream(spark, str(tmp_path))
+    closing = ClosingSource(source, "ts")
+    states = S.job_states(source.unionByName(closing.stream()), "user_id", "event_type", "ts", "event_id")
+    (row,) = run_update(states, "t-order", ["job_id"], closing, ROCKSDB).collect()
+    assert (row.status, row.attempts, row.rejected) == ("completed", 1, 0)
+
+
+@pytest.mark.parametrize("files", [None, 1])
+def test_a_folder_table_in_several_batches_equals_the_batch_result(spark, tmp_path, files):
+    rows = [(i, at((i * 37) % 500), i % 5, "abc"[i % 3]) for i in range(200)]
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    source = table_stream(spark, str(tmp_path), "events", "ts", files_per_batch=files)
+    closing = ClosingSource(source, "ts")
+    wait = replay_delay(spark, str(tmp_path), "events", "ts")
+    out = run_append(S.tumbling_counts(source.unionByName(closing.stream()), ["event_type"], delay=wait), "t-folder", closing)
+    want = {}
+    for _, ts, _, kind in rows:
+        key = (ts.replace(minute=0), kind)
+        want[key] = want.get(key, 0) + 1
+    assert {(r.start, r.event_type): r.events for r in out.collect()} == want
+    kept = run_append(S.deduplicate(source, ["event_id"], delay=wait), "t-folder-dedup")
+    assert kept.count() == 200
+
+
+def test_the_state_provider_is_the_query_s_own(spark, tmp_path):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    put(spark, tmp_path, [(1, at(0), 1, "enqueue")], 0)
+    states = S.job_states(stream(spark, str(tmp_path)), "user_id", "event_type", "ts", "event_id")
+    run_update(states, "t-provider", ["job_id"], None, ROCKSDB)
+    assert spark.conf.get(key, None) == before
+
+
 def test_idle_jobs_get_one_decision(spark, tmp_path):
     put(spark, tmp_path, [(1, at(0), 1, "enqueue"), (2, at(0), 2, "enqueue"), (3, at(1), 2, "start"), (4, at(2), 3, "complete")], 0)
     source = stream(spark, str(tmp_path))
     closing = ClosingSource(source, "ts")
     out = run_append(
-        S.idle_decisions(source.unionByName(closing.stream()), "user_id", "event_type", "ts", "event_id"), "t-idle", closing
+        S.idle_decisions(source.unionByName(closing.stream()), "user_id", "event_type", "ts", "event_id"), "t-idle", closing, ROCKSDB
     )
     assert {(r.job_id, r.decision) for r in out.collect()} == {(1, "reprocess"), (2, "stuck"), (3, "stuck")}
 

@@ -7,11 +7,19 @@ from pyspark.sql import functions as F
 from tidemill.plans.catalog.jobs import JOB_EVENTS, as_job_events
 from tidemill.plans.catalog.profile import rounded
 from tidemill.streaming import jobs as S
-from tidemill.streaming.runner import ClosingSource, run_append, run_update, table_stream
+from tidemill.streaming.runner import ROCKSDB, ClosingSource, replay_delay, run_append, run_update, table_stream
+
+
+# Files that a micro-batch of a replay takes.
+FILES = 64
 
 
 def events(s, d):
-    return table_stream(s, d, "events", "ts")
+    return table_stream(s, d, "events", "ts", files_per_batch=FILES)
+
+
+def delay(s, d):
+    return replay_delay(s, d, "events", "ts")
 
 
 def plain(df, *columns):
@@ -22,40 +30,47 @@ def windowed(s, d, build, label):
     """Run an append-mode window query to the end of the stream."""
     source = events(s, d).select("ts", "event_id", "user_id", "event_type", "value")
     closing = ClosingSource(source, "ts")
-    return run_append(build(source.unionByName(closing.stream())), label, closing)
+    return run_append(build(source.unionByName(closing.stream()), delay(s, d)), label, closing)
 
 
 def q_dedup(s, d):
     """Every event delivered twice, kept once."""
     source = events(s, d).select("event_id", "ts", "event_type", "value")
     again = events(s, d).select("event_id", "ts", "event_type", "value")
-    return plain(run_append(S.deduplicate(source.unionByName(again), ["event_id"]), "dedup"), "ts")
+    return plain(run_append(S.deduplicate(source.unionByName(again), ["event_id"], delay=delay(s, d)), "dedup"), "ts")
 
 
 def q_rate(s, d):
-    out = windowed(s, d, lambda e: S.sliding_rate(e, ["event_type"]), "rate")
+    out = windowed(s, d, lambda e, wait: S.sliding_rate(e, ["event_type"], delay=wait), "rate")
     return rounded(plain(out.select("start", "event_type", "events", "rate"), "start"), 6)
 
 
 def q_depth(s, d):
-    return plain(windowed(s, d, lambda e: S.tumbling_counts(e, ["event_type"]), "depth"), "start")
+    return plain(windowed(s, d, lambda e, wait: S.tumbling_counts(e, ["event_type"], delay=wait), "depth"), "start")
 
 
 def q_sessions(s, d):
-    return plain(windowed(s, d, lambda e: S.sessions(e, "user_id"), "sessions"), "start", "end")
+    return plain(windowed(s, d, lambda e, wait: S.sessions(e, "user_id", delay=wait), "sessions"), "start", "end")
+
+
+def job_stream(s, d):
+    """Job events and the source that ends them."""
+    source = as_job_events(events(s, d))
+    closing = ClosingSource(source, "ts")
+    return source.unionByName(closing.stream()), closing
 
 
 def q_state(s, d):
-    out = run_update(S.job_states(as_job_events(events(s, d)), "job_id", "action", "ts", "event_id"), "job-state", ["job_id"])
+    both, closing = job_stream(s, d)
+    states = S.job_states(both, "job_id", "action", "ts", "event_id", delay(s, d))
+    out = run_update(states, "job-state", ["job_id"], closing, ROCKSDB)
     seen = F.timestamp_micros("last_us").cast("timestamp_ntz").alias("last_seen")
     return out.select("job_id", "events", "status", "attempts", "rejected", seen)
 
 
 def q_recovery(s, d):
-    source = as_job_events(events(s, d))
-    closing = ClosingSource(source, "ts")
-    both = source.unionByName(closing.stream())
-    out = run_append(S.idle_decisions(both, "job_id", "action", "ts", "event_id"), "recovery", closing)
+    both, closing = job_stream(s, d)
+    out = run_append(S.idle_decisions(both, "job_id", "action", "ts", "event_id", delay(s, d)), "recovery", closing, ROCKSDB)
     return out.select("job_id", "status", "attempts", "decision")
 
 

@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemill.operators.jobs import IDLE_SECONDS, MAX_ATTEMPTS, MOVES, TERMINAL
-from tidemill.streaming.runner import ROCKSDB
 
 
 def deduplicate(events: DataFrame, key: list[str], ts: str = "ts", delay: str = "1 hour") -> DataFrame:
@@ -52,48 +50,73 @@ def sessions(events: DataFrame, key: str, ts: str = "ts", delay: str = "10 minut
 
 
 JOB_STATE = "status string, attempts bigint, rejected bigint, events bigint, last_us bigint"
+PENDING = "at_us bigint, tie bigint, action string"
 STATE_ROW = "job_id long, events long, status string, attempts long, rejected long, last_us long"
 DECISION_ROW = "job_id long, status string, attempts long, decision string, last_us long"
 
 
 class JobState(StatefulProcessor):
-    """Keeps status and attempts of each job; emits the state after every batch.
+    """Keeps status and attempts of each job; emits the state whenever events have been applied.
 
-    The rows a key has in one micro-batch are sorted before they are applied; the batch size
-    of the source bounds them.
+    Events wait in a list until the watermark has passed them and are then applied in the order of their
+    times, so it doesn't matter which batches they came in. What waits for one job is bounded by the events it has
+    within the watermark's delay.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("job", JOB_STATE)
+        self.pending = handle.getListState("pending", PENDING)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        status, attempts, rejected, events, last = self._fold(rows)
-        yield pd.DataFrame(
-            {
-                "job_id": [key[0]],
-                "events": [events],
-                "status": [status],
-                "attempts": [attempts],
-                "rejected": [rejected],
-                "last_us": [last],
-            }
-        )
-
-    def _fold(self, rows: Iterator[pd.DataFrame]) -> tuple:
+        for part in rows:
+            self.pending.appendList(list(part[["at_us", "tie", "action"]].itertuples(index=False, name=None)))
+        self._wake(timerValues.getCurrentWatermarkInMs())
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        if self._apply(mark):
+            status, attempts, rejected, events, last = self.state.get()
+            yield pd.DataFrame(
+                {
+                    "job_id": [key[0]],
+                    "events": [events],
+                    "status": [status],
+                    "attempts": [attempts],
+                    "rejected": [rejected],
+                    "last_us": [last],
+                }
+            )
+        self._wake(mark)
+
+    def _wake(self, mark_ms: int) -> None:
+        """One timer, for when the watermark has passed the earliest waiting event."""
+        times = [row[0] for row in self.pending.get()]
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if times:
+            self.handle.registerTimer(max(min(times) // 1000 + 1, mark_ms + 1))
+
+    def _apply(self, mark_ms: int) -> int:
+        """Fold the waiting events up to the watermark into the state; how many these were."""
+        waiting = sorted(tuple(row) for row in self.pending.get())
+        ready = [row for row in waiting if row[0] <= mark_ms * 1000]
+        if not ready:
+            return 0
         status, attempts, rejected, events, last = self.state.get() if self.state.exists() else ("none", 0, 0, 0, 0)
-        batch = pd.concat([r[["at_us", "tie", "action"]] for r in rows])
-        for act in batch["action"].to_numpy()[np.lexsort((batch["tie"], batch["at_us"]))]:
+        for at_us, _, act in ready:
             target = MOVES.get((status, act))
             rejected += target is None
             attempts += target == "processing"
             status = target or status
-        events += len(batch)
-        last = max(last, int(batch["at_us"].max()))
-        self.state.update((status, int(attempts), int(rejected), int(events), last))
-        return status, int(attempts), int(rejected), int(events), last
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        return iter([])
+            last = max(last, at_us)
+        self.state.update((status, int(attempts), int(rejected), int(events + len(ready)), int(last)))
+        if len(ready) < len(waiting):
+            self.pending.put(waiting[len(ready) :])
+        else:
+            self.pending.clear()
+        return len(ready)
 
     def close(self) -> None:
         pass
@@ -102,34 +125,30 @@ class JobState(StatefulProcessor):
 class IdleJobs(JobState):
     """Decides what to do with a job once it has been silent for the idle time."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.handle = handle
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = self._fold(rows)[4]
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(last // 1000 + IDLE_SECONDS * 1000)
-        return iter([])
-
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        self._apply(mark)
         status, attempts, _, _, last = self.state.get()
-        if status in TERMINAL:
-            decision = "acknowledge"
-        elif attempts >= MAX_ATTEMPTS:
-            decision = "fail"
-        else:
-            decision = "reprocess" if status == "queued" else "stuck"
-        yield pd.DataFrame(
-            {
-                "job_id": [key[0]],
-                "status": [status],
-                "attempts": [attempts],
-                "decision": [decision],
-                "last_us": [last],
-            }
-        )
+        silent = not any(True for _ in self.pending.get()) and mark > last // 1000 + IDLE_SECONDS * 1000
+        if silent:
+            if status in TERMINAL:
+                decision = "acknowledge"
+            elif attempts >= MAX_ATTEMPTS:
+                decision = "fail"
+            else:
+                decision = "reprocess" if status == "queued" else "stuck"
+            yield pd.DataFrame(
+                {
+                    "job_id": [key[0]],
+                    "status": [status],
+                    "attempts": [attempts],
+                    "decision": [decision],
+                    "last_us": [last],
+                }
+            )
+        self._wake(mark)
+        if not silent and not any(True for _ in self.handle.listTimers()):
+            self.handle.registerTimer(max(last // 1000 + IDLE_SECONDS * 1000 + 1, mark + 1))
 
 
 def _job_events(events: DataFrame, job: str, action: str, ts: str, tiebreak: str) -> DataFrame:
@@ -142,20 +161,18 @@ def _job_events(events: DataFrame, job: str, action: str, ts: str, tiebreak: str
     )
 
 
-def job_states(events: DataFrame, job: str, action: str, ts: str, tiebreak: str) -> DataFrame:
-    """Stateful fold of job events (update mode)."""
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+def job_states(events: DataFrame, job: str, action: str, ts: str, tiebreak: str, delay: str = "10 minutes") -> DataFrame:
+    """Stateful fold of job events in the order of their times (update mode, state provider ``ROCKSDB``)."""
     return (
         _job_events(events, job, action, ts, tiebreak)
-        .drop("ts")
+        .withWatermark("ts", delay)
         .groupBy("job_id")
-        .transformWithStateInPandas(JobState(), STATE_ROW, "Update", "None")
+        .transformWithStateInPandas(JobState(), STATE_ROW, "Update", "EventTime")
     )
 
 
 def idle_decisions(events: DataFrame, job: str, action: str, ts: str, tiebreak: str, delay: str = "10 minutes") -> DataFrame:
-    """Decisions for jobs that fell silent, by event time (append mode)."""
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    """Decisions for jobs that fell silent, by event time (append mode, state provider ``ROCKSDB``)."""
     return (
         _job_events(events, job, action, ts, tiebreak)
         .withWatermark("ts", delay)

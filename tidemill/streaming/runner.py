@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,15 +15,49 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 END_OF_STREAM = "2200-01-01 00:00:00"
 
 
-def table_stream(spark: SparkSession, sf_dir: str, table: str, time_column: str, **options) -> DataFrame:
-    """A Parquet table as a file stream with its time column ready for watermarks."""
+def table_stream(spark: SparkSession, sf_dir: str, table: str, time_column: str, files_per_batch: int | None = None, **options) -> DataFrame:
+    """A Parquet table, one file or a folder of many, as a file stream with its time column ready for watermarks.
+
+    ``files_per_batch`` bounds a micro-batch; without it, one batch takes all files that are there.
+    """
     tune(spark)
-    file = f"{table}.parquet"
-    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{file}").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", file)
+    path = f"{sf_dir.rstrip('/')}/{table}.parquet"
+    schema = spark.read.parquet(path).schema
+    reader = spark.readStream.schema(schema)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     for k, v in options.items():
         reader = reader.option(k, v)
-    return reader.parquet(sf_dir).withColumn(time_column, F.col(time_column).cast("timestamp"))
+    # a stream reads folders; a single file is found in its own by its name
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target).isFile():
+        reader, path = reader.option("pathGlobFilter", f"{table}.parquet"), sf_dir
+    return reader.parquet(path).withColumn(time_column, F.col(time_column).cast("timestamp"))
+
+
+def replay_delay(spark: SparkSession, sf_dir: str, table: str, time_column: str, least: str = "10 minutes") -> str:
+    """A watermark delay with which a finished table can be replayed in any order of its files.
+
+    Nothing is known about that order, so it is the time the table spans. For a live stream, use the delay
+    of its source instead.
+    """
+    ts = F.col(time_column).cast("timestamp")
+    span = spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet").agg((F.unix_timestamp(F.max(ts)) - F.unix_timestamp(F.min(ts))).alias("s")).first()["s"]
+    return f"{span + 1} seconds" if span else least
+
+
+@contextmanager
+def state_store(spark: SparkSession, provider: str | None) -> Iterator[None]:
+    """A state-store provider for the queries started inside; the session's own setting comes back."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    if provider is not None:
+        spark.conf.set(key, provider)
+    try:
+        yield
+    finally:
+        if provider is not None:
+            spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 class ClosingSource:
@@ -51,7 +86,7 @@ class ClosingSource:
         self._rows(1).write.mode("append").parquet(self.path)
 
 
-def run_append(result: DataFrame, label: str, closing: ClosingSource | None = None) -> DataFrame:
+def run_append(result: DataFrame, label: str, closing: ClosingSource | None = None, provider: str | None = None) -> DataFrame:
     """Run an append-mode query over what is available now; return the table it wrote.
 
     With a closing source the query runs a second time from its checkpoint, so windows that
@@ -61,14 +96,15 @@ def run_append(result: DataFrame, label: str, closing: ClosingSource | None = No
     out, checkpoint = work_dir(spark, f"{label}-out"), work_dir(spark, f"{label}-state")
 
     def once() -> None:
-        query = (
-            result.writeStream.format("parquet")
-            .option("path", out)
-            .option("checkpointLocation", checkpoint)
-            .outputMode("append")
-            .trigger(availableNow=True)
-            .start()
-        )
+        with state_store(spark, provider):
+            query = (
+                result.writeStream.format("parquet")
+                .option("path", out)
+                .option("checkpointLocation", checkpoint)
+                .outputMode("append")
+                .trigger(availableNow=True)
+                .start()
+            )
         query.awaitTermination()
 
     once()
@@ -87,19 +123,22 @@ def keyed_overwrite(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def run_update(result: DataFrame, label: str, keys: list[str], closing: ClosingSource | None = None) -> DataFrame:
+def run_update(
+    result: DataFrame, label: str, keys: list[str], closing: ClosingSource | None = None, provider: str | None = None
+) -> DataFrame:
     """Run an update-mode query over what is available now; return the newest row of every key."""
     spark = result.sparkSession
     out, checkpoint = work_dir(spark, f"{label}-out"), work_dir(spark, f"{label}-state")
 
     def once() -> None:
-        query = (
-            result.writeStream.foreachBatch(keyed_overwrite(out))
-            .option("checkpointLocation", checkpoint)
-            .outputMode("update")
-            .trigger(availableNow=True)
-            .start()
-        )
+        with state_store(spark, provider):
+            query = (
+                result.writeStream.foreachBatch(keyed_overwrite(out))
+                .option("checkpointLocation", checkpoint)
+                .outputMode("update")
+                .trigger(availableNow=True)
+                .start()
+            )
         query.awaitTermination()
 
     once()
