@@ -24,7 +24,7 @@ def test_dataset_run(spark, tmp_path):
     )
     assert set(got) == {
         "profile", "frequencies", "outlier_rows", "histograms", "box_plots", "correlation_heatmap",
-        "evaluation", "feature_importances", "actual_vs_predicted",
+        "evaluation", "feature_importances", "actual_vs_predicted", "model",
     }
     outliers = rows(spark, got["outlier_rows"])
     assert [(r.column_name, r.row_number, r.value) for r in outliers] == [("co2", 7, 500.0)]

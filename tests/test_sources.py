@@ -94,5 +94,33 @@ def test_artifacts_by_job(spark, tmp_path):
     df = spark.range(100).select((F.col("id") % 10).alias("job"), F.col("id").alias("v"))
     files.write_artifacts(df, str(tmp_path / "a"), "job", buckets=4)
     assert files.read_artifacts(spark, str(tmp_path / "a"), "job").count() == 100
-    one = files.read_artifacts(spark, str(tmp_path / "a"), "job", wanted=3, buckets=4)
+    one = files.read_artifacts(spark, str(tmp_path / "a"), "job", wanted=3)
     assert sorted(r.v for r in one.collect()) == list(range(3, 100, 10))
+
+
+def test_quoted_line_breaks_are_part_of_a_cell(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text('id,text\n1,"two\nlines"\n2,plain\n')
+    assert [(r.id, r.text) for r in csv.read_csv(spark, str(path)).orderBy("id").collect()] == [(1, "two\nlines"), (2, "plain")]
+    assert csv.broken_lines(spark, str(path)).count() == 0
+    assert csv.broken_lines(spark, str(path), quoted_breaks=False).count() > 0
+
+
+def test_a_matrix_that_repeats_a_name_is_refused(spark, tmp_path):
+    path = tmp_path / "m.csv"
+    path.write_text("location,A,A\nA,0,1\nB,1,0\n")
+    with pytest.raises(ValueError, match="repeats"):
+        csv.read_matrix(spark, str(path))
+
+
+@pytest.mark.parametrize("buckets", [1, 8, 300])
+def test_artifacts_are_found_whatever_the_number_of_buckets(spark, tmp_path, buckets):
+    df = spark.range(50).selectExpr("id as job_id", "id * 2 as v")
+    files.write_artifacts(df, str(tmp_path / "a"), "job_id", buckets=buckets)
+    for wanted in (7, 49):
+        found = files.read_artifacts(spark, str(tmp_path / "a"), "job_id", wanted)
+        assert [(r.job_id, r.v) for r in found.collect()] == [(wanted, wanted * 2)]
+    several = files.read_artifacts(spark, str(tmp_path / "a"), "job_id", [1, 2, 99])
+    assert sorted(r.job_id for r in several.collect()) == [1, 2]
+    plan = several._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull" in plan or "PartitionFilters: [job_bucket" in plan or "PartitionFilters: []" not in plan

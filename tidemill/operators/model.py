@@ -8,7 +8,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
@@ -98,6 +98,11 @@ class ForestResult:
     importances: DataFrame  # feature, importance
     evaluation: DataFrame  # r2, mse, rows
 
+    def document(self, spark: SparkSession) -> DataFrame:
+        """What was trained on what: one row (model, target, features, features_used, configuration)."""
+        row = ("random_forest", self.target, self.features, self.used, {k: int(v) for k, v in self.configuration.items()})
+        return spark.createDataFrame([row], "model string, target string, features array<string>, features_used array<string>, configuration map<string, int>")
+
 
 def train_forest(
     df: DataFrame,
@@ -117,6 +122,7 @@ def train_forest(
         raise ValueError(f"target {target!r} is not numeric")
     if max_depth is not None and max_depth > DEEPEST:
         raise ValueError(f"max_depth is at most {DEEPEST}")
+    depth = DEEPEST if max_depth is None else max_depth  # the one used is the one reported
     features = [c for c in df.columns if c != target and c not in keys] if features is None else features
     wanted = list(dict.fromkeys(keys + features))
     data = drop_null_target(project_features(df, target, wanted), target)
@@ -147,7 +153,7 @@ def train_forest(
         labelCol=target,
         predictionCol="predicted",
         numTrees=n_estimators,
-        maxDepth=DEEPEST if max_depth is None else max_depth,
+        maxDepth=depth,
         seed=SEED,
     )
     assemble = VectorAssembler(inputCols=inputs, outputCol="features__vector")
@@ -160,7 +166,7 @@ def train_forest(
         target,
         features,
         text + numbers,
-        {"n_estimators": n_estimators, "max_depth": max_depth},
+        {"n_estimators": n_estimators, "max_depth": depth},
         predictions,
         fold_importances(scored, model.stages[-1].featureImportances, text + numbers),
         regression_metrics(predictions),

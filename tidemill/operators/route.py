@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemill.functions.scalars import finite_number, hhmm_minutes, improvement_pct, strip, whole_number
-from tidemill.plans.session import cut_lineage, group_rows
+from tidemill.plans.session import cut_lineage, hint_small, route_cells
 
 LINEAGE_STEPS = 25
 LITERAL_ROUTES = 200
@@ -86,7 +86,18 @@ def edge_violations(edges: DataFrame) -> DataFrame:
         ("invalid_distance", (text != "") & number.isNull(), text),
         ("negative_distance", number < 0, text),
     ]
-    return _broken_rules(edges, ["route_id", "src", "dst"], rules)
+    broken = _broken_rules(edges, ["route_id", "src", "dst"], rules)
+    pair = [strip(F.col(c)).alias(c) for c in ("src", "dst")]
+    named = edges.select("route_id", *pair).where("src <> '' and dst <> ''")
+    twice = named.groupBy("route_id", "src", "dst").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return broken.unionByName(
+        twice.select("route_id", "src", "dst", F.lit("duplicate_pair").alias("rule"), F.concat("n", F.lit(" cells")).alias("detail"))
+    )
+
+
+def single_edges(edges: DataFrame) -> DataFrame:
+    """One row per (route_id, src, dst): the shortest of the known distances."""
+    return edges.where("dist is not null").groupBy("route_id", "src", "dst").agg(F.min("dist").alias("dist"))
 
 
 def matrix_gaps(edges: DataFrame) -> DataFrame:
@@ -117,8 +128,11 @@ def matrix_gaps(edges: DataFrame) -> DataFrame:
 
 
 def lookup_distances(pairs: DataFrame, edges: DataFrame) -> DataFrame:
-    """Add ``dist`` for ``(route_id, src, dst)``: the stored direction, else the reverse, else null."""
-    keyed = edges.select("route_id", "src", "dst", F.col("dist").alias("_d")).where("_d is not null")
+    """Add ``dist`` for ``(route_id, src, dst)``: the stored direction, else the reverse, else null.
+
+    Of a pair that is stored more than once, the shortest distance counts, here and wherever edges are used.
+    """
+    keyed = single_edges(edges).withColumnRenamed("dist", "_d")
     flipped = keyed.select("route_id", F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("_d").alias("_r"))
     return (
         pairs.join(keyed, ["route_id", "src", "dst"], "left")
@@ -198,7 +212,7 @@ def both_directions(edges: DataFrame) -> DataFrame:
         .select("route_id", "dist", F.inline(ends))
         .groupBy("route_id", F.col("a").alias("src"), F.col("b").alias("dst"))
         .agg(
-            F.coalesce(F.max(F.when(F.col("own"), F.col("dist"))), F.max(F.when(~F.col("own"), F.col("dist")))).alias("dist")
+            F.coalesce(F.min(F.when(F.col("own"), F.col("dist"))), F.min(F.when(~F.col("own"), F.col("dist")))).alias("dist")
         )
     )
 
@@ -215,13 +229,15 @@ def solve_routes(problems: DataFrame, stops: DataFrame, edges: DataFrame, two_op
     ``problems`` is (route_id, start, end); ``kind`` is ``initial`` or ``optimized``. A route
     with a stop that cannot be reached (a distance that exists in no direction) fails the job.
     """
-    limit = group_rows(stops.sparkSession)
+    limit = route_cells(stops.sparkSession)
+    edges = cut_lineage(own_edges(stops, edges))
+    # a matrix has n * n cells, whatever number of distances is known
     sizes = stops.groupBy("route_id").agg(F.count(F.lit(1)).cast("double").alias("n"))
     large = cut_lineage(sizes.where(F.col("n") * F.col("n") > limit).select("route_id"))
-    if large.isEmpty():
+    count = large.count()
+    if not count:
         return _solve_in_groups(problems, stops, edges, two_opt)
-    # a large problem has more than sqrt(limit) stops, so these are few
-    ids = F.broadcast(large)
+    ids = hint_small(large, count)
 
     def only(df: DataFrame, how: str) -> DataFrame:
         return df.join(ids, "route_id", how)
@@ -233,9 +249,16 @@ def solve_routes(problems: DataFrame, stops: DataFrame, edges: DataFrame, two_op
     return small.unionByName(big)
 
 
+def own_edges(stops: DataFrame, edges: DataFrame) -> DataFrame:
+    """Distances between stops of the same problem, one row per pair (at most n * n for n stops), with their input places."""
+    here = stops.groupBy("route_id", "stop").agg(F.max("input_pos").alias("input_pos"))
+    ends = [here.select("route_id", F.col("stop").alias(c), F.col("input_pos").alias(f"{c}_at")) for c in ("src", "dst")]
+    return single_edges(edges).join(ends[0], ["route_id", "src"]).join(ends[1], ["route_id", "dst"])
+
+
 def _solve_in_groups(problems, stops, edges, two_opt: bool) -> DataFrame:
     nodes = stops.join(problems, "route_id").select("route_id", "stop", "input_pos", "start", "end")
-    arcs = edges.where("dist is not null").select("route_id", "src", "dst", "dist")
+    arcs = edges.select("route_id", "src_at", "dst_at", "dist")
 
     def solve(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty:
@@ -243,7 +266,7 @@ def _solve_in_groups(problems, stops, edges, two_opt: bool) -> DataFrame:
         left = left.sort_values("input_pos")
         names = left["stop"].tolist()
         at = {name: i for i, name in enumerate(names)}
-        d = dense_distances(at, right)
+        d = dense_distances(left["input_pos"].to_numpy(), right)
         first, last = at[left["start"].iloc[0]], at[left["end"].iloc[0]]
         tour = nearest_neighbour_tour(d, first, last)
         tours = [("initial", tour)]
@@ -259,14 +282,14 @@ def _solve_in_groups(problems, stops, edges, two_opt: bool) -> DataFrame:
     return nodes.groupBy("route_id").cogroup(arcs.groupBy("route_id")).applyInPandas(solve, SOLVED)
 
 
-def dense_distances(at: dict[str, int], edges: pd.DataFrame) -> np.ndarray:
-    n = len(at)
+def dense_distances(places: np.ndarray, edges: pd.DataFrame) -> np.ndarray:
+    """Matrix over stops with sorted input places; a direction that is not stored takes the other one's distance."""
+    n = len(places)
     d = np.full((n, n), np.nan)
-    src, dst = edges["src"].map(at), edges["dst"].map(at)
-    known = (src.notna() & dst.notna()).to_numpy()
-    i, j = src[known].astype(int).to_numpy(), dst[known].astype(int).to_numpy()
-    d[i, j] = edges["dist"].to_numpy()[known]
-    return np.where(np.isnan(d), d.T, d)
+    d[np.searchsorted(places, edges["src_at"]), np.searchsorted(places, edges["dst_at"])] = edges["dist"].to_numpy()
+    gap = np.isnan(d)
+    d[gap] = d.T[gap]
+    return d
 
 
 def nearest_neighbour_tour(d: np.ndarray, first: int, last: int) -> list[int]:
@@ -291,7 +314,7 @@ def improve_by_two_opt(tour: list[int], d: np.ndarray) -> list[int]:
     """
     r = np.array(tour)
     end = len(r) - 1
-    one_way = not np.allclose(d, d.T, rtol=0, atol=0, equal_nan=True)
+    one_way = not np.array_equal(d, d.T, equal_nan=True)
     total = d[r[:-1], r[1:]].sum()
     gained = True
     while gained:
@@ -319,7 +342,7 @@ def improve_by_two_opt(tour: list[int], d: np.ndarray) -> list[int]:
 
 
 def _solve_by_steps(problems, stops, edges, two_opt: bool) -> DataFrame:
-    arcs = both_directions(edges.join(stops.select("route_id", F.col("stop").alias("src")), ["route_id", "src"], "left_semi"))
+    arcs = both_directions(edges)
     # rows leaving one stop lie together, so each step reads only a small part of the table
     arcs = cut_lineage(arcs.repartitionByRange("route_id", "src").sortWithinPartitions("route_id", "src"))
     order = stops.select("route_id", F.col("stop").alias("dst"), "input_pos")

@@ -11,6 +11,8 @@ from tidemill.plans.catalog.route import LOCATIONS, locations
 from tidemill.plans.session import load, work_dir
 from tidemill.sources import csv, files
 
+WANTED = [1, 5, 17, 100, 333, 4001]
+
 
 def as_csv(df, label, **options):
     path = work_dir(df.sparkSession, label)
@@ -26,7 +28,10 @@ def customer_csv(s, d):
             "c_custkey",
             F.when(bal < 0, F.lit("NA")).otherwise(F.col("c_nationkey").cast("string")).alias("c_nationkey"),
             F.when(bal > 9000, F.lit("n/a")).otherwise(bal.cast("string")).alias("c_acctbal"),
-            F.when(bal < 1000, F.lit("")).when(bal < 2000, F.lit('a "quoted", text')).otherwise(F.col("c_mktsegment")).alias("c_mktsegment"),
+            F.when(bal < 1000, F.lit(""))
+            .when(bal < 2000, F.lit('a "quoted", text'))
+            .when(bal < 2500, F.lit('two\nlines, "quoted"'))
+            .otherwise(F.col("c_mktsegment")).alias("c_mktsegment"),
             F.when(bal > 5000, F.lit("True")).otherwise(F.lit("False")).alias("c_good"),
         ),
         "customer-csv",
@@ -50,7 +55,7 @@ def broken_csv(s, d):
 
 
 def q_validation(s, d):
-    return csv.broken_lines(s, broken_csv(s, d), names=["id", "status", "priority"]).select("line")
+    return csv.broken_lines(s, broken_csv(s, d), names=["id", "status", "priority"], quoted_breaks=False).select("line")
 
 
 def q_json(s, d):
@@ -73,6 +78,13 @@ def q_artifacts(s, d):
     return files.read_artifacts(s, path, "id")
 
 
+def q_artifact_lookup(s, d):
+    """The results of some jobs, found in their buckets."""
+    path = work_dir(s, "artifacts")
+    files.write_artifacts(jobs(s, d).select("id", "type", "status"), path, "id", buckets=32)
+    return files.read_artifacts(s, path, "id", WANTED)
+
+
 def q_locations(s, d):
     path = as_csv(locations(s, d), "locations-csv", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return csv.typed_locations(csv.read_locations(s, path)).withColumns(
@@ -87,12 +99,13 @@ QUERIES = {
     "csv_locations": q_locations,
     "json_roundtrip": q_json,
     "artifact_roundtrip": q_artifacts,
+    "artifact_lookup": q_artifact_lookup,
 }
 
 SQL = {
     "csv_scan": """SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN NULL ELSE c_nationkey::BIGINT END AS c_nationkey,
   CASE WHEN c_acctbal > 9000 THEN NULL ELSE round(c_acctbal, 4) END AS c_acctbal,
-  CASE WHEN c_acctbal < 1000 THEN NULL WHEN c_acctbal < 2000 THEN 'a "quoted", text' ELSE c_mktsegment END AS c_mktsegment,
+  CASE WHEN c_acctbal < 1000 THEN NULL WHEN c_acctbal < 2000 THEN 'a "quoted", text' WHEN c_acctbal < 2500 THEN 'two' || chr(10) || 'lines, "quoted"' ELSE c_mktsegment END AS c_mktsegment,
   c_acctbal > 5000 AS c_good FROM customer""",
     "csv_schema": f"""WITH t AS (SELECT (row_number() OVER () - 1)::INTEGER AS ordinal, column_name, column_type AS data_type
   FROM (DESCRIBE SELECT c_custkey, c_nationkey::BIGINT AS c_nationkey, c_acctbal, c_mktsegment, c_acctbal > 5000 AS c_good FROM customer))
@@ -109,4 +122,5 @@ FROM orders WHERE o_totalprice < 5000 OR o_totalprice > 490000 OR o_totalprice B
 FROM (SELECT *, substr(window_start, 1, 2)::INTEGER AS c FROM loc)""",
     "json_roundtrip": f"""WITH {JOBS} SELECT id, user_id, session_id, CASE WHEN attempts > 0 THEN attempts / 2.0::DOUBLE END AS score, status FROM jobs""",
     "artifact_roundtrip": f"WITH {JOBS} SELECT id, type, status FROM jobs",
+    "artifact_lookup": f"WITH {JOBS} SELECT id, type, status FROM jobs WHERE id IN {tuple(WANTED)}",
 }

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemill.functions.scalars import finite_number
+from tidemill.functions.scalars import finite_number, strip
 from tidemill.operators import checks, images, model, profile, route
 from tidemill.operators.columns import numeric_columns, string_columns
-from tidemill.plans.session import nan_to_null, tune, work_dir
+from tidemill.plans.session import cut_lineage, nan_to_null, tune, work_dir
 from tidemill.sources import csv, files
 
 ROW = "row_number"
@@ -21,11 +21,18 @@ ROW = "row_number"
 def numbered(table: DataFrame) -> DataFrame:
     """Add the 0-based row number of a Parquet table: rows before the file plus place in the file."""
     placed = table.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
-    lengths = placed.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
-    # one row per file
-    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = lengths.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return placed.join(offsets, "_file").withColumn(ROW, F.col("_before") + F.col("_at")).drop("_file", "_at", "_n", "_before")
+    lengths = cut_lineage(placed.groupBy("_file").agg(F.count(F.lit(1)).alias("_n")).withColumn("_part", F.substring(F.md5("_file"), 1, 3)))
+    # rows of whole parts before the file's part (4,096 parts at most), and of files before it in its own
+    parts = lengths.groupBy("_part").agg(F.sum("_n").alias("_n"))
+    whole = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_part").orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select("_part", F.coalesce(F.sum("_n").over(whole), F.lit(0)).alias("_start"))
+    offsets = (
+        lengths.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+        .join(F.broadcast(starts), "_part")
+        .select("_file", (F.col("_start") + F.col("_inside")).alias("_before"))
+    )
+    return placed.join(offsets, "_file").withColumn(ROW, F.col("_before") + F.col("_at")).drop("_file", "_at", "_before")
 
 
 def stage_csv(spark: SparkSession, path: str, types: dict[str, str] | None = None) -> DataFrame:
@@ -71,6 +78,7 @@ def run_dataset(
         wanted = [c for c in table.columns if c != target] if features is None else features
         fitted = model.train_forest(numbered(table), target, [ROW], wanted, n_estimators, max_depth)
         parts["evaluation"] = fitted.evaluation
+        parts["model"] = fitted.document(spark)
         parts["feature_importances"] = fitted.importances
         parts["actual_vs_predicted"] = fitted.predictions
     return _write_all(parts, out)
@@ -102,8 +110,8 @@ def run_routes(
     Broken input is written to ``violations`` and stops the run.
     """
     tune(spark)
-    names = locations.select("route_id", F.trim("name").alias("stop"))
-    edges = cells.select("route_id", "src", "dst", finite_number(F.col("dist_text")).alias("dist"))
+    names = locations.select("route_id", strip(F.col("name")).alias("stop"))
+    edges = cells.select("route_id", strip(F.col("src")).alias("src"), strip(F.col("dst")).alias("dst"), finite_number(F.col("dist_text")).alias("dist"))
     origins = edges.select("route_id", F.col("src").alias("stop"))
     ends = problems.select("route_id", F.explode(F.array("start", "end")).alias("stop"))
 
@@ -126,7 +134,7 @@ def run_routes(
     written = spark.read.schema(violations.schema).json(paths["violations"])
     if not written.isEmpty():
         raise ValueError(f"the route input breaks its rules, see {paths['violations']}")
-    stops = locations.select("route_id", F.trim("name").alias("stop"), F.col(ROW).alias("input_pos"))
+    stops = locations.select("route_id", strip(F.col("name")).alias("stop"), F.col(ROW).alias("input_pos"))
     tours = work_dir(spark, "tours")
     route.solve_routes(problems, stops, edges, two_opt).write.parquet(tours)
     solved = spark.read.parquet(tours)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 import uuid
@@ -26,6 +27,10 @@ RUNTIME_CONF = {
 GROUP_ROWS_KEY = "tidemill.groupRows"
 GROUP_ROWS = 1_000_000
 
+# A route problem is solved inside one task up to this many distance cells (8 bytes each, some copies of that).
+ROUTE_CELLS_KEY = "tidemill.routeCells"
+ROUTE_CELLS = 25_000_000
+
 # A side of a join is broadcast by hint only up to this many rows.
 BROADCAST_ROWS_KEY = "tidemill.broadcastRows"
 BROADCAST_ROWS = 100_000
@@ -63,6 +68,10 @@ def group_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(GROUP_ROWS_KEY, str(GROUP_ROWS)))
 
 
+def route_cells(spark: SparkSession) -> int:
+    return int(spark.conf.get(ROUTE_CELLS_KEY, str(ROUTE_CELLS)))
+
+
 def broadcast_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(BROADCAST_ROWS_KEY, str(BROADCAST_ROWS)))
 
@@ -79,6 +88,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         folder = tempfile.mkdtemp(prefix="tidemill-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
     return folder

@@ -10,6 +10,7 @@ from tidemill.functions.scalars import finite_number, hhmm_minutes, null_token_t
 from tidemill.operators.columns import col
 
 BROKEN = "_broken_line"
+# The columns of a locations file.
 LOCATION_COLUMNS = ["id", "name", "demand", "priority", "window_start", "window_end"]
 
 
@@ -18,10 +19,22 @@ def header(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).csv(path).columns
 
 
-def read_text_cells(spark: SparkSession, path: str, names: list[str] | None = None, **options) -> DataFrame:
+def repeated_names(names: list[str]) -> list[str]:
+    """Names that occur more than once, as they stand in the header."""
+    return sorted({n for n in names if names.count(n) > 1})
+
+
+def header_cells(spark: SparkSession, path: str) -> list[str]:
+    """The header's cells as they stand in the file, repeated ones included."""
+    return [c or "" for c in spark.read.option("header", False).option("multiLine", True).csv(path).first() or []]
+
+
+def read_text_cells(spark: SparkSession, path: str, names: list[str] | None = None, quoted_breaks: bool = True, **options) -> DataFrame:
     """All cells as strings, plus the raw text of lines that do not fit the columns.
 
-    Column names come from the header line, unless ``names`` says that there is none.
+    Column names come from the header line, unless ``names`` says that there is none. With
+    ``quoted_breaks`` a quoted cell may hold line breaks, and a file is read by one task; without, every line is a
+    record, an open quote is told from the lines after it, and large files are split.
     """
     has_header = names is None
     names = header(spark, path) if has_header else names
@@ -34,6 +47,7 @@ def read_text_cells(spark: SparkSession, path: str, names: list[str] | None = No
         .option("nullValue", "\u0000")
         .option("emptyValue", "")
         .option("escape", '"')
+        .option("multiLine", quoted_breaks)
         # a pruned parser would not notice lines that are too short or too long
         .option("columnPruning", False)
     )
@@ -42,9 +56,9 @@ def read_text_cells(spark: SparkSession, path: str, names: list[str] | None = No
     return reader.csv(path)
 
 
-def broken_lines(spark: SparkSession, path: str, names: list[str] | None = None, **options) -> DataFrame:
-    """Lines with too few or too many fields or an open quote. No rows: the file is sound."""
-    cells = read_text_cells(spark, path, names, **options)
+def broken_lines(spark: SparkSession, path: str, names: list[str] | None = None, quoted_breaks: bool = True, **options) -> DataFrame:
+    """Records with too few or too many fields or an open quote. No rows: the file is sound."""
+    cells = read_text_cells(spark, path, names, quoted_breaks, **options)
     # Spark refuses to read the broken-line column alone, so the line also refers to a cell
     nothing = F.substring(F.coalesce(col(cells.columns[0]), F.lit("")), 1, 0)
     return cells.select(F.concat(F.col(BROKEN), nothing).alias("line")).where("line is not null")
@@ -118,5 +132,8 @@ def typed_locations(cells: DataFrame) -> DataFrame:
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """Wide distance matrix as text cells; the first column names the origin."""
+    """Wide distance matrix as text cells; the first column names the origin. A header that repeats a name is refused."""
+    twice = repeated_names([c.strip() for c in header_cells(spark, path)])
+    if twice:
+        raise ValueError(f"the header repeats {twice}")
     return read_text_cells(spark, path).drop(BROKEN)

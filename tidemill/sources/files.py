@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, MapType, StructType
 
@@ -59,10 +59,11 @@ def write_artifacts(df: DataFrame, path: str, job_id: str, buckets: int = 256) -
     """Results of many jobs as Parquet in a fixed number of folders, each sorted by job.
 
     One folder per job would mean millions of tiny files; inside a bucket the sort lets readers
-    skip to one job through the file statistics.
+    skip to one job through the file statistics. A folder's name holds the number of buckets, so
+    a reader needn't know it.
     """
     (
-        df.withColumn("job_bucket", F.pmod(F.xxhash64(col(job_id)), F.lit(buckets)).cast("int"))
+        df.withColumn("job_bucket", _bucket(col(job_id), F.lit(buckets)))
         .repartitionByRange("job_bucket", job_id)
         .sortWithinPartitions("job_bucket", job_id)
         .write.mode("overwrite")
@@ -71,11 +72,16 @@ def write_artifacts(df: DataFrame, path: str, job_id: str, buckets: int = 256) -
     )
 
 
-def read_artifacts(spark: SparkSession, path: str, job_id: str, wanted=None, buckets: int = 256) -> DataFrame:
-    """All results, or those of one job (only its bucket is read)."""
+def _bucket(key: Column, buckets: Column) -> Column:
+    return F.concat(buckets.cast("string"), F.lit("-"), F.pmod(F.xxhash64(key), buckets).cast("string"))
+
+
+def read_artifacts(spark: SparkSession, path: str, job_id: str, wanted=None) -> DataFrame:
+    """All results, or those of one job or of a list of jobs (only their buckets are read)."""
     df = spark.read.parquet(path)
     if wanted is None:
         return df.drop("job_bucket")
-    key = F.lit(wanted).cast(df.schema[job_id].dataType)
-    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-    return df.where((F.col("job_bucket") == bucket) & (col(job_id) == key)).drop("job_bucket")
+    keys = [F.lit(k).cast(df.schema[job_id].dataType) for k in (wanted if isinstance(wanted, (list, tuple, set)) else [wanted])]
+    # depends on the folder's name only, so other folders are not opened
+    there = F.split_part(F.col("job_bucket"), F.lit("-"), F.lit(1)).cast("int")
+    return df.where(F.col("job_bucket").isin([_bucket(k, there) for k in keys]) & col(job_id).isin(keys)).drop("job_bucket")
