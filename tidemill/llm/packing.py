@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import os
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ OPEN = 64
 # Partitions whose open windows meet in one group.
 FAN_IN = 16
 # Parts of texts whose ids a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 
 
 class WordIds:
@@ -33,31 +34,48 @@ class WordIds:
     """
 
     def __init__(self, content: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content)
         self.tokenizer.encode_special_tokens = True
+        (self.line_break,) = self.encode(["\n"])[0]
         self.forget()
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
         self.ids = np.zeros(1 << 20, np.uint32)
         self.starts = np.zeros(REMEMBERED + 1, np.int64)
+        self.append(["\n"], np.array([self.line_break], np.uint32), np.array([1]))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of remembered parts one after the other, and where each part ends."""
+        size = self.starts[at + 1] - self.starts[at]
+        end = np.cumsum(size)
+        total = int(end[-1]) if len(end) else 0
+        return self.ids[np.repeat(self.starts[at] - (end - size), size) + np.arange(total)], end
+
+    def append(self, parts: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        k, n = len(self.number), len(parts)
+        first = self.starts[k]
+        while k + n >= len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros(len(self.starts), np.int64)])
+        while first + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
+        self.ids[first : first + len(ids)] = ids
+        self.starts[k + 1 : k + n + 1] = first + ends
+        self.number.update(zip(parts, range(k, k + n)))
+
     def learn(self, parts: list[str]) -> None:
-        if len(self.number) + len(parts) >= len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros(len(parts) + len(self.starts), np.int64)])
-        for new in self.encode(parts) if parts else []:
-            k = len(self.number)
-            end = self.starts[k] + len(new)
-            if end > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(max(len(new), len(self.ids)), np.uint32)])
-            self.ids[self.starts[k] : end] = new
-            self.starts[k + 1] = end
-            self.number[parts[k - self.known]] = k
+        """Remember new parts; they are tokenized many at a time, with line breaks between them."""
+        parts = [p for p in parts if p != "\n"]
+        lines = ["\n".join(parts[k : k + 256]) + "\n" for k in range(0, len(parts), 256)]
+        ids = np.fromiter(chain.from_iterable(self.encode(lines)), np.uint32)
+        breaks = np.flatnonzero(ids == self.line_break)
+        self.append(parts, ids[ids != self.line_break], breaks - np.arange(len(breaks)))
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.number) > REMEMBERED:
@@ -77,16 +95,13 @@ class WordIds:
         for k, ids in zip(whole, self.encode([texts[k] for k in whole]) if whole else []):
             out[k] = np.array(ids, np.uint32)
         flat = list(chain.from_iterable(parts))
-        at = list(map(self.number.get, flat))
-        if None in at:
-            self.known = len(self.number)
-            self.learn(list(dict.fromkeys(p for p, a in zip(flat, at) if a is None)))
-            at = list(map(self.number.get, flat))
-        at = np.array(at, np.int64)
-        size = self.starts[at + 1] - self.starts[at]
-        end = np.cumsum(size)
-        total = int(end[-1]) if len(end) else 0
-        ids = self.ids[np.repeat(self.starts[at] - (end - size), size) + np.arange(total)]
+        at = np.fromiter(map(self.number.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            names = [flat[k] for k in missing]
+            self.learn(list(dict.fromkeys(names)))
+            at[missing] = [self.number[n] for n in names]
+        ids, end = self.gather(at)
         cut = np.cumsum([len(p) for p in parts])
         ends = end[cut - 1] if len(cut) else cut
         for k, a, b in zip(owners, np.concatenate([[0], ends[:-1]]) if len(ends) else [], ends):
