@@ -89,8 +89,8 @@ def shard_rounds(packed: DataFrame, learn: Callable[..., dict[str, np.ndarray]],
     """Parameter mixing: in each round every shard learns from the common state, and the results are averaged.
 
     ``learn(state, grades, starts, buckets, values)`` returns the new state. Arrays of ``size`` numbers start
-    at 0 and travel without the buckets that are still 0; what the driver gathers is bounded by shards times
-    buckets. Smaller arrays are averaged as they are.
+    at 0 and travel without the buckets that are still 0; they come back with their buckets, ``at``. What the
+    driver holds is bounded by the number of buckets. Smaller arrays are averaged as they are.
     """
     sc = packed.sparkSession.sparkContext
     names = list(state)
@@ -115,18 +115,27 @@ def shard_rounds(packed: DataFrame, learn: Callable[..., dict[str, np.ndarray]],
                     out = [used.tobytes(), *[(new[k][used] if k in large else new[k]).tobytes() for k in names]]
                     yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in out], names=["used", *names])
 
-        sums = {k: np.zeros(size if k in large else len(state[k])) for k in names}
-        n = 0
+        # one shard's result at a time, merged by sorted bucket
+        at, sums, n = np.zeros(0, np.int32), {k: np.zeros(0 if k in large else len(state[k])) for k in names}, 0
         for row in packed.mapInArrow(one, ", ".join(f"{k} binary" for k in ["used", *names])).toLocalIterator():
             n += 1
             used = np.frombuffer(row["used"], np.int32)
+            both = np.union1d(at, used)
+            old, new = np.searchsorted(both, at), np.searchsorted(both, used)
             for k in names:
-                sums[k][used if k in large else slice(None)] += np.frombuffer(row[k], np.float64)
+                got = np.frombuffer(row[k], np.float64)
+                if k in large:
+                    total = np.zeros(len(both))
+                    total[old] = sums[k]
+                    total[new] += got
+                    sums[k] = total
+                else:
+                    sums[k] = sums[k] + got
+            at = both
         now.destroy()
         if n:
-            at = np.flatnonzero(np.any([sums[k] != 0 for k in large], axis=0)).astype(np.int32)
-            state = {k: (sums[k][at] if k in large else sums[k]) / n for k in names}
-    return {k: dense(at, v) if k in large else v for k, v in state.items()}
+            state = {k: sums[k] / n for k in names}
+    return {"at": at, **state}
 
 
 def score_batches(batches: Iterator[pa.RecordBatch], score: Callable[[list[bytes]], list[np.ndarray]], names: list[str]) -> Iterator[pa.RecordBatch]:

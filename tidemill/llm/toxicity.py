@@ -116,9 +116,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, label: str, settings: Sett
     zero = {"z": np.zeros(1 << s.bits), "n": np.zeros(1 << s.bits), "bias": np.zeros(2)}
     state = features.shard_rounds(packed, learner(s), zero, 1 << s.bits, s.rounds)
     w = weights_of(state["z"], state["n"], s)
-    at = np.flatnonzero(w)
+    kept = np.flatnonzero(w)
     z0, n0 = state["bias"]
-    return Model(at, w[at], float(-z0 / ((s.beta + np.sqrt(n0)) / s.alpha)), s.bits)
+    return Model(state["at"][kept], w[kept], float(-z0 / ((s.beta + np.sqrt(n0)) / s.alpha)), s.bits)
 
 
 def scores(texts: list[bytes], dense: np.ndarray, bias: float, bits: int) -> np.ndarray:
