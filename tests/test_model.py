@@ -68,8 +68,21 @@ def test_forest_refuses_bad_input(mixed):
         M.train_forest(mixed, "co2", ["id"], max_depth=31)
 
 
-def test_too_many_categories(spark, monkeypatch):
-    monkeypatch.setattr(M, "MAX_CATEGORIES", 2)
-    df = spark.createDataFrame([("a",), ("b",), ("c",)], "c string")
-    with pytest.raises(ValueError, match="too many"):
-        M.one_hot(df, df, ["c"])
+def test_many_categories_train(spark):
+    df = spark.range(24_000).selectExpr("id", "concat('c', id % 20000) AS name", "cast(id % 50 AS double) AS y")
+    fitted = M.train_forest(df, "y", ["id"], n_estimators=1, max_depth=2)
+    assert [r.feature for r in fitted.importances.collect()] == ["name"]
+    assert fitted.configuration == {"n_estimators": 1, "max_depth": 2}
+
+
+def test_the_forest_does_not_depend_on_how_rows_are_stored(spark):
+    df = spark.range(400).selectExpr("id", "cast(id % 13 AS double) AS a", "cast(id % 7 AS string) AS b", "cast(id % 13 * 2 + id % 7 AS double) AS y")
+    one, six = (M.train_forest(df.repartition(n), "y", ["id"], n_estimators=3, max_depth=4).evaluation.first() for n in (1, 6))
+    assert all(a == pytest.approx(b, rel=1e-12) for a, b in zip(one, six))
+
+
+def test_a_feature_without_values_trains(spark):
+    df = spark.range(60).selectExpr("id", "cast(NULL AS double) AS a", "cast(id % 5 AS double) AS b", "cast(id % 5 AS double) AS y")
+    fitted = M.train_forest(df, "y", ["id"], n_estimators=2, max_depth=3)
+    assert fitted.evaluation.first()["rows"] > 0 and fitted.document(spark).first()["features"] == ["a", "b"]
+

@@ -161,3 +161,27 @@ def test_odd_column_names(spark):
     assert by_column(P.missing(df), "missing") == {"a.b": 0, "it's": 1}
     assert by_column(P.describe(df), "mean") == {"a.b": 1.5}
     assert P.correlation_matrix(df).first()["corr"] == pytest.approx(1.0)
+
+
+def test_nan_is_missing_everywhere(spark):
+    df = spark.createDataFrame([(1.0, "a"), (float("nan"), "a"), (3.0, None)], "x double, k string")
+    row = P.describe(df).first()
+    assert (row["count"], row["mean"], row["q75"], row["max"]) == (2, 2.0, 2.5, 3.0)
+    assert by_column(P.missing(df), "missing") == {"x": 1, "k": 1}
+    assert by_column(P.distinct_counts(df), "distinct_values") == {"x": 2, "k": 1}
+    group = P.profile_by_group(df, ["k"]).where("k = 'a'").first()
+    assert (group["count"], group["missing"], group["mean"]) == (1, 1, 1.0)
+
+
+def test_the_full_profile_reads_its_table_a_few_times(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(200).selectExpr("id", "id % 7 AS m", "cast(id AS double) / 3 AS x", "concat('v', id % 3) AS s").write.parquet(path)
+    plan = P.full_profile(spark.read.parquet(path))._jdf.queryExecution().optimizedPlan().toString()
+    reads = sum(1 for line in plan.splitlines() if "Relation [" in line and "id#" in line)
+    assert 0 < reads <= 4
+
+
+def test_approximate_quartiles_are_near(spark):
+    df = spark.range(1, 1002).selectExpr("cast(id AS double) AS x")
+    row = P.describe(df, exact=False).first()
+    assert abs(row["q25"] - 251) < 2 and abs(row["q50"] - 501) < 2 and row["count"] == 1001

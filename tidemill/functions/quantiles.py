@@ -21,7 +21,6 @@ GRID = 512
 # groups up to this length are sorted directly; longer ones in buckets of about this many rows
 SORTED_ROWS = 200_000
 BUCKET_ROWS = 1_000
-MAX_ROUNDS = 60
 
 
 def exact_quantiles(
@@ -30,12 +29,14 @@ def exact_quantiles(
     value: str,
     probs: dict[str, float],
     method: str = "linear",
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """One row per group: ``keys`` plus one double column per entry of ``probs``.
 
     ``linear`` interpolates between the two neighbouring ranks, ``lower`` takes the element
     at rank ``floor((n - 1) * p)`` of the sorted values. Nulls are left out; groups with
-    nothing but nulls do not appear.
+    nothing but nulls do not appear. ``sizes`` takes (keys..., n, lo, hi) per group with values, if the
+    caller has counted them already.
     """
     if method not in ("linear", "lower"):
         raise ValueError(f"unknown quantile method {method!r}")
@@ -45,20 +46,32 @@ def exact_quantiles(
     data = df.select(
         *[c.alias(key) for c, key in zip(source, keys)], F.col(value).cast("double").alias("v")
     ).where("v is not null")
-    solved = _solve(data, keys, probs, method, limit)
+    if sizes is not None:
+        sizes = sizes.select(*[c.alias(key) for c, key in zip(source, keys)], "n", F.col("lo").cast("double"), F.col("hi").cast("double"))
+    solved = _solve(data, keys, probs, method, limit, sizes)
     return solved.select(*[F.col(key).alias(name) for name, key in zip(names, keys)], *probs)
 
 
-def _solve(data: DataFrame, keys: list[str], probs: dict[str, float], method: str, limit: int) -> DataFrame:
-    sizes = cut_lineage(
-        data.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+def approximate_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], accuracy: int = 10_000) -> DataFrame:
+    """As ``exact_quantiles`` with ``lower``, in one pass and within a rank error of rows / ``accuracy``."""
+    found = F.percentile_approx(F.col(value).cast("double"), list(probs.values()), accuracy)
+    return (
+        df.where(F.col(value).isNotNull())
+        .groupBy(*keys)
+        .agg(found.alias("_q"))
+        .select(*keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)])
     )
+
+
+def _solve(data: DataFrame, keys: list[str], probs: dict[str, float], method: str, limit: int, sizes: DataFrame | None) -> DataFrame:
+    if sizes is None:
+        counted = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        sizes = cut_lineage(counted)
     groups, worst = sizes.agg(F.count(F.lit(1)), F.max("n")).first()
     if (worst or 0) <= limit:
         return _within_groups(data, sizes, groups, keys, probs, method, worst or 0)
-    # at most (total rows / limit) groups can be this large, so the table is small
     large = cut_lineage(sizes.where(F.col("n") > limit).drop("lo", "hi"))
-    large_keys = F.broadcast(large.select(*keys))
+    large_keys = hint_small(large.select(*keys), large.count())
     picked = _select_ranks(join_null_safe(data, large_keys, keys, "left_semi"), large, keys, probs, method, limit)
     rest = join_null_safe(data, large_keys, keys, "left_anti")
     return _within_groups(rest, sizes, groups, keys, probs, method, limit).unionByName(picked)
@@ -127,11 +140,15 @@ def _select_ranks(data, large, keys, probs, method, limit) -> DataFrame:
         )
     targets = cut_lineage(targets)
     m = len(spots)
-    for _ in range(MAX_ROUNDS):
+    before = None
+    while True:
         open_rows = F.greatest(F.lit(0), *[F.when(F.col(f"ans{i}").isNull(), F.col(f"n{i}")) for i in range(m)])
         worst = targets.agg(F.max(open_rows).alias("w")).first().w
         if worst is None or worst <= limit:
             break
+        if before is not None and worst >= before:
+            raise RuntimeError(f"no progress in narrowing {worst} rows around a rank")
+        before = worst
         targets = cut_lineage(_narrow(data, targets, keys, m))
         # every later pass reads only the rows that can still matter
         joined = _attach(data, targets, keys)
@@ -143,8 +160,8 @@ def _select_ranks(data, large, keys, probs, method, limit) -> DataFrame:
 
 
 def _attach(data: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
-    """Give each row the targets of its group; there are few, very large groups here."""
-    return join_null_safe(data, F.broadcast(targets), keys, "inner")
+    """Give each row the targets of its group. Targets are written tables, so counting them is cheap."""
+    return join_null_safe(data, hint_small(targets, targets.count()), keys, "inner")
 
 
 def _inside(i: int) -> Column:
@@ -160,7 +177,7 @@ def _narrow(data: DataFrame, targets: DataFrame, keys: list[str], m: int) -> Dat
     )
     sketches = salted.groupBy(*keys).agg(*[F.kll_merge_agg_double(f"s{i}").alias(f"s{i}") for i in range(m)])
     grid = F.array(*[F.lit(j / GRID) for j in range(GRID + 1)])
-    pivots = _attach(sketches, targets, keys)
+    pivots = join_null_safe(sketches, targets, keys, "inner")
     for i in range(m):
         cell = F.floor((F.col(f"k{i}") + F.lit(0.5)) / F.col(f"n{i}") * GRID).cast("int")
         values = F.when(F.col(f"ans{i}").isNull(), F.kll_sketch_get_quantile_double(f"s{i}", grid))
@@ -182,7 +199,7 @@ def _narrow(data: DataFrame, targets: DataFrame, keys: list[str], m: int) -> Dat
             F.count_if(inside & (v > a) & (v < b)).alias(f"mid{i}"),
             F.count_if(inside & (v == b) & (b > a)).alias(f"eb{i}"),
         ]
-    found = _attach(probe.groupBy(*keys).agg(*counts), pivots, keys)
+    found = join_null_safe(probe.groupBy(*keys).agg(*counts), pivots, keys, "inner")
     out = [F.col(k) for k in keys] + [F.col("n")]
     for i in range(m):
         k, n, a, b = (F.col(f"{x}{i}") for x in ("k", "n", "a", "b"))

@@ -69,6 +69,6 @@ def wide_to_long(one_row: DataFrame, columns: list[str], metrics: list[str]) ->
     return one_row.selectExpr(f"inline(array({', '.join(entries)}))")
 
 
-def aggregate_sql(df: DataFrame, expressions: list[str]) -> DataFrame:
-    """A global aggregate written as SQL expressions."""
-    return df.agg(*[F.expr(e) for e in expressions])
+def aggregate_sql(df: DataFrame, expressions: list) -> DataFrame:
+    """A global aggregate of columns or SQL expressions."""
+    return df.agg(*[F.expr(e) if isinstance(e, str) else e for e in expressions])

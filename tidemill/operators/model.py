@@ -16,24 +16,19 @@ from tidemill.functions.quantiles import exact_quantiles
 from tidemill.operators.checks import drop_null_target, project_features
 from tidemill.operators.columns import col, long_numeric, numeric_columns, string_columns
 from tidemill.operators.profile import categorical_summary
-from tidemill.plans.session import work_dir
+from tidemill.plans.session import cut_lineage, without_nan
 
 SEED = 42
 TEST_PERCENT = 20
 TREES = 100
 DEEPEST = 30  # the deepest tree Spark grows; stands for "no limit"
-MAX_CATEGORIES = 10_000
+# Training rows in one partition, about; their number decides how rows are dealt out, not the machine.
+PART_ROWS = 250_000
 
 
-def modes(df: DataFrame, columns: list[str], at_most: int | None = None) -> dict[str, str]:
-    """Most frequent value per column: one driver value per column.
-
-    ``at_most`` refuses columns with more distinct values than that.
-    """
+def modes(df: DataFrame, columns: list[str]) -> dict[str, str]:
+    """Most frequent value per column: one driver value per column."""
     rows = categorical_summary(df.select(*[col(c) for c in columns])).collect()
-    worst = [r["column_name"] for r in rows if at_most is not None and r["unique_values"] > at_most]
-    if worst:
-        raise ValueError(f"too many categories to encode: {worst}")
     return {r["column_name"]: r["mode"] for r in rows if r["mode"] is not None}
 
 
@@ -42,12 +37,14 @@ def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
     return {r["column_name"]: r["median"] for r in rows}
 
 
+@without_nan
 def impute_mode(df: DataFrame, columns: list[str], source: DataFrame | None = None) -> DataFrame:
     """Fill nulls with the most frequent value learned from ``source`` (default: the table itself)."""
     fill = modes(df if source is None else source, columns)
     return df.fillna(fill) if fill else df
 
 
+@without_nan
 def impute_median(df: DataFrame, columns: list[str], source: DataFrame | None = None) -> DataFrame:
     """Fill nulls with the interpolated median; filled columns become double."""
     fill = medians(df if source is None else source, columns)
@@ -75,8 +72,10 @@ def one_hot_stages(columns: list[str]) -> list:
 
 
 def one_hot(train: DataFrame, df: DataFrame, columns: list[str]) -> DataFrame:
-    """Add a ``<column>__hot`` vector per column, with categories learned from ``train``."""
-    modes(train, columns, at_most=MAX_CATEGORIES)  # category lists become part of the model
+    """Add a ``<column>__hot`` vector per column, with categories learned from ``train``.
+
+    The list of categories is part of the model, so it has to fit into the driver's memory.
+    """
     encoded = Pipeline(stages=one_hot_stages(columns)).fit(train).transform(df)
     return encoded.drop(*[f"{c}__index" for c in columns])
 
@@ -104,6 +103,7 @@ class ForestResult:
         return spark.createDataFrame([row], "model string, target string, features array<string>, features_used array<string>, configuration map<string, int>")
 
 
+@without_nan
 def train_forest(
     df: DataFrame,
     target: str,
@@ -130,20 +130,19 @@ def train_forest(
     data = data.withColumns({c: col(c).cast("int") for c in flags}) if flags else data
     data = train_test_split(data.withColumn(target, col(target).cast("double")), keys)
     # every later step reads the prepared rows several times, so they are written once
-    path = work_dir(df.sparkSession, "training")
-    data.write.partitionBy("is_test").parquet(path)
-    data = df.sparkSession.read.schema(data.schema).parquet(path)
+    data = cut_lineage(data)
     train, test = data.where(~F.col("is_test")), data.where("is_test")
-    if len(train.take(1)) + len(data.take(2)) < 3:
-        raise ValueError("insufficient rows available for training")
+    sizes = {r["is_test"]: r["count"] for r in data.groupBy("is_test").count().collect()}
+    if len(sizes) < 2:
+        raise ValueError("insufficient rows available for training and testing")
     chosen = data.select(*features)
     text, numbers = string_columns(chosen.schema), numeric_columns(chosen.schema)
     filled_train, filled_test = train, test
     if text:
-        fill = modes(train, text, at_most=MAX_CATEGORIES)
+        fill = modes(train, text)
         filled_train, filled_test = filled_train.fillna(fill), filled_test.fillna(fill)
     if numbers:
-        fill = medians(train, numbers)
+        fill = dict.fromkeys(numbers, 0.0) | medians(train, numbers)  # a column without any value is constant
         as_double = {c: col(c).cast("double") for c in numbers}
         filled_train = filled_train.withColumns(as_double).fillna(fill)
         filled_test = filled_test.withColumns(as_double).fillna(fill)
@@ -158,7 +157,10 @@ def train_forest(
     )
     assemble = VectorAssembler(inputCols=inputs, outputCol="features__vector")
     stages = (one_hot_stages(text) if text else []) + [assemble, forest]
-    model = Pipeline(stages=stages).fit(filled_train)
+    # a forest draws its samples by partition and place, so both follow from the rows' keys alone
+    parts = max(4, -(-sizes[False] // PART_ROWS))
+    spread = filled_train.repartition(parts, *[col(k) for k in keys]).sortWithinPartitions(*[col(k) for k in keys])
+    model = Pipeline(stages=stages).fit(spread)
     scored = model.transform(filled_test)
     predictions = scored.select(*keys, col(target).alias("actual"), "predicted")
     return ForestResult(

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemill.functions.quantiles import exact_quantiles
+from tidemill.functions.quantiles import approximate_quantiles, exact_quantiles
 from tidemill.functions.scalars import is_blank
 from tidemill.operators.columns import (
     aggregate_sql,
@@ -28,7 +28,7 @@ from tidemill.operators.columns import (
     wide_to_long,
 )
 from tidemill.plans.joins import join_null_safe
-from tidemill.plans.session import cut_lineage
+from tidemill.plans.session import cut_lineage, without_nan
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 # aggregates per pass: keeps generated code within what the JVM compiles well
@@ -51,24 +51,34 @@ def shape(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("num_rows")).withColumn("num_columns", F.lit(len(df.columns)).cast("long"))
 
 
-def missing(df: DataFrame) -> DataFrame:
+def _gap_sums(columns: list[str]) -> list[str]:
     sums = []
-    for i, c in enumerate(df.columns):
+    for i, c in enumerate(columns):
         gap = f"(count(1) - count({name_sql(c)}))"
         sums += [f"{gap} AS missing__{i}", f"try_divide({gap} * 100D, count(1)) AS missing_pct__{i}"]
-    return wide_to_long(aggregate_sql(df, sums), df.columns, ["missing", "missing_pct"])
+    return sums
+
+
+@without_nan
+def missing(df: DataFrame) -> DataFrame:
+    return wide_to_long(aggregate_sql(df, _gap_sums(df.columns)), df.columns, ["missing", "missing_pct"])
 
 
+def _blank_sums(text: list[str]) -> list:
+    return [F.count_if(is_blank(col(c))).alias(f"invalid__{i}") for i, c in enumerate(text)]
+
+
+@without_nan
 def blank_entries(df: DataFrame) -> DataFrame:
     """Strings of white space only; 0 for columns that are not strings."""
     text = string_columns(df.schema)
-    blanks = [F.count_if(is_blank(col(c))).alias(f"invalid__{i}") for i, c in enumerate(text)]
-    found = wide_to_long(df.agg(*blanks), text, ["invalid"]) if text else None
+    found = wide_to_long(df.agg(*_blank_sums(text)), text, ["invalid"]) if text else None
     others = [(c, 0) for c in df.columns if c not in text]
     zeros = df.sparkSession.createDataFrame(others, "column_name string, invalid bigint")
     return zeros if found is None else found.unionByName(zeros)
 
 
+@without_nan
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column_name, value, n) over non-null cells: the shared base of the value-based metrics."""
     parts = [
@@ -83,11 +93,13 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return out
 
 
+@without_nan
 def distinct_counts(df: DataFrame) -> DataFrame:
     counts = value_counts(df).groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_values"))
     return _every_column(df, df.columns, counts, "distinct_values")
 
 
+@without_nan
 def approx_distinct_counts(df: DataFrame, rsd: float = 0.02) -> DataFrame:
     row = df.agg(*[F.approx_count_distinct(col(c), rsd).alias(f"distinct_values__{i}") for i, c in enumerate(df.columns)])
     return wide_to_long(row, df.columns, ["distinct_values"])
@@ -99,36 +111,52 @@ def _every_column(df: DataFrame, columns: list[str], counts: DataFrame, metric:
     return names.join(counts, "column_name", "left").withColumn(metric, F.coalesce(metric, F.lit(0)).cast("long"))
 
 
+@without_nan
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows equal to another one, the first of each group not counted; null equals null."""
     groups = df.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("n"))
     return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
 
 
+MOMENTS = {"count": "count", "mean": "avg", "std": "stddev_samp", "min": "min", "max": "max"}
+
+
+def _moment_sums(columns: list[str]) -> list[str]:
+    return [f"{fn}(double({name_sql(c)})) AS {metric}__{i}" for i, c in enumerate(columns) for metric, fn in MOMENTS.items()]
+
+
+@without_nan
 def moments(df: DataFrame, columns: list[str]) -> DataFrame:
-    metrics = {"count": "count", "mean": "avg", "std": "stddev_samp", "min": "min", "max": "max"}
-    sums = [
-        f"{fn}(double({name_sql(c)})) AS {metric}__{i}" for i, c in enumerate(columns) for metric, fn in metrics.items()
-    ]
-    return wide_to_long(aggregate_sql(df, sums), columns, list(metrics))
+    return wide_to_long(aggregate_sql(df, _moment_sums(columns)), columns, list(MOMENTS))
+
+
+def sizes_of(stats: DataFrame) -> DataFrame:
+    """What exact quantiles need to know of each column, from its moments."""
+    return stats.where("count > 0").select("column_name", F.col("count").alias("n"), F.col("min").alias("lo"), F.col("max").alias("hi"))
 
 
-def describe(df: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
+@without_nan
+def describe(df: DataFrame, exact: bool = True) -> DataFrame:
     """count, mean, sample standard deviation, min, quartiles and max of every numeric column.
 
-    ``bounds`` takes the result of ``quartile_bounds`` where several reports share it.
+    The moments are one pass and written down, since the quartiles start from them. With ``exact=False``
+    quartiles come from a sketch, in one pass more.
     """
     columns = numeric_columns(df.schema)
     if not columns:
         return describe_text(df)
-    quartiles = quartile_bounds(df, columns) if bounds is None else bounds
+    stats = cut_lineage(moments(df, columns))
+    return _described(stats, quartile_bounds(df, columns, stats, exact))
+
+
+def _described(stats: DataFrame, bounds: DataFrame) -> DataFrame:
     return (
-        moments(df, columns)
-        .join(F.broadcast(quartiles), "column_name", "left")  # one row per column
+        stats.join(F.broadcast(bounds), "column_name", "left")  # one row per column
         .select("column_name", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
     )
 
 
+@without_nan
 def describe_text(df: DataFrame) -> DataFrame:
     """What a summary shows for a table without numbers: count, unique, top value and its frequency."""
     counts = value_counts(df)
@@ -139,19 +167,29 @@ def describe_text(df: DataFrame) -> DataFrame:
     return found.select("column_name", "count", "unique", F.col("best.value").alias("top"), (-F.col("best.n")).alias("freq"))
 
 
-def numeric_summary(df: DataFrame) -> DataFrame:
-    return describe(df).select(
+@without_nan
+def numeric_summary(df: DataFrame, exact: bool = True) -> DataFrame:
+    return describe(df, exact).select(
         "column_name", "mean", F.col("q50").alias("median"), F.col("std").alias("std_dev"), "min", "max"
     )
 
 
-def quartile_bounds(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column_name, q25, q50, q75, lower_bound, upper_bound): one row per numeric column."""
-    q = exact_quantiles(long_numeric(df, columns), ["column_name"], "value", QUARTILES)
+@without_nan
+def quartile_bounds(df: DataFrame, columns: list[str] | None = None, stats: DataFrame | None = None, exact: bool = True) -> DataFrame:
+    """(column_name, q25, q50, q75, lower_bound, upper_bound): one row per numeric column.
+
+    ``stats`` takes the columns' ``moments`` where these are known.
+    """
+    cells = long_numeric(df, columns)
+    if exact:
+        q = exact_quantiles(cells, ["column_name"], "value", QUARTILES, sizes=None if stats is None else sizes_of(stats))
+    else:
+        q = approximate_quantiles(cells, ["column_name"], "value", QUARTILES)
     iqr = F.col("q75") - F.col("q25")
     return q.withColumn("lower_bound", F.col("q25") - 1.5 * iqr).withColumn("upper_bound", F.col("q75") + 1.5 * iqr)
 
 
+@without_nan
 def outlier_rows(df: DataFrame, row_id: list[str], columns: list[str] | None = None) -> DataFrame:
     """One row per outlying cell: strictly below or above 1.5 interquartile ranges."""
     columns = [c for c in numeric_columns(df.schema) if c not in row_id] if columns is None else columns
@@ -164,6 +202,7 @@ def outlier_rows(df: DataFrame, row_id: list[str], columns: list[str] | None = N
     )
 
 
+@without_nan
 def outlier_counts(df: DataFrame, columns: list[str] | None = None, bounds: DataFrame | None = None) -> DataFrame:
     cells = long_numeric(df, columns)
     bounds = F.broadcast(quartile_bounds(df, columns) if bounds is None else bounds)
@@ -175,6 +214,7 @@ def outlier_counts(df: DataFrame, columns: list[str] | None = None, bounds: Data
     )
 
 
+@without_nan
 def categorical_summary(df: DataFrame) -> DataFrame:
     """Most frequent value (the smallest one on ties), its count and the number of distinct values."""
     columns = string_columns(df.schema)
@@ -189,6 +229,7 @@ def categorical_summary(df: DataFrame) -> DataFrame:
     return full.withColumn("mode_count", F.coalesce("mode_count", F.lit(0)).cast("long"))
 
 
+@without_nan
 def value_frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Count and share of every value among the non-null rows of its column."""
     columns = numeric_columns(df.schema) + string_columns(df.schema) if columns is None else columns
@@ -203,22 +244,25 @@ def value_frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFr
     )
 
 
+@without_nan
 def top_values(df: DataFrame, k: int, columns: list[str] | None = None) -> DataFrame:
     """The k most frequent values per column; Spark limits each task to k rows per column first."""
     w = Window.partitionBy("column_name").orderBy(F.desc("n"), "value")
     return value_counts(df, columns).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+@without_nan
+def correlation_matrix(df: DataFrame, columns: list[str] | None = None, known: dict | None = None) -> DataFrame:
     """Pearson correlation over the rows where both columns are present; null if one is constant.
 
     A first pass fetches mean, range and gaps per column. Products of centred values are then
-    plain sums: one per pair of gapless columns, six where a column has gaps.
+    plain sums: one per pair of gapless columns, six where a column has gaps. ``known`` takes the first
+    pass's result: total, and count, avg, min and max by column position.
     """
     columns = numeric_columns(df.schema) if columns is None else columns
     doubles = df.selectExpr(*[f"double({name_sql(c)}) AS c{i}" for i, c in enumerate(columns)])
     wanted = [f"{fn}(c{i}) AS {fn}{i}" for i in range(len(columns)) for fn in ("count", "avg", "min", "max")]
-    stats = aggregate_sql(doubles, ["count(1) AS total", *wanted]).first()
+    stats = aggregate_sql(doubles, ["count(1) AS total", *wanted]).first() if known is None else known
     centres = [0.0 if stats[f"avg{i}"] is None else stats[f"avg{i}"] for i in range(len(columns))]
     centred = doubles.selectExpr(*[f"c{i} - double('{m!r}') AS x{i}" for i, m in enumerate(centres)])
     gaps = {i for i in range(len(columns)) if stats[f"count{i}"] < stats["total"]}
@@ -285,27 +329,37 @@ def _spread(squares, total, n):
     return F.when(value > squares * 1e-12, value)
 
 
+@without_nan
 def heatmap_cells(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return correlation_matrix(df, columns).select("column_x", "column_y", F.round("corr", 2).alias("label"))
 
 
-def profile_by_group(df: DataFrame, keys: list[str], columns: list[str] | None = None) -> DataFrame:
-    """Moments, missing count and quartiles per group and numeric column."""
+@without_nan
+def profile_by_group(df: DataFrame, keys: list[str], columns: list[str] | None = None, exact: bool = True) -> DataFrame:
+    """Moments, missing count and quartiles per group and numeric column.
+
+    Moments are one wide aggregate per group; rows are turned into cells for the quartiles only.
+    """
     columns = [c for c in numeric_columns(df.schema) if c not in keys] if columns is None else columns
-    wide = df.select(*keys, *[col(c).cast("double").alias(c) for c in columns])
-    cells = wide.unpivot(keys, [col(c) for c in columns], "column_name", "value")
-    stats = cells.groupBy(*keys, "column_name").agg(
-        F.count("value").alias("count"),
-        (F.count(F.lit(1)) - F.count("value")).alias("missing"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    quartiles = exact_quantiles(cells, keys + ["column_name"], "value", QUARTILES)
-    return join_null_safe(stats, quartiles, keys + ["column_name"], "left")
+    metrics = list(MOMENTS)
+    wide = df.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("_rows"), *[F.expr(e) for e in _moment_sums(columns)])
+    entries = [
+        f"named_struct('column_name', {text_sql(c)}, 'missing', _rows - `count__{i}`, " + ", ".join(f"'{m}', `{m}__{i}`" for m in metrics) + ")"
+        for i, c in enumerate(columns)
+    ]
+    stats = cut_lineage(wide.selectExpr(*map(name_sql, keys), f"inline(array({', '.join(entries)}))"))
+    cells = long_numeric(df, columns, keep=tuple(keys))
+    groups = keys + ["column_name"]
+    if exact:
+        sizes = stats.where("count > 0").select(*groups, F.col("count").alias("n"), F.col("min").alias("lo"), F.col("max").alias("hi"))
+        quartiles = exact_quantiles(cells, groups, "value", QUARTILES, sizes=sizes)
+    else:
+        quartiles = approximate_quantiles(cells, groups, "value", QUARTILES)
+    ordered = stats.select(*groups, "count", "missing", "mean", "std", "min", "max")
+    return join_null_safe(ordered, quartiles, groups, "left")
 
 
+@without_nan
 def histogram(df: DataFrame, columns: list[str] | None = None, bins: int = 30) -> DataFrame:
     """Equal-width bins per numeric column (empty bins left out); a constant column is widened by half."""
     columns = numeric_columns(df.schema) if columns is None else columns
@@ -331,6 +385,7 @@ def histogram(df: DataFrame, columns: list[str] | None = None, bins: int = 30) -
     )
 
 
+@without_nan
 def box_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Median, quartiles, whiskers (extreme values inside the fences) and number of fliers."""
     cells = long_numeric(df, columns)
@@ -343,6 +398,7 @@ def box_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     )
 
 
+@without_nan
 def full_profile(df: DataFrame) -> DataFrame:
     """All sections in one long table: (section, column_name, metric, value_num, value_text)."""
     numbers, text = numeric_columns(df.schema), string_columns(df.schema)
@@ -359,20 +415,33 @@ def full_profile(df: DataFrame) -> DataFrame:
         ]
         return part.select(F.lit(section).alias("section"), name.alias("column_name"), F.inline(F.array(*entries)))
 
+    # one pass for everything that is a sum; its single row is model-sized
+    row = cut_lineage(aggregate_sql(df, ["count(1) AS num_rows", *_gap_sums(df.columns), *_blank_sums(text), *_moment_sums(numbers)]))
+    gaps = wide_to_long(row, df.columns, ["missing", "missing_pct"])
+    blanks = df.sparkSession.createDataFrame([(c, 0) for c in df.columns if c not in text], "column_name string, invalid bigint")
+    blanks = blanks.unionByName(wide_to_long(row, text, ["invalid"])) if text else blanks
+    # one pass over values for distinct counts and modes; one row per column stays
+    best = F.min(F.struct((-F.col("n")).alias("n"), F.col("value"))).alias("best")
+    values = cut_lineage(value_counts(df).groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_values"), best))
     parts = [
         rows(schema_report(df), "schema", ["data_type", "kind"], ("data_type", "kind")),
-        rows(shape(df), "shape", ["num_rows", "num_columns"]),
-        rows(missing(df), "missing", ["missing", "missing_pct"]),
-        rows(blank_entries(df), "invalid", ["invalid"]),
-        rows(distinct_counts(df), "unique", ["distinct_values"]),
+        rows(row.select("num_rows", F.lit(len(df.columns)).cast("long").alias("num_columns")), "shape", ["num_rows", "num_columns"]),
+        rows(gaps, "missing", ["missing", "missing_pct"]),
+        rows(blanks, "invalid", ["invalid"]),
+        rows(_every_column(df, df.columns, values.drop("best"), "distinct_values"), "unique", ["distinct_values"]),
         rows(duplicate_rows(df), "duplicates", ["duplicate_rows"]),
     ]
     if numbers:
-        bounds = cut_lineage(quartile_bounds(df, numbers))
+        stats = wide_to_long(row, numbers, list(MOMENTS))
+        bounds = cut_lineage(quartile_bounds(df, numbers, stats))
+        first = row.first()
+        known = {"total": first["num_rows"]}
+        for i in range(len(numbers)):
+            known |= {f"{k}{i}": first[f"{m}__{i}"] for k, m in (("count", "count"), ("avg", "mean"), ("min", "min"), ("max", "max"))}
         parts += [
-            rows(describe(df, bounds), "describe", ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]),
+            rows(_described(stats, bounds), "describe", ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]),
             rows(outlier_counts(df, numbers, bounds), "outliers", ["num_outliers", "lower_bound", "upper_bound"]),
-            correlation_matrix(df).select(
+            correlation_matrix(df, numbers, known).select(
                 F.lit("correlation").alias("section"),
                 F.col("column_x").alias("column_name"),
                 F.col("column_y").alias("metric"),
@@ -383,7 +452,14 @@ def full_profile(df: DataFrame) -> DataFrame:
     else:
         parts.append(rows(describe_text(df), "describe", ["count", "unique", "top", "freq"], ("top",)))
     if text:
-        parts.append(rows(categorical_summary(df), "categorical", ["mode", "mode_count", "unique_values"], ("mode",)))
+        names = df.sparkSession.createDataFrame([(c,) for c in text], "column_name string")
+        modes = names.join(F.broadcast(values), "column_name", "left").select(
+            "column_name",
+            F.col("best.value").alias("mode"),
+            F.coalesce(-F.col("best.n"), F.lit(0)).alias("mode_count"),
+            F.coalesce("distinct_values", F.lit(0)).alias("unique_values"),
+        )
+        parts.append(rows(modes, "categorical", ["mode", "mode_count", "unique_values"], ("mode",)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemill.operators import model as M
 from tidemill.plans.catalog.profile import ITEMS, items, rounded
-from tidemill.plans.session import load, spread
+from tidemill.plans.session import load
 
 KEYS = ["l_orderkey", "l_linenumber"]
 FEATURES = ["l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
@@ -15,7 +15,22 @@ FOREST = {"n_estimators": 10, "max_depth": 6}
 
 
 def forest(s, d):
-    return M.train_forest(spread(items(s, d)), "l_extendedprice", KEYS, FEATURES, **FOREST)
+    return M.train_forest(items(s, d), "l_extendedprice", KEYS, FEATURES, **FOREST)
+
+
+def q_forest_rules(s, d):
+    """What holds for any forest: one prediction per test row, inside the targets' range, and shares that add up."""
+    fitted = forest(s, d)
+    wanted = M.train_test_split(items(s, d).where("l_extendedprice IS NOT NULL"), KEYS)
+    ends = wanted.where(~F.col("is_test")).agg(F.min("l_extendedprice").alias("lo"), F.max("l_extendedprice").alias("hi"))
+    checked = fitted.predictions.join(F.broadcast(ends)).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_distinct(*KEYS).alias("keys"),
+        F.count_if(F.col("predicted").between(F.col("lo") - 1e-6, F.col("hi") + 1e-6)).alias("inside"),
+    )
+    shares = fitted.importances.agg(F.round(F.sum("importance"), 6).alias("importance"), F.count(F.lit(1)).alias("features"))
+    # both sides are one row
+    return checked.join(F.broadcast(shares))
 
 
 def predictor(s, d):
@@ -46,10 +61,14 @@ QUERIES = {
     "train_test_split": lambda s, d: M.train_test_split(load(s, d, "lineitem"), KEYS).select(*KEYS, "is_test"),
     "rf_predictions": lambda s, d: forest(s, d).predictions,
     "rf_importance": lambda s, d: forest(s, d).importances,
+    "rf_rules": q_forest_rules,
     "regression_metrics": lambda s, d: rounded(M.regression_metrics(predictor(s, d)), 2).withColumn("r2", F.round("r2", 2)),
 }
 
 SQL = {
+    "rf_rules": """WITH t AS (SELECT count(*) AS n FROM lineitem WHERE l_extendedprice IS NOT NULL
+  AND concat('0x', substr(md5(concat('42|', l_orderkey::VARCHAR, '|', l_linenumber::VARCHAR)), 1, 8))::BIGINT % 100 < 20)
+SELECT n AS rows, n AS keys, n AS inside, 1.0::DOUBLE AS importance, 5::BIGINT AS features FROM t""",
     "impute_mode": f"""WITH {ITEMS} SELECT l_orderkey, l_linenumber,
   coalesce(l_returnflag, (SELECT l_returnflag FROM items WHERE l_returnflag IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS l_returnflag,
   l_linestatus FROM items""",

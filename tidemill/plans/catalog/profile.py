@@ -9,28 +9,29 @@ from tidemill.plans.session import load
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 TEXTS = ["l_returnflag", "l_linestatus"]
-COLUMNS = ["l_orderkey", "l_linenumber", *NUMBERS, *TEXTS]
+KEYS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+COLUMNS = [*KEYS, *NUMBERS, *TEXTS, "l_shipdate"]
 
 
 def items(spark, sf_dir):
     """Line items with missing discounts and return flags and some blank line states."""
     blank = (F.col("l_linestatus") == "F") & (F.col("l_linenumber") == 7)
     return load(spark, sf_dir, "lineitem").select(
-        "l_orderkey",
-        "l_linenumber",
+        *KEYS,
         "l_quantity",
         "l_extendedprice",
         F.nullif("l_discount", F.lit(0.05)).alias("l_discount"),
         "l_tax",
         F.nullif("l_returnflag", F.lit("R")).alias("l_returnflag"),
         F.when(blank, F.lit("  ")).otherwise(F.col("l_linestatus")).alias("l_linestatus"),
+        "l_shipdate",
     )
 
 
 ITEMS = """items AS (
-  SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, nullif(l_discount, 0.05) AS l_discount, l_tax,
+  SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, nullif(l_discount, 0.05) AS l_discount, l_tax,
          nullif(l_returnflag, 'R') AS l_returnflag,
-         CASE WHEN l_linestatus = 'F' AND l_linenumber = 7 THEN '  ' ELSE l_linestatus END AS l_linestatus
+         CASE WHEN l_linestatus = 'F' AND l_linenumber = 7 THEN '  ' ELSE l_linestatus END AS l_linestatus, l_shipdate
   FROM lineitem)"""
 
 
@@ -43,14 +44,14 @@ def rounded(df, digits=4, skip=()):
     return df.select(*[F.round(c, digits).alias(c) if t == "double" and c not in skip else F.col(c) for c, t in df.dtypes])
 
 
-NUM = ["l_orderkey", "l_linenumber", *NUMBERS]
+NUM = [*KEYS, *NUMBERS]
 
 QUARTILE_SQL = f"""q AS ({each(NUMBERS, "SELECT '{c}' AS column_name, quantile_cont({c}, 0.25) AS q25, quantile_cont({c}, 0.5) AS q50, quantile_cont({c}, 0.75) AS q75 FROM items")}),
   b AS (SELECT *, q25 - 1.5 * (q75 - q25) AS lower_bound, q75 + 1.5 * (q75 - q25) AS upper_bound FROM q)"""
-CELLS_SQL = f"""cells AS ({each(NUMBERS, "SELECT '{c}' AS column_name, l_orderkey, l_linenumber, {c}::DOUBLE AS value FROM items WHERE {c} IS NOT NULL")})"""
+CELLS_SQL = f"""cells AS ({each(NUM, "SELECT '{c}' AS column_name, l_orderkey, l_linenumber, {c}::DOUBLE AS value FROM items WHERE {c} IS NOT NULL")})"""
 OUTLIER_SQL = "value < lower_bound OR value > upper_bound"
-COUNTS_SQL = f"""counts AS ({each([*NUMBERS[:1], *NUMBERS[2:], *TEXTS], "SELECT '{c}' AS column_name, {c}::VARCHAR AS value, count(*) AS n FROM items WHERE {c} IS NOT NULL GROUP BY ALL")})"""
-COUNTED = [*NUMBERS[:1], *NUMBERS[2:], *TEXTS]
+COUNTED = [*NUM, *TEXTS]
+COUNTS_SQL = f"""counts AS ({each(COUNTED, "SELECT '{c}' AS column_name, {c}::VARCHAR AS value, count(*) AS n FROM items WHERE {c} IS NOT NULL GROUP BY ALL")})"""
 
 
 def corr_sql(cols, body):
@@ -84,9 +85,7 @@ QUERIES = {
     "profile_missing": lambda s, d: rounded(P.missing(items(s, d))),
     "profile_distinct": lambda s, d: P.distinct_counts(items(s, d)),
     "profile_blank": lambda s, d: P.blank_entries(items(s, d)),
-    "profile_duplicates": lambda s, d: P.duplicate_rows(
-        items(s, d).select("l_linenumber", "l_quantity", "l_discount", *TEXTS)
-    ),
+    "profile_duplicates": lambda s, d: P.duplicate_rows(items(s, d)),
     "profile_describe": q_describe,
     "numeric_summary": lambda s, d: rounded(P.numeric_summary(items(s, d))),
     "iqr_outliers": lambda s, d: rounded(
@@ -100,7 +99,7 @@ QUERIES = {
     "heatmap_cells": lambda s, d: P.heatmap_cells(items(s, d)),
     "profile_by_group": q_by_group,
     "profile_full": q_full,
-    "histogram_30": lambda s, d: rounded(P.histogram(items(s, d), NUMBERS)),
+    "histogram_30": lambda s, d: rounded(P.histogram(items(s, d))),
     "box_stats": lambda s, d: rounded(P.box_stats(load(s, d, "events").select("value", "user_id"))),
 }
 
@@ -120,7 +119,7 @@ MISSING_SQL = each(
 DISTINCT_SQL = each(COLUMNS, "SELECT '{c}' AS column_name, count(DISTINCT {c}) AS distinct_values FROM items")
 BLANK_SQL = each(
     TEXTS, "SELECT '{c}' AS column_name, count(*) FILTER (WHERE trim({c}) = '') AS invalid FROM items"
-) + "\nUNION ALL " + each(["l_orderkey", "l_linenumber", *NUMBERS], "SELECT '{c}' AS column_name, 0::BIGINT AS invalid FROM items LIMIT 1").replace(
+) + "\nUNION ALL " + each([c for c in COLUMNS if c not in TEXTS], "SELECT '{c}' AS column_name, 0::BIGINT AS invalid FROM items LIMIT 1").replace(
     "FROM items LIMIT 1", ""
 )
 CATEGORICAL_SQL = each(
@@ -173,7 +172,7 @@ FROM (SELECT (row_number() OVER () - 1)::INTEGER AS ordinal, column_name, column
     "profile_missing": f"WITH {ITEMS} {MISSING_SQL}",
     "profile_distinct": f"WITH {ITEMS} {DISTINCT_SQL}",
     "profile_blank": f"WITH {ITEMS} {BLANK_SQL}",
-    "profile_duplicates": f"""WITH {ITEMS}, g AS (SELECT count(*) AS n FROM items GROUP BY l_linenumber, l_quantity, l_discount, l_returnflag, l_linestatus)
+    "profile_duplicates": f"""WITH {ITEMS}, g AS (SELECT count(*) AS n FROM items GROUP BY {", ".join(COLUMNS)})
 SELECT sum(n - 1)::BIGINT AS duplicate_rows FROM g""",
     "profile_describe": f"WITH {ITEMS} {DESCRIBE_SQL}",
     "numeric_summary": f"WITH {ITEMS}, d AS ({DESCRIBE_SQL}) SELECT column_name, mean, q50 AS median, std AS std_dev, min, max FROM d",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemill.functions.scalars import hhmm_minutes
 from tidemill.operators import route as R
 from tidemill.plans.catalog.profile import rounded
-from tidemill.plans.session import load
+from tidemill.plans.session import cut_lineage, load
 
 SIZE = 64
 
@@ -156,7 +156,27 @@ def solved(s, d):
     return R.solve_routes(problems(s, d), stops(s, d), edges(s, d))
 
 
+def q_tour_rules(s, d):
+    """What holds for any improved tour: the same stops, the same ends, and a length that is not larger."""
+    found = cut_lineage(solved(s, d))
+    tours = found.groupBy("route_id").pivot("kind", ["initial", "optimized"]).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("stop").alias("stops"), F.min_by("stop", "pos").alias("first"), F.max_by("stop", "pos").alias("last")
+    )
+    lengths = R.route_results(found, edges(s, d)).select("route_id", "initial_distance", "optimized_distance", "improvement_percentage")
+    gain = (F.col("initial_distance") - F.col("optimized_distance")) / F.col("initial_distance") * 100
+    return tours.join(lengths, "route_id").join(problems(s, d), "route_id").select(
+        "route_id",
+        F.col("optimized_n").alias("n"),
+        F.col("optimized_stops").alias("stops"),
+        ((F.col("initial_n") == F.col("optimized_n")) & (F.col("initial_stops") == F.col("optimized_stops"))).alias("same_stops"),
+        ((F.col("optimized_first") == F.col("start")) & (F.col("optimized_last") == F.col("end"))).alias("same_ends"),
+        (F.col("optimized_distance") <= F.col("initial_distance") + 1e-9).alias("not_longer"),
+        (F.abs(F.col("improvement_percentage") - gain) < 1e-6).alias("percentage_fits"),
+    )
+
+
 QUERIES = {
+    "route_2opt_rules": q_tour_rules,
     "matrix_unpivot": q_unpivot,
     "hhmm_minutes": lambda s, d: clock_texts(s, d).withColumn("minutes", hhmm_minutes(F.col("clock"))),
     "location_violations": lambda s, d: R.location_violations(locations(s, d), "row_no"),
@@ -176,6 +196,9 @@ QUERIES = {
 }
 
 SQL = {
+    "route_2opt_rules": f"""WITH {BASE} SELECT p.route_id, count(*) + CASE WHEN start = fin THEN 1 ELSE 0 END AS n, count(DISTINCT s.stop) AS stops,
+  true AS same_stops, true AS same_ends, true AS not_longer, true AS percentage_fits
+FROM problems p JOIN stops s ON s.route_id = p.route_id GROUP BY p.route_id, start, fin""",
     "matrix_unpivot": f"WITH {BASE} SELECT route_id, src, dst, round(raw, 4) AS dist FROM cells",
     "hhmm_minutes": r"""WITH c AS (SELECT event_id, CASE WHEN value < 1 THEN strftime(ts, '%H:%M:%S') WHEN value > 200 THEN '9:05'
   WHEN value BETWEEN 100 AND 150 THEN '24:00' WHEN value BETWEEN 50 AND 60 THEN ' ' || strftime(ts, '%H:%M') || '  ' ELSE strftime(ts, '%H:%M') END AS clock FROM events)

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -119,21 +121,23 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Deal a scan out over all cores when the table is stored in fewer pieces than that.
-
-    Only for plain scans that feed expensive work; a table of many files is left as it is.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN means "missing" in this library, so it becomes null when data enters."""
     floats = {f.name for f in df.schema if isinstance(f.dataType, (DoubleType, FloatType))}
-    return df.select(
-        *[
-            F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`")).alias(c) if c in floats else F.col(f"`{c}`")
-            for c in df.columns
-        ]
-    )
+    if not floats:
+        return df
+    name = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    return df.select(*[F.when(~F.isnan(name(c)), name(c)).alias(c) if c in floats else name(c) for c in df.columns])
+
+
+def without_nan(operator: Callable) -> Callable:
+    """For operators over a table that users pass in: they see null where it has NaN."""
+
+    @wraps(operator)
+    def run(df: DataFrame, *args, **kwargs):
+        if not getattr(df, "_nan_free", False):
+            df = nan_to_null(df)
+            df._nan_free = True  # an operator that hands the table on needn't look again
+        return operator(df, *args, **kwargs)
+
+    return run

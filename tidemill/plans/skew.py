@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.plans.joins import join_null_safe
-from tidemill.plans.session import cut_lineage, group_rows
+from tidemill.plans.session import cut_lineage, group_rows, hint_small
+
+MOST_PARTITIONS = 10_000
 
 
 def ordered_pieces(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -23,13 +25,18 @@ def ordered_pieces(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
     large = cut_lineage(sizes)
     total = large.agg(F.sum("n")).first()[0]
     if not total:
-        return df.withColumn("piece", F.lit(0))
-    # at most (total rows / limit) groups can be this large
-    names = F.broadcast(large.select(*keys))
-    whole = join_null_safe(df, names, keys, "left_anti").withColumn("piece", F.lit(0))
+        return df.withColumn("piece", F.lit(0).cast("long"))
+    names = hint_small(large.select(*keys), large.count())
+    whole = join_null_safe(df, names, keys, "left_anti").withColumn("piece", F.lit(0).cast("long"))
     cut = (
         join_null_safe(df, names, keys, "left_semi")
-        .repartitionByRange(math.ceil(2 * total / limit), *keys, *order)
-        .withColumn("piece", F.spark_partition_id())
+        .repartitionByRange(min(MOST_PARTITIONS, math.ceil(2 * total / limit)), *keys, *order)
     )
+    if 2 * total / limit > MOST_PARTITIONS:
+        # partitions are limited, so each one is cut further by the place of its sorted rows
+        place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        piece = F.spark_partition_id().cast("long") * F.lit(1 << 20) + F.floor(place / F.lit(limit))
+        cut = cut.sortWithinPartitions(*keys, *order).withColumn("piece", piece)
+    else:
+        cut = cut.withColumn("piece", F.spark_partition_id().cast("long"))
     return whole.unionByName(cut_lineage(cut))
