@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import chat, host_rules, mixing, packing, quality, sharding, shingles, toxicity, vectors, warc
+from tidemill.llm import chat, host_rules, mixing, packing, quality, sharding, shingles, toxicity, twins, vectors, warc
 from tidemill.llm.common import table
 from tidemill.plans.session import cut_lineage, work_dir
 
@@ -137,6 +137,8 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(n + CASE WHEN starts THEN 12 + r + 1 + 11 ELSE 11 END)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id""",
+    "op6_host_rules": twins.host_rules(),
+    "op10_feistel_shards": twins.shards(SHARDS),
     "op9_minhash_join": """WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') AS ws FROM documents),
 g AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
   ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS gs FROM w),
