@@ -124,3 +124,19 @@ def test_artifacts_are_found_whatever_the_number_of_buckets(spark, tmp_path, buc
     assert sorted(r.job_id for r in several.collect()) == [1, 2]
     plan = several._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull" in plan or "PartitionFilters: [job_bucket" in plan or "PartitionFilters: []" not in plan
+
+
+def test_true_and_false_with_gaps_stay_text(spark, tmp_path):
+    path = write(tmp_path, "b.csv", "a,b\nTrue,True\nFalse,\nTrue,False\n")
+    assert dict(csv.read_csv(spark, path).dtypes) == {"a": "boolean", "b": "string"}
+
+
+def test_a_run_cleans_up_after_itself(spark, tmp_path):
+    import os
+
+    from tidemill.plans.session import cut_lineage, run_folder
+
+    with run_folder(spark) as folder:
+        assert cut_lineage(spark.range(5)).count() == 5
+        assert os.path.isdir(folder.removeprefix("file:"))
+    assert not os.path.exists(folder.removeprefix("file:"))

@@ -30,6 +30,7 @@ NULL_TOKENS = [
 
 # Accepted image formats and the extension each is written with.
 IMAGE_EXTENSIONS = {"jpeg": ".jpg", "png": ".png", "webp": ".webp", "gif": ".gif"}
+# What may be uploaded.
 UPLOAD_EXTENSIONS = {"csv": [".csv"], "image": [".jpg", ".jpeg", ".png", ".webp", ".gif"]}
 MAX_UPLOAD_BYTES = 10 * 1024 * 1024
 

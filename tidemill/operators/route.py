@@ -526,8 +526,10 @@ def route_feasibility(
     """Check routes against their problem: ``(route_id, violations, feasible)``.
 
     ``violations`` is a comma-separated list in a fixed order. Each rule is a count over
-    (route, stop) groups, so long routes spread over all tasks.
+    (route, stop) groups, so long routes spread over all tasks. The three small inputs are read
+    several times, so they are written down first.
     """
+    problems, stops, route = cut_lineage(problems), cut_lineage(stops), cut_lineage(route)
     ends = route.groupBy("route_id").agg(
         F.count(F.lit(1)).alias("len"),
         F.min_by("stop", "pos").alias("first"),

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from tidemill.functions.scalars import finite_number, strip
 from tidemill.operators import checks, images, model, profile, route
 from tidemill.operators.columns import numeric_columns, string_columns
-from tidemill.plans.session import cut_lineage, nan_to_null, tune, work_dir
+from tidemill.plans.session import cut_lineage, in_run_folder, nan_to_null, tune, work_dir
 from tidemill.sources import csv, files
 
 ROW = "row_number"
@@ -42,6 +42,7 @@ def stage_csv(spark: SparkSession, path: str, types: dict[str, str] | None = Non
     return spark.read.parquet(staged)
 
 
+@in_run_folder
 def run_dataset(
     spark: SparkSession,
     path: str,
@@ -92,6 +93,7 @@ def _write_all(parts: dict[str, DataFrame], out: str) -> dict[str, str]:
     return paths
 
 
+@in_run_folder
 def run_routes(
     spark: SparkSession,
     locations: DataFrame,
@@ -155,6 +157,7 @@ def single_route(spark: SparkSession, locations_csv: str, distances_csv: str) ->
     return places, edges
 
 
+@in_run_folder
 def run_images(
     spark: SparkSession,
     folder: str,

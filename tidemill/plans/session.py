@@ -6,7 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 from pathlib import Path
 
@@ -97,8 +98,36 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def work_dir(spark: SparkSession, label: str) -> str:
-    """A path nobody else uses below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A path nobody else uses, below the shared folder or the folder of the current run."""
+    base = _run_folders[-1] if _run_folders else shared_dir(spark).rstrip("/")
+    return f"{base}/{label}-{uuid.uuid4().hex}"
+
+
+_run_folders: list[str] = []
+
+
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables made inside are deleted at the end, so results have to be written by then."""
+    folder = work_dir(spark, "run")
+    _run_folders.append(folder)
+    try:
+        yield folder
+    finally:
+        _run_folders.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def in_run_folder(run: Callable) -> Callable:
+    """For end-to-end runs, whose first argument is the session."""
+
+    @wraps(run)
+    def wrapped(spark: SparkSession, *args, **kwargs):
+        with run_folder(tune(spark)):
+            return run(spark, *args, **kwargs)
+
+    return wrapped
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -73,9 +73,12 @@ def _readings(c: Column) -> dict[str, Column]:
 
 
 def infer_types(cells: DataFrame) -> dict[str, str]:
-    """The narrowest of boolean, bigint, double, string that fits every cell; one aggregate."""
+    """The narrowest of boolean, bigint, double, string that fits every cell; one aggregate.
+
+    True and False with gaps between them stay text, so they are profiled as categories.
+    """
     names = [c for c in cells.columns if c != BROKEN]
-    aggs = []
+    aggs = [F.count(F.lit(1)).alias("total")]
     for i, c in enumerate(names):
         present = null_token_to_null(col(c))
         aggs.append(F.count(present).alias(f"n{i}"))
@@ -86,7 +89,10 @@ def infer_types(cells: DataFrame) -> dict[str, str]:
     def pick(i: int) -> str:
         if row[f"n{i}"] == 0:
             return "double"
-        return next((k for k in ("boolean", "bigint", "double") if row[f"{k}{i}"] == row[f"n{i}"]), "string")
+        fits = [k for k in ("boolean", "bigint", "double") if row[f"{k}{i}"] == row[f"n{i}"]]
+        if fits[:1] == ["boolean"] and row[f"n{i}"] < row["total"]:
+            return "string"
+        return fits[0] if fits else "string"
 
     return {c: pick(i) for i, c in enumerate(names)}
 
