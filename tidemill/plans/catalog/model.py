@@ -10,12 +10,17 @@ from tidemill.plans.session import load
 
 KEYS = ["l_orderkey", "l_linenumber"]
 FEATURES = ["l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
-# trees and depth of the registered runs (the library's defaults are 100 trees without a depth limit)
-FOREST = {"n_estimators": 10, "max_depth": 6}
+
+# one forest per application and table; its training data and predictions are written tables
+_fitted: dict[tuple[str, str], M.ForestResult] = {}
 
 
 def forest(s, d):
-    return M.train_forest(items(s, d), "l_extendedprice", KEYS, FEATURES, **FOREST)
+    """The library's defaults: 100 trees without a depth limit. This takes minutes, so its three queries share it."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _fitted:
+        _fitted[key] = M.train_forest(items(s, d), "l_extendedprice", KEYS, FEATURES)
+    return _fitted[key]
 
 
 def q_forest_rules(s, d):
