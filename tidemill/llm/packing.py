@@ -21,8 +21,8 @@ LENGTH = 1024
 OPEN = 64
 # Partitions whose open windows meet in one group.
 FAN_IN = 16
-# Parts of texts whose ids a worker remembers.
-REMEMBERED = 1_000_000
+# Parts of texts whose ids a task remembers, about 100 MB.
+REMEMBERED = 600_000
 
 
 class WordIds:
@@ -113,7 +113,7 @@ _loaded: dict[int, WordIds] = {}
 
 
 def word_ids(content: str) -> WordIds:
-    """The worker's tokenizer, with what it remembers from earlier tasks."""
+    """The worker's tokenizer."""
     key = hash(content)
     if key not in _loaded:
         _loaded[key] = WordIds(content)
@@ -202,6 +202,7 @@ def _pack(content, length: int, end: int, key_type: pa.DataType):
                         elif filled >= 0:
                             rows.add(windows.close(filled), False)
                 yield from rows.take(1000)
+        encode.forget()  # the worker may go on to other work
         for _, window in list(windows.open):
             rows.add(windows.close(window), True)
         yield from rows.take()
