@@ -60,3 +60,27 @@ def test_infinite_values_sort_last(spark, monkeypatch):
     df = spark.createDataFrame([(float(x),) for x in [5, 1, 3]] + [(float("inf"),), (1e300,)], "v double")
     got = exact_quantiles(df, [], "v", {"low": 0.25, "top": 0.75})
     assert tuple(got.first()) == (3.0, 1e300)
+
+
+@pytest.mark.parametrize("few", ["0", "100000"])
+def test_without_broadcast_hints_the_answer_is_the_same(spark, small_groups, few):
+    df = spark.range(300).selectExpr("id % 3 AS k", "cast(id * 7 % 101 AS double) AS v")
+    spark.conf.set("tidemill.broadcastRows", few)
+    try:
+        got = {r.k: (r.a, r.b) for r in exact_quantiles(df, ["k"], "v", {"a": 0.25, "b": 0.9}).collect()}
+    finally:
+        spark.conf.unset("tidemill.broadcastRows")
+    for k in range(3):
+        values = sorted(i * 7 % 101 for i in range(300) if i % 3 == k)
+        want = [values[int(p * 99)] + (values[min(99, int(p * 99) + 1)] - values[int(p * 99)]) * (p * 99 - int(p * 99)) for p in (0.25, 0.9)]
+        assert got[k] == pytest.approx(want)
+
+
+def test_pieces_within_a_partition_limit(spark, small_groups, monkeypatch):
+    from tidemill.plans import skew
+
+    monkeypatch.setattr(skew, "MOST_PARTITIONS", 2)
+    df = spark.range(500).selectExpr("1 AS k", "id AS at")
+    pieces = skew.ordered_pieces(df, ["k"], ["at"]).groupBy("piece").agg({"at": "min", "*": "count"}).orderBy("piece").collect()
+    assert all(r["count(1)"] <= 20 for r in pieces) and sum(r["count(1)"] for r in pieces) == 500
+    assert [r["min(at)"] for r in pieces] == sorted(r["min(at)"] for r in pieces)

@@ -106,9 +106,8 @@ def buckets(s, d):
 
 def q_recovery(s, d):
     table = jobs(s, d)
-    # one row, joined instead of fetched
-    now = table.agg(F.max("created_at").alias("now"))
-    done = J.recovery_decisions(table.join(F.broadcast(now)), F.col("now"), "created_at")
+    now = table.agg(F.max("created_at")).scalar()
+    done = J.recovery_decisions(table, now.cast("timestamp_ntz"), "created_at")
     return rounded(done.select("id", "status", "attempts", "idle_seconds", "decision"))
 
 
