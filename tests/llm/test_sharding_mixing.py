@@ -75,7 +75,7 @@ def test_pivot_keeps_the_sum_and_expectations():
     part = rng.uniform(0.05, 0.95, 9)
     total = np.zeros(9)
     for _ in range(4000):
-        out = mixing.pivot(np.ones(9), part, rng.uniform(size=9))
+        out = mixing.pivot(part, rng.uniform(size=9))
         assert abs(out.sum() - part.sum()) < 1e-6
         assert ((out > 1e-9) & (out < 1 - 1e-9)).sum() <= 1
         total += out
@@ -86,7 +86,7 @@ def corpus(spark, tmp_path, n=900):
     rng = np.random.default_rng(1)
     rows = [(int(k), " ".join(["w"] * int(rng.integers(1, 60))), ["s0", "s1", "s2", None][min(3, int(rng.integers(0, 8)))]) for k in range(n)]
     rows += [(7, "same words here", "s0")] * 50 + [(None, None, "s1"), (None, "", None), (3, " \n ", "empty")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumnsRenamed({})
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     path = str(tmp_path / "docs")
     df.selectExpr("*", "1 as row", "2 as size", "3 as copies").repartition(3).write.parquet(path)
     return spark.read.parquet(path)

@@ -56,7 +56,7 @@ def labelled_sample(rows: DataFrame, labels: DataFrame, grade: str, key: str, mo
     """The texts of at most ``most`` labelled keys: (key, text, grade, shard).
 
     The keys with the smallest hashes are taken, so the sample doesn't depend on the order of rows. Several
-    labels of one key count once, by the largest grade. The number of shards follows from the size.
+    rows or labels of one key count once. The number of shards follows from the size.
     """
     order = F.xxhash64(F.lit("sample"), F.col(key).cast("string"))
     graded = labels.where(F.col(key).isNotNull() & F.col(grade).isNotNull()).groupBy(key).agg(F.max(grade).alias("grade"))
@@ -65,7 +65,8 @@ def labelled_sample(rows: DataFrame, labels: DataFrame, grade: str, key: str, mo
     shards = max(1, round(picked.count() / SHARD_ROWS))
     # at most ``most`` rows of two numbers
     chosen = F.broadcast(picked.select(key, "grade", F.pmod("order", F.lit(shards)).cast("int").alias("shard"), "order"))
-    return rows.join(chosen, key).select(key, "text", "grade", "shard", "order")
+    # of a key that stands in several rows, the smallest text; combined before the shuffle
+    return rows.join(chosen, key).groupBy(key, "grade", "shard", "order").agg(F.min("text").alias("text"))
 
 
 def pack_shards(sample: DataFrame, featurise: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:

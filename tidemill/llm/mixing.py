@@ -50,7 +50,7 @@ def source_targets(sizes: DataFrame, budget_percent: int = 150, most: int = 2, w
     return rows.select("source", "source_size", target.alias("target"))
 
 
-def pivot(size: np.ndarray, part: np.ndarray, noise: np.ndarray) -> np.ndarray:
+def pivot(part: np.ndarray, noise: np.ndarray) -> np.ndarray:
     """Pivotal rounding of the probabilities ``part`` in the given order; all but one become 0 or 1.
 
     Two fractions meet: together below 1, one of them takes all and the other becomes 0; above 1, one
@@ -84,8 +84,7 @@ def pivot(size: np.ndarray, part: np.ndarray, noise: np.ndarray) -> np.ndarray:
 def _pivot_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Round each (rank, bucket) group, larger rows first, so that pairs have like sizes."""
     for group in groups_of(batches, ["rank", "bucket"]):
-        cols = {n: group.column(n).to_numpy() for n in ("size", "part", "noise")}
-        part = pivot(cols["size"], cols["part"], cols["noise"])
+        part = pivot(group.column("part").to_numpy(), group.column("noise").to_numpy())
         at = group.schema.get_field_index("part")
         yield from group.set_column(at, "part", pa.array(part)).combine_chunks().to_batches()
 
@@ -98,7 +97,7 @@ def round_parts(rows: DataFrame) -> DataFrame:
     which is drawn by itself. Every level is written down.
     """
     spark = rows.sparkSession
-    counts = rows.groupBy("rank").agg(F.count(F.lit(1)).alias("n"), F.max(F.lit(0)).alias("zero"))
+    counts = rows.groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
     buckets = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(GROUP))).cast("long")
     level = rows.join(counts.select("rank", buckets.alias("buckets")), "rank").withColumn("bucket", F.pmod("order", F.col("buckets")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
