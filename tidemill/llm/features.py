@@ -113,7 +113,7 @@ def shard_rounds(packed: DataFrame, learn: Callable[..., dict[str, np.ndarray]],
                     data = [np.frombuffer(row[k], t) for k, t in (("grades", np.float64), ("starts", np.int64), ("buckets", np.int32), ("values", np.float32))]
                     new = learn({k: dense(now.value[0], v) if k in large else v.copy() for k, v in now.value[1].items()}, *data)
                     used = np.flatnonzero(np.any([new[k] != 0 for k in large], axis=0)).astype(np.int32)
-                    out = [used.tobytes(), *[(new[k][used] if k in large else new[k]).tobytes() for k in names]]
+                    out = [used.tobytes(), *[(new[k][used].astype(np.float32) if k in large else new[k]).tobytes() for k in names]]
                     yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in out], names=["used", *names])
 
         # one shard's result at a time, merged by sorted bucket
@@ -124,14 +124,13 @@ def shard_rounds(packed: DataFrame, learn: Callable[..., dict[str, np.ndarray]],
             both = np.union1d(at, used)
             old, new = np.searchsorted(both, at), np.searchsorted(both, used)
             for k in names:
-                got = np.frombuffer(row[k], np.float64)
                 if k in large:
-                    total = np.zeros(len(both))
+                    total = np.zeros(len(both), np.float32)
                     total[old] = sums[k]
-                    total[new] += got
+                    total[new] += np.frombuffer(row[k], np.float32)
                     sums[k] = total
                 else:
-                    sums[k] = sums[k] + got
+                    sums[k] = sums[k] + np.frombuffer(row[k], np.float64)
             at = both
         now.destroy()
         if n:

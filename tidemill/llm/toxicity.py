@@ -21,7 +21,8 @@ STEM = 5
 
 @dataclass(frozen=True)
 class Settings:
-    """Hash bits, learning rates and penalties; ``least`` documents of a shard must have a feature that is learned."""
+    """Hash bits, learning rates and penalties; ``least`` documents of a full shard must have a
+    feature that is learned (one in a hundred, but two at least, where a shard is small)."""
 
     bits: int = 22
     alpha: float = 1.0
@@ -30,7 +31,7 @@ class Settings:
     l2: float = 0.1
     passes: int = 2
     rounds: int = 4
-    least: int = 3
+    least: int = 6
     sample: int = features.LARGEST_SAMPLE
 
 
@@ -60,7 +61,8 @@ def featuriser(bits: int, least: int):
             found.append(np.unique((owners + a) << bits | keys))
         both = np.concatenate(found) if found else np.zeros(0, np.int64)
         keys, owners = both & ((1 << bits) - 1), both >> bits
-        enough = np.bincount(keys, minlength=1 << bits)[keys] >= least
+        # small shards keep features of fewer texts
+        enough = np.bincount(keys, minlength=1 << bits)[keys] >= min(least, max(2, len(texts) // 100))
         keys, owners = keys[enough], owners[enough]
         starts = np.searchsorted(owners, np.arange(len(texts) + 1))
         return starts, keys, np.zeros(0, np.float32)
