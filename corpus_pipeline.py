@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm import host_rules, mixing, packing, quality, shingles
 from tidemill.llm.catalog import tokenizer_file
-from tidemill.llm.common import fresh_name, row_numbers, table
+from tidemill.llm.common import fresh_name, stored_numbers, table
 from tidemill.plans.session import cut_lineage
 
 
@@ -16,9 +16,10 @@ def grade(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = quality.graded(table(spark, sf_dir, "labels"))
     model = quality.fit(docs.select("doc_id", "text"), labels, "doc_id", "grade")
     row = fresh_name(docs, "row")
-    graded = quality.grade(row_numbers(docs.select("text"), row), model)
+    numbered = stored_numbers(docs, row)
+    graded = quality.grade(numbered.select(row, "text"), model)
     kept = graded.where(F.col("tail_1") >= quality.SELECT).select(row)
-    return row_numbers(docs, row).join(kept, row, "left_semi").drop(row)
+    return numbered.join(kept, row, "left_semi").drop(row)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,12 @@
 """Near-duplicate vectors and texts against brute force."""
 
+import collections
+import itertools
+
 import numpy as np
 import pytest
 
-from tidemill.llm import common, shingles, vectors
+from tidemill.llm import common, mixing, shingles, vectors
 from tidemill.plans.session import cut_lineage
 
 
@@ -146,3 +149,31 @@ def test_jaccard_of_tiles():
     first, second = np.arange(12), np.arange(12, 30)
     got = set(zip(*(x.tolist() for x in shingles.jaccard_links(sets, first, second, 0.4))))
     assert got == {(i, j) for i in first for j in second if len(np.intersect1d(sets[i], sets[j])) >= 0.4 * len(np.union1d(sets[i], sets[j]))}
+
+
+def test_rows_stay_the_same_when_scans_are_cut_differently(spark, monkeypatch):
+    """Each write is followed by another plan for scans, as when executors come or go between two jobs."""
+    rng = np.random.default_rng(8)
+    texts = near_copies(rng, 25)
+    df = cut_lineage(spark.createDataFrame([(k, t, "ab"[k % 2]) for k, t in enumerate(texts)], "doc_id long, text string, source string").repartition(40))
+    want_links = {r.doc_id: (r.n_links, r.class_id, r.kept) for r in shingles.link_texts(df).collect()}
+    plan = {r.doc_id: r.copies for r in mixing.plan_copies(df).collect()}
+    size = "spark.sql.files.maxPartitionBytes"
+    before, turn = spark.conf.get(size), itertools.cycle(["1k", "1g"])
+
+    def shifting(table):
+        out = cut_lineage(table)
+        spark.conf.set(size, next(turn))
+        return out
+
+    for module in (common, shingles, mixing):
+        monkeypatch.setattr(module, "cut_lineage", shifting)
+    try:
+        links = {r.doc_id: (r.n_links, r.class_id, r.kept) for r in shingles.link_texts(df).collect()}
+        kept = sorted(r.doc_id for r in shingles.one_per_class(df).collect())
+        mixed = collections.Counter(r.doc_id for r in mixing.mix(df).collect())
+    finally:
+        spark.conf.set(size, before)
+    assert links == want_links
+    assert kept == sorted(k for k, v in want_links.items() if v[2])
+    assert mixed == {k: n for k, n in plan.items() if n}

@@ -59,6 +59,15 @@ def row_numbers(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def stored_numbers(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once with a unique number per row, and go on from that table.
+
+    The number is data: it doesn't depend on how a later scan is cut into partitions, so jobs that are
+    planned at different times agree on it.
+    """
+    return cut_lineage(df.withColumn(name, F.monotonically_increasing_id()))
+
+
 def fresh_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` doesn't have yet."""
     taken = {c.lower() for c in df.columns}

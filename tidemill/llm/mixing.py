@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import fresh_name, groups_of, row_numbers, word_count
+from tidemill.llm.common import fresh_name, groups_of, stored_numbers, word_count
 from tidemill.llm.sharding import number_rows
 from tidemill.plans.joins import join_null_safe
 from tidemill.plans.session import cut_lineage
@@ -118,19 +118,17 @@ def round_parts(rows: DataFrame) -> DataFrame:
     return done.select("row", last.alias("extra"))
 
 
-def plan_copies(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", seed: int = 0) -> DataFrame:
+def plan_copies(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", seed: int = 0, row: str | None = None) -> DataFrame:
     """How often each row goes into the mix: (row, key, source, size, source_size, target, copies), one per row.
 
-    ``row`` numbers the rows of the stored table ``docs`` (see ``row_numbers``). A row's size is its number of
-    words. All rows of a source have the same fractional number of copies, its target over its size; the
+    ``row`` is the number in the column ``row`` of ``docs``, which has to be stored and unique, or without that
+    name a number of this result only. A row's size is its number of words. All rows of a source have the same fractional number of copies, its target over its size; the
     whole part is taken as it is and the rest is rounded dependently. Draws depend on key and seed, so
     reruns agree; a key repeated more than ``GROUP`` times is dealt out by row number as well. Null texts
     and sources without words are never taken. An empty table gives no rows.
     """
-    k, s, row = F.col(f"`{key}`"), F.col(f"`{source}`"), fresh_name(docs, "row")
-    rows = cut_lineage(
-        row_numbers(docs.select(k.alias("key"), s.alias("source"), word_count(F.col(f"`{text}`")).alias("size")), row).withColumnRenamed(row, "row")
-    )
+    chosen = [F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size")]
+    rows = cut_lineage(docs.select(F.col(f"`{row}`").alias("row"), *chosen)) if row else stored_numbers(docs.select(*chosen), "row")
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     targets = cut_lineage(targets.withColumn("rank", F.monotonically_increasing_id()))
     frequent = rows.groupBy("key").agg(F.count(F.lit(1)).alias("repeats")).where(F.col("repeats") > GROUP)
@@ -149,10 +147,11 @@ def plan_copies(docs: DataFrame, text: str = "text", source: str = "source", key
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", seed: int = 0) -> DataFrame:
-    """The mix itself: every row of the stored table ``docs`` as often as planned, all columns kept."""
+    """The mix itself: every row of ``docs`` as often as planned, all columns kept."""
     row = fresh_name(docs, "row")
-    copies = plan_copies(docs, text, source, key, seed).where("copies > 0").select(F.col("row").alias(row), "copies")
+    numbered = stored_numbers(docs, row)
+    copies = plan_copies(numbered, text, source, key, seed, row).where("copies > 0").select(F.col("row").alias(row), "copies")
     n = fresh_name(docs, "copies")
-    joined = row_numbers(docs, row).join(copies.withColumnRenamed("copies", n), row)
+    joined = numbered.join(copies.withColumnRenamed("copies", n), row)
     each = fresh_name(docs, "each")
     return joined.withColumn(each, F.explode(F.sequence(F.lit(1), F.col(n).cast("int")))).drop(row, n, each)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import components, fresh_name, forest, groups_of, row_numbers
+from tidemill.llm.common import components, fresh_name, forest, groups_of, stored_numbers
 from tidemill.plans.session import cut_lineage
 
 WORDS = 5
@@ -179,16 +179,17 @@ def _verify(least: float):
 
 
 def link_texts(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, width: int = WORDS, recall: float = 0.9999
+    docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, width: int = WORDS, recall: float = 0.9999, row: str | None = None
 ) -> DataFrame:
-    """One row per row of the stored table ``docs``: (row, key, n_links, class_id, copy_of, kept).
+    """One row per row of ``docs``: (row, key, n_links, class_id, copy_of, kept).
 
     Two rows link if the Jaccard similarity of their sets of word n-grams is at least ``least``; words are runs
     without white space, compared exactly. A text with fewer words than ``width`` is one n-gram; null texts
     and texts without words link with nothing. ``n_links`` counts all linked rows, ``class_id`` is the
     smallest key reachable by links (itself included), ``copy_of`` the smallest key with the same set. ``kept``
     is true for one row of each class, the first of those with the smallest key (null keys come last).
-    ``row`` numbers the rows of ``docs`` (see ``row_numbers``). Repeated keys are rows of their own.
+    ``row`` is the number in the column ``row`` of ``docs``, which has to be stored and unique; without that name
+    the rows are numbered and written first. Repeated keys are rows of their own.
 
     Rows with equal sets are one text from the start, so large groups of copies cost one row. Texts that share
     a band form candidate components. Only their sets are loaded, dealt into tiles of bounded size, and compared
@@ -198,8 +199,9 @@ def link_texts(
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bands, rows = choose_bands(least, recall)
-    row = fresh_name(docs, "row")
-    numbered = row_numbers(docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("binary").alias("text")), row).withColumnRenamed(row, "row")
+    chosen = [F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("binary").alias("text")]
+    # texts are read a second time below, so the number has to be stored with them
+    numbered = docs.select(F.col(f"`{row}`").alias("row"), *chosen) if row else stored_numbers(docs.select(*chosen), "row")
     kind = docs.schema[key].dataType.simpleString()
     signed = cut_lineage(numbered.mapInArrow(_sign(width, bands, rows), f"row long, id {kind}, key binary, grams long, bands array<bigint>"))
 
@@ -242,7 +244,8 @@ def link_texts(
 
 
 def one_per_class(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of the stored table ``docs`` that are kept, with all their columns."""
+    """The rows of ``docs`` that are kept, with all their columns."""
     row = fresh_name(docs, "row")
-    kept = link_texts(docs, key, text).where("kept").select(F.col("row").alias(row))
-    return row_numbers(docs, row).join(kept, row, "left_semi").drop(row)
+    numbered = stored_numbers(docs, row)
+    kept = link_texts(numbered, key, text, row=row).where("kept").select(F.col("row").alias(row))
+    return numbered.join(kept, row, "left_semi").drop(row)
