@@ -122,3 +122,19 @@ def test_the_sample_is_bounded_and_repeatable(spark, tables):
         features.labelled_sample(docs.select("doc_id", "text").repartition(n), graded, "grade", "doc_id", 50).select("doc_id").toPandas().doc_id.tolist() for n in (2, 5)
     )
     assert len(set(once)) == 50 and sorted(once) == sorted(again)
+
+
+def test_rare_features_are_counted_over_all_shards(spark, monkeypatch):
+    """Words of eight toxic documents are learned, also where the eight stand in different shards."""
+    monkeypatch.setattr(features, "SHARD_ROWS", 300)
+    rng = np.random.default_rng(9)
+    filler = [f"word{k}" for k in range(100)]
+    rows = []
+    for k in range(2400):
+        text = list(rng.choice(filler, 20))
+        rows.append((k, " ".join([*text, f"{k // 6 % 50:02d}rare"] if k % 6 == 0 else text), int(k % 6 == 0)))
+    df = cut_lineage(spark.createDataFrame(rows, "doc_id long, text string, label int"))
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "label"), "doc_id", "label")
+    weights = dict(zip(model.buckets.tolist(), model.weights))
+    rare = [toxicity.buckets_of([f"{k:02d}rare".encode()], 22)[0] for k in range(50)]
+    assert all(weights.get(b, 0) > 0 for found in rare for b in found.tolist())

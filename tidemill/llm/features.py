@@ -18,6 +18,9 @@ from tidemill.plans.session import cut_lineage
 SHARD_ROWS = 3000
 LARGEST_SAMPLE = 24_000
 
+# Trained states are averaged in tasks, each with one of so many ranges of buckets.
+RANGES = 16
+
 # Words hashed at a time when texts are scored.
 STEP_WORDS = 200_000
 
@@ -86,25 +89,82 @@ def pack_shards(sample: DataFrame, featurise: Callable[[list[bytes]], tuple[np.n
     return cut_lineage(dealt.mapInArrow(pack, "shard int, grades binary, starts binary, buckets binary, values binary"))
 
 
+def common_buckets(sample: DataFrame, buckets_of: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], bits: int, least: int) -> np.ndarray:
+    """Which buckets at least ``least`` texts of the whole sample have, as packed bits.
+
+    ``buckets_of`` gives buckets and owners of some texts. Each task adds up its texts' counts before the shuffle.
+    """
+
+    width = -(-(1 << bits) // RANGES)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(RANGES * width, np.uint8)
+        for batch in batches:
+            texts = [t or b"" for t in batch.column("text").to_pylist()]
+            for a, b in in_steps(texts, STEP_WORDS * 6):
+                keys, owners = buckets_of(texts[a:b])
+                found, more = np.unique(np.unique(owners << bits | keys) & ((1 << bits) - 1), return_counts=True)
+                # counts above ``least`` don't matter
+                n[found] = np.minimum(n[found] + more, least)
+        for part, here in enumerate(n.reshape(RANGES, width)):
+            if here.any():
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([here.tobytes()], pa.binary())], names=["part", "n"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups_of(batches, ["part"]):
+            n = np.zeros(width, np.int64)
+            for x in group.column("n"):
+                n += np.frombuffer(x.as_buffer(), np.uint8)
+            yield pa.RecordBatch.from_arrays([group.column("part")[:1].combine_chunks(), pa.array([np.packbits(n >= least).tobytes()], pa.binary())], names=["part", "n"])
+
+    if not 0 < least < 256:
+        raise ValueError("the least number of texts has to be from 1 to 255")
+    counts = sample.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "part int, n binary")
+    known = np.zeros((RANGES, width), bool)
+    for row in counts.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "part int, n binary").collect():
+        known[row["part"]] = np.unpackbits(np.frombuffer(row["n"], np.uint8), count=width)
+    return np.packbits(known.ravel()[: 1 << bits])
+
+
 def shard_rounds(packed: DataFrame, learn: Callable[..., dict[str, np.ndarray]], state: dict[str, np.ndarray], size: int, rounds: int) -> dict[str, np.ndarray]:
     """Parameter mixing: in each round every shard learns from the common state, and the results are averaged.
 
     ``learn(state, grades, starts, buckets, values)`` returns the new state. Arrays of ``size`` numbers start
-    at 0 and travel without the buckets that are still 0; they come back with their buckets, ``at``. What the
-    driver holds is bounded by the number of buckets. Smaller arrays are averaged as they are.
+    at 0 and travel without the buckets that are still 0; they come back with their buckets, ``at``. A shard
+    sends what it changed, and tasks average that, each a range of buckets, so the driver holds the common
+    state and its mean change only. Smaller arrays are averaged as they are, with the first range.
     """
     sc = packed.sparkSession.sparkContext
     names = list(state)
     large = [k for k in names if len(state[k]) == size]
+    shards = packed.count()
+    width = -(-size // RANGES)
+    schema = ", ".join(f"{k} binary" for k in ["used", *names])
 
     def dense(at: np.ndarray, values: np.ndarray) -> np.ndarray:
         out = np.zeros(size)
         out[at] = values
         return out
 
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups_of(batches, ["part"]):
+            part = group.column("part")[0].as_py()
+            known, sums = np.zeros(width, bool), {k: np.zeros(width) if k in large else 0.0 for k in names}
+            for row in group.to_pylist():
+                at = np.frombuffer(row["used"], np.int32) - part * width
+                known[at] = True
+                for k in names:
+                    if k in large:
+                        sums[k][at] += np.frombuffer(row[k], np.float32)
+                    else:
+                        sums[k] = sums[k] + np.frombuffer(row[k], np.float64)
+            at = np.flatnonzero(known)
+            out = [(at + part * width).astype(np.int32), *[(sums[k][at] / shards).astype(np.float32) if k in large else sums[k] / shards for k in names]]
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in out]], names=["part", "used", *names])
+
     at = np.zeros(0, np.int32)
     state = {k: v[at] if k in large else v for k, v in state.items()}
-    for _ in range(rounds):
+    for _ in range(rounds if shards else 0):
         now = sc.broadcast((at, state))
 
         def one(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
@@ -112,29 +172,36 @@ def shard_rounds(packed: DataFrame, learn: Callable[..., dict[str, np.ndarray]],
                 for row in batch.to_pylist():
                     data = [np.frombuffer(row[k], t) for k, t in (("grades", np.float64), ("starts", np.int64), ("buckets", np.int32), ("values", np.float32))]
                     new = learn({k: dense(now.value[0], v) if k in large else v.copy() for k, v in now.value[1].items()}, *data)
+                    for k in large:
+                        new[k][now.value[0]] -= now.value[1][k]
                     used = np.flatnonzero(np.any([new[k] != 0 for k in large], axis=0)).astype(np.int32)
-                    out = [used.tobytes(), *[(new[k][used].astype(np.float32) if k in large else new[k]).tobytes() for k in names]]
-                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in out], names=["used", *names])
-
-        # one shard's result at a time, merged by sorted bucket
-        at, sums, n = np.zeros(0, np.int32), {k: np.zeros(0 if k in large else len(state[k])) for k in names}, 0
-        for row in packed.mapInArrow(one, ", ".join(f"{k} binary" for k in ["used", *names])).toLocalIterator():
-            n += 1
-            used = np.frombuffer(row["used"], np.int32)
-            both = np.union1d(at, used)
-            old, new = np.searchsorted(both, at), np.searchsorted(both, used)
-            for k in names:
-                if k in large:
-                    total = np.zeros(len(both), np.float32)
-                    total[old] = sums[k]
-                    total[new] += np.frombuffer(row[k], np.float32)
-                    sums[k] = total
-                else:
-                    sums[k] = sums[k] + np.frombuffer(row[k], np.float64)
-            at = both
+                    edges = np.searchsorted(used, np.arange(RANGES + 1) * width)
+                    for part, (a, b) in enumerate(zip(edges, edges[1:])):
+                        if part and a == b:
+                            continue
+                        here = used[a:b]
+                        out = [here, *[new[k][here].astype(np.float32) if k in large else new[k] if not part else new[k][:0] for k in names]]
+                        cols = [pa.array([part], pa.int32()), pa.array([row["shard"]], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in out]]
+                        yield pa.RecordBatch.from_arrays(cols, names=["part", "shard", "used", *names])
+
+        learned = packed.mapInArrow(one, f"part int, shard int, {schema}").repartition("part").sortWithinPartitions("part", "shard")
+        merged = sorted(learned.mapInArrow(merge, f"part int, {schema}").collect(), key=lambda row: row["part"])
         now.destroy()
-        if n:
-            state = {k: sums[k] / n for k in names}
+        changed = np.concatenate([np.frombuffer(row["used"], np.int32) for row in merged])
+        both = np.union1d(at, changed)
+        old, more = np.searchsorted(both, at), np.searchsorted(both, changed)
+        for k in names:
+            if k in large:
+                total = np.zeros(len(both), np.float32)
+                total[old] = state[k]
+                total[more] += np.concatenate([np.frombuffer(row[k], np.float32) for row in merged])
+                state[k] = total
+            else:
+                state[k] = np.frombuffer(merged[0][k], np.float64)
+        at = both
+        # the round's shuffle files go when the driver's JVM finds that nothing refers to them
+        del learned, merged
+        sc._jvm.System.gc()
     return {"at": at, **state}
 
 

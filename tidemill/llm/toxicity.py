@@ -7,10 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm import features
+from tidemill.plans.session import cut_lineage
 
 # ASCII letters in lower case, punctuation as white space; other bytes stay.
 TABLE = bytes(32 if chr(b) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -21,8 +23,8 @@ STEM = 5
 
 @dataclass(frozen=True)
 class Settings:
-    """Hash bits, learning rates and penalties; ``least`` documents of a full shard must have a
-    feature that is learned (one in a hundred, but two at least, where a shard is small)."""
+    """Hash bits, learning rates and penalties; ``least`` documents of the whole sample must have a
+    feature that is learned, however large the sample or its shards are."""
 
     bits: int = 22
     alpha: float = 1.0
@@ -31,7 +33,7 @@ class Settings:
     l2: float = 0.1
     passes: int = 2
     rounds: int = 4
-    least: int = 6
+    least: int = 2
     sample: int = features.LARGEST_SAMPLE
 
 
@@ -52,20 +54,18 @@ def buckets_of(texts: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def featuriser(bits: int, least: int):
+def featuriser(bits: int, common: Broadcast):
     def featurise(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct buckets per text, without those that fewer than ``least`` texts of the shard have."""
-        found = []
+        """Distinct buckets per text, of those that ``common`` has (packed bits)."""
+        known = np.unpackbits(common.value).view(bool)
+        found = [np.zeros(0, np.int64)]
         for a, b in features.in_steps(texts, features.STEP_WORDS * 6):
             keys, owners = buckets_of(texts[a:b], bits)
-            found.append(np.unique((owners + a) << bits | keys))
-        both = np.concatenate(found) if found else np.zeros(0, np.int64)
-        keys, owners = both & ((1 << bits) - 1), both >> bits
-        # small shards keep features of fewer texts
-        enough = np.bincount(keys, minlength=1 << bits)[keys] >= min(least, max(2, len(texts) // 100))
-        keys, owners = keys[enough], owners[enough]
-        starts = np.searchsorted(owners, np.arange(len(texts) + 1))
-        return starts, keys, np.zeros(0, np.float32)
+            enough = known[keys]
+            found.append(np.unique((owners[enough] + a) << bits | keys[enough]))
+        both = np.concatenate(found)
+        starts = np.searchsorted(both >> bits, np.arange(len(texts) + 1))
+        return starts, both & ((1 << bits) - 1), np.zeros(0, np.float32)
 
     return featurise
 
@@ -113,8 +113,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, label: str, settings: Sett
     labelled document the model has no weights and scores everything 0.5.
     """
     s = settings
-    sample = features.labelled_sample(docs, labels, label, key, s.sample)
-    packed = features.pack_shards(sample, featuriser(s.bits, s.least))
+    sample = cut_lineage(features.labelled_sample(docs, labels, label, key, s.sample))
+    common = sample.sparkSession.sparkContext.broadcast(features.common_buckets(sample, lambda t: buckets_of(t, s.bits), s.bits, s.least))
+    packed = features.pack_shards(sample, featuriser(s.bits, common))
     zero = {"z": np.zeros(1 << s.bits), "n": np.zeros(1 << s.bits), "bias": np.zeros(2)}
     state = features.shard_rounds(packed, learner(s), zero, 1 << s.bits, s.rounds)
     w = weights_of(state["z"], state["n"], s)
