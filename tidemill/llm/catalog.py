@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import chat, host_rules, mixing, packing, quality, sharding, shingles, toxicity, twins, vectors, warc
-from tidemill.llm.common import table
+from tidemill.llm import chat, host_rules, mixing, packing, quality, repeats, search, sharding, shingles, toxicity, twins, vectors, warc, wrappers
+from tidemill.llm.common import SPACE, table, word_array
 from tidemill.plans.session import cut_lineage, work_dir
 
 SHARDS = 24
@@ -108,6 +108,46 @@ def op10(s: SparkSession, d: str) -> DataFrame:
     return sharding.shard_rows(docs, ["doc_id", "size", "text_crc32"], SHARDS).withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
+def periodic_tails(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) where every tenth document by its hash goes on periodically from one of its words."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.expr("h div 10")
+    n = F.size("words")
+    rows = docs.select("doc_id", "text", h.alias("h")).withColumn("words", F.when(F.col("h") % 10 == 0, word_array(F.col("text"))))
+    marked = rows.withColumn("a", F.when(n > 0, (g % n).cast("int"))).withColumn("p", F.when(n > 0, F.expr("(1 + (size(words) - a) div (3 + (h div 10) % 8))").cast("int")))
+    moved = F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", F.col("a") + (i - F.col("a")) % F.col("p"))))
+    return marked.select("doc_id", F.when(F.col("p").isNotNull(), F.array_join(moved, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11(s: SparkSession, d: str) -> DataFrame:
+    """Periodic runs of all documents, some of which are made periodic first."""
+    found = repeats.find_runs(periodic_tails(table(s, d, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    length, period = F.col("best.length"), -F.col("best.col3")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.col2")).alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12(s: SparkSession, d: str) -> DataFrame:
+    """Main text of all pages."""
+    pages = wrappers.extract_text(table(s, d, "pages"))
+    return pages.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def op13(s: SparkSession, d: str) -> DataFrame:
+    """The 50 best documents for each benchmark item."""
+    return search.search(table(s, d, "documents"), table(s, d, "benchmark"))
+
+
 QUERIES = {
     "op1_ftrl_toxicity": op1,
     "op2_warc_captures": op2,
@@ -119,6 +159,9 @@ QUERIES = {
     "op8_pivotal_mix": op8,
     "op9_minhash_join": op9,
     "op10_feistel_shards": op10,
+    "op11_word_runs": op11,
+    "op12_host_wrappers": op12,
+    "op13_block_maxscore": op13,
 }
 
 SQL = {
@@ -139,6 +182,8 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
 FROM e GROUP BY conv_id""",
     "op6_host_rules": twins.host_rules(),
     "op10_feistel_shards": twins.shards(SHARDS),
+    "op12_host_wrappers": twins.articles(),
+    "op13_block_maxscore": twins.ranked(),
     "op9_minhash_join": """WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') AS ws FROM documents),
 g AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
   ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS gs FROM w),

@@ -52,3 +52,29 @@ walk AS (SELECT doc_id, size, text_crc32, total, l, r, x FROM {_pass("n", seed)}
   UNION ALL SELECT doc_id, size, text_crc32, total, l, r, x FROM {_pass("(SELECT * FROM walk WHERE x >= total)", seed)})
 SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, (x % {count})::INTEGER AS shard, (x // {count})::BIGINT AS slot,
   NULL::INTEGER AS grown_shard FROM walk WHERE x < total"""
+
+
+def articles() -> str:
+    """The article of each page, for pages that mark it: blocks are what stands between tags of block elements."""
+    named = {"quot": '"', "lt": "<", "gt": ">", "copy": "©", "middot": "·"}
+    text = "regexp_replace(b, '<[^>]*(>|$)', ' ', 'g')"
+    for name, sign in named.items():
+        text = f"regexp_replace({text}, '&{name};?', '{sign}', 'g')"
+    text = f"trim(regexp_replace(regexp_replace({text}, '&amp;?', '&', 'g'), '{BLANK}+', ' ', 'g'))"
+    return f"""WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS h FROM pages),
+t AS (SELECT page_id, url, array_to_string(list_filter(list_transform(string_split_regex(h, '</?(p|h1)>'), lambda b: {text}), lambda b: b <> ''), chr(10) || chr(10)) AS text FROM a)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t"""
+
+
+def ranked(k: int = 50) -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    terms = f"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+    return f"""WITH d AS (SELECT doc_id, {terms} AS ts FROM documents),
+s AS (SELECT count(*)::BIGINT AS n_docs, sum(len(ts))::BIGINT AS total FROM d WHERE len(ts) > 0),
+q AS (SELECT DISTINCT item_id, unnest({terms}) AS t FROM benchmark),
+p AS (SELECT doc_id, n, t, count(*)::BIGINT AS tf FROM (SELECT doc_id, len(ts)::BIGINT AS n, unnest(ts) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY doc_id, n, t),
+w AS (SELECT t, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, s GROUP BY t),
+r AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // total))))::BIGINT AS score
+  FROM q JOIN p USING (t) JOIN w USING (t), s GROUP BY item_id, doc_id)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+FROM r WHERE score > 0 QUALIFY rank <= {k}"""
