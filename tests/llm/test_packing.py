@@ -1,6 +1,7 @@
 """Packing: exact ids, gapless sequences and little padding."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemill.llm import packing
@@ -17,32 +18,37 @@ def plain_ids(content, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_str(content)
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
 TEXTS = [
-    "", " ", "\n", "a", " a", "a ", "a  b", "a\n\nb", "a \nb", "a\n b", "one two\nthree", "it's 3,5 don't!!", "é ü x y", "tab\tx\r\ny", "<|endoftext|> x",
+    "", " ", "\n", "a", " a", "a ", "a  b", "a\n\nb", "a \nb", "a\n b", "one two\nthree", "it's 3,5 don't!!", "é ü x y", "tab\tx\r\ny", "<|endoftext|> x", "a<|endoftext|>b c", "<|endoftext|", "a <|endoftext|> <|endoftext|>",
     "\x01 a b", "x\x1cy z", "a\u0085b c", "ñandú ção 漢字 かな 🙂 ok", "word " * 50, "  lead", "trail \n", "no\nspace\nlines", "a ,b . c", "​ z", "A'll 'll",
 ]
 
 
+def split(ids, ends):
+    return [x.tolist() for x in np.split(ids, ends)[: len(ends)]]
+
+
 def test_ids_are_the_tokenizer_s(content):
-    encode = packing.WordIds(content)
+    words = packing.WordIds(content)
+    encode = lambda texts: split(*words(pa.array(texts, pa.string())))
     rng = np.random.default_rng(0)
     alphabet = list("ab,. \n\t'1é") + ["  ", "\r\n", "!!", "ing", "'s"]
     texts = TEXTS + ["".join(rng.choice(alphabet, int(rng.integers(1, 60)))) for _ in range(500)]
     for _ in range(2):
-        assert [list(x) for x in encode(texts)] == plain_ids(content, texts)
-    assert [list(x) for x in encode(texts[::-1])] == plain_ids(content, texts[::-1])
+        assert encode(texts) == plain_ids(content, texts)
+    assert encode(texts[::-1]) == plain_ids(content, texts[::-1])
+    assert encode([]) == [] and encode([""]) == [[]] and encode(["<|endoftext|> x"]) == [[50256, 2124]]
 
 
 def test_forgetting_keeps_ids_right(content, monkeypatch):
     monkeypatch.setattr(packing, "REMEMBERED", 5)
-    encode = packing.WordIds(content)
+    words = packing.WordIds(content)
     texts = [f"some words {k} here and there {k * k}" for k in range(40)]
     for _ in range(3):
-        assert [list(x) for x in encode(texts)] == plain_ids(content, texts)
+        assert split(*words(pa.array(texts))) == plain_ids(content, texts)
 
 
 def checked(rows, texts, content, length):
@@ -76,7 +82,9 @@ def test_odd_tables(spark, content):
     out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), content).collect()
     assert sorted((r.doc_id or 0, r.length, r.doc_tokens) for r in out) == [(0, 3, 3), (1, 1, 1), (1, 1, 1), (2, 1, 1)]
     assert sorted(r.offset for r in out)[0] == 0 and len({(r.sequence_id, r.offset) for r in out}) == 4
-    assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), content).count() == 0
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for none in (spark.createDataFrame([], docs.schema), docs.where("false"), docs.limit(0), cut_lineage(docs.where("false"))):
+        assert packing.pack(none, content).count() == 0
 
 
 def test_best_fit_and_fullest_first():

@@ -73,7 +73,6 @@ def token_ids(duck):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_str(catalog.tokenizer_file())
-    t.encode_special_tokens = True
     rows = duck.execute("SELECT doc_id, coalesce(text, '') FROM documents").fetchall()
     return {i: [*t.encode(x, add_special_tokens=False).ids, 0] for i, x in rows}
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +25,8 @@ OPEN = 64
 FAN_IN = 16
 # Parts of texts whose ids a task remembers, about 100 MB.
 REMEMBERED = 600_000
+# Bytes of text that are split at a time.
+STEP = 4 << 20
 
 
 class WordIds:
@@ -30,7 +34,8 @@ class WordIds:
 
     A byte-level tokenizer splits before every space that a non-space follows and around single line
     breaks, whatever stands elsewhere; so texts whose white space is single spaces and line breaks are
-    looked up part by part. Others are given to the tokenizer whole.
+    split there, many texts at a time, and their distinct parts looked up. Others, and those that hold one of the
+    tokenizer's added tokens, are given to it whole.
     """
 
     def __init__(self, content: str):
@@ -38,7 +43,10 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # white space other than single spaces and line breaks between words
+        odd = r"[\x01\x09\x0B-\x0D\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|[ \n][ \n]|^[ \n]|[ \n]$"
+        self.whole = "|".join([rf"(?-m:{odd})", *[re.escape(t) for t in added if t]])
         (self.line_break,) = self.encode(["\n"])[0]
         self.forget()
 
@@ -71,42 +79,45 @@ class WordIds:
 
     def learn(self, parts: list[str]) -> None:
         """Remember new parts; they are tokenized many at a time, with line breaks between them."""
-        parts = [p for p in parts if p != "\n"]
         lines = ["\n".join(parts[k : k + 256]) + "\n" for k in range(0, len(parts), 256)]
         ids = np.fromiter(chain.from_iterable(self.encode(lines)), np.uint32)
         breaks = np.flatnonzero(ids == self.line_break)
         self.append(parts, ids[ids != self.line_break], breaks - np.arange(len(breaks)))
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+    def by_parts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain texts one after the other, and where each text ends."""
+        marked = pc.replace_substring(pc.replace_substring(texts, "\n", "\x01\n\x01"), " ", "\x01 ")
+        split = pc.split_pattern(marked, "\x01")
+        cut = split.offsets.to_numpy()
+        parts = split.flatten().dictionary_encode()
+        distinct = parts.dictionary.to_pylist()
+        number = np.fromiter(map(self.number.get, distinct, repeat(-1)), np.int64, len(distinct))
+        missing = np.flatnonzero(number < 0)
+        if len(missing):
+            number[missing] = np.arange(len(missing)) + len(self.number)
+            self.learn([distinct[k] for k in missing])
+        ids, end = self.gather(number[parts.indices.to_numpy()])
+        return ids, np.concatenate([[0], end])[cut[1:]]
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (none is null) one after the other, and where each text ends."""
         if len(self.number) > REMEMBERED:
             self.forget()
-        out: list = [None] * len(texts)
-        parts, owners = [], []
-        whole = []
-        for k, t in enumerate(texts):
-            words = t.split()
-            # every gap is one character, and that is a space or a line break
-            plain = len(" ".join(words)) == len(t) and t.count(" ") + t.count("\n") == len(words) - 1
-            if not plain or "\x01" in t:
-                whole.append(k)
-            else:
-                parts.append(t.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01"))
-                owners.append(k)
-        for k, ids in zip(whole, self.encode([texts[k] for k in whole]) if whole else []):
-            out[k] = np.array(ids, np.uint32)
-        flat = list(chain.from_iterable(parts))
-        at = np.fromiter(map(self.number.get, flat, repeat(-1)), np.int64, len(flat))
-        missing = np.flatnonzero(at < 0)
-        if len(missing):
-            names = [flat[k] for k in missing]
-            self.learn(list(dict.fromkeys(names)))
-            at[missing] = [self.number[n] for n in names]
-        ids, end = self.gather(at)
-        cut = np.cumsum([len(p) for p in parts])
-        ends = end[cut - 1] if len(cut) else cut
-        for k, a, b in zip(owners, np.concatenate([[0], ends[:-1]]) if len(ends) else [], ends):
-            out[k] = ids[int(a) : int(b)]
-        return out
+        odd = pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False) if len(texts) else np.zeros(0, bool)
+        odd |= pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        some, rest = np.flatnonzero(~odd), np.flatnonzero(odd)
+        plain, ends = self.by_parts(texts.take(pa.array(some))) if len(some) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        if not len(rest):
+            return plain, ends
+        whole = self.encode(texts.take(pa.array(rest)).to_pylist())
+        size = np.zeros(len(texts), np.int64)
+        size[some], size[rest] = np.diff(ends, prepend=0), [len(x) for x in whole]
+        end = np.cumsum(size)
+        out = np.zeros(int(end[-1]), np.uint32)
+        mine = np.repeat(odd, size)
+        out[~mine] = plain
+        out[mine] = np.fromiter(chain.from_iterable(whole), np.uint32)
+        return out, end
 
 
 _loaded: dict[int, WordIds] = {}
@@ -179,21 +190,33 @@ class _Rows:
             self.rows = []
 
 
+def ranges(sizes: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about ``size`` bytes; a longer text has a range of its own."""
+    part = np.cumsum(sizes) // size
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(sizes)]]) if len(sizes) else [0]
+    yield from zip(cuts, cuts[1:])
+
+
 def _pack(content, length: int, end: int, key_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Tokenize documents and pack them, keeping a fixed number of windows open."""
         encode = word_ids(content.value)
         rows, windows = _Rows(key_type, TaskContext.get().partitionId()), Windows(length)
         for batch in batches:
-            keys, texts = batch.column("key").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
-            for a in range(0, len(texts), 100):
-                for key, ids in zip(keys[a : a + 100], encode(texts[a : a + 100])):
-                    data = np.append(ids, end).astype("<u4")
-                    tokens, full = len(data), len(data) // length * length
+            keys, texts = batch.column("key").to_pylist(), batch.column("text").fill_null("")
+            sizes = pc.binary_length(texts).to_numpy()
+            for a, b in ranges(sizes, STEP):
+                ids, ends = encode(texts.slice(a, b - a))
+                # every document is closed by the end id
+                data = np.insert(ids, ends, end).astype("<u4").tobytes()
+                ends = (ends + np.arange(1, b - a + 1)).tolist()
+                for key, first, last in zip(keys[a:b], [0, *ends], ends):
+                    tokens = last - first
+                    full = tokens // length * length
                     for s in range(0, full, length):
-                        rows.add([(0, (key, s, data[s : s + length].tobytes(), tokens))], False)
+                        rows.add([(0, (key, s, data[4 * (first + s) : 4 * (first + s + length)], tokens))], False)
                     if full < tokens:
-                        size, piece = tokens - full, (key, full, data[full:].tobytes(), tokens)
+                        size, piece = tokens - full, (key, full, data[4 * (first + full) : 4 * last], tokens)
                         filled = windows.place(size, piece)
                         if filled is None:
                             if len(windows.open) >= OPEN:
@@ -258,7 +281,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
         return spark.read.schema(rows.schema).parquet(path)
 
     level = written(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(_pack(content, length, end, key_type), schema))
-    parts = docs.rdd.getNumPartitions()
+    parts = (level.where("open").agg(F.max("part")).first()[0] or 0) + 1
     done = level.where("NOT open")
     step = 0
     while True:
