@@ -142,3 +142,36 @@ def test_native_queries_run_without_python(spark):
 def test_no_cross_join_between_rows(spark, name):
     plan = catalog.QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
+
+
+def test_hosts_get_different_verdicts(spark):
+    """Documents that fail a soft rule only: kept or not by what their host's rate is."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    judged = catalog.host_rules.judge_documents(docs).where("quality.soft_failed AND NOT quality.base_failed")
+    by = {r[0]: r[1] for r in judged.groupBy("source").agg({"quality.kept": "max"}).collect()}
+    assert set(by.values()) == {True, False}
+    kept = {r.doc_id for r in catalog.QUERIES["op6_host_rules"](spark, SF_DIR).where("kept").collect()}
+    assert kept & {r.doc_id for r in judged.collect()}
+
+
+@pytest.mark.parametrize("stage", corpus_pipeline.STAGES[:-1], ids=lambda s: s[0])
+def test_stages_take_unusual_tables(spark, tmp_path, stage):
+    """Nulls in every column, repeated rows, an empty table, and columns named like those that stages make."""
+    from pyspark.sql import functions as F
+
+    name, run = stage
+    few = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(60)
+    long = few.limit(1).withColumn("text", F.repeat(F.lit("some words that go on "), 40_000))
+    none = few.limit(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in few.schema])
+    odd = few.unionByName(few.limit(5)).unionByName(none).unionByName(none).unionByName(few.limit(3).withColumn("text", F.lit(""))).unionByName(long)
+    extra = ["quality", "a.b", "row", "rate", "id", "key", "grade", "tail_1", "_metadata", "kept", "_0", "expected_grade"]
+    for rows in (odd, odd.where("false")):
+        path = str(tmp_path / f"t{rows.count()}")
+        rows.withColumns({c: F.lit(c) for c in extra}).write.parquet(path)
+        docs = spark.read.parquet(path)
+        out = run(spark, docs, SF_DIR)
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert {tuple(r) for r in got} <= {tuple(r) for r in docs.collect()}
+        assert got or not docs.count() or name == "quality rules"
+        assert all(r[c] == c for r in got for c in extra)

@@ -41,14 +41,20 @@ def test_counts_match_plain_python(spark):
 def test_hosts_are_judged_by_shrunk_rates(spark):
     good, bad = " ".join(f"w{k}" for k in range(60)), "too short"
     odd = " ".join(f"w{k}#" for k in range(60))
-    rows = [(1, good, "clean")] * 30 + [(2, bad, "junk")] * 60 + [(3, good, "junk")] + [(4, odd, "watch")] * 6 + [(5, good, "watch")] * 24
+    rows = [(1, good, "clean")] * 30 + [(2, bad, "junk")] * 60 + [(3, good, "junk")] + [(4, odd, "watch")] * 13 + [(5, good, "watch")] * 17
     rows += [(6, good, None), (7, bad, "small"), (8, good, "small"), (9, None, None)]
+    # many hosts without failures, where odd texts stay
+    rows += [(10, good, f"h{k % 10}") for k in range(300)] + [(11, odd, "h3")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("_q", F.lit(1)).withColumn("_rate", F.lit("x"))
     out = host_rules.judge_documents(df)
     assert out.columns == [*df.columns, "quality"]
-    got = out.select("doc_id", "source", "quality.kept", "quality.host_rate").distinct().toPandas().set_index("doc_id")
+    got = out.groupBy("doc_id").agg(F.min("quality.kept").alias("kept"), F.max("quality.host_rate").alias("host_rate")).toPandas().set_index("doc_id")
+    kept = host_rules.keep_documents(df.withColumn("a.b", F.lit(2)).withColumn("quality", F.struct(F.lit(3).alias("x"))))
+    assert kept.columns == [*df.columns, "a.b", "quality"] and kept.first()["quality"].x == 3
+    assert kept.groupBy("doc_id").count().orderBy("doc_id").collect() == out.where("quality.kept").groupBy("doc_id").count().orderBy("doc_id").collect()
     assert not got.kept[3], "a good text of a host that fails as a whole"
     assert got.kept[1] and got.kept[5] and got.kept[8] and not got.kept[4] and not got.kept[2] and not got.kept[9]
+    assert got.kept[10] and got.kept[11], "a host like most others isn't watched"
     assert got.host_rate[2] > 0.7 and 0.05 < got.host_rate[4] < 0.7
     assert got.host_rate[7] > 0.5 - 0.5 and got.host_rate[8] == got.host_rate[7]
     assert out.count() == len(rows)

@@ -92,13 +92,13 @@ def op7(s: SparkSession, d: str) -> DataFrame:
 
 def op8(s: SparkSession, d: str) -> DataFrame:
     """Words that the mix takes from each document."""
-    plan = mixing.plan_copies(table(s, d, "documents").select("doc_id", "source", "text"))
+    plan = mixing.plan_copies(table(s, d, "documents").select("doc_id", "source", "text"), stored=True)
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op9(s: SparkSession, d: str) -> DataFrame:
     """Links and classes of all documents by their 5-word n-grams."""
-    return shingles.link_texts(table(s, d, "documents").select("doc_id", "text")).drop("row")
+    return shingles.link_texts(table(s, d, "documents").select("doc_id", "text"), stored=True).drop("row")
 
 
 def op10(s: SparkSession, d: str) -> DataFrame:

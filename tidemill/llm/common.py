@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,16 +16,21 @@ from tidemill.plans.session import cut_lineage, tune
 SPACE = "\\x20\\x09-\\x0D"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
-# Arrow batches are bounded by rows and by bytes, so that long texts don't add up in a Python worker.
-BATCH = {
+SETTINGS = {
+    # Arrow batches are bounded by rows and by bytes, so that long texts don't add up in a Python worker.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+    # Shuffle files go when their query ends; results that are read again are written tables.
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
 }
 
+# Decisions about rows are broadcast up to so many words of 64 rows each, about 40 MB.
+DECISION_WORDS = 1_000_000
+
 
 def settle(spark: SparkSession) -> SparkSession:
-    """The library's session settings, and small Arrow batches."""
-    for key, value in BATCH.items():
+    """The library's session settings, small Arrow batches and shuffle files that go when they are done with."""
+    for key, value in SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
     return tune(spark)
@@ -50,22 +56,41 @@ def word_count(text: Column) -> Column:
     return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, f"[{SPACE}]+"))).cast("long")
 
 
-def row_numbers(df: DataFrame, name: str) -> DataFrame:
-    """Add a unique number per row of a stored table.
+def addressed(docs: DataFrame, name: str, stored: bool = False) -> DataFrame:
+    """Add the place of each row, a struct of its file's hash and its index in the file.
 
-    The numbers follow files and rows, so reading the same table again gives the same ones whatever
-    columns are read. ``df`` must be such a scan with at most a projection on top.
+    The place is a property of the stored rows: it doesn't depend on how a scan is cut into partitions, and no
+    copy with numbers is needed. ``stored`` says that ``docs`` is a table as read from Parquet files, at most with
+    some columns or rows left out; others are written first.
     """
-    return df.withColumn(name, F.monotonically_increasing_id())
+    if stored:
+        try:
+            at = docs.metadataColumn("_metadata")
+            return docs.withColumn(name, F.struct(F.xxhash64(at["file_path"]).alias("file"), at["row_index"].alias("index")))
+        except AnalysisException:
+            pass
+    return addressed(cut_lineage(docs), name, True)
 
 
-def stored_numbers(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once with a unique number per row, and go on from that table.
+def with_decisions(docs: DataFrame, place: str, decisions: DataFrame, name: str, most: int = 1) -> DataFrame:
+    """Add ``name``, the small number that ``decisions`` (place, value from 1 to ``most``) has for a row's place, else 0.
 
-    The number is data: it doesn't depend on how a later scan is cut into partitions, so jobs that are
-    planned at different times agree on it.
+    Decisions about 64 neighbours are packed into a word per binary digit, so they are far smaller than the rows.
+    Up to ``DECISION_WORDS`` words are broadcast and the rows stay where they are; more are joined.
     """
-    return cut_lineage(df.withColumn(name, F.monotonically_increasing_id()))
+    digits = most.bit_length()
+    index = F.col("place.index")
+    here = decisions.select(F.col("place.file").alias("file"), F.shiftright(index, 6).alias("word"), index.bitwiseAND(F.lit(63)).cast("int").alias("bit"), "value")
+    each = lambda k: F.bit_or(F.when(F.getbit("value", F.lit(k)) == 1, F.expr("shiftleft(1L, bit)")).otherwise(F.lit(0).cast("long"))).alias(f"d{k}")
+    packed = cut_lineage(here.withColumn("value", F.col("value").cast("long")).groupBy("file", "word").agg(*[each(k) for k in range(digits)]))
+    words = packed.count()
+    bits = fresh_name(docs, "bits")
+    side = packed.select(F.struct("file", "word").alias(f"{bits}word"), F.struct(*[f"d{k}" for k in range(digits)]).alias(bits))
+    side = F.broadcast(side) if words <= DECISION_WORDS else side
+    key = F.struct(F.col(f"{place}.file").alias("file"), F.shiftright(F.col(f"{place}.index"), 6).alias("word"))
+    bit = F.col(f"{place}.index").bitwiseAND(F.lit(63)).cast("int")
+    value = sum(((F.getbit(F.col(f"{bits}.d{k}"), bit) * (1 << k)).cast("int") for k in range(digits)), F.lit(0))
+    return docs.join(side, key == F.col(f"{bits}word"), "left").withColumn(name, F.coalesce(value, F.lit(0))).drop(f"{bits}word", bits)
 
 
 def fresh_name(df: DataFrame, stem: str) -> str:
@@ -82,7 +107,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     The root is the smallest node of its component. Pairs are contracted by alternating large-star and
     small-star steps until nothing changes; each step is joins and minima over pairs, written to the
-    shared folder, so a hub with very many pairs is never gathered in one place.
+    shared folder. Minima are combined before the shuffle; a hub's pairs meet its minimum in one partition of
+    a join, which adaptive execution splits if it is large, so a hub is never held in memory.
     """
     pairs = _stored_pairs(edges.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct())
     seen = None

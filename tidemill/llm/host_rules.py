@@ -7,9 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import SPACE_CHARS, fresh_name, let, word_array
-from tidemill.plans.joins import join_null_safe
-from tidemill.plans.session import cut_lineage
+from tidemill.llm.common import SPACE_CHARS, addressed, fresh_name, let, with_decisions, word_array
+from tidemill.plans.session import cut_lineage, hint_small
 
 # Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -22,17 +21,19 @@ class Rules:
     """Limits of the rules.
 
     A document fails a soft rule beyond ``symbol_percent`` symbols, or ``dup_line_percent``
-    repeated lines, per 100 words. A host whose shrunk rate of
-    failing documents is above ``host_limit`` loses all documents; above ``watch_limit`` it
-    loses those that fail a soft rule.
+    repeated lines, per 100 words. Hosts are told apart by their shrunk rates of failing documents, in
+    standard deviations of the fitted prior above its mean: from ``watch_margin`` on a host loses the documents that
+    fail a soft rule, and from ``host_margin`` on, if more than ``host_limit`` of its documents fail, it loses all.
+    Where the hosts' rates don't differ by more than chance explains, no host is watched.
     """
 
     min_words: int = 50
     max_repeat_percent: int = 50
     symbol_percent: int = 30
     dup_line_percent: int = 10
-    watch_limit: float = 0.05
-    host_limit: float = 0.7
+    watch_margin: float = 0.5
+    host_margin: float = 1.0
+    host_limit: float = 0.5
 
 
 def repeated_words(words: Column) -> Column:
@@ -87,7 +88,8 @@ def soft_failures(c: Column, rules: Rules) -> Column:
 
 
 def shrunk_rates(hosts: DataFrame) -> DataFrame:
-    """Add ``rate`` to rows (n, failed): the failure rate shrunk towards all hosts' mean.
+    """Add ``rate`` and ``margin`` to rows (n, failed): the failure rate shrunk towards all hosts' mean, and how many
+    standard deviations of the prior it lies above that (0 where there is no spread).
 
     The beta prior has the mean of all documents; its weight follows from the spread of the hosts' rates
     beyond what chance explains (method of moments), and is unlimited where there is no such spread.
@@ -111,11 +113,13 @@ def shrunk_rates(hosts: DataFrame) -> DataFrame:
     )
     rate = F.when(F.col("weight").isNull(), F.col("mean")).otherwise((F.col("failed") + F.col("weight") * F.col("mean")) / (F.col("n") + F.col("weight")))
     # the prior is one row
-    return hosts.join(F.broadcast(prior)).withColumn("rate", rate).drop("mean", "weight")
+    deviation = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("weight") + 1))
+    margin = F.coalesce((F.col("rate") - F.col("mean")) / F.nullif(deviation, F.lit(0.0)), F.lit(0.0))
+    return hosts.join(F.broadcast(prior)).withColumn("rate", rate).withColumn("margin", margin).drop("mean", "weight")
 
 
 def host_rates(judged: DataFrame, host: str) -> DataFrame:
-    """One row per host: n, failed, rate. Counts are combined before the shuffle, so a hot host is cheap."""
+    """One row per host: n, failed, rate, margin. Counts are combined before the shuffle, so a hot host is cheap."""
     hosts = judged.groupBy(host).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("failed").cast("long")).alias("failed"))
     return shrunk_rates(hosts)
 
@@ -134,19 +138,22 @@ def measure(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> Data
 
 
 def judge(measured: DataFrame, host: str = "source", rules: Rules = Rules()) -> DataFrame:
-    """Add host_rate and kept to ``quality``.
+    """Add host_rate, host_margin and kept to ``quality``.
 
     Failures of either kind are summed by host, shrunk with an empirical beta prior and turned into a
     verdict per host, which is joined back. Rows without a host form one host of their own (null).
     Repeated rows count as often as they occur. ``measured`` is read twice.
     """
-    c, rate = F.col("quality"), fresh_name(measured, "rate")
-    rates = host_rates(measured.select(F.col(f"`{host}`").alias("host"), (c["base_failed"] | c["soft_failed"]).alias("failed")), "host")
-    verdicts = rates.select(F.col("host").alias(host), F.col("rate").alias(rate))
-    joined = join_null_safe(measured, verdicts, [host], "left")
-    kept = ~c["base_failed"] & (F.col(rate) <= rules.host_limit) & ~(c["soft_failed"] & (F.col(rate) > rules.watch_limit))
+    c, verdict = F.col("quality"), fresh_name(measured, "verdict")
+    rates = cut_lineage(host_rates(measured.select(F.col(f"`{host}`").alias("host"), (c["base_failed"] | c["soft_failed"]).alias("failed")), "host"))
+    verdicts = rates.select(F.col("host").alias(f"{verdict}host"), F.struct("rate", "margin").alias(verdict))
+    joined = measured.join(hint_small(verdicts, rates.count()), F.col(f"`{host}`").eqNullSafe(F.col(f"{verdict}host")), "left")
+    v = F.col(verdict)
+    lost = (v["margin"] >= rules.host_margin) & (v["rate"] > rules.host_limit)
+    kept = ~c["base_failed"] & ~lost & ~(c["soft_failed"] & (v["margin"] >= rules.watch_margin))
     fields = [c[k].alias(k) for k in [*COUNTS, "base_failed", "soft_failed"]]
-    return joined.withColumn("quality", F.struct(*fields, F.col(rate).alias("host_rate"), kept.alias("kept"))).drop(rate)
+    judged = F.struct(*fields, v["rate"].alias("host_rate"), v["margin"].alias("host_margin"), kept.alias("kept"))
+    return joined.withColumn("quality", judged).drop(verdict, f"{verdict}host")
 
 
 def judge_documents(docs: DataFrame, text: str = "text", host: str = "source", rules: Rules = Rules()) -> DataFrame:
@@ -155,3 +162,15 @@ def judge_documents(docs: DataFrame, text: str = "text", host: str = "source", r
     All rows and all other columns are kept. An empty table stays empty.
     """
     return judge(cut_lineage(measure(docs, text, rules)), host, rules)
+
+
+def keep_documents(docs: DataFrame, text: str = "text", host: str = "source", rules: Rules = Rules(), stored: bool = False) -> DataFrame:
+    """The rows of ``docs`` that pass, with all their columns, whatever these are called.
+
+    Only counts and verdicts are written; the texts are read twice and stay where they are. ``stored``: see ``addressed``.
+    """
+    place, mark = fresh_name(docs, "place"), fresh_name(docs, "kept")
+    placed = addressed(docs, place, stored)
+    counted = measure(placed.select(F.col(place).alias("place"), F.col(f"`{host}`").alias("host"), F.col(f"`{text}`").alias("text")), rules=rules).drop("text")
+    kept = judge(cut_lineage(counted), "host", rules).where("quality.kept").select("place", F.lit(1).alias("value"))
+    return with_decisions(placed, place, kept, mark).where(F.col(mark) == 1).drop(place, mark)

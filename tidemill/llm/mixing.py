@@ -6,23 +6,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import fresh_name, groups_of, stored_numbers, word_count
+from tidemill.llm.common import addressed, fresh_name, groups_of, with_decisions, word_count
 from tidemill.llm.sharding import number_rows
 from tidemill.plans.joins import join_null_safe
 from tidemill.plans.session import cut_lineage
 
 # Weights of the sources in order, repeating.
 WEIGHTS = (3, 1, 2)
+# No source is taken more often than this.
+MOST = 2
 # A group of the reduction tree has about this many rows, and this many groups meet one level up.
 GROUP = 4096
 # Closer to a whole number than this counts as whole.
 WHOLE = 1e-9
 
 
-def source_targets(sizes: DataFrame, budget_percent: int = 150, most: int = 2, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+def source_targets(sizes: DataFrame, budget_percent: int = 150, most: int = MOST, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """Rows (source, source_size, target) from rows (source, source_size); one per source.
 
     Sources in code point order, null last, take the weights in turn and share ``budget_percent`` of all
@@ -118,26 +120,40 @@ def round_parts(rows: DataFrame) -> DataFrame:
     return done.select("row", last.alias("extra"))
 
 
-def plan_copies(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", seed: int = 0, row: str | None = None) -> DataFrame:
+def number_equals(rows: DataFrame, key: str, place: str, name: str) -> DataFrame:
+    """Number the rows with equal ``key`` 0, 1, 2, ... as ``name``.
+
+    Rows are counted by key and file, and numbered within these, so one key's rows meet in a task only as far as they lie in one file.
+    """
+    file = F.col(f"{place}.file")
+    per_file = rows.groupBy(F.col(key).alias("k"), file.alias("f")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("k").orderBy("f").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = per_file.select("k", "f", F.coalesce(before, F.lit(0)).alias("before")).where("before > 0")
+    inside = F.row_number().over(Window.partitionBy(key, file).orderBy(f"{place}.index")) - 1
+    numbered = rows.withColumn(name, inside.cast("long"))
+    return numbered.join(offsets, (F.col(key) == F.col("k")) & (file == F.col("f")), "left").withColumn(name, F.col(name) + F.coalesce("before", F.lit(0))).drop("k", "f", "before")
+
+
+def plan_copies(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", seed: int = 0, stored: bool = False) -> DataFrame:
     """How often each row goes into the mix: (row, key, source, size, source_size, target, copies), one per row.
 
-    ``row`` is the number in the column ``row`` of ``docs``, which has to be stored and unique, or without that
-    name a number of this result only. A row's size is its number of words. All rows of a source have the same fractional number of copies, its target over its size; the
-    whole part is taken as it is and the rest is rounded dependently. Draws depend on key and seed, so
-    reruns agree; a key repeated more than ``GROUP`` times is dealt out by row number as well. Null texts
-    and sources without words are never taken. An empty table gives no rows.
+    ``row`` is the row's place in the stored table: of ``docs``, if they are ``stored`` (see ``addressed``), else of a
+    copy. A row's size is its number of words. All rows of a source have the same fractional number of copies, its
+    target over its size; the whole part is taken as it is and the rest is rounded dependently. Draws depend on the
+    seed and on key, source and text alone. Rows that are equal in these are told apart by a number, whichever takes
+    which, so reruns agree however the rows are stored. Null texts and sources without words are never taken. An empty table gives no rows.
     """
-    chosen = [F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size")]
-    rows = cut_lineage(docs.select(F.col(f"`{row}`").alias("row"), *chosen)) if row else stored_numbers(docs.select(*chosen), "row")
+    chosen = [F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text")]
+    placed = addressed(docs.select(*chosen), "row", stored)
+    known_by = F.xxhash64("key", "source", "text", F.col("key").isNull(), F.col("source").isNull()).alias("identity")
+    rows = cut_lineage(placed.select("row", "key", "source", word_count(F.col("text")).alias("size"), known_by))
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     targets = cut_lineage(targets.withColumn("rank", F.monotonically_increasing_id()))
-    frequent = rows.groupBy("key").agg(F.count(F.lit(1)).alias("repeats")).where(F.col("repeats") > GROUP)
-    known = join_null_safe(join_null_safe(rows, targets, ["source"]), frequent, ["key"], "left")
+    known = join_null_safe(number_equals(rows, "identity", "row", "number"), targets, ["source"])
     rate = F.col("target") / F.nullif(F.col("source_size"), F.lit(0))
-    salt = F.when(F.col("repeats").isNotNull(), F.col("row")).otherwise(F.lit(0))
-    planned = cut_lineage(known.select("row", "key", "source", "size", "source_size", "target", "rank", salt.alias("salt"), F.coalesce(rate, F.lit(0.0)).alias("rate")))
-    order = F.xxhash64(F.lit(seed), "key", "size", "salt")
-    noise = F.pmod(F.xxhash64(F.lit(seed + 1), "key", "size", "salt"), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    planned = cut_lineage(known.select("row", "key", "source", "size", "source_size", "target", "rank", "identity", "number", F.coalesce(rate, F.lit(0.0)).alias("rate")))
+    order = F.xxhash64(F.lit(seed), "identity", "number")
+    noise = F.pmod(F.xxhash64(F.lit(seed + 1), "identity", "number"), F.lit(1 << 52)) / F.lit(float(1 << 52))
     parts = planned.select("row", "rank", "size", noise.alias("noise"), order.alias("order"), (F.col("rate") - F.floor("rate")).alias("part"))
     extra = round_parts(parts.where((F.col("part") > WHOLE) & (F.col("part") < 1 - WHOLE)))
     whole = F.floor(F.col("rate") + F.lit(WHOLE)).cast("long")
@@ -146,12 +162,13 @@ def plan_copies(docs: DataFrame, text: str = "text", source: str = "source", key
     )
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", seed: int = 0) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as planned, all columns kept."""
-    row = fresh_name(docs, "row")
-    numbered = stored_numbers(docs, row)
-    copies = plan_copies(numbered, text, source, key, seed, row).where("copies > 0").select(F.col("row").alias(row), "copies")
-    n = fresh_name(docs, "copies")
-    joined = numbered.join(copies.withColumnRenamed("copies", n), row)
-    each = fresh_name(docs, "each")
-    return joined.withColumn(each, F.explode(F.sequence(F.lit(1), F.col(n).cast("int")))).drop(row, n, each)
+def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", seed: int = 0, stored: bool = False) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as planned, all columns kept; see ``plan_copies``.
+
+    Rows with equal key, source and text that differ in other columns may take each other's copies.
+    """
+    row, n, each = (fresh_name(docs, x) for x in ("row", "copies", "each"))
+    placed = addressed(docs, row, stored)
+    copies = plan_copies(placed.drop(row), text, source, key, seed, True).where("copies > 0").select(F.col("row").alias("place"), F.col("copies").alias("value"))
+    joined = with_decisions(placed, row, copies, n, MOST).where(F.col(n) > 0)
+    return joined.withColumn(each, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(row, n, each)

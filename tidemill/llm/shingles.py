@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import components, fresh_name, forest, groups_of, stored_numbers
+from tidemill.llm.common import addressed, components, forest, fresh_name, groups_of, with_decisions
 from tidemill.plans.session import cut_lineage
 
 WORDS = 5
@@ -179,7 +179,7 @@ def _verify(least: float):
 
 
 def link_texts(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, width: int = WORDS, recall: float = 0.9999, row: str | None = None
+    docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, width: int = WORDS, recall: float = 0.9999, stored: bool = False
 ) -> DataFrame:
     """One row per row of ``docs``: (row, key, n_links, class_id, copy_of, kept).
 
@@ -188,8 +188,9 @@ def link_texts(
     and texts without words link with nothing. ``n_links`` counts all linked rows, ``class_id`` is the
     smallest key reachable by links (itself included), ``copy_of`` the smallest key with the same set. ``kept``
     is true for one row of each class, the first of those with the smallest key (null keys come last).
-    ``row`` is the number in the column ``row`` of ``docs``, which has to be stored and unique; without that name
-    the rows are numbered and written first. Repeated keys are rows of their own.
+    ``row`` is the row's place in the stored table: of ``docs``, if they are ``stored`` (see ``addressed``), else of a
+    copy. Repeated keys are rows of their own. Other columns are dropped. An empty table gives no rows. A text has to
+    fit into a task.
 
     Rows with equal sets are one text from the start, so large groups of copies cost one row. Texts that share
     a band form candidate components. Only their sets are loaded, dealt into tiles of bounded size, and compared
@@ -200,10 +201,10 @@ def link_texts(
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bands, rows = choose_bands(least, recall)
     chosen = [F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("binary").alias("text")]
-    # texts are read a second time below, so the number has to be stored with them
-    numbered = docs.select(F.col(f"`{row}`").alias("row"), *chosen) if row else stored_numbers(docs.select(*chosen), "row")
-    kind = docs.schema[key].dataType.simpleString()
-    signed = cut_lineage(numbered.mapInArrow(_sign(width, bands, rows), f"row long, id {kind}, key binary, grams long, bands array<bigint>"))
+    # texts are read a second time below
+    numbered = addressed(docs.select(*chosen), "row", stored)
+    place, kind = (numbered.schema[c].dataType.simpleString() for c in ("row", "id"))
+    signed = cut_lineage(numbered.select("row", "id", "text").mapInArrow(_sign(width, bands, rows), f"row {place}, id {kind}, key binary, grams long, bands array<bigint>"))
 
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("low")
     groups = signed.where("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("n"), first, F.first("grams").alias("grams"), F.first("bands").alias("bands"))
@@ -217,7 +218,8 @@ def link_texts(
     known = candidates.join(classes.select("node", "n", "grams", F.col("low.row").alias("row")), "node")
     sizes = known.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(TILE_TEXTS)), F.ceil(F.sum("grams") / F.lit(TILE_GRAMS))).cast("int").alias("tiles"))
     placed = cut_lineage(known.join(sizes, "root").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).drop("grams"))
-    wanted = numbered.select("row", "text").join(placed.select("row", "node"), "row").select("node", "text")
+    texts = with_decisions(numbered.select("row", "text"), "row", placed.select(F.col("row").alias("place"), F.lit(1).alias("value")), "chosen").where("chosen = 1")
+    wanted = texts.join(placed.select("row", "node"), "row").select("node", "text")
     sets = wanted.mapInArrow(_load(width), "node long, set binary")
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     sides = placed.select("root", "node", "n", "tile", other.alias("other")).select(
@@ -243,9 +245,10 @@ def link_texts(
     )
 
 
-def one_per_class(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns."""
+def one_per_class(docs: DataFrame, key: str = "doc_id", text: str = "text", stored: bool = False) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns; see ``link_texts``."""
     row = fresh_name(docs, "row")
-    numbered = stored_numbers(docs, row)
-    kept = link_texts(numbered, key, text, row=row).where("kept").select(F.col("row").alias(row))
-    return numbered.join(kept, row, "left_semi").drop(row)
+    placed = addressed(docs, row, stored)
+    kept = link_texts(placed.drop(row), key, text, stored=True).where("kept").select(F.col("row").alias("place"), F.lit(1).alias("value"))
+    mark = fresh_name(docs, "kept")
+    return with_decisions(placed, row, kept, mark).where(F.col(mark) == 1).drop(row, mark)

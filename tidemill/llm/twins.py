@@ -24,9 +24,10 @@ h AS (SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (WHERE base_failed O
 p AS (SELECT sum(k) / sum(n) AS m, (sum(k * k / n) - sum(k) * sum(k) / sum(n) - (count(*) - 1) * (sum(k) / sum(n)) * (1 - sum(k) / sum(n)))
     / nullif(sum(n) - sum(n * n) / sum(n), 0) AS spread FROM h),
 q AS (SELECT m, CASE WHEN spread > 0 THEN greatest(m * (1 - m) / spread - 1, 0) END AS weight FROM p),
-r AS (SELECT source, CASE WHEN weight IS NULL THEN m ELSE (k + weight * m) / (n + weight) END AS rate FROM h, q)
+r AS (SELECT source, rate, coalesce((rate - m) / nullif(sqrt(m * (1 - m) / (weight + 1)), 0), 0) AS margin
+  FROM (SELECT source, m, weight, CASE WHEN weight IS NULL THEN m ELSE (k + weight * m) / (n + weight) END AS rate FROM h, q))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND rate <= {rules.host_limit} AND NOT (soft_failed AND rate > {rules.watch_limit}) AS kept
+  NOT base_failed AND NOT (margin >= {rules.host_margin} AND rate > {rules.host_limit}) AND NOT (soft_failed AND margin >= {rules.watch_margin}) AS kept
 FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source"""
 
 

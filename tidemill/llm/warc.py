@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import fresh_name, row_numbers
+from tidemill.llm.common import addressed, fresh_name
 
 EOL = "\r\n"
 RECORD_END = "\r\n\r\n"
@@ -42,15 +42,15 @@ def write_archives(pages: DataFrame, folder: str) -> None:
     Of rows with equal payloads of at least 100 bytes, the one with the smallest page_id (null last, then
     url, then place in the table) becomes the response and the others revisit it; all smaller ones are
     responses. Null html is an empty payload, a null url an empty target. Every row gets its own records, also
-    repeated ones. Line breaks in urls are percent-encoded. ``pages`` is read twice and has to be a stored
-    table, since rows are told apart by their place in it.
+    repeated ones. Line breaks in urls are percent-encoded. Rows are told apart by their place in their file, so a
+    table that isn't read from Parquet files is written first. Other columns are left out. An empty table gives no records.
 
     The payload's hash is grouped before anything else moves, so payloads are shuffled once, in the join
     with the groups that have more than one row; a group of very many copies is split there.
     """
     row = fresh_name(pages, "row")
     payload = F.coalesce("html", F.lit(""))
-    rows = row_numbers(pages.select("page_id", "url", "html"), row).select(
+    rows = addressed(pages.select("page_id", "url", "html"), row, stored=True).select(
         F.col(row).alias("row"),
         "page_id",
         F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"), "\n", "%0A").alias("target"),
