@@ -86,3 +86,22 @@ def test_a_feature_without_values_trains(spark):
     fitted = M.train_forest(df, "y", ["id"], n_estimators=2, max_depth=3)
     assert fitted.evaluation.first()["rows"] > 0 and fitted.document(spark).first()["features"] == ["a", "b"]
 
+
+
+def test_rows_with_equal_keys_are_rows_of_their_own(spark):
+    """Ten keys with thirty rows each: both sides get rows of most keys, and storage doesn't matter."""
+    rows = [(k % 10, float(k), 3.0 * k + k % 7, "ab"[k % 2]) for k in range(300)]
+    df = spark.createDataFrame(rows, "id int, x double, y double, c string")
+    fits = [M.train_forest(t, "y", ["id"], n_estimators=3, max_depth=4) for t in (df.coalesce(1), df.orderBy(F.desc("x")).repartition(6))]
+    assert all(a == pytest.approx(b, rel=1e-12) for a, b in zip(*(f.evaluation.first() for f in fits)))
+    assert fits[0].importances.collect() == fits[1].importances.collect()
+    tested = fits[0].predictions
+    assert tested.select("id").distinct().count() > 5 and tested.count() < 120
+    assert sorted(tested.collect()) == sorted(fits[1].predictions.collect())
+
+
+def test_importances_go_to_their_own_column(spark):
+    """A number whose name looks like a slot of a text column."""
+    df = spark.createDataFrame([(k, "uvw"[k % 3], float(k * k % 11), float(k * k % 11)) for k in range(200)], "id int, a string, a__hot_v double, y double")
+    weights = {r.feature: r.importance for r in M.train_forest(df, "y", ["id"], n_estimators=4, max_depth=5).importances.collect()}
+    assert set(weights) == {"a", "a__hot_v"} and weights["a__hot_v"] > 0.9

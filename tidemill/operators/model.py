@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -114,7 +115,8 @@ def train_forest(
 ) -> ForestResult:
     """Train on 80 % of the rows and evaluate on the rest.
 
-    Rows without a target are left out. Strings are filled with their mode and one-hot encoded,
+    A row is told by its keys and all its values, so rows with equal keys are dealt out one by one (rows that are
+    equal throughout together), and the forest is the same however the rows are stored. Rows without a target are left out. Strings are filled with their mode and one-hot encoded,
     numbers with their median; both are learned from the training rows only. Booleans are used
     as 0/1. Columns of other types are listed as features but not used.
     """
@@ -128,7 +130,8 @@ def train_forest(
     data = drop_null_target(project_features(df, target, wanted), target)
     flags = [f.name for f in data.schema if isinstance(f.dataType, BooleanType)]
     data = data.withColumns({c: col(c).cast("int") for c in flags}) if flags else data
-    data = train_test_split(data.withColumn(target, col(target).cast("double")), keys)
+    identity = [*keys, *(c for c in wanted if c not in keys), target]
+    data = train_test_split(data.withColumn(target, col(target).cast("double")), identity)
     # every later step reads the prepared rows several times, so they are written once
     data = cut_lineage(data)
     train, test = data.where(~F.col("is_test")), data.where("is_test")
@@ -157,9 +160,9 @@ def train_forest(
     )
     assemble = VectorAssembler(inputCols=inputs, outputCol="features__vector")
     stages = (one_hot_stages(text) if text else []) + [assemble, forest]
-    # a forest draws its samples by partition and place, so both follow from the rows' keys alone
+    # a forest draws its samples by partition and place, so both follow from the rows alone
     parts = max(4, -(-sizes[False] // PART_ROWS))
-    spread = filled_train.repartition(parts, *[col(k) for k in keys]).sortWithinPartitions(*[col(k) for k in keys])
+    spread = filled_train.repartition(parts, *[col(k) for k in identity]).sortWithinPartitions(*[col(k) for k in identity])
     model = Pipeline(stages=stages).fit(spread)
     scored = model.transform(filled_test)
     predictions = scored.select(*keys, col(target).alias("actual"), "predicted")
@@ -170,21 +173,22 @@ def train_forest(
         text + numbers,
         {"n_estimators": n_estimators, "max_depth": depth},
         predictions,
-        fold_importances(scored, model.stages[-1].featureImportances, text + numbers),
+        fold_importances(data.sparkSession, model.stages[-1].featureImportances, text + numbers, slot_counts(model, text, numbers)),
         regression_metrics(predictions),
     )
 
 
-def fold_importances(scored: DataFrame, weights, columns: list[str]) -> DataFrame:
+def slot_counts(model: PipelineModel, text: list[str], numbers: list[str]) -> list[int]:
+    """Slots of the feature vector that each column has, in the order of the columns."""
+    # the encoder leaves out the slot of unseen values
+    return [n - 1 for n in (model.stages[1].categorySizes if text else [])] + [1] * len(numbers)
+
+
+def fold_importances(spark: SparkSession, weights, columns: list[str], slots: list[int]) -> DataFrame:
     """Feature importances with the one-hot slots of a column added up (model-sized data)."""
-    attrs = scored.schema["features__vector"].metadata["ml_attr"]["attrs"]
-    totals = dict.fromkeys(columns, 0.0)
-    for group in attrs.values():
-        for a in group:
-            name = a["name"]
-            owner = next((c for c in columns if name == c or name.startswith(f"{c}__hot_")), name)
-            totals[owner] = totals.get(owner, 0.0) + float(weights[a["idx"]])
-    return scored.sparkSession.createDataFrame(list(totals.items()), "feature string, importance double")
+    ends = np.cumsum(slots)
+    parts = np.split(weights.toArray(), ends[:-1]) if len(ends) else []
+    return spark.createDataFrame([(c, float(p.sum())) for c, p in zip(columns, parts)], "feature string, importance double")
 
 
 def regression_metrics(predictions: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:

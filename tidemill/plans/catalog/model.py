@@ -10,23 +10,26 @@ from tidemill.plans.session import load
 
 KEYS = ["l_orderkey", "l_linenumber"]
 FEATURES = ["l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+TARGET = "l_extendedprice"
 
-# one forest per application and table; its training data and predictions are written tables
-_fitted: dict[tuple[str, str], M.ForestResult] = {}
+# one forest per application and table content; its training data and predictions are written tables
+_fitted: dict[tuple, M.ForestResult] = {}
 
 
 def forest(s, d):
     """The library's defaults: 100 trees without a depth limit. This takes minutes, so its three queries share it."""
-    key = (s.sparkContext.applicationId, d)
+    rows = items(s, d)
+    content = rows.select(F.xxhash64(*KEYS, *FEATURES, TARGET).alias("h")).agg(F.count(F.lit(1)), F.bit_xor("h"), F.sum(F.shiftright("h", 20))).first()
+    key = (s.sparkContext.applicationId, d, *content)
     if key not in _fitted:
-        _fitted[key] = M.train_forest(items(s, d), "l_extendedprice", KEYS, FEATURES)
+        _fitted[key] = M.train_forest(rows, TARGET, KEYS, FEATURES)
     return _fitted[key]
 
 
 def q_forest_rules(s, d):
     """What holds for any forest: one prediction per test row, inside the targets' range, and shares that add up."""
     fitted = forest(s, d)
-    wanted = M.train_test_split(items(s, d).where("l_extendedprice IS NOT NULL"), KEYS)
+    wanted = M.train_test_split(items(s, d).where(F.col(TARGET).isNotNull()), [*KEYS, *FEATURES, TARGET])
     ends = wanted.where(~F.col("is_test")).agg(F.min("l_extendedprice").alias("lo"), F.max("l_extendedprice").alias("hi"))
     checked = fitted.predictions.join(F.broadcast(ends)).agg(
         F.count(F.lit(1)).alias("rows"),
@@ -71,9 +74,9 @@ QUERIES = {
 }
 
 SQL = {
-    "rf_rules": """WITH t AS (SELECT count(*) AS n FROM lineitem WHERE l_extendedprice IS NOT NULL
-  AND concat('0x', substr(md5(concat('42|', l_orderkey::VARCHAR, '|', l_linenumber::VARCHAR)), 1, 8))::BIGINT % 100 < 20)
-SELECT n AS rows, n AS keys, n AS inside, 1.0::DOUBLE AS importance, 5::BIGINT AS features FROM t""",
+    "rf_rules": f"""WITH {ITEMS}, t AS (SELECT count(*) AS n, count(DISTINCT (l_orderkey, l_linenumber)) AS k FROM items WHERE l_extendedprice IS NOT NULL
+  AND concat('0x', substr(md5(concat_ws('|', 42, {", ".join([*KEYS, *FEATURES, TARGET])})), 1, 8))::BIGINT % 100 < 20)
+SELECT n AS rows, k AS keys, n AS inside, 1.0::DOUBLE AS importance, 5::BIGINT AS features FROM t""",
     "impute_mode": f"""WITH {ITEMS} SELECT l_orderkey, l_linenumber,
   coalesce(l_returnflag, (SELECT l_returnflag FROM items WHERE l_returnflag IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS l_returnflag,
   l_linestatus FROM items""",
