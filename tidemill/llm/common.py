@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import suppress
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -132,6 +136,20 @@ def _stored_pairs(pairs: DataFrame) -> tuple[DataFrame, tuple]:
     return kept, tuple(mark)
 
 
+def tidy(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` that gives its worker's free memory back at the end of a task: workers are kept and go on to other operators."""
+
+    @wraps(run)
+    def tidied(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 def forest(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
     """For each of n items, the smallest item it reaches over the links (u, v)."""
     label = np.arange(n)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import groups_of
+from tidemill.llm.common import groups_of, tidy
 from tidemill.plans.session import cut_lineage
 
 # A training shard has about this many documents; a sample has at most LARGEST_SAMPLE of them.
@@ -86,7 +86,7 @@ def pack_shards(sample: DataFrame, featurise: Callable[[list[bytes]], tuple[np.n
             yield pa.RecordBatch.from_arrays(cols, names=["shard", "grades", "starts", "buckets", "values"])
 
     dealt = sample.select("shard", "order", F.col("text").cast("binary").alias("text"), F.col("grade").cast("double")).repartition("shard").sortWithinPartitions("shard", "order")
-    return cut_lineage(dealt.mapInArrow(pack, "shard int, grades binary, starts binary, buckets binary, values binary"))
+    return cut_lineage(dealt.mapInArrow(tidy(pack), "shard int, grades binary, starts binary, buckets binary, values binary"))
 
 
 def common_buckets(sample: DataFrame, buckets_of: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], bits: int, least: int) -> np.ndarray:
@@ -184,7 +184,7 @@ def shard_rounds(packed: DataFrame, learn: Callable[..., dict[str, np.ndarray]],
                         cols = [pa.array([part], pa.int32()), pa.array([row["shard"]], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in out]]
                         yield pa.RecordBatch.from_arrays(cols, names=["part", "shard", "used", *names])
 
-        learned = packed.mapInArrow(one, f"part int, shard int, {schema}").repartition("part").sortWithinPartitions("part", "shard")
+        learned = packed.mapInArrow(tidy(one), f"part int, shard int, {schema}").repartition("part").sortWithinPartitions("part", "shard")
         merged = sorted(learned.mapInArrow(merge, f"part int, {schema}").collect(), key=lambda row: row["part"])
         now.destroy()
         changed = np.concatenate([np.frombuffer(row["used"], np.int32) for row in merged])
@@ -199,9 +199,6 @@ def shard_rounds(packed: DataFrame, learn: Callable[..., dict[str, np.ndarray]],
             else:
                 state[k] = np.frombuffer(merged[0][k], np.float64)
         at = both
-        # the round's shuffle files go when the driver's JVM finds that nothing refers to them
-        del learned, merged
-        sc._jvm.System.gc()
     return {"at": at, **state}
 
 

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import groups_of
+from tidemill.llm.common import groups_of, tidy
 from tidemill.plans.session import work_dir
 
 LENGTH = 1024
@@ -23,10 +23,10 @@ LENGTH = 1024
 OPEN = 64
 # Partitions whose open windows meet in one group.
 FAN_IN = 16
-# Parts of texts whose ids a task remembers, about 100 MB.
-REMEMBERED = 600_000
+# Parts of texts whose ids a task remembers, about 70 MB.
+REMEMBERED = 400_000
 # Bytes of text that are split at a time.
-STEP = 4 << 20
+STEP = 1 << 20
 
 
 class WordIds:
@@ -280,7 +280,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
         rows.write.option("compression", "zstd").parquet(path)
         return spark.read.schema(rows.schema).parquet(path)
 
-    level = written(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(_pack(content, length, end, key_type), schema))
+    level = written(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(tidy(_pack(content, length, end, key_type)), schema))
     parts = (level.where("open").agg(F.max("part")).first()[0] or 0) + 1
     done = level.where("NOT open")
     step = 0

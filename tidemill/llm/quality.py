@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm import features
+from tidemill.llm.common import tidy
 
 # Lower case for words; for shapes, letters become a or A, digits 0, bytes of other letters a.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -151,7 +152,7 @@ def grade(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     chosen = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").cast("binary").alias("text"))
     schema = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest], "expected_grade double", *[f"{n} double" for n in names]])
-    return chosen.mapInArrow(run, schema)
+    return chosen.mapInArrow(tidy(run), schema)
 
 
 def graded(labels: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import addressed, components, forest, fresh_name, groups_of, with_decisions
+from tidemill.llm.common import addressed, components, forest, fresh_name, groups_of, tidy, with_decisions
 from tidemill.plans.session import cut_lineage
 
 WORDS = 5
@@ -204,7 +204,7 @@ def link_texts(
     # texts are read a second time below
     numbered = addressed(docs.select(*chosen), "row", stored)
     place, kind = (numbered.schema[c].dataType.simpleString() for c in ("row", "id"))
-    signed = cut_lineage(numbered.select("row", "id", "text").mapInArrow(_sign(width, bands, rows), f"row {place}, id {kind}, key binary, grams long, bands array<bigint>"))
+    signed = cut_lineage(numbered.select("row", "id", "text").mapInArrow(tidy(_sign(width, bands, rows)), f"row {place}, id {kind}, key binary, grams long, bands array<bigint>"))
 
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("low")
     groups = signed.where("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("n"), first, F.first("grams").alias("grams"), F.first("bands").alias("bands"))
@@ -220,13 +220,13 @@ def link_texts(
     placed = cut_lineage(known.join(sizes, "root").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).drop("grams"))
     texts = with_decisions(numbered.select("row", "text"), "row", placed.select(F.col("row").alias("place"), F.lit(1).alias("value")), "chosen").where("chosen = 1")
     wanted = texts.join(placed.select("row", "node"), "row").select("node", "text")
-    sets = wanted.mapInArrow(_load(width), "node long, set binary")
+    sets = wanted.mapInArrow(tidy(_load(width)), "node long, set binary")
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     sides = placed.select("root", "node", "n", "tile", other.alias("other")).select(
         "root", "node", "n", "tile", F.least("tile", "other").alias("left"), F.greatest("tile", "other").alias("right")
     )
     met = sides.join(sets, "node").repartition(parts, "root", "left", "right").sortWithinPartitions("root", "left", "right")
-    found = cut_lineage(met.mapInArrow(_verify(least), "node long, links long, reach long"))
+    found = cut_lineage(met.mapInArrow(tidy(_verify(least)), "node long, links long, reach long"))
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("reach").alias("b")))

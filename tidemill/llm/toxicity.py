@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm import features
+from tidemill.llm.common import tidy
 from tidemill.plans.session import cut_lineage
 
 # ASCII letters in lower case, punctuation as white space; other bytes stay.
@@ -150,7 +151,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     chosen = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").cast("binary").alias("text"))
     schema = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest], "toxicity double"])
-    return chosen.mapInArrow(run, schema)
+    return chosen.mapInArrow(tidy(run), schema)
 
 
 def held_out(key: str):
