@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import scalars as X
 from tidemill.operators.route import edge_violations, matrix_to_edges
-from tidemill.sources import csv, files
+from tidemill.sources import csv, csv_splits, files
 
 
 def write(tmp_path, name, text):
@@ -140,3 +140,81 @@ def test_a_run_cleans_up_after_itself(spark, tmp_path):
         assert cut_lineage(spark.range(5)).count() == 5
         assert os.path.isdir(folder.removeprefix("file:"))
     assert not os.path.exists(folder.removeprefix("file:"))
+
+
+PIECES = ["a", "two\nlines", 'q"uote', "x,y", "", '"', "\n\n", "long " * 40, "r\r\nn", " lead", "é\n;"]
+
+
+@pytest.fixture
+def small_parts(spark):
+    size = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "2k")
+    yield 2048
+    spark.conf.set(size, before)
+
+
+def csv_text(rows, rng):
+    """Rows with cells quoted where needed and now and then where not, blank lines and both line ends."""
+    out = ["id,a,b\n"]
+    for k, row in enumerate(rows):
+        cells = ['"' + c.replace('"', '""') + '"' if set(c) & set('",\n\r') or rng.random() < 0.2 else c for c in row]
+        out.append(",".join(cells) + ("\r\n" if k % 3 else "\n") + ("\n" if k % 50 == 0 else ""))
+    return "".join(out)
+
+
+def test_records_of_files_that_many_tasks_read(spark, tmp_path, small_parts):
+    import random
+
+    rng = random.Random(3)
+    rows = [(str(i), rng.choice(PIECES), rng.choice(PIECES)) for i in range(700)]
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.csv").write_bytes(("﻿" + csv_text(rows[:500], rng)).encode())
+    (tmp_path / "t" / "b.csv").write_bytes(csv_text(rows[500:], rng).encode())
+    path = str(tmp_path / "t")
+    assert spark.read.text(path).rdd.getNumPartitions() > 8
+    cells = csv.read_text_cells(spark, path)
+    assert cells.columns == ["id", "a", "b", csv.BROKEN]
+    assert sorted((r.id, r.a or "", r.b or "") for r in cells.collect()) == sorted(rows)
+    assert csv.broken_lines(spark, path).count() == 0
+    assert csv.read_csv(spark, path).agg(F.sum("id")).first()[0] == sum(range(700))
+
+
+def test_broken_records_in_parts(spark, tmp_path, small_parts):
+    lines = ["id,name,value"] + [f"{k},x,1" for k in range(900)]
+    lines[300], lines[500], lines[700] = "1,a", '2,"b\nc"', "3,a,2,3"
+    lines.append('4,"open,1')
+    path = write(tmp_path, "t.csv", "\n".join(lines) + "\nand on\n")
+    want = sorted(["1,a", '2,"b\nc"', "3,a,2,3", '4,"open,1\nand on'])
+    assert sorted(r.line for r in csv.broken_lines(spark, path).collect()) == want
+    whole = csv.broken_lines(spark, path, whole_bytes=1 << 20)
+    assert sorted(r.line.strip("\n") for r in whole.collect()) == want
+    assert csv.read_text_cells(spark, path).where(f"{csv.BROKEN} IS NULL").count() == 900 - 3
+
+
+def test_a_record_without_end_is_not_put_together(spark, tmp_path, small_parts, monkeypatch):
+    monkeypatch.setattr(csv_splits, "RECORD_BYTES", 3000)
+    path = write(tmp_path, "t.csv", "id,v\n" + "".join(f"{k},x\n" for k in range(400)) + '400,"open\n' + "".join(f"{k},x\n" for k in range(2000)))
+    assert [r.line for r in csv.broken_lines(spark, path).collect()] == ['400,"open']
+    assert csv.read_text_cells(spark, path).count() == 401
+
+
+@pytest.mark.parametrize("line", ["", "a,b", '"a,b', '"a""b",c', 'a"b,"c', 'x,"y', '"",""', '"a" b,"', '""",', '5" pipe,3'])
+def test_quote_states_of_lines(spark, line):
+    def after(inside):
+        for k, cell in enumerate(line.split(",")):
+            if inside or cell.startswith('"'):
+                inside = inside != (cell.count('"') % 2 == 1)
+        return inside
+
+    df = spark.createDataFrame([(line,)], "t string")
+    got = df.select(*[csv_splits.quote_after(F.col("t"), s, ",") for s in (False, True)]).first()
+    assert tuple(got) == (after(False), after(True))
+
+
+def test_artifacts_of_a_table_of_jobs(spark, tmp_path):
+    df = spark.range(300).selectExpr("id % 100 as job_id", "id as v")
+    files.write_artifacts(df, str(tmp_path / "a"), "job_id", buckets=16)
+    wanted = spark.range(0, 200, 20).selectExpr("id as job_id").union(spark.createDataFrame([(None,), (20,)], "job_id long"))
+    found = files.find_artifacts(spark, str(tmp_path / "a"), wanted, "job_id")
+    assert sorted((r.job_id, r.v) for r in found.collect()) == sorted((v % 100, v) for v in range(300) if v % 20 == 0)

@@ -11,16 +11,14 @@ from tidemill.plans.catalog.route import LOCATIONS, locations
 from tidemill.plans.session import load, work_dir
 from tidemill.sources import csv, files
 
-WANTED = [1, 5, 17, 100, 333, 4001]
 
-
-def as_csv(df, label, **options):
+def as_csv(df, label, files=None, **options):
     path = work_dir(df.sparkSession, label)
-    df.write.options(header=True, **options).csv(path)
+    (df.coalesce(files) if files else df).write.options(header=True, **options).csv(path)
     return path
 
 
-def customer_csv(s, d):
+def customer_csv(s, d, files=None):
     """Customers with the usual texts for missing values put in."""
     bal = F.col("c_acctbal")
     return as_csv(
@@ -35,6 +33,7 @@ def customer_csv(s, d):
             F.when(bal > 5000, F.lit("True")).otherwise(F.lit("False")).alias("c_good"),
         ),
         "customer-csv",
+        files,
         emptyValue="",
         escape='"',
     )
@@ -58,6 +57,25 @@ def q_validation(s, d):
     return csv.broken_lines(s, broken_csv(s, d), names=["id", "status", "priority"], quoted_breaks=False).select("line")
 
 
+def broken_records(s, d):
+    """Orders in one file, some of them short or long, some with a quoted line break and too few cells, some with one and sound."""
+    path = work_dir(s, "broken-records")
+    key, price = F.col("o_orderkey").cast("string"), F.col("o_totalprice")
+    line = (
+        F.when(price < 5000, key)
+        .when(price > 490000, F.concat_ws(",", key, "o_orderstatus", "o_orderpriority", F.lit("extra")))
+        .when(price.between(100000, 101000), F.concat(key, F.lit(',"a ""b"", c\n\n'), "o_orderstatus", F.lit('"')))
+        .when(price.between(101000, 103000), F.concat(key, F.lit(',"two\nlines",""'),))
+        .otherwise(F.concat_ws(",", key, "o_orderstatus", "o_orderpriority"))
+    )
+    load(s, d, "orders").select(line.alias("value")).coalesce(1).write.text(path)
+    return path
+
+
+def q_split_validation(s, d):
+    return csv.broken_lines(s, broken_records(s, d), names=["id", "status", "priority"], whole_bytes=0)
+
+
 def q_json(s, d):
     """Job documents through the JSON sink and back; missing durations are explicit nulls."""
     path = work_dir(s, "jobs-json")
@@ -79,10 +97,10 @@ def q_artifacts(s, d):
 
 
 def q_artifact_lookup(s, d):
-    """The results of some jobs, found in their buckets."""
+    """The results of every twentieth job, found in their buckets."""
     path = work_dir(s, "artifacts")
     files.write_artifacts(jobs(s, d).select("id", "type", "status"), path, "id", buckets=32)
-    return files.read_artifacts(s, path, "id", WANTED)
+    return files.find_artifacts(s, path, jobs(s, d).where("id % 20 = 0").select("id"), "id")
 
 
 def q_locations(s, d):
@@ -94,6 +112,8 @@ def q_locations(s, d):
 
 QUERIES = {
     "csv_scan": lambda s, d: rounded(csv.read_csv(s, customer_csv(s, d))),
+    "csv_split_scan": lambda s, d: rounded(csv.read_csv(s, customer_csv(s, d, files=1), whole_bytes=0)),
+    "csv_split_validation": q_split_validation,
     "csv_schema": lambda s, d: schema_report(csv.read_csv(s, customer_csv(s, d))),
     "csv_validation": q_validation,
     "csv_locations": q_locations,
@@ -102,11 +122,18 @@ QUERIES = {
     "artifact_lookup": q_artifact_lookup,
 }
 
-SQL = {
-    "csv_scan": """SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN NULL ELSE c_nationkey::BIGINT END AS c_nationkey,
+CUSTOMERS = """SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN NULL ELSE c_nationkey::BIGINT END AS c_nationkey,
   CASE WHEN c_acctbal > 9000 THEN NULL ELSE round(c_acctbal, 4) END AS c_acctbal,
   CASE WHEN c_acctbal < 1000 THEN NULL WHEN c_acctbal < 2000 THEN 'a "quoted", text' WHEN c_acctbal < 2500 THEN 'two' || chr(10) || 'lines, "quoted"' ELSE c_mktsegment END AS c_mktsegment,
-  c_acctbal > 5000 AS c_good FROM customer""",
+  c_acctbal > 5000 AS c_good FROM customer"""
+
+SQL = {
+    "csv_scan": CUSTOMERS,
+    "csv_split_scan": CUSTOMERS,
+    "csv_split_validation": """SELECT CASE WHEN o_totalprice < 5000 THEN o_orderkey::VARCHAR
+  WHEN o_totalprice > 490000 THEN concat_ws(',', o_orderkey, o_orderstatus, o_orderpriority, 'extra')
+  ELSE concat(o_orderkey, ',"a ""b"", c', chr(10), chr(10), o_orderstatus, '"') END AS line
+FROM orders WHERE o_totalprice < 5000 OR o_totalprice > 490000 OR o_totalprice BETWEEN 100000 AND 101000""",
     "csv_schema": f"""WITH t AS (SELECT (row_number() OVER () - 1)::INTEGER AS ordinal, column_name, column_type AS data_type
   FROM (DESCRIBE SELECT c_custkey, c_nationkey::BIGINT AS c_nationkey, c_acctbal, c_mktsegment, c_acctbal > 5000 AS c_good FROM customer))
 SELECT ordinal, column_name, CASE data_type WHEN 'BOOLEAN' THEN 'boolean' ELSE {SPARK_TYPES} END AS data_type,
@@ -122,5 +149,5 @@ FROM orders WHERE o_totalprice < 5000 OR o_totalprice > 490000 OR o_totalprice B
 FROM (SELECT *, substr(window_start, 1, 2)::INTEGER AS c FROM loc)""",
     "json_roundtrip": f"""WITH {JOBS} SELECT id, user_id, session_id, CASE WHEN attempts > 0 THEN attempts / 2.0::DOUBLE END AS score, status FROM jobs""",
     "artifact_roundtrip": f"WITH {JOBS} SELECT id, type, status FROM jobs",
-    "artifact_lookup": f"WITH {JOBS} SELECT id, type, status FROM jobs WHERE id IN {tuple(WANTED)}",
+    "artifact_lookup": f"WITH {JOBS} SELECT id, type, status FROM jobs WHERE id % 20 = 0",
 }

@@ -8,6 +8,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from tidemill.functions.scalars import finite_number, hhmm_minutes, null_token_to_null, strip, whole_number
 from tidemill.operators.columns import col
+from tidemill.sources import csv_splits
 
 BROKEN = "_broken_line"
 # The columns of a locations file.
@@ -29,16 +30,21 @@ def header_cells(spark: SparkSession, path: str) -> list[str]:
     return [c or "" for c in spark.read.option("header", False).option("multiLine", True).csv(path).first() or []]
 
 
-def read_text_cells(spark: SparkSession, path: str, names: list[str] | None = None, quoted_breaks: bool = True, **options) -> DataFrame:
-    """All cells as strings, plus the raw text of lines that do not fit the columns.
+def read_text_cells(
+    spark: SparkSession, path: str, names: list[str] | None = None, quoted_breaks: bool = True, whole_bytes: int | None = None, **options
+) -> DataFrame:
+    """All cells as strings, plus the raw text of records that do not fit the columns.
 
     Column names come from the header line, unless ``names`` says that there is none. With
-    ``quoted_breaks`` a quoted cell may hold line breaks, and a file is read by one task; without, every line is a
-    record, an open quote is told from the lines after it, and large files are split.
+    ``quoted_breaks`` a quoted cell may hold line breaks; files of more than ``whole_bytes`` (one scan partition) are then
+    read in parts, see ``csv_splits``, and smaller ones by a task each. Without, every line is a record and an open quote is told
+    from the lines after it.
     """
     has_header = names is None
     names = header(spark, path) if has_header else names
     schema = StructType([StructField(n, StringType()) for n in names] + [StructField(BROKEN, StringType())])
+    if quoted_breaks and csv_splits.size_of_largest(spark, path) > (csv_splits.part_bytes(spark) if whole_bytes is None else whole_bytes):
+        return _cells_of_parts(spark, path, schema, has_header, options)
     reader = (
         spark.read.schema(schema)
         .option("header", has_header)
@@ -56,6 +62,21 @@ def read_text_cells(spark: SparkSession, path: str, names: list[str] | None = No
     return reader.csv(path)
 
 
+def _cells_of_parts(spark: SparkSession, path: str, schema: StructType, has_header: bool, options: dict) -> DataFrame:
+    """The same cells from records that many tasks have read."""
+    found = csv_splits.records(spark, path, options.get("sep", options.get("delimiter", ",")))
+    wanted = F.col("record") > (1 if has_header else 0)
+    parser = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN, "nullValue": "\u0000", "emptyValue": "", "escape": '"', "multiLine": "true"}
+    types = ", ".join("`" + f.name.replace("`", "``") + "` string" for f in schema)
+    # no text on the header, since checks of the cells may be moved before it is left out
+    text = F.when(wanted, F.col("text"))
+    cells = F.from_csv(text, types, parser | {k: str(v) for k, v in options.items()})
+    names = [f.name for f in schema if f.name != BROKEN]
+    read = found.where(wanted).select(text.alias("text"), "sound", cells.alias("cells"))
+    broken = F.when(F.col("sound"), F.col("cells").getField(BROKEN)).otherwise(F.col("text"))
+    return read.select(*[F.col("cells").getField(n).alias(n) for n in names], broken.alias(BROKEN))
+
+
 def broken_lines(spark: SparkSession, path: str, names: list[str] | None = None, quoted_breaks: bool = True, **options) -> DataFrame:
     """Records with too few or too many fields or an open quote. No rows: the file is sound."""
     cells = read_text_cells(spark, path, names, quoted_breaks, **options)

@@ -85,3 +85,14 @@ def read_artifacts(spark: SparkSession, path: str, job_id: str, wanted=None) ->
     # depends on the folder's name only, so other folders are not opened
     there = F.split_part(F.col("job_bucket"), F.lit("-"), F.lit(1)).cast("int")
     return df.where(F.col("job_bucket").isin([_bucket(k, there) for k in keys]) & col(job_id).isin(keys)).drop("job_bucket")
+
+
+def find_artifacts(spark: SparkSession, path: str, wanted: DataFrame, job_id: str) -> DataFrame:
+    """Results of the jobs in a table: joined on bucket and id, so folders without any of them are left out at run time."""
+    df = spark.read.parquet(path)
+    key = col(job_id).cast(df.schema[job_id].dataType)
+    # folders of one result share the number of buckets, which their names hold
+    counts = df.select(F.split_part(F.col("job_bucket"), F.lit("-"), F.lit(1)).cast("int").alias("buckets")).distinct()
+    keys = wanted.select(key.alias(job_id)).where(col(job_id).isNotNull()).distinct()
+    placed = keys.join(F.broadcast(counts)).select(job_id, _bucket(col(job_id), F.col("buckets")).alias("job_bucket"))
+    return df.join(placed, ["job_bucket", job_id], "left_semi").drop("job_bucket")
