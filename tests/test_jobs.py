@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,3 +140,44 @@ def test_artifact_key(spark):
     df = spark.createDataFrame([(7, "/tmp/x/plot.png"), (8, "plain.json")], "id long, p string")
     got = [r.k for r in df.select(J.artifact_key(F.col("id"), F.col("p")).alias("k")).collect()]
     assert got == ["jobs/7/plot.png", "jobs/8/plain.json"]
+
+
+def plain_rates(samples, seconds, step):
+    """Rates at steps by going through every range."""
+    out = {}
+    for key in {k for k, *_ in samples}:
+        mine = sorted((t, n, v) for k, t, n, v in samples if k == key)
+        for at in range(0, max(t for t, *_ in mine) + seconds + step, step):
+            seen = [v for t, _, v in mine if at - seconds < t <= at]
+            if len(seen) > 1:
+                out[key, at] = len(seen), sum(b if b < a else b - a for a, b in zip(seen, seen[1:]))
+    return out
+
+
+@pytest.mark.parametrize(("seconds", "step"), [(300, 60), (300, 45), (60, 60), (50, 120)])
+def test_rates_at_every_step(spark, small_groups, seconds, step):
+    """Resets, gaps, equal times, samples on the edge, and a hot series; ranges overlap or leave gaps."""
+    rng = np.random.default_rng(seconds + step)
+    samples = [("a", int(t), n, float(rng.integers(0, 50))) for n, t in enumerate(rng.integers(0, 2000, 150))]
+    samples += [("hot", int(t), n, float(n % 40)) for n, t in enumerate(np.sort(rng.integers(600, 640, 300)))] + [("b", 60, 1, 5.0), ("b", 120, 2, 1.0)]
+    df = spark.createDataFrame(samples, "k string, t long, n long, v double").withColumn("ts", F.timestamp_seconds("t"))
+    got = J.range_rates(df.repartition(4), ["k"], "ts", "v", "n", seconds, step)
+    epoch = F.unix_timestamp(F.col("step_end").cast("timestamp"))
+    found = {(r.k, r.at): (r.samples, r.increase) for r in got.select("k", epoch.alias("at"), "samples", "increase").collect()}
+    assert found == plain_rates(samples, seconds, step)
+    assert J.range_rates(df.where("false"), ["k"], "ts", "v", "n").count() == 0
+
+
+def test_quantiles_at_every_step(spark):
+    """Two shards' counters; at each step the quantile of what was observed in the last minutes."""
+    rows = []
+    for shard, seen in ((0, [0.5, 0.5, 1.5, 1.5]), (1, [0.5, 3.0, 0.5, 9.0])):
+        for bound in (1.0, 2.0, 4.0, None):
+            for t in range(5):
+                rows.append(("x", shard, bound, 60 * t, float(sum(bound is None or v <= bound for v in seen[:t]))))
+    df = spark.createDataFrame(rows, "kind string, shard int, bound double, t long, n double").withColumn("ts", F.timestamp_seconds("t"))
+    got = {str(r["step_end"])[11:16]: r["quantile"] for r in J.quantile_steps(df, ["kind"], ["shard"], 0.5, "ts", "n", "t", 300, 60).collect()}
+    # after four minutes eight values: four up to 1, six up to 2, seven up to 4
+    assert got["00:04"] == pytest.approx(1.0) and got["00:01"] == pytest.approx(0.5)
+    assert got["00:07"] == pytest.approx(2.0), "only the last step of each shard is in the range"
+    assert "00:08" not in got

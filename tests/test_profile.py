@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidemill.operators import gram
 from tidemill.operators import profile as P
 from tidemill.operators.columns import numeric_columns, string_columns
 from tidemill.plans.session import nan_to_null
@@ -79,11 +80,38 @@ def test_correlation_matches_pandas_and_ignores_constants(frames):
     assert all(v is None for (x, y), v in got.items() if "flat" in (x, y))
 
 
-def test_correlation_in_several_passes(frames, monkeypatch):
+def agree(got, want):
+    """Two lists of (x, y, corr), up to rounding."""
+    got, want = ({(a, b): c for a, b, c in x} for x in (got, want))
+    assert got.keys() == want.keys()
+    assert all((c is None) == (want[k] is None) and (c is None or c == pytest.approx(want[k], abs=1e-9)) for k, c in got.items())
+
+
+def test_blocks_of_columns_give_the_same(frames, spark, monkeypatch):
     _, df = frames
-    whole = {tuple(r) for r in P.correlation_matrix(df).collect()}
+    whole = P.correlation_matrix(df).collect()
+    odd = spark.createDataFrame([(1.0, 1e9 + 1, 1, None), (2.0, 1e9 + 1, None, None), (None, 5.0, 4, 2.0), (3.0, 1e9 + 1, 7, None)], "a double, b double, `c d` int, e double")
+    more = P.correlation_matrix(odd).collect()
     monkeypatch.setattr(P, "EXPRESSIONS_PER_PASS", 6)
-    assert {tuple(r) for r in P.correlation_matrix(df).collect()} == whole
+    agree(P.correlation_matrix(df).collect(), whole)
+    agree(P.correlation_matrix(odd.repartition(3)).collect(), more)
+    monkeypatch.setattr(gram, "SUMS_BYTES", 1)  # one pair of blocks at a time
+    agree(P.correlation_matrix(odd.repartition(3)).collect(), more)
+    assert all(r["corr"] is None for r in P.correlation_matrix(odd.where("false")).collect())
+
+
+def test_five_hundred_columns_with_gaps(spark):
+    """As pandas does it, in two reads of the table."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 5)) @ rng.normal(size=(5, 500)) + rng.normal(size=(400, 500)) + 1e4
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, 7], x[:, 8] = 3.0, np.nan
+    pdf = pd.DataFrame(x, columns=[f"c{k}" for k in range(500)])
+    df = spark.createDataFrame(pdf).repartition(4)
+    got = P.correlation_matrix(df)
+    assert got.count() == 500 * 500
+    wide = got.toPandas().pivot(index="column_x", columns="column_y", values="corr").reindex(index=pdf.columns, columns=pdf.columns)
+    np.testing.assert_allclose(wide.astype(float).to_numpy(), pdf.corr().mask(pdf.std() == 0).to_numpy(), atol=1e-9)
 
 
 def test_pairwise_constant_has_no_correlation(spark):
@@ -185,3 +213,29 @@ def test_approximate_quartiles_are_near(spark):
     df = spark.range(1, 1002).selectExpr("cast(id AS double) AS x")
     row = P.describe(df, exact=False).first()
     assert abs(row["q25"] - 251) < 2 and abs(row["q50"] - 501) < 2 and row["count"] == 1001
+
+
+def test_frequent_values_without_moving_all_values(spark, small_groups, monkeypatch):
+    """Few values, a skewed column with a long tail, and one where nothing can be proven."""
+    monkeypatch.setattr(P, "CANDIDATES", 40)
+    rng = np.random.default_rng(6)
+    tail = [f"t{k}" for k in rng.integers(0, 3000, 3000)]
+    rows = [(k, ["a", "b", None][k % 3], "hot" if k % 2 else "warm" if k % 5 == 0 else tail[k], float(k % 4) if k % 7 else None) for k in range(3000)]
+    df = spark.createDataFrame(rows, "key long, few string, skewed string, x double").repartition(5)
+    counts, whole, proven = P.frequent_values(df, df.columns, 2)
+    assert whole == ["few", "x"] and proven == ["skewed"]
+    assert counts.where("column_name = 'key'").count() <= 40
+    got = {(r.column_name, r.value, r.n, r["rank"]) for r in P.top_values(df, 2).collect()}
+    spark.conf.set("tidemill.groupRows", "100000")
+    assert got == {(r.column_name, r.value, r.n, r["rank"]) for r in P.top_values(df, 2).collect()}
+    whole_table = {tuple(r) for r in P.categorical_summary(df).collect()}
+    spark.conf.set("tidemill.groupRows", "20")
+    assert {tuple(r) for r in P.categorical_summary(df).collect()} == whole_table
+    assert P.top_values(df.where("false"), 2).count() == 0
+
+
+def test_values_of_equal_frequency_are_never_lost(spark, small_groups, monkeypatch):
+    monkeypatch.setattr(P, "CANDIDATES", 8)
+    df = spark.range(4000).selectExpr("concat('v', id % 1000) AS v", "id % 3 AS few")
+    got = [(r.value, r.n) for r in P.top_values(df, 3, ["v"]).orderBy("rank").collect()]
+    assert got == [("v0", 4), ("v1", 4), ("v10", 4)]

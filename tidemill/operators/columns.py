@@ -37,18 +37,23 @@ def long_numeric(df: DataFrame, columns: list[str] | None = None, keep: tuple[st
     return wide.unpivot(list(keep), [col(c) for c in columns], "column_name", "value").where("value is not null")
 
 
+def columns_by_kind(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
+    """Whole numbers as bigint, fractions as double and everything else as string."""
+    kinds: dict[str, list[str]] = {}
+    for c in columns:
+        t = df.schema[c].dataType
+        kind = "bigint" if isinstance(t, IntegralType) else "double" if isinstance(t, FractionalType) and not isinstance(t, DecimalType) else "string"
+        kinds.setdefault(kind, []).append(c)
+    return kinds
+
+
 def cells_by_kind(df: DataFrame, columns: list[str] | None = None) -> list[DataFrame]:
     """(column_name, value) cells without nulls, one table per value type.
 
     Whole numbers stay whole, fractions stay double and everything else becomes text, so values
     can be counted before any of them is formatted.
     """
-    columns = df.columns if columns is None else columns
-    kinds: dict[str, list[str]] = {}
-    for c in columns:
-        t = df.schema[c].dataType
-        kind = "bigint" if isinstance(t, IntegralType) else "double" if isinstance(t, FractionalType) and not isinstance(t, DecimalType) else "string"
-        kinds.setdefault(kind, []).append(c)
+    kinds = columns_by_kind(df, df.columns if columns is None else columns)
     return [
         df.selectExpr(*[f"{kind}({name_sql(c)}) AS {name_sql(c)}" for c in names])
         .unpivot([], [col(c) for c in names], "column_name", "value")

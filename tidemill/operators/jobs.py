@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -168,32 +170,24 @@ def expired_jobs(jobs: DataFrame, keep: int = KEEP_PER_OWNER) -> DataFrame:
     return jobs.join(edge, same).where(older).select(*jobs.columns)
 
 
-def counter_rate(
-    samples: DataFrame, keys: list[str], ts: str, value: str, tiebreak: str, window_seconds: int = 300, slice_seconds: int = 1
-) -> DataFrame:
-    """Per-second rate of a counter in fixed windows, a drop counting as a restart from zero.
+def gain(now: Column, before: Column) -> Column:
+    """What a counter has grown by; a drop counts as a restart from zero."""
+    return F.when(before.isNull(), F.lit(0.0)).when(now < before, now).otherwise(now - before)
 
-    Neighbouring samples are compared inside short slices first; the slices of a window are
-    then chained through their first and last samples. No task sorts a whole series, and a slice
-    that is still too large is cut into pieces.
+
+def counted_slices(samples: DataFrame, keys: list[str], window: Column, ts: str, value: str, tiebreak: str, slice_seconds: int) -> DataFrame:
+    """Short slices of each series: (keys, _win, _slice, piece, _n, _gain, _first, _last).
+
+    Neighbouring samples are compared inside a slice; no task sorts a whole series, and a slice that is still
+    too large is cut into pieces. ``window`` numbers the windows that slices don't cross, by microseconds ``_at``.
     """
     at = F.unix_micros(F.col(ts).cast("timestamp"))
-    base = samples.select(
-        *keys,
-        F.floor(at / F.lit(window_seconds * 1_000_000)).alias("_win"),
-        F.floor(at / F.lit(slice_seconds * 1_000_000)).alias("_slice"),
-        at.alias("_at"),
-        F.col(tiebreak).alias("_tie"),
-        F.col(value).cast("double").alias("_v"),
-    ).where("_v is not null")
+    base = samples.select(*keys, at.alias("_at"), F.col(tiebreak).alias("_tie"), F.col(value).cast("double").alias("_v")).where("_v is not null")
+    base = base.select(*keys, window.alias("_win"), F.floor(F.col("_at") / F.lit(slice_seconds * 1_000_000)).alias("_slice"), "_at", "_tie", "_v")
     base = ordered_pieces(base, [*keys, "_win", "_slice"], ["_at", "_tie"])
     in_slice = Window.partitionBy(*keys, "_win", "_slice", "piece").orderBy("_at", "_tie")
-
-    def gain(now: Column, before: Column) -> Column:
-        return F.when(before.isNull(), F.lit(0.0)).when(now < before, now).otherwise(now - before)
-
     order = F.struct("_at", "_tie")
-    slices = (
+    return (
         base.withColumn("_gain", gain(F.col("_v"), F.lag("_v").over(in_slice)))
         .groupBy(*keys, "_win", "_slice", "piece")
         .agg(
@@ -203,6 +197,17 @@ def counter_rate(
             F.max_by("_v", order).alias("_last"),
         )
     )
+
+
+def counter_rate(
+    samples: DataFrame, keys: list[str], ts: str, value: str, tiebreak: str, window_seconds: int = 300, slice_seconds: int = 1
+) -> DataFrame:
+    """Per-second rate of a counter in fixed windows, a drop counting as a restart from zero.
+
+    The slices of a window are chained through their first and last samples.
+    """
+    window = F.floor(F.col("_at") / F.lit(window_seconds * 1_000_000))
+    slices = counted_slices(samples, keys, window, ts, value, tiebreak, slice_seconds)
     chain = Window.partitionBy(*keys, "_win").orderBy("_slice", "piece")
     return (
         slices.withColumn("_gain", F.col("_gain") + gain(F.col("_first"), F.lag("_last").over(chain)))
@@ -219,6 +224,55 @@ def counter_rate(
     )
 
 
+def range_rates(
+    samples: DataFrame, keys: list[str], ts: str, value: str, tiebreak: str, range_seconds: int = 300, step_seconds: int = 60, slice_seconds: int = 1
+) -> DataFrame:
+    """Per-second rate of a counter over the last ``range_seconds`` at every step: (keys, step_end, samples, increase, rate).
+
+    The range ends with the step and leaves its beginning out; at least two samples have to lie in it. Nothing
+    is extrapolated to its edges. Ranges overlap, so samples are first reduced to buckets that ranges are made
+    of; each bucket goes to the steps it counts for, where a handful of buckets are chained in order of time.
+    A series of very many samples is cut into slices as in ``counter_rate``.
+    """
+    width = math.gcd(range_seconds, step_seconds)
+    window = F.ceil(F.col("_at") / F.lit(width * 1_000_000))
+    slices = counted_slices(samples, keys, window, ts, value, tiebreak, slice_seconds)
+    chain = Window.partitionBy(*keys, "_win").orderBy("_slice", "piece")
+    order = F.struct("_slice", "piece")
+    buckets = (
+        slices.withColumn("_gain", F.col("_gain") + gain(F.col("_first"), F.lag("_last").over(chain)))
+        .groupBy(*keys, "_win")
+        .agg(F.sum("_n").alias("n"), F.sum("_gain").alias("gain"), F.min_by("_first", order).alias("first"), F.max_by("_last", order).alias("last"))
+    )
+    in_range, in_step = range_seconds // width, step_seconds // width
+    # steps whose range holds the bucket
+    low = F.ceil(F.col("_win") / in_step)
+    high = F.floor((F.col("_win") + in_range - 1) / in_step)
+    steps = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
+    placed = buckets.select(*keys, F.explode(steps).alias("_step"), F.struct("_win", "n", "gain", "first", "last").alias("b"))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("gain"), F.lit(None).cast("double").alias("last"))
+
+    def add(a: Column, b: Column) -> Column:
+        return F.struct((a["n"] + b["n"]).alias("n"), (a["gain"] + b["gain"] + gain(b["first"], a["last"])).alias("gain"), b["last"].alias("last"))
+
+    ranges = placed.groupBy(*keys, "_step").agg(F.aggregate(F.sort_array(F.collect_list("b")), start, add).alias("r")).where("r.n >= 2")
+    at = F.timestamp_micros(F.col("_step") * step_seconds * 1_000_000).cast("timestamp_ntz")
+    return ranges.select(*keys, at.alias("step_end"), F.col("r.n").alias("samples"), F.col("r.gain").alias("increase"), (F.col("r.gain") / range_seconds).alias("rate"))
+
+
+def quantile_steps(
+    samples: DataFrame, by: list[str], series: list[str], q: float, ts: str, value: str, tiebreak: str, range_seconds: int = 300, step_seconds: int = 60
+) -> DataFrame:
+    """Quantile of observations at every step, from the counters of a cumulative histogram: (by, step_end, quantile).
+
+    Each series (``by``, ``series`` and ``bound``, null for no bound) has a counter; their rates are added up over ``series``
+    and interpolated inside the first bucket that reaches the rank. Steps without any observation are left out.
+    """
+    rates = range_rates(samples, [*by, *series, "bound"], ts, value, tiebreak, range_seconds, step_seconds)
+    added = rates.groupBy(*by, "bound", "step_end").agg(F.sum("rate").alias("cumulative"))
+    return histogram_quantile(added, [*by, "step_end"], q)
+
+
 def latest_gauge(samples: DataFrame, series: list[str], by: list[str], value: str, order: list[str]) -> DataFrame:
     """Sum of the newest value of every series, grouped by some of its labels."""
     newest = samples.groupBy(*series).agg(F.max_by(F.col(value), F.struct(*order)).alias("value"))

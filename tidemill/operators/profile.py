@@ -19,6 +19,7 @@ from tidemill.functions.scalars import is_blank
 from tidemill.operators.columns import (
     aggregate_sql,
     cells_by_kind,
+    columns_by_kind,
     col,
     long_numeric,
     name_sql,
@@ -27,12 +28,18 @@ from tidemill.operators.columns import (
     text_sql,
     wide_to_long,
 )
+from tidemill.operators.gram import wide_correlation
 from tidemill.plans.joins import join_null_safe
-from tidemill.plans.session import cut_lineage, without_nan
+from tidemill.plans.session import cut_lineage, group_rows, without_nan
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 # aggregates per pass: keeps generated code within what the JVM compiles well
 EXPRESSIONS_PER_PASS = 300
+# frequent values that are counted exactly, and columns summarised at a time; a summary of m values is wrong by
+# at most this many m-ths of the rows
+CANDIDATES = 1_000
+SUMMARIES = 50
+SUMMARY_ERROR = 3.5
 # what is summed per pair of columns: rows, values, squares and products
 SUMS = ("n", "sx", "sy", "xx", "yy", "xy")
 
@@ -79,13 +86,20 @@ def blank_entries(df: DataFrame) -> DataFrame:
 
 
 @without_nan
-def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column_name, value, n) over non-null cells: the shared base of the value-based metrics."""
+def value_counts(df: DataFrame, columns: list[str] | None = None, only: DataFrame | None = None) -> DataFrame:
+    """(column_name, value, n) over non-null cells: the shared base of the value-based metrics.
+
+    ``only`` restricts it to some values: rows (column_name, hash), few enough to be broadcast.
+    """
+    tables = cells_by_kind(df, columns)
+    if only is not None:
+        keep = F.broadcast(only)
+        tables = [t.withColumn("hash", F.xxhash64("value")).join(keep, ["column_name", "hash"], "left_semi") for t in tables]
     parts = [
         cells.groupBy("column_name", "value")
         .agg(F.count(F.lit(1)).alias("n"))
         .select("column_name", F.col("value").cast("string").alias("value"), "n")
-        for cells in cells_by_kind(df, columns)
+        for cells in tables
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -93,6 +107,50 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return out
 
 
+@without_nan
+def frequent_values(df: DataFrame, columns: list[str], k: int) -> tuple[DataFrame, list[str], list[str]]:
+    """Counts (column_name, value, n) that hold the ``k`` most frequent values, without moving all distinct values.
+
+    Returns them with two lists of columns: those whose every value is there, and others whose first ``k`` are
+    proven. Columns in neither have to be counted in full.
+
+    First each task keeps a mergeable summary of every column's frequent values, of a fixed size. These are only
+    candidates: a second read counts them exactly. If the counts add up to the column's cells, nothing is
+    missing. Else a value that isn't a candidate has at most as many cells as the least candidate's estimate or the
+    summary's error allow, and the first ``k`` are proven if the k-th exact count is above that.
+    """
+    spark = df.sparkSession
+    kinds = {c: kind for kind, names in columns_by_kind(df, columns).items() for c in names}
+    candidates = max(CANDIDATES, 2 * k)
+    tracked = 10 * candidates
+    hashed = [f"if({name_sql(c)} IS NULL, NULL, xxhash64({kinds[c]}({name_sql(c)})))" for c in columns]
+    found = {}
+    for a in range(0, len(columns), SUMMARIES):
+        part = range(a, min(len(columns), a + SUMMARIES))
+        summaries = [f"approx_top_k({hashed[i]}, {candidates}, {tracked}) AS top{i}" for i in part]
+        row = df.selectExpr("count(1) AS total", *summaries, *[f"count({name_sql(columns[i])}) AS n{i}" for i in part]).first()
+        rows_in_all = row["total"]
+        found |= {columns[i]: (row[f"n{i}"], len(row[f"top{i}"]), [tuple(x) for x in row[f"top{i}"]]) for i in part}
+    # at most ``candidates`` numbers per column
+    rows = [(c, h) for c, (_, _, top) in found.items() for h, _ in top if h is not None]
+    counts = cut_lineage(value_counts(df, columns, spark.createDataFrame(rows, "column_name string, hash long")))
+    order = Window.partitionBy("column_name").orderBy(F.desc("n"))
+    ranked = counts.withColumn("rank", F.row_number().over(order))
+    sums = ranked.groupBy("column_name").agg(F.sum("n").alias("total"), F.max(F.when(F.col("rank") == k, F.col("n"))).alias("kth")).collect()
+    exact = {r["column_name"]: (r["total"], r["kth"]) for r in sums}
+    whole, proven = [], []
+    for c, (cells, size, top) in found.items():
+        total, kth = exact.get(c, (0, None))
+        # estimates are upper bounds; a value that the summary let go, or held too loosely to name it, is within twice its error
+        error = 2 * SUMMARY_ERROR * rows_in_all / tracked
+        bound = max(error, top[-1][1] if size == candidates else 0)
+        if total == cells:
+            whole.append(c)
+        elif kth is not None and kth > bound:
+            proven.append(c)
+    return counts, whole, proven
+
+
 @without_nan
 def distinct_counts(df: DataFrame) -> DataFrame:
     counts = value_counts(df).groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_values"))
@@ -219,9 +277,15 @@ def categorical_summary(df: DataFrame) -> DataFrame:
     """Most frequent value (the smallest one on ties), its count and the number of distinct values."""
     columns = string_columns(df.schema)
     best = F.min(F.struct((-F.col("n")).alias("n"), F.col("value")))
+    counts = value_counts(df, columns)
+    if columns and df.count() > group_rows(df.sparkSession):
+        # distinct values of the other columns have to be told apart one by one
+        frequent, whole, _ = frequent_values(df, columns, 1)
+        rest = [c for c in columns if c not in whole]
+        counts = frequent.where(F.col("column_name").isin(whole))
+        counts = counts.unionByName(value_counts(df, rest)) if rest else counts
     found = (
-        value_counts(df, columns)
-        .groupBy("column_name")
+        counts.groupBy("column_name")
         .agg(best.alias("best"), F.count(F.lit(1)).alias("unique_values"))
         .select("column_name", F.col("best.value").alias("mode"), (-F.col("best.n")).alias("mode_count"), "unique_values")
     )
@@ -246,9 +310,20 @@ def value_frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFr
 
 @without_nan
 def top_values(df: DataFrame, k: int, columns: list[str] | None = None) -> DataFrame:
-    """The k most frequent values per column; Spark limits each task to k rows per column first."""
+    """The k most frequent values per column; Spark limits each task to k rows per column first.
+
+    In a large table only candidates are counted where that is proven to be enough.
+    """
+    columns = df.columns if columns is None else columns
     w = Window.partitionBy("column_name").orderBy(F.desc("n"), "value")
-    return value_counts(df, columns).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    if df.count() > group_rows(df.sparkSession):
+        frequent, whole, proven = frequent_values(df, columns, k)
+        rest = [c for c in columns if c not in [*whole, *proven]]
+        counts = frequent.where(F.col("column_name").isin([*whole, *proven]))
+        counts = counts.unionByName(value_counts(df, rest)) if rest else counts
+    else:
+        counts = value_counts(df, columns)
+    return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 @without_nan
@@ -257,9 +332,12 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None, known: d
 
     A first pass fetches mean, range and gaps per column. Products of centred values are then
     plain sums: one per pair of gapless columns, six where a column has gaps. ``known`` takes the first
-    pass's result: total, and count, avg, min and max by column position.
+    pass's result: total, and count, avg, min and max by column position. More pairs than one aggregate holds
+    are left to ``gram.wide_correlation``, which reads the table as often whatever the number of columns.
     """
     columns = numeric_columns(df.schema) if columns is None else columns
+    if len(columns) * (len(columns) + 1) // 2 > EXPRESSIONS_PER_PASS:
+        return wide_correlation(df, columns)
     doubles = df.selectExpr(*[f"double({name_sql(c)}) AS c{i}" for i, c in enumerate(columns)])
     wanted = [f"{fn}(c{i}) AS {fn}{i}" for i in range(len(columns)) for fn in ("count", "avg", "min", "max")]
     stats = aggregate_sql(doubles, ["count(1) AS total", *wanted]).first() if known is None else known
@@ -267,33 +345,30 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None, known: d
     centred = doubles.selectExpr(*[f"c{i} - double('{m!r}') AS x{i}" for i, m in enumerate(centres)])
     gaps = {i for i in range(len(columns)) if stats[f"count{i}"] < stats["total"]}
     flat = {i for i in range(len(columns)) if stats[f"min{i}"] == stats[f"max{i}"]}
-    parts = []
-    for pairs in _passes(list(combinations_with_replacement(range(len(columns)), 2)), gaps):
-        sums, entries = {"total": "count(1)"}, []
-        for i, j in pairs:
-            x, y, at = f"x{i}", f"x{j}", f"_{i}_{j}"
-            if i in flat or j in flat:
-                found = ["1", "0", "0", "NULL", "NULL", "NULL"]
-            elif gaps & {i, j}:
-                found = [f"{k}{at}" for k in SUMS]
-                sums |= {
-                    f"n{at}": f"count({x} * {y})",
-                    f"sx{at}": f"sum(if({y} IS NOT NULL, {x}, NULL))",
-                    f"sy{at}": f"sum(if({x} IS NOT NULL, {y}, NULL))",
-                    f"xx{at}": f"sum(if({y} IS NOT NULL, {x} * {x}, NULL))",
-                    f"yy{at}": f"sum(if({x} IS NOT NULL, {y} * {y}, NULL))",
-                    f"xy{at}": f"sum({x} * {y})",
-                }
-            else:
-                found = ["1", "0", "0", f"own{i}", f"own{j}", f"xy{at}"]
-                sums |= {f"own{i}": f"sum({x} * {x})", f"own{j}": f"sum({y} * {y})", f"xy{at}": f"sum({x} * {y})"}
-            values = ", ".join(f"'{k}', double({v})" for k, v in zip(SUMS, found))
-            entries.append(f"named_struct('x', {text_sql(columns[i])}, 'y', {text_sql(columns[j])}, {values})")
-        found = aggregate_sql(centred, [f"{e} AS {k}" for k, e in sums.items()])
-        parts.append(found.selectExpr(f"inline(array({', '.join(entries)}))"))
-    sums = parts[0]
-    for p in parts[1:]:
-        sums = sums.unionByName(p)
+    pairs = list(combinations_with_replacement(range(len(columns)), 2))
+    if len(pairs) + 5 * sum(bool(gaps & {i, j}) for i, j in pairs) > EXPRESSIONS_PER_PASS:
+        return wide_correlation(df, columns)
+    wanted, entries = {"total": "count(1)"}, []
+    for i, j in pairs:
+        x, y, at = f"x{i}", f"x{j}", f"_{i}_{j}"
+        if i in flat or j in flat:
+            found = ["1", "0", "0", "NULL", "NULL", "NULL"]
+        elif gaps & {i, j}:
+            found = [f"{k}{at}" for k in SUMS]
+            wanted |= {
+                f"n{at}": f"count({x} * {y})",
+                f"sx{at}": f"sum(if({y} IS NOT NULL, {x}, NULL))",
+                f"sy{at}": f"sum(if({x} IS NOT NULL, {y}, NULL))",
+                f"xx{at}": f"sum(if({y} IS NOT NULL, {x} * {x}, NULL))",
+                f"yy{at}": f"sum(if({x} IS NOT NULL, {y} * {y}, NULL))",
+                f"xy{at}": f"sum({x} * {y})",
+            }
+        else:
+            found = ["1", "0", "0", f"own{i}", f"own{j}", f"xy{at}"]
+            wanted |= {f"own{i}": f"sum({x} * {x})", f"own{j}": f"sum({y} * {y})", f"xy{at}": f"sum({x} * {y})"}
+        values = ", ".join(f"'{k}', double({v})" for k, v in zip(SUMS, found))
+        entries.append(f"named_struct('x', {text_sql(columns[i])}, 'y', {text_sql(columns[j])}, {values})")
+    sums = aggregate_sql(centred, [f"{e} AS {k}" for k, e in wanted.items()]).selectExpr(f"inline(array({', '.join(entries)}))")
     half = (
         sums.withColumn("vx", _spread(F.col("xx"), F.col("sx"), F.col("n")))
         .withColumn("vy", _spread(F.col("yy"), F.col("sy"), F.col("n")))
@@ -310,19 +385,6 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None, known: d
     return half.select(F.inline(both), "corr")
 
 
-def _passes(pairs: list[tuple[int, int]], gaps: set[int]) -> list[list[tuple[int, int]]]:
-    """Split the pairs so that one aggregate does not grow beyond what compiles well."""
-    passes, used = [[]], 0
-    for i, j in pairs:
-        cost = 6 if gaps & {i, j} else 1
-        if used + cost > EXPRESSIONS_PER_PASS:
-            passes.append([])
-            used = 0
-        passes[-1].append((i, j))
-        used += cost
-    return passes
-
-
 def _spread(squares, total, n):
     """Sum of squares around the mean of the paired rows; null where only rounding noise is left."""
     value = squares - F.try_divide(total * total, n)

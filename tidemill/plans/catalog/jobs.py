@@ -3,6 +3,7 @@ orders, else a guest session); an event is a metric sample or a step in a job's
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemill.operators import jobs as J
@@ -111,6 +112,29 @@ def q_recovery(s, d):
     return rounded(done.select("id", "status", "attempts", "idle_seconds", "decision"))
 
 
+def step_sql(source, keys, seconds, step):
+    """Common tables ending in r (keys, step_end, samples, increase): each sample goes to the steps whose range holds it."""
+    return f"""s AS ({source}),
+k AS (SELECT *, unnest(range(ceil(epoch_us(ts) / {step}e6)::BIGINT, (epoch_us(ts) + {seconds}000000 - 1) // {step}000000 + 1)) AS step FROM s WHERE value IS NOT NULL),
+l AS (SELECT *, lag(value) OVER (PARTITION BY {keys}, step ORDER BY ts, tie) AS prev FROM k),
+r AS (SELECT {keys}, make_timestamp(step * {step}000000) AS step_end, count(*) AS samples,
+  sum(CASE WHEN prev IS NULL THEN 0 WHEN value < prev THEN value ELSE value - prev END)::DOUBLE AS increase FROM l GROUP BY {keys}, step HAVING count(*) >= 2)"""
+
+
+SCRAPE_BOUNDS = [10.0, 50.0, 100.0, 250.0]
+
+
+def scrapes(s, d):
+    """Counters of two shards' histograms, read every five minutes; each starts from zero every day."""
+    e = load(s, d, "events").select("event_type", (F.col("user_id") % 2).alias("shard"), "value", F.date_trunc("day", "ts").alias("day"), F.col("ts").cast("timestamp").alias("t"))
+    slot = F.ceil(F.unix_micros("t") / 300_000_000)
+    bounds = F.array(*map(F.lit, SCRAPE_BOUNDS), F.lit(None).cast("double"))
+    seen = e.select("event_type", "shard", "day", slot.alias("slot"), "value", F.explode(bounds).alias("bound"))
+    counts = seen.groupBy("event_type", "shard", "bound", "day", "slot").agg(F.count_if(F.col("bound").isNull() | (F.col("value") <= F.col("bound"))).alias("n"))
+    so_far = F.sum("n").over(Window.partitionBy("event_type", "shard", "bound", "day").orderBy("slot"))
+    return counts.select("event_type", "shard", "bound", F.timestamp_micros(F.col("slot") * 300_000_000).alias("ts"), so_far.alias("n"))
+
+
 QUERIES = {
     "queue_depth": lambda s, d: J.queue_depth(jobs(s, d)),
     "outstanding_limit": lambda s, d: J.outstanding(jobs(s, d)),
@@ -122,6 +146,8 @@ QUERIES = {
     "retention_expired": lambda s, d: J.expired_jobs(jobs(s, d), keep=3).select("id", "user_id", "session_id", "created_at"),
     "percentile_lower_rank": lambda s, d: J.lower_rank_percentile(load(s, d, "events"), ["event_type"], "value", 0.95),
     "counter_rate": lambda s, d: rounded(J.counter_rate(load(s, d, "events"), ["event_type"], "ts", "value", "event_id"), 6),
+    "range_rates": lambda s, d: rounded(J.range_rates(load(s, d, "events"), ["event_type"], "ts", "value", "event_id", 21600, 3600), 8),
+    "latency_p95_steps": lambda s, d: rounded(J.quantile_steps(scrapes(s, d), ["event_type"], ["shard"], 0.95, "ts", "n", "ts", 21600, 3600)),
     "latest_gauge": lambda s, d: rounded(
         J.latest_gauge(load(s, d, "events"), ["event_type", "user_id"], ["event_type"], "value", ["ts", "event_id"])
     ),
@@ -170,6 +196,19 @@ SELECT event_type, max(value) AS percentile FROM r WHERE rn = floor((n - 1) * 0.
   g AS (SELECT event_type, window_start, CASE WHEN prev IS NULL THEN 0 WHEN value < prev THEN value ELSE value - prev END AS gain FROM t)
 SELECT event_type, window_start, count(*) AS samples, round(sum(gain), 6) AS increase, round(sum(gain) / 300, 6) AS rate
 FROM g GROUP BY 1, 2 HAVING count(*) >= 2""",
+    "range_rates": f"""WITH {step_sql("SELECT event_type, ts, value, event_id AS tie FROM events", "event_type", 21600, 3600)}
+SELECT event_type, step_end, samples, round(increase, 8) AS increase, round(increase / 21600, 8) AS rate FROM r""",
+    "latency_p95_steps": f"""WITH b AS (SELECT unnest([{", ".join(map(str, SCRAPE_BOUNDS))}, NULL]) AS bound),
+c AS (SELECT event_type, user_id % 2 AS shard, bound, date_trunc('day', ts) AS day, ceil(epoch_us(ts) / 300000000)::BIGINT AS slot,
+  count(*) FILTER (bound IS NULL OR value <= bound) AS n FROM events, b GROUP BY ALL),
+m AS (SELECT event_type, shard, bound, make_timestamp(slot * 300000000::BIGINT) AS ts, sum(n) OVER (PARTITION BY event_type, shard, bound, day ORDER BY slot)::DOUBLE AS value FROM c),
+{step_sql("SELECT event_type, shard, bound, ts, value, ts AS tie FROM m", "event_type, shard, bound", 21600, 3600)},
+a AS (SELECT event_type, step_end, bound, sum(increase / 21600) AS cumulative FROM r GROUP BY ALL),
+w AS (SELECT *, coalesce(lag(cumulative) OVER o, 0) AS below, coalesce(lag(bound) OVER o, 0) AS start,
+    0.95::DOUBLE * max(cumulative) OVER (PARTITION BY event_type, step_end) AS rank, max(bound) OVER (PARTITION BY event_type, step_end) AS top
+  FROM a WINDOW o AS (PARTITION BY event_type, step_end ORDER BY bound ASC NULLS LAST))
+SELECT event_type, step_end, round(CASE WHEN bound IS NULL THEN top ELSE start + (bound - start) * (rank - below) / (cumulative - below) END, 4) AS quantile
+FROM w WHERE below < rank AND rank <= cumulative""",
     "latest_gauge": """WITH l AS (SELECT event_type, user_id, arg_max(value, row(ts, event_id)) AS value FROM events GROUP BY 1, 2)
 SELECT event_type, count(*) AS series, round(sum(value), 4) AS value FROM l GROUP BY 1""",
     "job_state_fold": f"WITH RECURSIVE {JOB_EVENTS} SELECT job_id, events, status, attempts, rejected, last_seen FROM states",
