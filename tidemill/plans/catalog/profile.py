@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemill.operators import profile as P
-from tidemill.plans.session import load
+from tidemill.operators import profile_state as PS
+from tidemill.plans.session import load, work_dir
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 TEXTS = ["l_returnflag", "l_linestatus"]
@@ -54,6 +55,16 @@ COUNTED = [*NUM, *TEXTS]
 COUNTS_SQL = f"""counts AS ({each(COUNTED, "SELECT '{c}' AS column_name, {c}::VARCHAR AS value, count(*) AS n FROM items WHERE {c} IS NOT NULL GROUP BY ALL")})"""
 
 
+STATE = "SELECT '{c}' AS column_name, count(*) AS rows, count({c}) AS count, count(*) - count({c}) AS missing"
+STATES_SQL = "\nUNION ALL ".join(
+    [
+        each(NUM, STATE + ", 0::BIGINT AS blank, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max FROM items"),
+        each(TEXTS, STATE + ", count(*) FILTER (trim({c}) = ''), NULL, NULL, NULL, NULL FROM items"),
+        each(["l_shipdate"], STATE + ", 0, NULL, NULL, NULL, NULL FROM items"),
+    ]
+)
+
+
 def corr_sql(cols, body):
     return "\nUNION ALL ".join(
         f"SELECT '{a}' AS column_x, '{b}' AS column_y, {body.format(a=a, b=b)} FROM items" for a in cols for b in cols
@@ -79,7 +90,17 @@ def q_schema(spark, sf_dir):
 
 SPARK_TYPES = "CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' ELSE 'timestamp_ntz' END"
 
+def q_states(s, d):
+    """The exact part of a profile that was made in three batches, one of which was added twice."""
+    folder = work_dir(s, "profile-state")
+    for k in (0, 1, 2, 1):
+        PS.add_batch(items(s, d).where(F.col("l_orderkey") % 3 == k), folder, str(k))
+    found = PS.profile_of_states(*PS.stored_states(s, folder)).drop("distinct_estimate", "q25", "q50", "q75")
+    return rounded(found).withColumn("mode", F.when(F.col("column_name").isin(TEXTS), F.col("mode")))
+
+
 QUERIES = {
+    "profile_of_states": q_states,
     "schema_report": q_schema,
     "profile_shape": lambda s, d: P.shape(items(s, d)),
     "profile_missing": lambda s, d: rounded(P.missing(items(s, d))),
@@ -164,6 +185,10 @@ UNION ALL {section("categorical", "s_cat", ["mode", "mode_count", "unique_values
 UNION ALL SELECT 'correlation', column_x, column_y, round(corr, 4), NULL FROM s_corr"""
 
 SQL = {
+    "profile_of_states": f"""WITH {ITEMS}, v AS ({each(COLUMNS, "SELECT '{c}' AS column_name, {c}::VARCHAR AS value, count(*) AS n FROM items WHERE {c} IS NOT NULL GROUP BY ALL")}),
+b AS (SELECT column_name, count(*) AS distinct_values, max(n) AS mode_count, min(value) FILTER (n = top) AS mode FROM (SELECT *, max(n) OVER (PARTITION BY column_name) AS top FROM v) GROUP BY ALL),
+m AS ({STATES_SQL})
+SELECT m.*, distinct_values, CASE WHEN column_name IN ('l_returnflag', 'l_linestatus') THEN mode END AS mode, mode_count FROM m JOIN b USING (column_name)""",
     "profile_full": FULL_SQL,
     "schema_report": f"""SELECT ordinal, column_name, {SPARK_TYPES} AS data_type,
   CASE WHEN data_type = 'VARCHAR' THEN 'string' WHEN data_type IN ('BIGINT', 'INTEGER', 'DOUBLE') THEN 'numeric' ELSE 'other' END AS kind
