@@ -2,10 +2,11 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.test_jobs import fold_slowly
 from tidemill.streaming import jobs as S
-from tidemill.streaming.runner import ROCKSDB, ClosingSource, keyed_overwrite, newest_per_key, replay_delay, run_append, run_update, table_stream
+from tidemill.streaming.runner import ROCKSDB, ClosingSource, keyed_overwrite, newest_per_key, replay_delay, run_append, run_update, state_store, table_stream
 
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string"
 T0 = dt.datetime(2024, 1, 1)
@@ -133,3 +134,53 @@ def test_a_repeated_batch_replaces_itself(spark, tmp_path):
     table = spark.read.parquet(str(tmp_path / "sink"))
     assert table.count() == 3
     assert {tuple(r) for r in newest_per_key(table, ["k"]).collect()} == {(1, 10), (2, 21)}
+
+
+def test_sliced_states_equal_a_plain_loop(spark, tmp_path):
+    """Events in any order over several batches; one job has a third of all of them; late slices follow earlier ones."""
+    rnd = random.Random(9)
+    acts = ["enqueue", "start", "complete", "fail", "odd"]
+    rows = [(i, at(rnd.randrange(90)), 0 if i % 3 == 0 else rnd.randrange(1, 9), rnd.choice(acts)) for i in range(150)]
+    for k in range(3):
+        put(spark, tmp_path, rows[k::3], k)
+    source = stream(spark, str(tmp_path))
+    closing = ClosingSource(source, "ts")
+    slices = S.job_slices(source.unionByName(closing.stream()), "user_id", "event_type", "ts", "event_id", "3 hours", "7 minutes")
+    out = S.run_sliced_states(slices, "t-slices", closing)
+    per_job = {}
+    for i, ts, job, act in rows:
+        per_job.setdefault(job, []).append((ts, i, act))
+    assert {r.job_id: (r.status, r.attempts, r.rejected) for r in out.collect()} == {j: fold_slowly(e) for j, e in per_job.items()}
+    assert {r.job_id: r.events for r in out.collect()} == {j: len(e) for j, e in per_job.items()}
+
+
+def test_slices_of_later_batches_go_on_from_the_states_before(spark, tmp_path):
+    write, path = S.chain_into(str(tmp_path / "out")), str(tmp_path / "out")
+    maps = lambda acts: S.outcome_of(F.array(*map(F.lit, acts)))
+
+    def batch(job, minute, acts):
+        return spark.range(1).select(F.lit(job).cast("long").alias("job_id"), F.lit(at(minute)).alias("slice"), F.lit(len(acts)).cast("long").alias("events"), F.lit(minute).cast("long").alias("at_us"), maps(acts).alias("outcome"))
+
+    write(batch(1, 5, ["enqueue"]).unionByName(batch(2, 5, ["enqueue", "fail"])), 0)
+    for _ in range(2):  # a repeated batch changes nothing
+        write(batch(1, 80, ["complete"]).unionByName(batch(1, 7, ["start", "start"])), 1)
+    got = {r.job_id: (r.status, r.attempts, r.rejected, r.events) for r in S.states_before(spark, path, 9).collect()}
+    assert got == {1: ("completed", 1, 1, 4), 2: ("failed", 0, 0, 2)}
+
+
+def test_silence_is_noticed_by_the_clock(spark, tmp_path):
+    """Nothing arrives after the first batch; the decisions come all the same."""
+    import time
+
+    put(spark, tmp_path, [(1, at(0), 1, "enqueue"), (2, at(0), 2, "enqueue"), (3, at(1), 2, "start"), (4, at(2), 3, "odd")], 0)
+    result = S.silent_decisions(stream(spark, str(tmp_path)), "user_id", "event_type", "ts", "event_id", idle_seconds=1)
+    with state_store(spark, ROCKSDB):
+        query = result.writeStream.format("memory").queryName("silent").option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(processingTime="1 second").start()
+    try:
+        end = time.monotonic() + 120
+        while time.monotonic() < end and spark.table("silent").count() < 3:
+            time.sleep(1)
+    finally:
+        query.stop()
+    got = [(r.job_id, r.decision) for r in spark.table("silent").orderBy("job_id").collect()]
+    assert got == [(1, "reprocess"), (2, "stuck"), (3, "stuck")]

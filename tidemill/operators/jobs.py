@@ -309,23 +309,17 @@ MOVES = {
 }
 
 
-def fold_job_states(events: DataFrame, job: str, action: str, ts: str, tiebreak: str) -> DataFrame:
-    """Final state, attempts and rejected moves per job from its ordered events.
+def action_of(c: Column) -> Column:
+    """The action, or ``other`` for one that no move knows."""
+    return F.coalesce(*[F.when(c == act, F.lit(act)) for act in sorted({a for _, a in MOVES})], F.lit("other"))
+
+
+def _cell(state: str) -> Column:
+    return F.struct(F.lit(state).alias("state"), F.lit(0).cast("long").alias("attempts"), F.lit(0).cast("long").alias("rejected"))
 
-    A run of events maps every possible state to an outcome, and such maps can be chained.
-    Events are therefore reduced per (job, minute), then per (job, day), so the job's own
-    group only sees one short map per day. A minute with too many events is cut into pieces.
-    """
-    step = F.coalesce(
-        *[F.when((F.col(action) == act), F.lit(act)) for act in sorted({a for _, a in MOVES})], F.lit("other")
-    )
-    timed = events.select(
-        F.col(job).alias("job_id"),
-        step.alias("act"),
-        F.unix_micros(F.col(ts).cast("timestamp")).alias("at"),
-        F.col(tiebreak).alias("tie"),
-        F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(60_000_000)).alias("minute"),
-    )
+
+def outcome_of(actions: Column) -> Column:
+    """What a run of actions makes of every possible state: one (state, attempts, rejected) per entry of ``STATES``."""
 
     def move(cell: Column, act: Column) -> Column:
         state = cell["state"]
@@ -338,23 +332,40 @@ def fold_job_states(events: DataFrame, job: str, action: str, ts: str, tiebreak:
             (cell["rejected"] + F.when(target.isNull(), 1).otherwise(0)).alias("rejected"),
         )
 
-    def start(state: str) -> Column:
-        return F.struct(
-            F.lit(state).alias("state"), F.lit(0).cast("long").alias("attempts"), F.lit(0).cast("long").alias("rejected")
-        )
+    return F.aggregate(actions, F.array(*map(_cell, STATES)), lambda acc, act: F.transform(acc, lambda c: move(c, act)))
 
-    identity = F.array(*[start(s) for s in STATES])
-    run = F.transform(F.array_sort(F.collect_list(F.struct("at", "tie", "act"))), lambda e: e["act"])
+
+def follow(cell: Column, outcome: Column) -> Column:
+    """A state after what ``outcome`` does to it."""
     position = F.array(*[F.lit(s) for s in STATES])
+    hit = F.element_at(outcome, F.array_position(position, cell["state"]).cast("int"))
+    return F.struct(
+        hit["state"].alias("state"),
+        (cell["attempts"] + hit["attempts"]).alias("attempts"),
+        (cell["rejected"] + hit["rejected"]).alias("rejected"),
+    )
+
+
+def chained(steps: Column) -> Column:
+    """The outcome of consecutive steps, each with an ``outcome`` of its own."""
+    return F.aggregate(steps, F.array(*map(_cell, STATES)), lambda acc, m: F.transform(acc, lambda c: follow(c, m["outcome"])))
 
-    def chain(cell: Column, m: Column) -> Column:
-        hit = F.element_at(m["outcome"], F.array_position(position, cell["state"]).cast("int"))
-        return F.struct(
-            hit["state"].alias("state"),
-            (cell["attempts"] + hit["attempts"]).alias("attempts"),
-            (cell["rejected"] + hit["rejected"]).alias("rejected"),
-        )
 
+def fold_job_states(events: DataFrame, job: str, action: str, ts: str, tiebreak: str) -> DataFrame:
+    """Final state, attempts and rejected moves per job from its ordered events.
+
+    A run of events maps every possible state to an outcome, and such maps can be chained.
+    Events are therefore reduced per (job, minute), then per (job, day), so the job's own
+    group only sees one short map per day. A minute with too many events is cut into pieces.
+    """
+    timed = events.select(
+        F.col(job).alias("job_id"),
+        action_of(F.col(action)).alias("act"),
+        F.unix_micros(F.col(ts).cast("timestamp")).alias("at"),
+        F.col(tiebreak).alias("tie"),
+        F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(60_000_000)).alias("minute"),
+    )
+    run = F.transform(F.array_sort(F.collect_list(F.struct("at", "tie", "act"))), lambda e: e["act"])
     minutes = (
         ordered_pieces(timed, ["job_id", "minute"], ["at", "tie"])
         .groupBy("job_id", "minute", "piece")
@@ -366,20 +377,20 @@ def fold_job_states(events: DataFrame, job: str, action: str, ts: str, tiebreak:
             F.floor(F.col("minute") / F.lit(1440)).alias("day"),
             "n",
             "at",
-            F.aggregate("run", identity, lambda acc, act: F.transform(acc, lambda c: move(c, act))).alias("outcome"),
+            outcome_of(F.col("run")).alias("outcome"),
         )
     )
     in_order = F.array_sort(F.collect_list(F.struct("minute", "piece", "outcome")))
     days = minutes.groupBy("job_id", "day").agg(
         F.sum("n").alias("n"),
         F.max("at").alias("at"),
-        F.aggregate(in_order, identity, lambda acc, m: F.transform(acc, lambda c: chain(c, m))).alias("outcome"),
+        chained(in_order).alias("outcome"),
     )
     by_day = F.array_sort(F.collect_list(F.struct("day", "outcome")))
     folded = days.groupBy("job_id").agg(
         F.sum("n").alias("events"),
         F.max("at").alias("at"),
-        F.aggregate(by_day, start("none"), chain).alias("final"),
+        F.aggregate(by_day, _cell("none"), lambda acc, m: follow(acc, m["outcome"])).alias("final"),
     )
     return folded.select(
         "job_id",

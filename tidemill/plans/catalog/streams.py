@@ -68,6 +68,13 @@ def q_state(s, d):
     return out.select("job_id", "events", "status", "attempts", "rejected", seen)
 
 
+def q_sliced(s, d):
+    both, closing = job_stream(s, d)
+    slices = S.job_slices(both, "job_id", "action", "ts", "event_id", delay(s, d), "1 hour")
+    seen = F.timestamp_micros("last_us").cast("timestamp_ntz").alias("last_seen")
+    return S.run_sliced_states(slices, "job-slices", closing).select("job_id", "events", "status", "attempts", "rejected", seen)
+
+
 def q_recovery(s, d):
     both, closing = job_stream(s, d)
     out = run_append(S.idle_decisions(both, "job_id", "action", "ts", "event_id", delay(s, d)), "recovery", closing, ROCKSDB)
@@ -80,6 +87,7 @@ QUERIES = {
     "stream_depth": q_depth,
     "stream_sessions": q_sessions,
     "stream_job_state": q_state,
+    "stream_job_slices": q_sliced,
     "stream_recovery": q_recovery,
 }
 
@@ -93,6 +101,7 @@ FROM events, (SELECT unnest(range(0, 5))::INTEGER AS k) GROUP BY 1, 2""",
   n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g)
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 24 HOUR AS "end", count(*) AS events FROM n GROUP BY user_id, session""",
     "stream_job_state": f"WITH RECURSIVE {JOB_EVENTS} SELECT job_id, events, status, attempts, rejected, last_seen FROM states",
+    "stream_job_slices": f"WITH RECURSIVE {JOB_EVENTS} SELECT job_id, events, status, attempts, rejected, last_seen FROM states",
     "stream_recovery": f"""WITH RECURSIVE {JOB_EVENTS} SELECT job_id, status, attempts,
   CASE WHEN status IN ('completed', 'failed') THEN 'acknowledge' WHEN attempts >= 3 THEN 'fail' WHEN status = 'queued' THEN 'reprocess' ELSE 'stuck' END AS decision FROM states""",
 }

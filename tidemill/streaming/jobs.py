@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tidemill.operators.jobs import IDLE_SECONDS, MAX_ATTEMPTS, MOVES, TERMINAL
+from tidemill.operators.jobs import IDLE_SECONDS, MAX_ATTEMPTS, MOVES, TERMINAL, action_of, chained, follow, outcome_of
+from tidemill.plans.session import work_dir
+from tidemill.streaming.runner import newest_per_key
 
 
 def deduplicate(events: DataFrame, key: list[str], ts: str = "ts", delay: str = "1 hour") -> DataFrame:
@@ -131,18 +134,12 @@ class IdleJobs(JobState):
         status, attempts, _, _, last = self.state.get()
         silent = not any(True for _ in self.pending.get()) and mark > last // 1000 + IDLE_SECONDS * 1000
         if silent:
-            if status in TERMINAL:
-                decision = "acknowledge"
-            elif attempts >= MAX_ATTEMPTS:
-                decision = "fail"
-            else:
-                decision = "reprocess" if status == "queued" else "stuck"
             yield pd.DataFrame(
                 {
                     "job_id": [key[0]],
                     "status": [status],
                     "attempts": [attempts],
-                    "decision": [decision],
+                    "decision": [decide(status, attempts)],
                     "last_us": [last],
                 }
             )
@@ -151,6 +148,54 @@ class IdleJobs(JobState):
             self.handle.registerTimer(max(last // 1000 + IDLE_SECONDS * 1000 + 1, mark + 1))
 
 
+def decide(status: str, attempts: int) -> str:
+    """What becomes of a job that has been silent for the idle time."""
+    if status in TERMINAL:
+        return "acknowledge"
+    if attempts >= MAX_ATTEMPTS:
+        return "fail"
+    return "reprocess" if status == "queued" else "stuck"
+
+
+class SilentJobs(StatefulProcessor):
+    """Decides what to do with a job that hasn't sent anything for the idle time by the clock on the wall.
+
+    No later event of any job is needed: a timer of the state store wakes the job. Events are applied as they come, those
+    of a batch in the order of their times. A decided job is forgotten, and a finished one that is never decided goes when
+    its state's time to live is over.
+    """
+
+    def __init__(self, idle_seconds: float):
+        self.idle_ms = int(idle_seconds * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("job", JOB_STATE, ttlDurationMs=max(10 * self.idle_ms, 60_000))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        status, attempts, rejected, events, last = self.state.get() if self.state.exists() else ("none", 0, 0, 0, 0)
+        for part in rows:
+            for at_us, _, act in sorted(part[["at_us", "tie", "action"]].itertuples(index=False, name=None)):
+                target = MOVES.get((status, act))
+                rejected += target is None
+                attempts += target == "processing"
+                status, events, last = target or status, events + 1, max(last, at_us)
+        self.state.update((status, int(attempts), int(rejected), int(events), int(last)))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.state.exists():
+            status, attempts, _, _, last = self.state.get()
+            self.state.clear()
+            yield pd.DataFrame({"job_id": [key[0]], "status": [status], "attempts": [attempts], "decision": [decide(status, attempts)], "last_us": [last]})
+
+    def close(self) -> None:
+        pass
+
+
 def _job_events(events: DataFrame, job: str, action: str, ts: str, tiebreak: str) -> DataFrame:
     return events.select(
         F.col(job).alias("job_id"),
@@ -179,3 +224,86 @@ def idle_decisions(events: DataFrame, job: str, action: str, ts: str, tiebreak:
         .groupBy("job_id")
         .transformWithStateInPandas(IdleJobs(), DECISION_ROW, "Append", "EventTime")
     )
+
+
+def silent_decisions(events: DataFrame, job: str, action: str, ts: str, tiebreak: str, idle_seconds: float = IDLE_SECONDS) -> DataFrame:
+    """Decisions for jobs that fell silent, by the clock (append mode, state provider ``ROCKSDB``).
+
+    For live streams: run it with a processing-time trigger, which also wakes jobs when nothing arrives.
+    """
+    rows = _job_events(events, job, action, ts, tiebreak).drop("ts")
+    return rows.groupBy("job_id").transformWithStateInPandas(SilentJobs(idle_seconds), DECISION_ROW, "Append", "ProcessingTime")
+
+
+SLICE_ROW = "job_id long, slice timestamp, events long, at_us long, outcome array<struct<state:string,attempts:long,rejected:long>>"
+
+
+def job_slices(events: DataFrame, job: str, action: str, ts: str, tiebreak: str, delay: str = "10 minutes", length: str = "1 second") -> DataFrame:
+    """What the events of a short slice of time do to a job, whatever its state: one row per job and slice (append mode).
+
+    The state is kept by job and slice, so a job with very many events spreads over all tasks, and none of them
+    holds more than a slice's events. A slice is given out once, when the watermark has passed it.
+    """
+    step = action_of(F.col(action))
+    rows = events.select(F.col(job).alias("job_id"), step.alias("act"), F.unix_micros(F.col(ts)).alias("at"), F.col(tiebreak).alias("tie"), F.col(ts).alias("ts"))
+    runs = rows.withWatermark("ts", delay).groupBy(F.window("ts", length), "job_id").agg(
+        F.collect_list(F.struct("at", "tie", "act")).alias("run"), F.count(F.lit(1)).alias("events"), F.max("at").alias("at_us")
+    )
+    return runs.select("job_id", F.col("window.start").alias("slice"), "events", "at_us", outcome_of(F.transform(F.array_sort("run"), lambda e: e["act"])).alias("outcome"))
+
+
+def chain_into(path: str):
+    """A batch writer for ``foreachBatch``: chains a batch's slices onto the jobs' states and writes the changed ones.
+
+    Slices are chained per job and hour, then per job. The states before are read from the folders of earlier
+    batches only, so a batch that is repeated writes the same folder again.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.where("job_id IS NOT NULL")
+        hours = batch.groupBy("job_id", F.date_trunc("hour", "slice").alias("hour")).agg(
+            F.sum("events").alias("events"), F.max("at_us").alias("last_us"), chained(F.array_sort(F.collect_list(F.struct("slice", "outcome")))).alias("outcome")
+        )
+        maps = hours.groupBy("job_id").agg(
+            F.sum("events").alias("more"), F.max("last_us").alias("newer"), chained(F.array_sort(F.collect_list(F.struct("hour", "outcome")))).alias("outcome")
+        )
+        before = states_before(spark, path, batch_id)
+        known = maps.join(before, "job_id", "left") if before is not None else maps.withColumns(
+            {"status": F.lit("none"), **{c: F.lit(0).cast("long") for c in ("attempts", "rejected", "events", "last_us")}}
+        )
+        start = F.struct(
+            F.coalesce("status", F.lit("none")).alias("state"), F.coalesce("attempts", F.lit(0)).cast("long").alias("attempts"), F.coalesce("rejected", F.lit(0)).cast("long").alias("rejected")
+        )
+        after = follow(start, F.col("outcome"))
+        out = known.withColumn("after", after).select(
+            "job_id", (F.coalesce("events", F.lit(0)) + F.col("more")).cast("long").alias("events"), F.col("after.state").alias("status"), F.col("after.attempts").alias("attempts"),
+            F.col("after.rejected").alias("rejected"), F.greatest("newer", F.coalesce("last_us", F.col("newer"))).alias("last_us"),
+        )
+        out.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return write
+
+
+def states_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """The newest state of each job in the batches before ``batch_id``."""
+    try:
+        written = spark.read.schema(STATE_ROW + ", batch long").option("basePath", path).parquet(path)
+    except AnalysisException:  # nothing has been written yet
+        return None
+    return newest_per_key(written.where(F.col("batch") < batch_id), ["job_id"])
+
+
+def run_sliced_states(slices: DataFrame, label: str, closing=None) -> DataFrame:
+    """Run ``job_slices`` over what is available now; the newest state of every job."""
+    spark = slices.sparkSession
+    out, checkpoint = work_dir(spark, f"{label}-out"), work_dir(spark, f"{label}-state")
+
+    def once() -> None:
+        slices.writeStream.foreachBatch(chain_into(out)).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+    once()
+    if closing is not None:
+        closing.close()
+        once()
+    return states_before(spark, out, 1 << 62)
