@@ -218,3 +218,27 @@ def test_artifacts_of_a_table_of_jobs(spark, tmp_path):
     wanted = spark.range(0, 200, 20).selectExpr("id as job_id").union(spark.createDataFrame([(None,), (20,)], "job_id long"))
     found = files.find_artifacts(spark, str(tmp_path / "a"), wanted, "job_id")
     assert sorted((r.job_id, r.v) for r in found.collect()) == sorted((v % 100, v) for v in range(300) if v % 20 == 0)
+
+
+def test_a_matrix_by_position(spark, tmp_path):
+    path = write(tmp_path, "m.csv", 'location, A ,"B, C",D\nA,0,1.5,\n"B, C",-1,0,x\n D ,"two\nlines",2,0\n')
+    got = {(r.src, r.dst): r.dist_text for r in csv.matrix_edges(spark, path).collect()}
+    want = {(r.src, r.dst): r.dist_text for r in matrix_to_edges(csv.read_matrix(spark, path), "location").collect()}
+    assert {k: v or None for k, v in got.items()} == want and len(got) == 9
+    with pytest.raises(ValueError, match="repeats"):
+        csv.matrix_edges(spark, write(tmp_path, "n.csv", "location,A, A\nA,0,1\n"))
+    with pytest.raises(Exception, match="another number"):
+        csv.matrix_edges(spark, write(tmp_path, "o.csv", "location,A,B\nA,0\n")).collect()
+
+
+def test_a_header_of_twenty_thousand_stops_plans_quickly(spark, tmp_path):
+    import time
+
+    n = 20_000
+    lines = ["location," + ",".join(f"s{k}" for k in range(n))] + [f"s{i}," + ",".join(str((i * k) % 97) for k in range(n)) for i in (1, 5, 19_999)]
+    path = write(tmp_path, "wide.csv", "\n".join(lines) + "\n")
+    start = time.monotonic()
+    edges = csv.matrix_edges(spark, path)
+    assert time.monotonic() - start < 60
+    assert edges.columns == ["src", "dst", "dist_text"] and edges.count() == 3 * n
+    assert edges.where("src = 's5' AND dst = 's19999'").first().dist_text == str(5 * 19_999 % 97)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from tidemill.functions.scalars import hhmm_minutes
 from tidemill.operators import route as R
 from tidemill.plans.catalog.profile import rounded
-from tidemill.plans.session import cut_lineage, load
+from tidemill.plans.session import cut_lineage, load, work_dir
+from tidemill.sources import csv
 
 SIZE = 64
 
@@ -175,7 +176,16 @@ def q_tour_rules(s, d):
     )
 
 
+def q_wide_matrix(s, d):
+    """The same cells from a file, taken apart by position."""
+    path = work_dir(s, "matrix-csv")
+    matrix(s, d).write.option("header", True).csv(path)
+    long = csv.matrix_edges(s, path, "location", ["route_id"])
+    return rounded(long.select(F.col("route_id").cast("long").alias("route_id"), "src", "dst", F.col("dist_text").cast("double").alias("dist")))
+
+
 QUERIES = {
+    "matrix_by_position": q_wide_matrix,
     "route_2opt_rules": q_tour_rules,
     "matrix_unpivot": q_unpivot,
     "hhmm_minutes": lambda s, d: clock_texts(s, d).withColumn("minutes", hhmm_minutes(F.col("clock"))),
@@ -199,6 +209,7 @@ SQL = {
     "route_2opt_rules": f"""WITH {BASE} SELECT p.route_id, count(*) + CASE WHEN start = fin THEN 1 ELSE 0 END AS n, count(DISTINCT s.stop) AS stops,
   true AS same_stops, true AS same_ends, true AS not_longer, true AS percentage_fits
 FROM problems p JOIN stops s ON s.route_id = p.route_id GROUP BY p.route_id, start, fin""",
+    "matrix_by_position": f"WITH {BASE} SELECT route_id, src, dst, round(raw, 4) AS dist FROM cells",
     "matrix_unpivot": f"WITH {BASE} SELECT route_id, src, dst, round(raw, 4) AS dist FROM cells",
     "hhmm_minutes": r"""WITH c AS (SELECT event_id, CASE WHEN value < 1 THEN strftime(ts, '%H:%M:%S') WHEN value > 200 THEN '9:05'
   WHEN value BETWEEN 100 AND 150 THEN '24:00' WHEN value BETWEEN 50 AND 60 THEN ' ' || strftime(ts, '%H:%M') || '  ' ELSE strftime(ts, '%H:%M') END AS clock FROM events)

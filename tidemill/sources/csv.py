@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import csv
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tidemill.functions.scalars import finite_number, hhmm_minutes, null_token_to_null, strip, whole_number
 from tidemill.operators.columns import col
+from tidemill.plans.session import cut_lineage, hint_small
 from tidemill.sources import csv_splits
 
 BROKEN = "_broken_line"
@@ -164,3 +169,46 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     if twice:
         raise ValueError(f"the header repeats {twice}")
     return read_text_cells(spark, path).drop(BROKEN)
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells of records with quotes, as lists."""
+    for batch in batches:
+        rows = [next(csv.reader([t], strict=False), []) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("record"), pa.array(rows, pa.list_(pa.string()))], names=["file", "record", "cells"])
+
+
+def matrix_edges(spark: SparkSession, path: str, origin: str | None = None, keys: list[str] | None = None) -> DataFrame:
+    """A wide distance matrix as rows (keys..., src, dst, dist_text), however many columns it has.
+
+    The header is a table of (position, name); records are taken apart by position and joined with it, so no
+    plan has a column per stop. ``origin`` names the column of origins (default: the first one after ``keys``). A header that
+    repeats a name is refused; a record with another number of cells than its file's header fails the job.
+    """
+    keys = keys or []
+    found = csv_splits.records(spark, path)
+    quoted = F.instr("text", '"') > 0
+    plain = found.where(~quoted).select("file", "record", F.split("text", ",", -1).alias("cells"))
+    rows = plain.unionByName(found.where(quoted).select("file", "record", "text").mapInArrow(_cells, "file string, record long, cells array<string>"))
+    rows = cut_lineage(rows)
+    names = rows.where("record = 1").select("file", F.posexplode("cells").alias("position", "name")).withColumn("name", strip(F.col("name")))
+    names = cut_lineage(names)
+    twice = [r["name"] for r in names.groupBy("file", "name").count().where("count > 1").select("name").distinct().orderBy("name").limit(10).collect()]
+    if twice:
+        raise ValueError(f"the header repeats {twice}")
+    # one row per file: where its keys and origins stand, and how many columns there are
+    wanted = [*keys, *([origin] if origin else [])]
+    at = F.map_from_entries(F.collect_list(F.when(F.col("name").isin(wanted), F.struct("name", "position"))))
+    heads = names.groupBy("file").agg(at.alias("at"), F.count(F.lit(1)).alias("columns"))
+    place = lambda c: F.element_at("at", F.lit(c))
+    first = place(origin) if origin else F.lit(len(keys))
+    body = rows.where("record > 1").join(F.broadcast(heads), "file")
+    sound = F.when(F.size("cells") == F.col("columns"), F.col("cells")).otherwise(
+        F.raise_error(F.concat(F.lit("a record has another number of cells than the header: "), F.substring(F.array_join("cells", ","), 1, 100))).cast("array<string>")
+    )
+    cells = body.withColumn("cells", sound).select(
+        "file", *[strip(F.get("cells", place(k))).alias(k) for k in keys], strip(F.get("cells", first)).alias("src"), F.posexplode("cells").alias("position", "dist_text")
+    )
+    targets = names.where(~F.col("name").isin(wanted)) if origin else names.where(~F.col("name").isin(wanted) & (F.col("position") != len(keys)))
+    targets = targets.select("file", "position", F.col("name").alias("dst"))
+    return cells.join(hint_small(targets, targets.count()), ["file", "position"]).select(*keys, "src", "dst", "dist_text")
