@@ -7,6 +7,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,9 @@ from tidemill.plans.session import cut_lineage
 TILE = 4096
 # Rows of a tile that are compared at a time.
 BLOCK = 1024
+# Groups of tasks whose sums of products reach the driver, and meetings of tiles per task, about.
+GROUPS = 32
+MEETINGS = 8
 # Leading components that are accumulated before a bound is tested.
 STEPS = (16, 32, 48)
 # Room for rounding in single precision; what it lets through is recomputed in double precision.
@@ -42,13 +46,24 @@ def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum of x x' over a partition, by dimension."""
+    """Sum of x x' over a partition, by dimension; partitions are dealt into groups."""
+    group = TaskContext.get().partitionId() % GROUPS
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for d, x in _matrices(batch.column("unit")):
             sums[d] = sums.get(d, 0) + x.T @ x
     for d, m in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([m.tobytes()], pa.binary())], names=["dim", "sum"])
+        yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([group], pa.int32()), pa.array([m.tobytes()], pa.binary())], names=["dim", "part", "sum"])
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One sum per dimension and group."""
+    sums: dict[tuple, np.ndarray] = {}
+    for batch in batches:
+        for d, part, data in zip(*(batch.column(c).to_pylist() for c in ("dim", "part", "sum"))):
+            sums[d, part] = sums.get((d, part), 0) + np.frombuffer(data)
+    for (d, part), m in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([part], pa.int32()), pa.array([m.tobytes()], pa.binary())], names=["dim", "part", "sum"])
 
 
 def _matrices(units: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -58,9 +73,13 @@ def _matrices(units: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def bases(classes: DataFrame) -> dict[int, np.ndarray]:
-    """For each dimension, the orthogonal basis of principal directions, largest first (dimension squared numbers)."""
+    """For each dimension, the orthogonal basis of principal directions, largest first (dimension squared numbers).
+
+    Tasks add up their own vectors, then groups of tasks; the driver gets one sum per group, ``GROUPS`` at most.
+    """
     sums: dict[int, np.ndarray] = {}
-    for row in classes.select("unit").mapInArrow(_moments, "dim int, sum binary").toLocalIterator():
+    schema = "dim int, part int, sum binary"
+    for row in classes.select("unit").mapInArrow(_moments, schema).repartition("dim", "part").mapInArrow(_add_up, schema).collect():
         d = row["dim"]
         sums[d] = sums.get(d, 0) + np.frombuffer(row["sum"], np.float64).reshape(d, d)
     return {d: np.linalg.eigh(m)[1][:, ::-1].copy() for d, m in sums.items()}
@@ -220,7 +239,8 @@ def link_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     tiled = cut_lineage(tiles(cut_lineage(rotated)))
     pairs = cut_lineage(meetings(tiled, least))
     sides = pairs.select("dim", "left", "right", F.explode(F.array_distinct(F.array("left", "right"))).alias("tile"))
-    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # tasks of a few meetings each, however many tiles there are
+    parts = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs.count() // MEETINGS))
     met = tiled.drop("lead1", "lead2").join(sides, ["dim", "tile"]).repartition(parts, "dim", "left", "right").sortWithinPartitions("dim", "left", "right")
     found = cut_lineage(met.mapInArrow(_tile_pairs(least), "node long, links long, reach long"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))

@@ -9,14 +9,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import addressed, fresh_name
+from tidemill.llm.common import addressed
 
 EOL = "\r\n"
 RECORD_END = "\r\n\r\n"
 # Smaller payloads are always stored again.
 LEAST_REVISIT = 100
-# Records in one archive file, which a reading task holds whole (packed).
-FILE_RECORDS = 6000
+# Payload bytes that classes of pages end at, and records in one archive file of each class: a reading task holds a file whole (packed),
+# so files are bounded by bytes, 128 MB unless a single page is larger.
+SIZES = [(64 << 10, 6000), (2 << 20, 180), (None, 3)]
 
 FIELDS = "record_id string, warc_type string, target string, concurrent_to string, refers_to string, page string, block_bytes long, payload binary"
 
@@ -39,6 +40,8 @@ def _record(kind: Column | str, record_id: Column, block: Column, **fields: Colu
 def write_archives(pages: DataFrame, folder: str) -> None:
     """Write request, response (or revisit) and metadata records of all rows (page_id, url, html) below ``folder``.
 
+    Pages of like size share files, so these are bounded by bytes; equal payloads are always of one class.
+
     Of rows with equal payloads of at least 100 bytes, the one with the smallest page_id (null last, then
     url, then place in the table) becomes the response and the others revisit it; all smaller ones are
     responses. Null html is an empty payload, a null url an empty target. Every row gets its own records, also
@@ -48,15 +51,24 @@ def write_archives(pages: DataFrame, folder: str) -> None:
     The payload's hash is grouped before anything else moves, so payloads are shuffled once, in the join
     with the groups that have more than one row; a group of very many copies is split there.
     """
-    row = fresh_name(pages, "row")
     payload = F.coalesce("html", F.lit(""))
-    rows = addressed(pages.select("page_id", "url", "html"), row, stored=True).select(
-        F.col(row).alias("row"),
+    rows = addressed(pages.select("page_id", "url", "html"), "row", stored=True).select(
+        "row",
         "page_id",
         F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"), "\n", "%0A").alias("target"),
         payload.alias("payload"),
         F.sha2(payload.cast("binary"), 256).alias("digest"),
     )
+    size, low = F.octet_length("payload"), None
+    for high, records in SIZES:
+        some = rows.where(size >= low) if low is not None else rows
+        some = some.where(size < high) if high is not None else some
+        _transactions(some).write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", records).text(f"{folder}/from-{low or 0}")
+        low = high
+
+
+def _transactions(rows: DataFrame) -> DataFrame:
+    """The records of rows (row, page_id, target, payload, digest) as texts."""
     rows = rows.withColumn("page", F.coalesce(F.col("page_id").cast("string"), F.lit("")))
     rows = rows.withColumn("record_id", _uuid("response", F.col("row"), F.col("page_id"), F.col("digest")))
     large = rows.where(F.octet_length("payload") >= LEAST_REVISIT)
@@ -88,7 +100,7 @@ def write_archives(pages: DataFrame, folder: str) -> None:
     )
     # the three records of a page follow each other in the file
     texts = joined.select(F.explode(F.array(request, response, metadata)).alias("value"))
-    texts.write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(folder)
+    return texts
 
 
 def _records(data: Iterator[bytes]) -> Iterator[tuple[dict, bytes]]:
@@ -180,7 +192,7 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
 
     Length and digest are those of a record's own payload, null without one.
     """
-    records = spark.read.format("binaryFile").load(folder).select("content").mapInArrow(_read, FIELDS)
+    records = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("content").mapInArrow(_read, FIELDS)
     return records.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
 
 
