@@ -22,7 +22,9 @@ def plain_components(n, links):
     return label
 
 
-def test_components_of_pairs(spark):
+@pytest.mark.parametrize("hub", [256, 20, 1])
+def test_components_of_pairs(spark, monkeypatch, hub):
+    monkeypatch.setattr(common, "HUB", hub)
     rng = np.random.default_rng(0)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(k, k + 1) for k in range(400, 480)] + [(500, 500 + k) for k in range(60)]
     got = {r.node: r.root for r in common.components(spark.createDataFrame(links, "a long, b long")).collect()}

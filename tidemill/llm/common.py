@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.plans.session import cut_lineage, tune
+from tidemill.plans.session import broadcast_rows, cut_lineage, tune
 
 # White space between words; a word is a run of other characters.
 SPACE = "\\x20\\x09-\\x0D"
@@ -28,6 +28,9 @@ SETTINGS = {
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
 }
 
+# A node with more pairs than this counts as a hub when components are found.
+HUB = 256
+
 # Decisions about rows are broadcast up to so many words of 64 rows each, about 40 MB.
 DECISION_WORDS = 1_000_000
 
@@ -111,8 +114,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     The root is the smallest node of its component. Pairs are contracted by alternating large-star and
     small-star steps until nothing changes; each step is joins and minima over pairs, written to the
-    shared folder. Minima are combined before the shuffle; a hub's pairs meet its minimum in one partition of
-    a join, which adaptive execution splits if it is large, so a hub is never held in memory.
+    shared folder. Minima are combined before the shuffle, and nodes with very many pairs get theirs by a broadcast
+    of these few, so a hub's pairs are never gathered in one place.
     """
     pairs = _stored_pairs(edges.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct())
     seen = None
@@ -120,15 +123,29 @@ def components(edges: DataFrame) -> DataFrame:
         seen = pairs[1]
         e = pairs[0]
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        lows = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
-        large = both.join(lows, "u").where("v > u").select(F.col("low").alias("lo"), F.col("v").alias("hi")).distinct()
-        least = large.groupBy("hi").agg(F.min("lo").alias("low"))
-        small = large.join(least, "hi").select(F.explode(F.array(F.struct(F.col("low").alias("lo"), F.col("hi")), F.struct(F.col("low").alias("lo"), F.col("lo").alias("hi")))).alias("p")).select("p.*")
+        near = with_least(both, "u", "v").select("u", "v", F.least("u", "low").alias("low"))
+        large = near.where("v > u").select(F.col("low").alias("lo"), F.col("v").alias("hi")).distinct()
+        small = with_least(large, "hi", "lo").select(F.explode(F.array(F.struct(F.col("low").alias("lo"), F.col("hi")), F.struct(F.col("low").alias("lo"), F.col("lo").alias("hi")))).alias("p")).select("p.*")
         pairs = _stored_pairs(small.where("lo <> hi").distinct())
     stars = pairs[0]
     return stars.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(stars.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
 
 
+def with_least(pairs: DataFrame, node: str, other: str) -> DataFrame:
+    """Add ``low``, the smallest ``other`` that a pair's ``node`` has.
+
+    Nodes with more than ``HUB`` pairs are at most a ``HUB``-th of the pairs; if they are few enough, their minima are
+    broadcast and their pairs stay where they are. All others are joined.
+    """
+    lows = cut_lineage(pairs.groupBy(node).agg(F.min(other).alias("low"), F.count(F.lit(1)).alias("n")))
+    hubs = lows.where(F.col("n") > HUB)
+    if not 0 < hubs.count() <= broadcast_rows(pairs.sparkSession):
+        return pairs.join(lows.drop("n"), node)
+    marked = pairs.join(F.broadcast(hubs.select(node, F.col("low").alias("hub_low"))), node, "left")
+    at_hubs = marked.where("hub_low IS NOT NULL").withColumnRenamed("hub_low", "low")
+    return at_hubs.unionByName(marked.where("hub_low IS NULL").drop("hub_low").join(lows.where(F.col("n") <= HUB).drop("n"), node))
+
+
 def _stored_pairs(pairs: DataFrame) -> tuple[DataFrame, tuple]:
     """The written pairs, and a fingerprint that changes with them."""
     kept = cut_lineage(pairs)
