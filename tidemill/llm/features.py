@@ -130,9 +130,9 @@ def shard_rounds(packed: DataFrame, learn: Callable[..., dict[str, np.ndarray]],
     """Parameter mixing: in each round every shard learns from the common state, and the results are averaged.
 
     ``learn(state, grades, starts, buckets, values)`` returns the new state. Arrays of ``size`` numbers start
-    at 0 and travel without the buckets that are still 0; they come back with their buckets, ``at``. A shard
-    sends what it changed, and tasks average that, each a range of buckets, so the driver holds the common
-    state and its mean change only. Smaller arrays are averaged as they are, with the first range.
+    at 0 and are kept in single precision. A shard sends what it changed, as bits and numbers, and tasks
+    average that, each a range of buckets, so the driver holds the common state and its mean change only.
+    Smaller arrays are averaged as they are, with the first range.
     """
     sc = packed.sparkSession.sparkContext
     names = list(state)
@@ -141,65 +141,55 @@ def shard_rounds(packed: DataFrame, learn: Callable[..., dict[str, np.ndarray]],
     width = -(-size // RANGES)
     schema = ", ".join(f"{k} binary" for k in ["used", *names])
 
-    def dense(at: np.ndarray, values: np.ndarray) -> np.ndarray:
-        out = np.zeros(size)
-        out[at] = values
-        return out
+    def rows(part: int, extra: list, used: np.ndarray, values: dict[str, np.ndarray]) -> pa.RecordBatch:
+        """One row with the changed numbers of a range."""
+        data = [np.packbits(used), *[values[k][used].astype(np.float32) if k in large else values[k] for k in names]]
+        cols = [pa.array([x], pa.int32()) for x in (part, *extra)] + [pa.array([x.tobytes()], pa.binary()) for x in data]
+        return pa.RecordBatch.from_arrays(cols, names=["part", *(["shard"] if extra else []), "used", *names])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups_of(batches, ["part"]):
             part = group.column("part")[0].as_py()
-            known, sums = np.zeros(width, bool), {k: np.zeros(width) if k in large else 0.0 for k in names}
+            n = max(0, min(width, size - part * width))
+            known, sums = np.zeros(n, bool), {k: np.zeros(n) if k in large else 0.0 for k in names}
             for row in group.to_pylist():
-                at = np.frombuffer(row["used"], np.int32) - part * width
-                known[at] = True
+                used = np.unpackbits(np.frombuffer(row["used"], np.uint8), count=n).view(bool)
+                known |= used
                 for k in names:
                     if k in large:
-                        sums[k][at] += np.frombuffer(row[k], np.float32)
+                        sums[k][used] += np.frombuffer(row[k], np.float32)
                     else:
                         sums[k] = sums[k] + np.frombuffer(row[k], np.float64)
-            at = np.flatnonzero(known)
-            out = [(at + part * width).astype(np.int32), *[(sums[k][at] / shards).astype(np.float32) if k in large else sums[k] / shards for k in names]]
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in out]], names=["part", "used", *names])
+            yield rows(part, [], known, {k: v / shards for k, v in sums.items()})
 
-    at = np.zeros(0, np.int32)
-    state = {k: v[at] if k in large else v for k, v in state.items()}
+    state = {k: np.zeros(size, np.float32) if k in large else v for k, v in state.items()}
     for _ in range(rounds if shards else 0):
-        now = sc.broadcast((at, state))
+        now = sc.broadcast(state)
 
         def one(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row in batch.to_pylist():
                     data = [np.frombuffer(row[k], t) for k, t in (("grades", np.float64), ("starts", np.int64), ("buckets", np.int32), ("values", np.float32))]
-                    new = learn({k: dense(now.value[0], v) if k in large else v.copy() for k, v in now.value[1].items()}, *data)
+                    new = learn({k: v.astype(np.float64) for k, v in now.value.items()}, *data)
                     for k in large:
-                        new[k][now.value[0]] -= now.value[1][k]
-                    used = np.flatnonzero(np.any([new[k] != 0 for k in large], axis=0)).astype(np.int32)
-                    edges = np.searchsorted(used, np.arange(RANGES + 1) * width)
-                    for part, (a, b) in enumerate(zip(edges, edges[1:])):
-                        if part and a == b:
-                            continue
-                        here = used[a:b]
-                        out = [here, *[new[k][here].astype(np.float32) if k in large else new[k] if not part else new[k][:0] for k in names]]
-                        cols = [pa.array([part], pa.int32()), pa.array([row["shard"]], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in out]]
-                        yield pa.RecordBatch.from_arrays(cols, names=["part", "shard", "used", *names])
+                        new[k] -= now.value[k]
+                    used = np.any([new[k] != 0 for k in large], axis=0)
+                    for part in range(RANGES):
+                        at = slice(part * width, (part + 1) * width)
+                        if not part or used[at].any():
+                            yield rows(part, [row["shard"]], used[at], {k: new[k][at] if k in large else new[k] if not part else new[k][:0] for k in names})
 
         learned = packed.mapInArrow(tidy(one), f"part int, shard int, {schema}").repartition("part").sortWithinPartitions("part", "shard")
-        merged = sorted(learned.mapInArrow(merge, f"part int, {schema}").collect(), key=lambda row: row["part"])
+        for row in learned.mapInArrow(merge, f"part int, {schema}").collect():
+            low = row["part"] * width
+            for k in names:
+                if k in large:
+                    here = state[k][low : low + width]
+                    here[np.unpackbits(np.frombuffer(row["used"], np.uint8), count=len(here)).view(bool)] += np.frombuffer(row[k], np.float32)
+                elif not row["part"]:
+                    state[k] = np.frombuffer(row[k], np.float64)
         now.destroy()
-        changed = np.concatenate([np.frombuffer(row["used"], np.int32) for row in merged])
-        both = np.union1d(at, changed)
-        old, more = np.searchsorted(both, at), np.searchsorted(both, changed)
-        for k in names:
-            if k in large:
-                total = np.zeros(len(both), np.float32)
-                total[old] = state[k]
-                total[more] += np.concatenate([np.frombuffer(row[k], np.float32) for row in merged])
-                state[k] = total
-            else:
-                state[k] = np.frombuffer(merged[0][k], np.float64)
-        at = both
-    return {"at": at, **state}
+    return state
 
 
 def score_batches(batches: Iterator[pa.RecordBatch], score: Callable[[list[bytes]], list[np.ndarray]], names: list[str]) -> Iterator[pa.RecordBatch]:

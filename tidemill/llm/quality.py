@@ -122,9 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, grade: str, settings: Sett
     size = s.grades - 1
     start = {"w": np.zeros(1 << s.bits), "g2": np.zeros(1 << s.bits), "cut": np.append(-(size - 1) / 2, np.zeros(size - 1)), "cut2": np.ones(size)}
     state = features.shard_rounds(packed, learner(s), start, 1 << s.bits, s.rounds)
-    weights = np.zeros(1 << s.bits, np.float32)
-    weights[state["at"]] = state["w"]
-    return Model(weights, thresholds(state["cut"]), s.bits)
+    return Model(state["w"], thresholds(state["cut"]), s.bits)
 
 
 def grade(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -57,8 +57,9 @@ def buckets_of(texts: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def featuriser(bits: int, common: Broadcast):
     def featurise(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct buckets per text, of those that ``common`` has (packed bits)."""
+        """Distinct buckets per text, of those that ``common`` has (packed bits), numbered without the others."""
         known = np.unpackbits(common.value).view(bool)
+        rank = np.cumsum(known, dtype=np.int32) - np.int32(1)
         found = [np.zeros(0, np.int64)]
         for a, b in features.in_steps(texts, features.STEP_WORDS * 6):
             keys, owners = buckets_of(texts[a:b], bits)
@@ -66,7 +67,7 @@ def featuriser(bits: int, common: Broadcast):
             found.append(np.unique((owners[enough] + a) << bits | keys[enough]))
         both = np.concatenate(found)
         starts = np.searchsorted(both >> bits, np.arange(len(texts) + 1))
-        return starts, both & ((1 << bits) - 1), np.zeros(0, np.float32)
+        return starts, rank[both & ((1 << bits) - 1)], np.zeros(0, np.float32)
 
     return featurise
 
@@ -117,12 +118,13 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, label: str, settings: Sett
     sample = cut_lineage(features.labelled_sample(docs, labels, label, key, s.sample))
     common = sample.sparkSession.sparkContext.broadcast(features.common_buckets(sample, lambda t: buckets_of(t, s.bits), s.bits, s.least))
     packed = features.pack_shards(sample, featuriser(s.bits, common))
-    zero = {"z": np.zeros(1 << s.bits), "n": np.zeros(1 << s.bits), "bias": np.zeros(2)}
-    state = features.shard_rounds(packed, learner(s), zero, 1 << s.bits, s.rounds)
-    w = weights_of(state["z"], state["n"], s)
+    learned = np.flatnonzero(np.unpackbits(common.value, count=1 << s.bits)).astype(np.int32)
+    size = max(3, len(learned))  # not as few as the bias has
+    state = features.shard_rounds(packed, learner(s), {"z": np.zeros(size), "n": np.zeros(size), "bias": np.zeros(2)}, size, s.rounds)
+    w = weights_of(state["z"].astype(np.float64), state["n"].astype(np.float64), s)
     kept = np.flatnonzero(w)
     z0, n0 = state["bias"]
-    return Model(state["at"][kept], w[kept], float(-z0 / ((s.beta + np.sqrt(n0)) / s.alpha)), s.bits)
+    return Model(learned[kept], w[kept], float(-z0 / ((s.beta + np.sqrt(n0)) / s.alpha)), s.bits)
 
 
 def scores(texts: list[bytes], dense: np.ndarray, bias: float, bits: int) -> np.ndarray:
