@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemill.operators import documents
 from tidemill.operators.profile import schema_report
 from tidemill.plans.catalog.jobs import JOBS, jobs
 from tidemill.plans.catalog.profile import SPARK_TYPES, rounded
@@ -110,7 +111,34 @@ def q_locations(s, d):
     )
 
 
+def result_documents(s, d):
+    """Nested result documents with null, empty and foreign paths, arrays and bytes that aren't UTF-8."""
+    job, n = F.col("id").cast("string"), F.col("id") % 5
+    text = F.concat(
+        F.lit('{"id": '), job, F.lit(', "processed_path": '), F.when(n == 0, F.lit("null")).otherwise(F.concat(F.lit('"/work/'), job, F.lit("/out_"), job, F.lit('.png"'))),
+        F.lit(', "metadata_reference": "'), F.when(n == 1, F.lit("")).otherwise(F.lit("/work/m.json")),
+        F.lit('", "parts": [null, {"visualizations": {"hist": "C:\\\\w\\\\h'), job, F.lit('.svg", "bins": 30}}], "status": "'), F.col("status"),
+    )
+    return jobs(s, d).select("id", F.concat(text.cast("binary"), F.unhex(F.lit("FF")), F.lit('"}').cast("binary")).alias("document"))
+
+
+def q_references(s, d):
+    """Storage keys of the documents' files, read back from the documents."""
+    out = documents.rewrite_references(result_documents(s, d), "id", "document")
+    at = lambda path: F.variant_get("document", path, "string")
+    return out.select(
+        "id",
+        at("$.processed_path").alias("processed"),
+        at("$.metadata_reference").alias("metadata"),
+        at("$.parts[1].visualizations.hist").alias("hist"),
+        F.variant_get("document", "$.parts[1].visualizations.bins", "long").alias("bins"),
+        at("$.status").alias("status"),
+        F.size("references").cast("long").alias("files"),
+    )
+
+
 QUERIES = {
+    "document_references": q_references,
     "csv_scan": lambda s, d: rounded(csv.read_csv(s, customer_csv(s, d))),
     "csv_split_scan": lambda s, d: rounded(csv.read_csv(s, customer_csv(s, d, files=1), whole_bytes=0)),
     "csv_split_validation": q_split_validation,
@@ -128,6 +156,9 @@ CUSTOMERS = """SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN NULL ELSE c_nation
   c_acctbal > 5000 AS c_good FROM customer"""
 
 SQL = {
+    "document_references": f"""WITH {JOBS} SELECT id, CASE WHEN id % 5 > 0 THEN concat('jobs/', id, '/out_', id, '.png') END AS processed,
+  CASE WHEN id % 5 = 1 THEN '' ELSE concat('jobs/', id, '/metadata.json') END AS metadata, concat('jobs/', id, '/h', id, '.svg') AS hist, 30::BIGINT AS bins,
+  status || chr(65533) AS status, (1 + (id % 5 > 0)::INTEGER + (id % 5 <> 1)::INTEGER)::BIGINT AS files FROM jobs""",
     "csv_scan": CUSTOMERS,
     "csv_split_scan": CUSTOMERS,
     "csv_split_validation": """SELECT CASE WHEN o_totalprice < 5000 THEN o_orderkey::VARCHAR
