@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemill.plans.catalog.jobs import JOB_EVENTS, as_job_events
+from tidemill.plans.catalog.jobs import JOB_EVENTS, JOBS, as_job_events, jobs
 from tidemill.plans.catalog.profile import rounded
+from tidemill.plans.session import work_dir
+from tidemill.sources import queue
 from tidemill.streaming import jobs as S
 from tidemill.streaming.runner import ROCKSDB, ClosingSource, replay_delay, run_append, run_update, table_stream
 
@@ -81,7 +83,18 @@ def q_recovery(s, d):
     return out.select("job_id", "status", "attempts", "decision")
 
 
+def q_queue(s, d):
+    """All jobs put into a queue and taken from it in batches of a few groups, repeated deliveries left out."""
+    folder = work_dir(s, "queue")
+    queue.enqueue(jobs(s, d).select("id", F.to_json(F.struct("type", "status")).alias("body")), folder, files=12)
+    taken = queue.read_queue(s, folder, admit=6).withColumn("at", F.timestamp_micros("enqueued_us"))
+    out = run_append(S.deduplicate(taken, ["entry"], "at"), "queue", rounds=3)
+    body = F.from_json("body", "type string, status string")
+    return out.select(F.col("id").cast("long").alias("id"), body.alias("body")).select("id", "body.type", "body.status")
+
+
 QUERIES = {
+    "stream_queue": q_queue,
     "stream_dedup": q_dedup,
     "stream_rate_5m": q_rate,
     "stream_depth": q_depth,
@@ -92,6 +105,7 @@ QUERIES = {
 }
 
 SQL = {
+    "stream_queue": f"WITH {JOBS} SELECT id, type, status FROM jobs",
     "stream_dedup": "SELECT event_id, ts, event_type, value FROM events",
     "stream_rate_5m": """SELECT date_trunc('minute', ts) - to_minutes(k) AS start, event_type, count(*) AS events, round(count(*) / 300.0::DOUBLE, 6) AS rate
 FROM events, (SELECT unnest(range(0, 5))::INTEGER AS k) GROUP BY 1, 2""",

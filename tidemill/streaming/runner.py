@@ -86,10 +86,10 @@ class ClosingSource:
         self._rows(1).write.mode("append").parquet(self.path)
 
 
-def run_append(result: DataFrame, label: str, closing: ClosingSource | None = None, provider: str | None = None) -> DataFrame:
+def run_append(result: DataFrame, label: str, closing: ClosingSource | None = None, provider: str | None = None, rounds: int = 1) -> DataFrame:
     """Run an append-mode query over what is available now; return the table it wrote.
 
-    With a closing source the query runs a second time from its checkpoint, so windows that
+    A source that admits a bounded batch per run takes several ``rounds``. With a closing source the query runs a second time from its checkpoint, so windows that
     were still open are completed too.
     """
     spark = result.sparkSession
@@ -107,7 +107,8 @@ def run_append(result: DataFrame, label: str, closing: ClosingSource | None = No
             )
         query.awaitTermination()
 
-    once()
+    for _ in range(rounds):
+        once()
     if closing is not None:
         closing.close()
         once()
