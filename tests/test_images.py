@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import scalars as X
 from tidemill.operators import images as I
+from tidemill.sources import files
 from tidemill.sources.files import read_images
 
 
@@ -93,3 +94,18 @@ def test_metadata_summary(spark):
 
 def test_broken_bytes_become_text(spark):
     assert one(spark, X.readable_text(F.lit(bytearray(b"ok\xff")))) == "ok�"
+
+
+def test_only_the_beginning_of_a_file_is_read(spark, tmp_path, folder, monkeypatch):
+    """The inventory is that of whole files; content is 64 KB at most, also where only Spark can open the files."""
+    (tmp_path / "sub dir").mkdir()
+    (tmp_path / "sub dir" / "big%20ü.png").write_bytes(png(7, 9) + bytes(300_000))
+    (tmp_path / "small.gif").write_bytes(gif(3, 4))
+    for path in (str(folder), str(tmp_path)):
+        whole = sorted(map(tuple, I.inventory(read_images(spark, path)).collect()), key=str)
+        assert sorted(map(tuple, I.inventory(files.read_heads(spark, path)).collect()), key=str) == whole
+    sizes = {r.length: len(r.content) for r in files.read_heads(spark, str(tmp_path)).collect()}
+    assert max(sizes) > 300_000 and sizes[max(sizes)] == files.HEAD_BYTES
+    monkeypatch.setattr(files, "file_system", lambda folder: None)
+    again = {r.length: len(r.content) for r in files.read_heads(spark, str(tmp_path)).collect()}
+    assert again == sizes

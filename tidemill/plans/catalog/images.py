@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tidemill.functions.scalars import sniff_type, upload_problem
 from tidemill.operators import images as I
 from tidemill.plans.catalog.profile import rounded
-from tidemill.plans.session import load
+from tidemill.plans.session import load, work_dir
+from tidemill.sources.files import read_heads, write_files
 
 
 def be(c, width):
@@ -49,6 +50,16 @@ FILES = """f AS (SELECT doc_id, lang, n_chars % 5000 + 1 AS w, doc_id % 3000 + 1
   CASE lang WHEN 'en' THEN 'png' WHEN 'de' THEN 'gif' WHEN 'fr' THEN 'jpeg' WHEN 'es' THEN 'webp' END AS format FROM documents)"""
 
 
+def q_image_files(s, d):
+    """Real files, written one by one and listed again by their first bytes; some are longer than what is read of them."""
+    folder = work_dir(s, "image-files")
+    long = F.when(F.col("doc_id") % 50 == 0, F.unhex(F.repeat(F.lit("00"), 100_000))).otherwise(F.unhex(F.lit("00")))
+    name = F.regexp_replace("path", "^/images/", "")
+    write_files(files(s, d).select(name.alias("name"), F.concat("content", long).alias("content")), folder)
+    found = I.inventory(read_heads(s, folder, "*"))
+    return found.withColumn("path", F.regexp_extract("path", "([^/]*)$", 1))
+
+
 def wishes(s, d):
     """One conversion request per part."""
     size, price = F.col("p_size"), F.col("p_retailprice")
@@ -97,6 +108,7 @@ def q_metadata(s, d):
 
 
 QUERIES = {
+    "image_files": q_image_files,
     "sniff_type": lambda s, d: files(s, d).select("doc_id", sniff_type(F.col("content")).alias("format")),
     "image_inventory": lambda s, d: I.inventory(files(s, d)),
     "file_gate": lambda s, d: files(s, d).select("doc_id", upload_problem("image", F.col("path"), F.col("length")).alias("problem")),
@@ -109,6 +121,11 @@ PROBLEM = "CASE WHEN size > 10485760 THEN 'too_large' WHEN size = 0 THEN 'empty'
 
 SQL = {
     "sniff_type": f"WITH {FILES} SELECT doc_id, format FROM f",
+    "image_files": f"""WITH {FILES}, b AS (SELECT *, CASE format WHEN 'png' THEN 24 WHEN 'gif' THEN 10 WHEN 'jpeg' THEN 12 WHEN 'webp' THEN 12 ELSE 4 END
+    + CASE WHEN doc_id % 50 = 0 THEN 100000 ELSE 1 END AS bytes FROM f)
+SELECT concat(doc_id, ext) AS path, lower(ext) AS extension, bytes::BIGINT AS file_size, format,
+  CASE WHEN format IN ('png', 'gif') THEN w::INTEGER END AS width, CASE WHEN format IN ('png', 'gif') THEN h::INTEGER END AS height,
+  CASE WHEN ext = '.txt' THEN 'extension' WHEN format IS NULL THEN 'content' END AS problem FROM b""",
     "image_inventory": f"""WITH {FILES} SELECT concat('/images/', doc_id, ext) AS path, lower(ext) AS extension, size AS file_size, format,
   CASE WHEN format IN ('png', 'gif') THEN w::INTEGER END AS width, CASE WHEN format IN ('png', 'gif') THEN h::INTEGER END AS height,
   coalesce({PROBLEM}, CASE WHEN format IS NULL THEN 'content' END) AS problem FROM f""",

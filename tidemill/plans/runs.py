@@ -172,7 +172,7 @@ def run_images(
         raise ValueError("compression_quality is between 1 and 100")
     if resize is not None and min(resize) <= 0:
         raise ValueError("resize needs a positive width and height")
-    listed = images.inventory(files.read_images(tune(spark), folder))
+    listed = images.inventory(files.read_heads(tune(spark), folder))
     paths = _write_all({"inventory": listed}, out)
     sound = spark.read.schema(listed.schema).json(paths["inventory"]).where("problem is null")
     width, height = resize or (None, None)

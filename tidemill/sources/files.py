@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, MapType, StructType
@@ -22,6 +25,73 @@ def read_images(spark: SparkSession, path: str, glob: str = IMAGE_GLOB) -> DataF
     )
 
 
+# Bytes of a file that tell its type and size.
+HEAD_BYTES = 64 << 10
+# Bytes of files in one batch, about.
+HELD_BYTES = 8 << 20
+
+
+def file_system(folder: str):
+    """File system and path of a folder, by its scheme; None if only Spark can open it."""
+    from pyarrow import ArrowInvalid, fs
+
+    if "://" not in folder or folder.startswith("file:"):
+        place = folder.removeprefix("file:")
+        return fs.LocalFileSystem(), "/" + place.lstrip("/") if place.startswith("/") else place
+    # Spark's paths aren't encoded as addresses are, so only the store's own part is read as one
+    scheme, _, rest = folder.partition("://")
+    store, slash, place = rest.partition("/")
+    try:
+        system, base = fs.FileSystem.from_uri(f"{scheme}://{store}/")
+    except (ArrowInvalid, OSError):
+        return None
+    return system, base.rstrip("/") + slash + place
+
+
+def read_heads(spark: SparkSession, path: str, glob: str = IMAGE_GLOB, most: int = HEAD_BYTES) -> DataFrame:
+    """``(path, length, content)`` of every file below a folder, with the first ``most`` bytes as content.
+
+    Spark lists the files; tasks open each one and read no more than its beginning. Where only Spark reaches the
+    files, they are read whole and cut.
+    """
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    if file_system(path) is None:
+        return listed.select("path", "length", F.substring("content", 1, most).alias("content"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, heads, held, start = batch.column("path").to_pylist(), [], 0, 0
+            for k, name in enumerate(names):
+                system, place = file_system(name)
+                with system.open_input_file(place) as f:
+                    heads.append(f.read(most))
+                held += len(heads[-1])
+                if held > HELD_BYTES or k == len(names) - 1:
+                    part = batch.slice(start, k + 1 - start)
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(heads, pa.binary())], names=["path", "length", "content"])
+                    heads, held, start = [], 0, k + 1
+
+    # the listing alone: no content is asked for, so none is read
+    return listed.select("path", "length").mapInArrow(run, "path string, length long, content binary")
+
+
+def write_files(files: DataFrame, folder: str) -> None:
+    """Write rows (name, content) as files of their own; a task that is repeated writes the same files again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = file_system(folder)
+        system.create_dir(base, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
+                with system.open_output_stream(f"{base}/{name}") as f:
+                    f.write(content or b"")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    if file_system(folder) is None:
+        raise ValueError(f"files can't be written to {folder}")
+    files.select("name", F.col("content").cast("binary").alias("content")).mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
 def json_safe(df: DataFrame) -> DataFrame:
     """NaN and infinite numbers become null, also inside arrays, maps and structs."""
 

@@ -15,16 +15,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from tidemill.sources.files import file_system
+
 FORMAT = "tidemill_queue"
 ADMIT = 64  # entry groups per batch
 SCHEMA = "entry string, id string, body string, enqueued_us long"
 
 
 def _open(folder: str):
-    """File system and path of a folder, by its scheme."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    found = file_system(folder)
+    if found is None:
+        raise ValueError(f"a queue can't be kept in {folder}")
+    return found
 
 
 def groups(folder: str) -> list[str]:
