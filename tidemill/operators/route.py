@@ -341,6 +341,30 @@ def improve_by_two_opt(tour: list[int], d: np.ndarray) -> list[int]:
     return r.tolist()
 
 
+def improving_changes(tours: DataFrame, edges: DataFrame, least: float = 1e-9) -> DataFrame:
+    """How many single reversals would still shorten each tour by more than ``least``: (route_id, changes).
+
+    For distances that don't depend on the direction. Tours are rows (route_id, pos, stop); a reversal replaces the legs at
+    positions p and q, at least three apart, by the connections of their beginnings and of their ends. The distance
+    rows, seen by tour positions, are those connections, so they are joined with each other and nothing is crossed.
+    """
+    stop = lambda end: tours.select("route_id", F.col("stop").alias(end), F.col("pos").alias("p" if end == "src" else "q"))
+    joined = both_directions(edges).join(stop("src"), ["route_id", "src"]).join(stop("dst"), ["route_id", "dst"])
+    seen = cut_lineage(joined.where("p < q").select("route_id", "p", "q", "dist"))
+    legs = seen.where("q = p + 1").select("route_id", "p", F.col("dist").alias("leg"))
+    ends = seen.select("route_id", (F.col("p") - 1).alias("p"), (F.col("q") - 1).alias("q"), F.col("dist").alias("ends"))
+    changes = (
+        seen.where("q >= p + 3")
+        .join(ends, ["route_id", "p", "q"])
+        .join(legs.withColumnRenamed("leg", "first"), ["route_id", "p"])
+        .join(legs.select("route_id", F.col("p").alias("q"), F.col("leg").alias("second")), ["route_id", "q"])
+    )
+    shorter = F.col("first") + F.col("second") - F.col("dist") - F.col("ends") > least
+    counted = changes.where(shorter).groupBy("route_id").agg(F.count(F.lit(1)).alias("changes"))
+    every = tours.select("route_id").distinct()
+    return every.join(counted, "route_id", "left").withColumn("changes", F.coalesce("changes", F.lit(0)).cast("long"))
+
+
 def _solve_by_steps(problems, stops, edges, two_opt: bool) -> DataFrame:
     arcs = both_directions(edges)
     # rows leaving one stop lie together, so each step reads only a small part of the table

@@ -158,14 +158,15 @@ def solved(s, d):
 
 
 def q_tour_rules(s, d):
-    """What holds for any improved tour: the same stops, the same ends, and a length that is not larger."""
+    """What holds for any improved tour: the same stops and ends, a length that is not larger, and no reversal left that shortens it."""
     found = cut_lineage(solved(s, d))
     tours = found.groupBy("route_id").pivot("kind", ["initial", "optimized"]).agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("stop").alias("stops"), F.min_by("stop", "pos").alias("first"), F.max_by("stop", "pos").alias("last")
     )
     lengths = R.route_results(found, edges(s, d)).select("route_id", "initial_distance", "optimized_distance", "improvement_percentage")
     gain = (F.col("initial_distance") - F.col("optimized_distance")) / F.col("initial_distance") * 100
-    return tours.join(lengths, "route_id").join(problems(s, d), "route_id").select(
+    left = R.improving_changes(found.where("kind = 'optimized'").drop("kind"), edges(s, d))
+    return tours.join(lengths, "route_id").join(problems(s, d), "route_id").join(left, "route_id").select(
         "route_id",
         F.col("optimized_n").alias("n"),
         F.col("optimized_stops").alias("stops"),
@@ -173,6 +174,7 @@ def q_tour_rules(s, d):
         ((F.col("optimized_first") == F.col("start")) & (F.col("optimized_last") == F.col("end"))).alias("same_ends"),
         (F.col("optimized_distance") <= F.col("initial_distance") + 1e-9).alias("not_longer"),
         (F.abs(F.col("improvement_percentage") - gain) < 1e-6).alias("percentage_fits"),
+        (F.col("changes") == 0).alias("no_gain_left"),
     )
 
 
@@ -207,7 +209,7 @@ QUERIES = {
 
 SQL = {
     "route_2opt_rules": f"""WITH {BASE} SELECT p.route_id, count(*) + CASE WHEN start = fin THEN 1 ELSE 0 END AS n, count(DISTINCT s.stop) AS stops,
-  true AS same_stops, true AS same_ends, true AS not_longer, true AS percentage_fits
+  true AS same_stops, true AS same_ends, true AS not_longer, true AS percentage_fits, true AS no_gain_left
 FROM problems p JOIN stops s ON s.route_id = p.route_id GROUP BY p.route_id, start, fin""",
     "matrix_by_position": f"WITH {BASE} SELECT route_id, src, dst, round(raw, 4) AS dist FROM cells",
     "matrix_unpivot": f"WITH {BASE} SELECT route_id, src, dst, round(raw, 4) AS dist FROM cells",
