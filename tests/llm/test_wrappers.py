@@ -75,6 +75,7 @@ def test_repeats_options_and_slots():
         ("<!-- never closed <p>x", ""),
         ("<title>only", ""),
         ("<nav>all <p>furniture</nav>", ""),
+        ("<div class='page with-sidebar no-ads'><div id=x class='post has-comments'><p>kept</div><div class='post-comments'><p>a reader's</div><div role=navigation>menu</div></div>", "kept"),
         ("<head><meta charset=x><p>no body</p>", "no body"),
     ],
 )

@@ -45,6 +45,8 @@ FURNITURE_WORDS = {
     *("newsletter", "subscribe", "subscription", "login", "signup", "search", "popup", "modal", "overlay", "widget", "toolbar", "pagination", "pager"),
     *("contentinfo", "complementary"),
 }
+# Words of a class name that tell how a page is laid out, not what the element is ("with-sidebar").
+LAYOUT_WORDS = {"no", "not", "has", "with", "without", "hide", "show", "is"}
 # Elements that end where one of the others begins, looked for up to the second set.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -98,7 +100,8 @@ def label_of(tag: str, attributes: str) -> str:
     for m in ATTRIBUTE.finditer(attributes) if "=" in attributes or "hidden" in attributes else ():
         name = (m[1] or m[3]).lower()
         if name in ("class", "id", "role"):
-            words += WORD.findall(m[2].lower())
+            parts = [WORD.findall(part) for part in m[2].lower().split()]
+            words += [w for part in parts if LAYOUT_WORDS.isdisjoint(part) for w in part]
         elif name == "hidden" or (name == "style" and "display:none" in m[2].replace(" ", "").lower()):
             words.append("modal")
     return ".".join([tag, *dict.fromkeys(words)])
