@@ -161,8 +161,9 @@ def find_artifacts(spark: SparkSession, path: str, wanted: DataFrame, job_id: st
     """Results of the jobs in a table: joined on bucket and id, so folders without any of them are left out at run time."""
     df = spark.read.parquet(path)
     key = col(job_id).cast(df.schema[job_id].dataType)
-    # folders of one result share the number of buckets, which their names hold
+    # the folders' names hold the number of buckets, one for each way the results were written
     counts = df.select(F.split_part(F.col("job_bucket"), F.lit("-"), F.lit(1)).cast("int").alias("buckets")).distinct()
+    buckets = F.array(*[F.lit(r["buckets"]) for r in counts.collect()]).cast("array<int>")
     keys = wanted.select(key.alias(job_id)).where(col(job_id).isNotNull()).distinct()
-    placed = keys.join(F.broadcast(counts)).select(job_id, _bucket(col(job_id), F.col("buckets")).alias("job_bucket"))
+    placed = keys.withColumn("buckets", F.explode(buckets)).select(job_id, _bucket(col(job_id), F.col("buckets")).alias("job_bucket"))
     return df.join(placed, ["job_bucket", job_id], "left_semi").drop("job_bucket")
