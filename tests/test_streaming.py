@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,3 +185,99 @@ def test_silence_is_noticed_by_the_clock(spark, tmp_path):
         query.stop()
     got = [(r.job_id, r.decision) for r in spark.table("silent").orderBy("job_id").collect()]
     assert got == [(1, "reprocess"), (2, "stuck"), (3, "stuck")]
+
+
+class Store:
+    """Keeps states and timers of one key in memory and counts the calls that go to the store."""
+
+    def __init__(self):
+        self.calls, self.timers = 0, []
+
+    def getMapState(self, name, key, value):
+        return Kept(self, {})
+
+    getValueState = getListState = lambda self, name, schema: Kept(self, None)
+
+    def listTimers(self):
+        self.calls += 1
+        return iter(self.timers)
+
+    def registerTimer(self, at_ms):
+        self.calls += 1
+        self.timers.append(at_ms)
+
+    def deleteTimer(self, at_ms):
+        self.calls += 1
+        self.timers.remove(at_ms)
+
+
+class Kept:
+    def __init__(self, store, value):
+        self.store, self.value = store, value
+
+    def __getattr__(self, name):
+        self.store.calls += 1
+        return {
+            "exists": lambda: bool(self.value),
+            "get": lambda: iter(self.value or []) if isinstance(self.value, (list, type(None))) else self.value,
+            "update": lambda v: setattr(self, "value", v),
+            "put": lambda v: setattr(self, "value", list(v)),
+            "appendList": lambda v: setattr(self, "value", [*(self.value or []), *v]),
+            "clear": lambda: setattr(self, "value", None),
+            "getValue": lambda k: self.value.get(k),
+            "updateValue": lambda k, v: self.value.__setitem__(k, v),
+            "removeKey": lambda k: self.value.pop(k, None),
+            "iterator": lambda: iter(list(self.value.items())),
+        }[name]
+
+
+class Clock:
+    def __init__(self, mark_ms):
+        self.mark_ms = mark_ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.mark_ms
+
+
+def replay(processor, batches):
+    """Feed batches of (watermark, events) to a processor as Spark does; what it gives out, batch by batch."""
+    store, out = Store(), []
+    processor.init(store)
+    for mark, rows in batches:
+        if rows:
+            part = pd.DataFrame(rows, columns=["at_us", "tie", "act", "job", "nameless"])
+            list(processor.handleInputRows((0,), iter([part]), Clock(mark)))
+        got = []
+        for timer in [t for t in store.timers if t <= mark]:
+            got += [r for part in processor.handleExpiredTimer((0,), Clock(mark), None) for r in part.itertuples(index=False)]
+            store.timers.remove(timer)
+        out.append(got)
+    return store, out
+
+
+@pytest.mark.parametrize("processor", [S.JobState, S.IdleJobs])
+def test_calls_to_the_state_store_are_by_bucket_not_by_job_and_event(processor):
+    """500 jobs of 4 events each: waiting takes a few calls altogether, and what is applied one write per job."""
+    rows = [(k * 1_000_000 + job, k, 1 + (k + job) % 4, job, False) for job in range(500) for k in range(4)]
+    store, _ = replay(processor(), [(0, rows)])
+    assert store.calls < 10
+    store, out = replay(processor(), [(0, rows), (10_000_000, [])])
+    assert len(out[1]) == 500 and store.calls < 500 + 20
+
+
+def test_idle_jobs_of_a_bucket_are_told_apart():
+    """Job 1 goes on in time, job 2 falls silent, job 3 comes back after its decision, and an event waits for job 4."""
+    s = 1_000_000
+    act = {a: k + 1 for k, a in enumerate(S.ACTIONS)}
+    batches = [
+        (0, [(1 * s, 1, act["enqueue"], 1, False), (1 * s, 2, act["enqueue"], 2, False), (1 * s, 3, act["enqueue"], 3, False), (1 * s, 4, act["enqueue"], 4, False)]),
+        (20_000, [(25 * s, 5, act["start"], 1, False), (60 * s, 6, act["start"], 4, False), (1 * s, 7, 0, 0, True)]),
+        (40_000, []),
+        (50_000, [(55 * s, 8, act["start"], 3, False)]),
+        (80_000, []),
+        (200_000, []),
+    ]
+    _, out = replay(S.IdleJobs(), batches)
+    got = [sorted((None if pd.isna(r.job_id) else r.job_id, r.decision) for r in part if not pd.isna(r.job_id)) for part in out]
+    assert got == [[], [], [(2, "reprocess"), (3, "reprocess")], [], [(1, "stuck")], [(3, "stuck"), (4, "stuck")]]
+    assert [r.decision for part in out for r in part if pd.isna(r.job_id)] == ["stuck"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -53,99 +54,135 @@ def sessions(events: DataFrame, key: str, ts: str = "ts", delay: str = "10 minut
 
 
 JOB_STATE = "status string, attempts bigint, rejected bigint, events bigint, last_us bigint"
-PENDING = "at_us bigint, tie bigint, action string"
+JOB_KEY = "job bigint, nameless boolean"
 STATE_ROW = "job_id long, events long, status string, attempts long, rejected long, last_us long"
 DECISION_ROW = "job_id long, status string, attempts long, decision string, last_us long"
+# Jobs share a state key, so that a batch takes calls to the state store and data frames by bucket and not by job.
+BUCKETS = 2048
+ACTIONS = sorted({act for _, act in MOVES})
+WAITING = np.dtype([("at_us", "i8"), ("tie", "i8"), ("act", "i1"), ("job", "i8"), ("nameless", "?")])
+Job = tuple[int, bool]  # a job's number; jobs without one are told apart from number 0
+State = tuple[str, int, int, int, int]
 
 
 class JobState(StatefulProcessor):
-    """Keeps status and attempts of each job; emits the state whenever events have been applied.
+    """Keeps status and attempts of the jobs of a bucket; emits a job's state whenever events have been applied.
 
     Events wait in a list until the watermark has passed them and are then applied in the order of their
-    times, so it doesn't matter which batches they came in. What waits for one job is bounded by the events it has
-    within the watermark's delay.
+    times, so it doesn't matter which batches they came in. What waits in one bucket is bounded by the events its jobs have
+    within the watermark's delay. A bucket has one timer, for when the watermark has passed what it waits for.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("job", JOB_STATE)
-        self.pending = handle.getListState("pending", PENDING)
+        self.jobs = handle.getMapState("jobs", JOB_KEY, JOB_STATE)
+        self.pending = handle.getListState("pending", "events binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for part in rows:
-            self.pending.appendList(list(part[["at_us", "tie", "action"]].itertuples(index=False, name=None)))
-        self._wake(timerValues.getCurrentWatermarkInMs())
+        parts = [_packed(part) for part in rows]
+        self.pending.appendList([(part.tobytes(),) for part in parts])
+        wanted = max(min(int(part["at_us"].min()) for part in parts) // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1)
+        timers = list(self.handle.listTimers())
+        if not timers or min(timers) > wanted:
+            for timer in timers:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(wanted)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        if self._apply(mark):
-            status, attempts, rejected, events, last = self.state.get()
-            yield pd.DataFrame(
-                {
-                    "job_id": [key[0]],
-                    "events": [events],
-                    "status": [status],
-                    "attempts": [attempts],
-                    "rejected": [rejected],
-                    "last_us": [last],
-                }
-            )
-        self._wake(mark)
-
-    def _wake(self, mark_ms: int) -> None:
-        """One timer, for when the watermark has passed the earliest waiting event."""
-        times = [row[0] for row in self.pending.get()]
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if times:
-            self.handle.registerTimer(max(min(times) // 1000 + 1, mark_ms + 1))
-
-    def _apply(self, mark_ms: int) -> int:
-        """Fold the waiting events up to the watermark into the state; how many these were."""
-        waiting = sorted(tuple(row) for row in self.pending.get())
-        ready = [row for row in waiting if row[0] <= mark_ms * 1000]
-        if not ready:
-            return 0
-        status, attempts, rejected, events, last = self.state.get() if self.state.exists() else ("none", 0, 0, 0, 0)
-        for at_us, _, act in ready:
-            target = MOVES.get((status, act))
-            rejected += target is None
-            attempts += target == "processing"
-            status = target or status
-            last = max(last, at_us)
-        self.state.update((status, int(attempts), int(rejected), int(events + len(ready)), int(last)))
-        if len(ready) < len(waiting):
-            self.pending.put(waiting[len(ready) :])
+        changed, rest = self._apply(mark)
+        if len(rest):
+            self.handle.registerTimer(int(rest["at_us"].min()) // 1000 + 1)
+        if changed:
+            yield _table(changed, ["status", "attempts", "rejected", "events", "last_us"], list(changed.values()))
+
+    def _apply(self, mark_ms: int) -> tuple[dict[Job, State], np.ndarray]:
+        """Fold the waiting events up to the watermark into the states; the changed states and the events that go on waiting."""
+        waiting = np.concatenate([np.empty(0, WAITING), *(np.frombuffer(row[0], WAITING) for row in self.pending.get())])
+        ready = waiting["at_us"] <= mark_ms * 1000
+        rest, now = waiting[~ready], waiting[ready]
+        if not len(now):
+            return {}, rest
+        now = now[np.lexsort([now["act"], now["tie"], now["at_us"], now["nameless"], now["job"]])]
+        known, changed = self.jobs.exists(), {}
+        for at_us, _, act, number, nameless in now.tolist():
+            job = (number, nameless)
+            if job not in changed:
+                changed[job] = (self.jobs.getValue(job) if known else None) or ("none", 0, 0, 0, 0)
+            status, attempts, rejected, events, last = changed[job]
+            target = MOVES.get((status, ACTIONS[act - 1])) if act else None
+            changed[job] = (target or status, attempts + (target == "processing"), rejected + (target is None), events + 1, max(last, at_us))
+        for job, state in changed.items():
+            self.jobs.updateValue(job, state)
+        if len(rest):
+            self.pending.put([(rest.tobytes(),)])
         else:
             self.pending.clear()
-        return len(ready)
+        return changed, rest
 
     def close(self) -> None:
         pass
 
 
 class IdleJobs(JobState):
-    """Decides what to do with a job once it has been silent for the idle time."""
+    """Decides what to do with a job once it has been silent for the idle time.
+
+    Jobs that have not been decided since their last event are kept with their deadlines; these are looked through
+    only when the watermark has passed the earliest of them.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.open = handle.getMapState("open", JOB_KEY, "deadline_ms bigint")
+        self.due = handle.getValueState("due", "deadline_ms bigint")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        self._apply(mark)
-        status, attempts, _, _, last = self.state.get()
-        silent = not any(True for _ in self.pending.get()) and mark > last // 1000 + IDLE_SECONDS * 1000
+        changed, rest = self._apply(mark)
+        awaited = set(rest[["job", "nameless"]].tolist())
+        before = self.due.get()[0] if self.due.exists() else None  # without it no job is open
+        due, silent = [] if before is None else [before], {}
+        for job, state in changed.items():
+            deadline = state[4] // 1000 + IDLE_SECONDS * 1000
+            if deadline < mark and job not in awaited:
+                silent[job] = state
+                if before is not None:
+                    self.open.removeKey(job)
+            else:
+                self.open.updateValue(job, (deadline,))
+                due.append(deadline)
+        if due and min(due) < mark:
+            due = []
+            for job, (deadline,) in [(tuple(k), tuple(v)) for k, v in self.open.iterator()]:
+                if deadline < mark and job not in awaited:
+                    silent[job] = tuple(self.jobs.getValue(job))
+                    self.open.removeKey(job)
+                else:  # one whose next event is waiting is looked at after that
+                    due.append(deadline if deadline >= mark else int(rest["at_us"].min()) // 1000)
+        if due:
+            self.due.update((min(due),))
+        elif before is not None:
+            self.due.clear()
+        wake = [min(due) + 1] if due else []
+        wake += [int(rest["at_us"].min()) // 1000 + 1] if len(rest) else []
+        if wake:
+            self.handle.registerTimer(min(wake))
         if silent:
-            yield pd.DataFrame(
-                {
-                    "job_id": [key[0]],
-                    "status": [status],
-                    "attempts": [attempts],
-                    "decision": [decide(status, attempts)],
-                    "last_us": [last],
-                }
-            )
-        self._wake(mark)
-        if not silent and not any(True for _ in self.handle.listTimers()):
-            self.handle.registerTimer(max(last // 1000 + IDLE_SECONDS * 1000 + 1, mark + 1))
+            rows = [(status, attempts, decide(status, attempts), last) for status, attempts, _, _, last in silent.values()]
+            yield _table(silent, ["status", "attempts", "decision", "last_us"], rows)
+
+
+def _packed(part: pd.DataFrame) -> np.ndarray:
+    out = np.empty(len(part), WAITING)
+    for c in WAITING.names:
+        out[c] = part[c].to_numpy()
+    return out
+
+
+def _table(jobs: dict[Job, State], columns: list[str], rows: list[tuple]) -> pd.DataFrame:
+    numbers = pd.Series([None if nameless else number for number, nameless in jobs], dtype="Int64")
+    return pd.DataFrame(rows, columns=columns).assign(job_id=numbers)
 
 
 def decide(status: str, attempts: int) -> str:
@@ -206,12 +243,26 @@ def _job_events(events: DataFrame, job: str, action: str, ts: str, tiebreak: str
     )
 
 
+def _bucketed_events(events: DataFrame, job: str, action: str, ts: str, tiebreak: str) -> DataFrame:
+    """Job events by bucket of jobs, without nulls. An event without a time has no place in a job's life."""
+    act = F.array_position(F.array(*map(F.lit, ACTIONS)), F.col(action))  # 0 for one that no move knows
+    return events.where(F.col(ts).isNotNull()).select(
+        F.pmod(F.xxhash64(F.col(job)), F.lit(BUCKETS)).cast("int").alias("bucket"),
+        F.coalesce(F.col(job), F.lit(0)).cast("long").alias("job"),
+        F.col(job).isNull().alias("nameless"),
+        F.coalesce(act, F.lit(0)).cast("int").alias("act"),
+        F.unix_micros(F.col(ts)).alias("at_us"),
+        F.coalesce(F.col(tiebreak).cast("long"), F.lit(-(1 << 63))).alias("tie"),
+        F.col(ts).alias("ts"),
+    )
+
+
 def job_states(events: DataFrame, job: str, action: str, ts: str, tiebreak: str, delay: str = "10 minutes") -> DataFrame:
     """Stateful fold of job events in the order of their times (update mode, state provider ``ROCKSDB``)."""
     return (
-        _job_events(events, job, action, ts, tiebreak)
+        _bucketed_events(events, job, action, ts, tiebreak)
         .withWatermark("ts", delay)
-        .groupBy("job_id")
+        .groupBy("bucket")
         .transformWithStateInPandas(JobState(), STATE_ROW, "Update", "EventTime")
     )
 
@@ -219,9 +270,9 @@ def job_states(events: DataFrame, job: str, action: str, ts: str, tiebreak: str,
 def idle_decisions(events: DataFrame, job: str, action: str, ts: str, tiebreak: str, delay: str = "10 minutes") -> DataFrame:
     """Decisions for jobs that fell silent, by event time (append mode, state provider ``ROCKSDB``)."""
     return (
-        _job_events(events, job, action, ts, tiebreak)
+        _bucketed_events(events, job, action, ts, tiebreak)
         .withWatermark("ts", delay)
-        .groupBy("job_id")
+        .groupBy("bucket")
         .transformWithStateInPandas(IdleJobs(), DECISION_ROW, "Append", "EventTime")
     )
 
