@@ -105,3 +105,41 @@ def test_importances_go_to_their_own_column(spark):
     df = spark.createDataFrame([(k, "uvw"[k % 3], float(k * k % 11), float(k * k % 11)) for k in range(200)], "id int, a string, a__hot_v double, y double")
     weights = {r.feature: r.importance for r in M.train_forest(df, "y", ["id"], n_estimators=4, max_depth=5).importances.collect()}
     assert set(weights) == {"a", "a__hot_v"} and weights["a__hot_v"] > 0.9
+
+
+def test_samples_are_added_up_by_vector(spark, monkeypatch):
+    """Each tree takes each row a Poisson number of times, equal rows one by one, whatever pieces a vector is cut into."""
+    rows = [("ab"[k % 2], float(k % 3), float(k % 40)) for k in range(2400)]
+    df = spark.createDataFrame(rows, "c string, x double, y double")
+
+    def sums():
+        sizes = df.groupBy("c", "x").agg(F.count(F.lit(1)).alias("n"))
+        found = M.bootstrap_sums(df.repartition(3), sizes, 6, 2400, ["c", "x"], "y", 20).select("_x.*", "*").collect()
+        return {(r.c, r.x): [(r[f"w{t}"], r[f"y{t}"]) for t in range(20)] for r in found}
+
+    whole = sums()
+    assert len(whole) == 6
+    taken = [w for found in whole.values() for w, _ in found]
+    assert all(w == int(w) for w in taken) and abs(sum(taken) - 48_000) < 5 * 48_000**0.5
+    assert len(set(taken)) > 20  # the samples of different trees and vectors differ
+    mean = {x: sum(y for c, v, y in rows if (c, v) == x) / 400 for x in whole}
+    assert all(sum(w * y for w, y in found) / sum(w for w, _ in found) == pytest.approx(mean[x], abs=0.7) for x, found in whole.items())
+    monkeypatch.setattr(M, "PART_ROWS", 150)
+    cut = sums()
+    assert all([w for w, _ in cut[x]] == [w for w, _ in whole[x]] for x in whole)
+    assert all([y for _, y in cut[x]] == pytest.approx([y for _, y in whole[x]]) for x in whole)
+
+
+def test_few_vectors_are_trained_on_sums_and_predict_as_well(spark, monkeypatch):
+    """Targets with noise over 30 vectors: as good as the forest that reads every row."""
+    df = spark.range(3000).selectExpr("id", "cast(id % 10 AS double) AS a", "concat('v', id % 6) AS b", "cast(id % 10 * 3 + id % 6 + id * 7919 % 101 / 50 AS double) AS y")
+    few = M.train_forest(df, "y", ["id"], n_estimators=24)
+    assert [type(s).__name__ for s in few.model.stages].count("RandomForestRegressionModel") == 24
+    monkeypatch.setattr(M, "FEW_VECTORS", 0)
+    monkeypatch.setattr(M, "ROWS_A_VECTOR", 1_000)
+    plain = M.train_forest(df, "y", ["id"], n_estimators=24)
+    assert type(plain.model.stages[-1]).__name__ == "RandomForestRegressionModel"
+    assert few.evaluation.first().r2 == pytest.approx(plain.evaluation.first().r2, abs=0.03) and few.evaluation.first().r2 > 0.9
+    assert few.evaluation.first()["rows"] == few.predictions.select("id").distinct().count() == few.predictions.count()
+    share = {r.feature: r.importance for r in few.importances.collect()}
+    assert sum(share.values()) == pytest.approx(1.0) and share["a"] > share["b"]
