@@ -109,3 +109,23 @@ def test_only_the_beginning_of_a_file_is_read(spark, tmp_path, folder, monkeypat
     monkeypatch.setattr(files, "file_system", lambda folder: None)
     again = {r.length: len(r.content) for r in files.read_heads(spark, str(tmp_path)).collect()}
     assert again == sizes
+
+
+def test_files_are_listed_in_tasks_as_spark_lists_them(spark, tmp_path):
+    """Nested folders, hidden and empty files, odd names; tasks follow the number of files, not a size set per file."""
+    from tidemill.sources import files
+
+    for k in range(300):
+        folder = tmp_path / f"d{k % 7}" / ("deep er" if k % 2 else "x=1")
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"a{k}.{['png', 'JPG', 'txt', 'jpg.bak'][k % 4]}").write_bytes(b"" if k % 11 == 0 else b"x" * k)
+    for name in ("_skip.png", ".skip.png", "_k=1.png", "top #%20.gif", "t._COPYING_", "_metadata.png"):
+        (tmp_path / name).write_bytes(b"abc")
+    for hidden in ("_folder", ".folder"):
+        (tmp_path / hidden).mkdir()
+        (tmp_path / hidden / "in.png").write_bytes(b"abc")
+    for glob in (files.IMAGE_GLOB, "*", "a?[0-4]*.{png,txt}"):
+        whole = sorted((r.path, r.length) for r in files.read_images(spark, str(tmp_path), glob).select("path", "length").collect() if r.length)
+        heads = files.read_heads(spark, str(tmp_path), glob)
+        assert sorted((r.path, r.length) for r in heads.collect()) == whole and whole
+        assert heads.rdd.getNumPartitions() == 1

@@ -54,7 +54,8 @@ def q_image_files(s, d):
     """Real files, written one by one and listed again by their first bytes; some are longer than what is read of them."""
     folder = work_dir(s, "image-files")
     long = F.when(F.col("doc_id") % 50 == 0, F.unhex(F.repeat(F.lit("00"), 100_000))).otherwise(F.unhex(F.lit("00")))
-    name = F.regexp_replace("path", "^/images/", "")
+    # a folder for about a thousandth of the files, so that they are listed by many tasks
+    name = F.concat(F.pmod(F.xxhash64("doc_id"), F.lit(1000)).cast("string"), F.regexp_replace("path", "^/images/", "/"))
     write_files(files(s, d).select(name.alias("name"), F.concat("content", long).alias("content")), folder)
     found = I.inventory(read_heads(s, folder, "*"))
     return found.withColumn("path", F.regexp_extract("path", "([^/]*)$", 1))

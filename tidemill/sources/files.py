@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql.types import ArrayType, DoubleType, FloatType, MapType, StructT
 
 from tidemill.functions.scalars import json_number
 from tidemill.operators.columns import col
+from tidemill.plans.session import cut_lineage
 
 IMAGE_GLOB = "*.{jpg,jpeg,png,webp,gif,JPG,JPEG,PNG,WEBP,GIF}"
 
@@ -29,6 +31,10 @@ def read_images(spark: SparkSession, path: str, glob: str = IMAGE_GLOB) -> DataF
 HEAD_BYTES = 64 << 10
 # Bytes of files in one batch, about.
 HELD_BYTES = 8 << 20
+# Files that one task opens, entries of a folder in one batch and folders that one task lists, about.
+OPENED = 4_000
+LISTED = 10_000
+FOLDERS = 32
 
 
 def file_system(folder: str):
@@ -51,12 +57,13 @@ def file_system(folder: str):
 def read_heads(spark: SparkSession, path: str, glob: str = IMAGE_GLOB, most: int = HEAD_BYTES) -> DataFrame:
     """``(path, length, content)`` of every file below a folder, with the first ``most`` bytes as content.
 
-    Spark lists the files; tasks open each one and read no more than its beginning. Where only Spark reaches the
+    Tasks list the folders, open each file and read no more than its beginning. Where only Spark reaches the
     files, they are read whole and cut.
     """
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    if file_system(path) is None:
-        return listed.select("path", "length", F.substring("content", 1, most).alias("content"))
+    listed = list_files(spark, path, glob)
+    if listed is None:
+        whole = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+        return whole.select("path", "length", F.substring("content", 1, most).alias("content"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,18 +78,94 @@ def read_heads(spark: SparkSession, path: str, glob: str = IMAGE_GLOB, most: int
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(heads, pa.binary())], names=["path", "length", "content"])
                     heads, held, start = [], 0, k + 1
 
-    # the listing alone: no content is asked for, so none is read
-    return listed.select("path", "length").mapInArrow(run, "path string, length long, content binary")
+    return listed.mapInArrow(run, "path string, length long, content binary")
+
+
+def list_files(spark: SparkSession, path: str, glob: str) -> DataFrame | None:
+    """``(path, length)`` of the files below a folder that Spark's file scan would read; None if tasks can't list it.
+
+    Folders are listed in tasks, level by level, so neither the driver nor a plan holds the names, and the number of tasks
+    follows the number of files. A folder's own entries are listed by one task.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(place) or not store.getFileStatus(place).isDirectory():
+        return None
+    root = store.makeQualified(place).toString()
+    if file_system(path) is None or file_system(root) is None:
+        return None
+    wanted = _glob_pattern(glob)
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for folder in batch.column("path").to_pylist():
+                system, base = file_system(folder)
+                found = system.get_file_info(fs.FileSelector(base))
+                for start in range(0, len(found), LISTED):
+                    rows = []
+                    for f in found[start : start + LISTED]:
+                        inner = f.type == fs.FileType.Directory
+                        if not _hidden(f.base_name, inner) and (inner or f.size and wanted.fullmatch(f.base_name)):
+                            rows.append((f"{folder.rstrip('/')}/{f.base_name}", f.size or 0, inner))
+                    columns = list(zip(*rows)) or [(), (), ()]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.bool_()))], names=["path", "length", "folder"]
+                    )
+
+    level, files = spark.createDataFrame([(root,)], "path string"), None
+    while True:
+        found = cut_lineage(level.mapInArrow(entries, "path string, length long, folder boolean"))
+        part = found.where("not folder").select("path", "length")
+        files = part if files is None else files.unionByName(part)
+        folders = found.where("folder").select("path")
+        n = folders.count()
+        if not n:
+            return files.repartition(max(1, -(-files.count() // OPENED)))
+        level = folders.repartition(-(-n // FOLDERS))
+
+
+def _hidden(name: str, inner: bool) -> bool:
+    """Names of files, or of folders (``inner``), that Spark's file scan passes over."""
+    if inner and name.startswith(("_common_metadata", "_metadata")):
+        return False
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def _glob_pattern(glob: str) -> re.Pattern:
+    """A file name pattern with ``*``, ``?``, ``[...]`` and ``{...,...}`` as a regular expression."""
+    out, depth = "", 0
+    for part in re.findall(r"\\.|\[[^]]+\]|.", glob):
+        if part in "{}":
+            depth += 1 if part == "{" else -1
+            out += "(?:" if part == "{" else ")"
+        elif part == "," and depth:
+            out += "|"
+        elif part in "*?":
+            out += ".*" if part == "*" else "."
+        elif part[0] == "[" and len(part) > 1:
+            out += "[" + part[1:].replace("!", "^", 1) if part[1] == "!" else part
+        else:
+            out += re.escape(part[-1])
+    return re.compile(out, re.DOTALL)
 
 
 def write_files(files: DataFrame, folder: str) -> None:
-    """Write rows (name, content) as files of their own; a task that is repeated writes the same files again."""
+    """Write rows (name, content) as files of their own; a task that is repeated writes the same files again.
+
+    A name may have folders in it, which are made.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = file_system(folder)
-        system.create_dir(base, recursive=True)
+        made = set()
         for batch in batches:
             for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
+                folder_of = f"{base}/{name}".rpartition("/")[0]
+                if folder_of not in made:
+                    system.create_dir(folder_of, recursive=True)
+                    made.add(folder_of)
                 with system.open_output_stream(f"{base}/{name}") as f:
                     f.write(content or b"")
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
