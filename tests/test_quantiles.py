@@ -44,6 +44,25 @@ def test_matches_numpy(spark, method, path, monkeypatch):
             assert getattr(row, name) == pytest.approx(np.quantile(vals, p, method=method), abs=1e-12)
 
 
+@pytest.mark.parametrize("method", ["linear", "lower"])
+def test_large_groups_are_narrowed_by_counts_alone(spark, row_limit, monkeypatch, method):
+    """No sketches are needed for spread-out values or few different ones; groups that crowd in one place still get them."""
+    row_limit(50)
+    monkeypatch.setattr(quantiles, "BUCKET_ROWS", 10)
+    rng = np.random.default_rng(3)
+    values = {"even": rng.random(4000), "few": rng.integers(0, 5, 4000) / 7, "one": np.full(300, 2.5)}
+    sketched = []
+    select = quantiles._select_ranks
+    monkeypatch.setattr(quantiles, "_select_ranks", lambda data, large, *rest: sketched.extend(r[0] for r in large.collect()) or select(data, large, *rest))
+    for crowded in ({}, {"far": np.append(rng.normal(size=2000), 1e12)}):
+        every = values | crowded
+        pdf = pd.concat([pd.DataFrame({"g": g, "v": v}) for g, v in every.items()])
+        got = exact_quantiles(spark.createDataFrame(pdf).repartition(5), ["g"], "v", PROBS, method).toPandas().set_index("g")
+        assert sketched == list(crowded) and set(got.index) == set(every)
+        for g, v in every.items():
+            assert list(got.loc[g, list(PROBS)]) == pytest.approx([np.quantile(v, p, method=method) for p in PROBS.values()], abs=1e-12)
+
+
 def test_global_group(spark, small_groups):
     got = exact_quantiles(spark.range(1001).select(F.col("id").alias("v")), [], "v", PROBS).first()
     assert (got.q1, got.q2, got.p95) == (250.0, 500.0, 950.0)

@@ -1,7 +1,8 @@
 """Exact order statistics per group, without one task ever holding a large group.
 
-Groups up to the configured row limit are first counted in equal-width buckets; only the
-buckets that hold a wanted rank are shuffled and sorted. Larger groups are solved by selection: a mergeable sketch proposes
+Groups are first counted in equal-width buckets; only the buckets that hold a wanted rank are shuffled and
+sorted. Where such a bucket has more rows of different values than the configured limit, its group is solved by
+selection: a mergeable sketch proposes
 two pivots for every wanted rank, an exact count says on which side of the pivots the rank
 lies, and only the rows between the pivots stay. Pivots affect speed only, never the answer,
 because every step is decided by exact counts.
@@ -18,9 +19,10 @@ from tidemill.plans.session import cut_lineage, group_rows, hint_small
 
 SKETCH_K = 4096
 GRID = 512
-# groups up to this length are sorted directly; longer ones in buckets of about this many rows
+# groups up to this length are sorted directly; longer ones in buckets of about this many rows, up to a number of buckets
 SORTED_ROWS = 200_000
 BUCKET_ROWS = 1_000
+MOST_BUCKETS = 4_096
 
 
 def exact_quantiles(
@@ -68,57 +70,78 @@ def _solve(data: DataFrame, keys: list[str], probs: dict[str, float], method: st
         counted = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         sizes = cut_lineage(counted)
     groups, worst = sizes.agg(F.count(F.lit(1)), F.max("n")).first()
-    if (worst or 0) <= limit:
-        return _within_groups(data, sizes, groups, keys, probs, method, worst or 0)
-    large = cut_lineage(sizes.where(F.col("n") > limit).drop("lo", "hi"))
-    large_keys = hint_small(large.select(*keys), large.count())
-    picked = _select_ranks(join_null_safe(data, large_keys, keys, "left_semi"), large, keys, probs, method, limit)
-    rest = join_null_safe(data, large_keys, keys, "left_anti")
-    return _within_groups(rest, sizes, groups, keys, probs, method, limit).unionByName(picked)
+    if (worst or 0) <= min(SORTED_ROWS, limit):
+        rows = join_null_safe(data, hint_small(sizes, groups), keys)
+        counts = rows.groupBy(*keys, "n", "v").agg(F.count(F.lit(1)).alias("c"))
+        return _pick(counts.selectExpr(*keys, "n", "v", "c", "0 AS bucket", "0 AS base"), keys, probs, method)
+    sizes = sizes.withColumn("buckets", F.expr(f"least(bigint(ceil(n / {min(BUCKET_ROWS, limit)})), {MOST_BUCKETS})"))
+    # the position grows with v, so buckets are in the order of their values
+    bucket = "if(hi > lo AND hi - lo < double('inf'), least(floor((v - lo) / (hi - lo) * buckets), buckets - 1), 0) AS bucket"
+    order = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    ranks = _ranks(probs, method)
+    placed = join_null_safe(data, hint_small(sizes, groups), keys).selectExpr(*keys, "v", "n", bucket)
+    # a bucket of one value is an answer; the others' rows are read again
+    wanted = cut_lineage(
+        placed.groupBy(*keys, "n", "bucket")
+        .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("v"), F.max("v").alias("most"))
+        .withColumn("upto", F.sum("c").over(order))
+        .where(_any_hit(ranks))
+        .selectExpr(*keys, "n", "bucket", "upto - c AS base", "c", "v", "v < most AS mixed")
+    )
+    picked = None
+    if worst > limit:
+        # too many rows in one bucket: the range is far wider than where most values lie
+        dense = cut_lineage(wanted.where(f"c > {limit} AND mixed").select(*keys).distinct())
+        number = dense.count()
+        if number:
+            dense = hint_small(dense, number)
+            large = cut_lineage(join_null_safe(sizes.select(*keys, "n"), dense, keys, "left_semi"))
+            picked = _select_ranks(join_null_safe(data, dense, keys, "left_semi"), large, keys, probs, method, limit)
+            wanted = join_null_safe(wanted, dense, keys, "left_anti")
+    mixed = wanted.where("mixed").drop("c", "v")
+    bounds = join_null_safe(sizes.drop("n"), mixed.groupBy(*keys).agg(F.collect_set("bucket").alias("wanted")), keys)
+    again = join_null_safe(data, hint_small(bounds, groups), keys).selectExpr(*keys, "v", "wanted", bucket).where("array_contains(wanted, bucket)")
+    counts = again.groupBy(*keys, "bucket", "v").agg(F.count(F.lit(1)).alias("c"))
+    counts = join_null_safe(counts, hint_small(mixed, groups * len(ranks)), [*keys, "bucket"])
+    columns = [*keys, "n", "bucket", "base", "v", "c"]
+    found = _pick(counts.select(*columns).unionByName(wanted.where("NOT mixed").select(*columns)), keys, probs, method)
+    return found if picked is None else found.unionByName(picked)
 
 
-def _within_groups(data, sizes, groups: int, keys: list[str], probs: dict[str, float], method: str, longest: int) -> DataFrame:
-    """Ranks inside groups that are at most as long as the limit."""
+def _ranks(probs: dict[str, float], method: str) -> dict[str, str]:
+    """The ranks wanted of a group of n values, by name."""
     ends = {}
     for i, p in enumerate(probs.values()):
         ends[f"below{i}"] = f"bigint(floor((n - 1) * double('{float(p)!r}')))"
         if method == "linear":
             ends[f"above{i}"] = f"bigint(ceil((n - 1) * double('{float(p)!r}')))"
-    hits = {k: f"({e} < upto AND {e} >= upto - c)" for k, e in ends.items()}
-    hit = " OR ".join(hits.values())
-    rows = join_null_safe(data, hint_small(sizes, groups), keys)
-    if longest <= SORTED_ROWS:
-        rows = rows.selectExpr(*keys, "n", "v", "0 AS bucket", "0 AS base")
-    else:
-        # the position grows with v, so buckets are in the order of their values
-        place = "floor((v - lo) / (hi - lo) * buckets)"
-        rows = rows.withColumn("buckets", F.expr(f"bigint(ceil(n / {BUCKET_ROWS}))")).selectExpr(
-            *keys, "n", "v", f"if(hi > lo AND hi - lo < double('inf'), least({place}, buckets - 1), 0) AS bucket"
-        )
-        order = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-        wanted = (
-            rows.groupBy(*keys, "n", "bucket")
-            .agg(F.count(F.lit(1)).alias("c"))
-            .withColumn("upto", F.sum("c").over(order))
-            .where(hit)
-            .selectExpr(*keys, "bucket", "upto - c AS base")
-        )
-        rows = join_null_safe(rows, hint_small(wanted, groups * len(hits)), [*keys, "bucket"])
+    return ends
+
+
+def _hit(rank: str) -> str:
+    return f"({rank} < upto AND {rank} >= upto - c)"
+
+
+def _any_hit(ranks: dict[str, str]) -> str:
+    return " OR ".join(map(_hit, ranks.values()))
+
+
+def _pick(counts: DataFrame, keys: list[str], probs: dict[str, float], method: str) -> DataFrame:
+    """The wanted ranks from the value counts of the buckets that hold them; ``base`` rows of the group lie below a bucket."""
+    ranks = _ranks(probs, method)
     by_value = Window.partitionBy(*keys, "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     found = (
-        rows.groupBy(*keys, "n", "bucket", "base", "v")
-        .agg(F.count(F.lit(1)).alias("c"))
-        .withColumn("upto", F.col("base") + F.sum("c").over(by_value))
-        .where(hit)
+        counts.withColumn("upto", F.col("base") + F.sum("c").over(by_value))
+        .where(_any_hit(ranks))
         .groupBy(*keys, "n")
-        .agg(*[F.expr(f"max(if({h}, v, NULL)) AS {k}") for k, h in hits.items()])
+        .agg(*[F.expr(f"max(if({_hit(r)}, v, NULL)) AS {k}") for k, r in ranks.items()])
     )
     if method == "lower":
         return found.select(*keys, *[F.col(f"below{i}").alias(name) for i, name in enumerate(probs)])
     return found.select(
         *keys,
         *[
-            F.expr(f"below{i} + (above{i} - below{i}) * ((n - 1) * double('{float(p)!r}') - {ends[f'below{i}']})").alias(name)
+            F.expr(f"below{i} + (above{i} - below{i}) * ((n - 1) * double('{float(p)!r}') - {ranks[f'below{i}']})").alias(name)
             for i, (name, p) in enumerate(probs.items())
         ],
     )
