@@ -55,6 +55,15 @@ def test_latency_and_throughput(spark):
     assert J.throughput(df, []).first().jobs_per_second == pytest.approx(30 / 4.0)
 
 
+def test_latency_reads_its_jobs_once(spark, tmp_path):
+    """Jobs may be an expensive join, so later passes go on from what was written down."""
+    rows = [(i, DAY, DAY + dt.timedelta(seconds=i), DAY + dt.timedelta(seconds=2 * i)) for i in range(5)]
+    spark.createDataFrame(rows, "id long, created_at timestamp, started_at timestamp, completed_at timestamp").write.parquet(str(tmp_path / "jobs"))
+    got = J.latency_stats(spark.read.parquet(str(tmp_path / "jobs")), [])
+    assert not any(str(tmp_path / "jobs") in file for file in got.inputFiles())
+    assert {(r.phase, r.jobs, r.avg_seconds, r.p95_seconds) for r in got.collect()} == {("queue", 5, 2.0, 3.0), ("processing", 5, 2.0, 3.0), ("total", 5, 4.0, 6.0)}
+
+
 def test_error_categories(spark):
     df = spark.createDataFrame([("image", "timeout"), ("image", "odd"), ("image", None)], "type string, error_type string")
     assert {r.error_type: r.failures for r in J.error_breakdown(df).collect()} == {"timeout": 1, "unknown": 2}

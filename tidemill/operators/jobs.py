@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from tidemill.functions.quantiles import exact_quantiles
 from tidemill.plans.joins import join_null_safe
+from tidemill.plans.session import cut_lineage
 from tidemill.plans.skew import ordered_pieces
 
 # Job types that are always reported, states that count as outstanding,
@@ -67,17 +68,25 @@ def outstanding(jobs: DataFrame, limit: int = MAX_OUTSTANDING) -> DataFrame:
 
 def latency_stats(jobs: DataFrame, keys: list[str]) -> DataFrame:
     """Average and lower-rank 95th percentile of queue, processing and total time in seconds."""
-    timed = jobs.where("completed_at is not null").select(
-        *keys,
-        seconds_between(F.col("created_at"), F.col("started_at")).alias("queue"),
-        seconds_between(F.col("started_at"), F.col("completed_at")).alias("processing"),
-        seconds_between(F.col("created_at"), F.col("completed_at")).alias("total"),
+    # written down once: jobs may come from a join that every pass over them would repeat
+    timed = cut_lineage(
+        jobs.where("completed_at is not null").select(
+            *keys,
+            seconds_between(F.col("created_at"), F.col("started_at")).alias("queue"),
+            seconds_between(F.col("started_at"), F.col("completed_at")).alias("processing"),
+            seconds_between(F.col("created_at"), F.col("completed_at")).alias("total"),
+        )
     )
     cells = timed.unpivot(keys, ["queue", "processing", "total"], "phase", "seconds").where("seconds is not null")
     by = keys + ["phase"]
-    averages = cells.groupBy(*by).agg(F.count(F.lit(1)).alias("jobs"), F.avg("seconds").alias("avg_seconds"))
-    p95 = exact_quantiles(cells, by, "seconds", {"p95_seconds": 0.95}, "lower")
-    return join_null_safe(averages, p95, by)
+    stats = cut_lineage(
+        cells.groupBy(*by).agg(
+            F.count(F.lit(1)).alias("jobs"), F.avg("seconds").alias("avg_seconds"), F.min("seconds").alias("lo"), F.max("seconds").alias("hi")
+        )
+    )
+    sizes = stats.select(*by, F.col("jobs").alias("n"), "lo", "hi")
+    p95 = exact_quantiles(cells, by, "seconds", {"p95_seconds": 0.95}, "lower", sizes)
+    return join_null_safe(stats.drop("lo", "hi"), p95, by)
 
 
 def lower_rank_percentile(df: DataFrame, keys: list[str], value: str, p: float) -> DataFrame:
