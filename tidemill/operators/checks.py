@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemill.plans.joins import join_null_safe
+from tidemill.plans.session import cut_lineage
+
 
 def project_features(df: DataFrame, target: str, features: list[str] | None = None) -> DataFrame:
     """Target plus the named features, or every other column when none are named."""
@@ -77,21 +80,20 @@ def _by_reference(df: DataFrame, reference: DataFrame, on: dict[str, str], how:
 
 
 def duplicate_keys(df: DataFrame, keys: list[str], position: str) -> DataFrame:
-    """Keys that occur more than once, how often, and where the first two are."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    # only two rows per key leave each task
+    """Keys that occur more than once, how often, and where the first two are; null is a key like any other."""
+    # written down, so that no task counts all its keys and sorts its rows at the same time
+    counts = cut_lineage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    # only two rows per key leave each task; the rows stay sorted, so the second is the first's neighbour
     w = Window.partitionBy(*keys).orderBy(position)
     firsts = (
         df.select(*keys, position)
         .withColumn("rn", F.row_number().over(w))
         .where("rn <= 2")
-        .groupBy(*keys)
-        .agg(
-            F.min(F.when(F.col("rn") == 1, F.col(position))).alias("first_position"),
-            F.min(F.when(F.col("rn") == 2, F.col(position))).alias("second_position"),
-        )
+        .withColumn("second", F.lead(F.struct(position)).over(w))
+        .where("rn = 1 AND second IS NOT NULL")
+        .select(*keys, F.col(position).alias("first_position"), F.col("second")[position].alias("second_position"))
     )
-    return counts.join(firsts, keys)
+    return join_null_safe(counts, firsts, keys)
 
 
 def valid_session_rows(df: DataFrame, sessions: DataFrame, key: str, ts: str, expires: str = "expires_at") -> DataFrame:
