@@ -90,7 +90,7 @@ class WordIds:
         split = pc.split_pattern(marked, "\x01")
         cut = split.offsets.to_numpy()
         parts = split.flatten().dictionary_encode()
-        distinct = parts.dictionary.to_pylist()
+        distinct = parts.dictionary.to_numpy(zero_copy_only=False).tolist()  # to_pylist makes a scalar of each
         number = np.fromiter(map(self.number.get, distinct, repeat(-1)), np.int64, len(distinct))
         missing = np.flatnonzero(number < 0)
         if len(missing):
