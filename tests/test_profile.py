@@ -209,6 +209,37 @@ def test_the_full_profile_reads_its_table_a_few_times(spark, tmp_path):
     assert 0 < reads <= 4
 
 
+def test_quartiles_and_outliers_of_the_full_profile_are_read_off_value_counts(spark, monkeypatch):
+    """No pass over the rows' cells: any row read for quartiles or outliers is an error."""
+    df = spark.range(4000).selectExpr(
+        "id", "CAST(id % 7 AS decimal(9, 2)) AS m", "if(id % 5 = 0, NULL, double(id * id % 1000)) AS x", "timestamp_ntz'2020-01-01' + make_dt_interval(id % 9) AS t", "concat('v', id % 3) AS s"
+    )
+    names = ["id", "m", "x"]
+    bounds = {r.column_name: tuple(r) for r in P.quartile_bounds(df).collect()}
+    outliers = {r.column_name: r.num_outliers for r in P.outlier_counts(df).collect()}
+    cells = P.long_numeric
+    monkeypatch.setattr(P, "long_numeric", lambda *a, **k: cells(*a, **k).withColumn("value", F.raise_error(F.lit("rows are read")).cast("double")))
+    full = {(r.section, r.column_name, r.metric): r.value_num for r in P.full_profile(df).collect()}
+    for c in names:
+        assert tuple(full["describe", c, q] for q in ("q25", "q50", "q75")) == bounds[c][1:4]
+        assert tuple(full["outliers", c, k] for k in ("lower_bound", "upper_bound")) == bounds[c][4:] and full["outliers", c, "num_outliers"] == outliers[c]
+    assert [full["unique", c, "distinct_values"] for c in df.columns] == [4000, 7, df.select("x").where("x IS NOT NULL").distinct().count(), 9, 3]
+    assert {r.value for r in P.value_counts(df, ["m", "t"]).collect()} == {f"{k}.00" for k in range(7)} | {f"2020-01-0{1 + k} 00:00:00" for k in range(9)}
+
+
+def test_duplicate_rows_of_a_large_table_are_compared_where_hashes_meet(spark, small_groups):
+    """Nulls in different columns have equal hashes but aren't equal; both zeros are."""
+    rows = [(None, 5, 0.0), (5, None, -0.0), (None, 5, -0.0), (5, None, 1.0), (5, None, 1.0), (5, None, 1.0)] + [(k, k, 0.5) for k in range(100)]
+    df = spark.createDataFrame(rows, "a long, b long, `_x.y` double").repartition(5)
+    hashes = df.select(F.xxhash64("a", "b", "`_x.y`").alias("h"))
+    assert hashes.distinct().count() == 102
+    assert P.duplicate_rows(df).first()[0] == 3
+    seen = P.duplicate_rows(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_row_hash" in seen, "the rows that are grouped whole are chosen by hash"
+    assert P.duplicate_rows(df.where("b < 90 AND a > 2")).first()[0] == 0
+    assert P.duplicate_rows(df.select(F.struct("a", "b").alias("both"))).first()[0] == 4
+
+
 def test_approximate_quartiles_are_near(spark):
     df = spark.range(1, 1002).selectExpr("cast(id AS double) AS x")
     row = P.describe(df, exact=False).first()

@@ -103,3 +103,29 @@ def test_pieces_within_a_partition_limit(spark, small_groups, monkeypatch):
     pieces = skew.ordered_pieces(df, ["k"], ["at"]).groupBy("piece").agg({"at": "min", "*": "count"}).orderBy("piece").collect()
     assert all(r["count(1)"] <= 20 for r in pieces) and sum(r["count(1)"] for r in pieces) == 500
     assert [r["min(at)"] for r in pieces] == sorted(r["min(at)"] for r in pieces)
+
+
+@pytest.mark.parametrize("method", ["linear", "lower"])
+@pytest.mark.parametrize("path", ["sort", "buckets", "sketch"])
+def test_value_counts_in_place_of_rows(spark, method, path, monkeypatch):
+    """The same answers from values with their numbers; rows are read where a bucket has to be narrowed."""
+    _, df = frame(spark)
+    df = df.withColumn("v", F.round("v", 1))
+    want = {r.g: tuple(r)[1:] for r in exact_quantiles(df, ["g"], "v", PROBS, method).collect()}
+    if path != "sort":
+        monkeypatch.setattr(quantiles, "SORTED_ROWS", 10)
+        monkeypatch.setattr(quantiles, "BUCKET_ROWS", 300)
+    rows = df
+    if path == "sketch":
+        spark.conf.set("tidemill.groupRows", "20")
+        monkeypatch.setattr(quantiles, "MOST_BUCKETS", 1)
+    else:
+        rows = df.withColumn("v", F.raise_error(F.lit("rows are read")).cast("double"))
+    try:
+        counts = df.where("v IS NOT NULL").groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
+        got = {r.g: tuple(r)[1:] for r in exact_quantiles(rows, ["g"], "v", PROBS, method, counts=counts).collect()}
+    finally:
+        spark.conf.unset("tidemill.groupRows")
+    assert got.keys() == want.keys()
+    for g, values in want.items():
+        assert got[g] == pytest.approx(values, rel=1e-12)

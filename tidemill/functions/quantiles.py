@@ -32,25 +32,28 @@ def exact_quantiles(
     probs: dict[str, float],
     method: str = "linear",
     sizes: DataFrame | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """One row per group: ``keys`` plus one double column per entry of ``probs``.
 
     ``linear`` interpolates between the two neighbouring ranks, ``lower`` takes the element
     at rank ``floor((n - 1) * p)`` of the sorted values. Nulls are left out; groups with
     nothing but nulls do not appear. ``sizes`` takes (keys..., n, lo, hi) per group with values, if the
-    caller has counted them already.
+    caller has counted them already. ``counts`` takes (keys..., ``value``, n): the same rows counted by value, which are
+    then read in place of the rows, except for groups that have to be narrowed by sketches.
     """
     if method not in ("linear", "lower"):
         raise ValueError(f"unknown quantile method {method!r}")
     limit = group_rows(df.sparkSession)
     names, keys = keys, [f"_key{i}" for i in range(len(keys))] or ["_all"]
     source = [F.col(name) for name in names] or [F.lit(0)]
-    data = df.select(
-        *[c.alias(key) for c, key in zip(source, keys)], F.col(value).cast("double").alias("v")
-    ).where("v is not null")
+    named = [c.alias(key) for c, key in zip(source, keys)]
+    data = df.select(*named, F.col(value).cast("double").alias("v")).where("v is not null")
+    if counts is not None:
+        counts = counts.select(*named, F.col(value).cast("double").alias("v"), F.col("n").alias("w")).where("v is not null")
     if sizes is not None:
-        sizes = sizes.select(*[c.alias(key) for c, key in zip(source, keys)], "n", F.col("lo").cast("double"), F.col("hi").cast("double"))
-    solved = _solve(data, keys, probs, method, limit, sizes)
+        sizes = sizes.select(*named, "n", F.col("lo").cast("double"), F.col("hi").cast("double"))
+    solved = _solve(data, keys, probs, method, limit, sizes, counts)
     return solved.select(*[F.col(key).alias(name) for name, key in zip(names, keys)], *probs)
 
 
@@ -65,46 +68,50 @@ def approximate_quantiles(df: DataFrame, keys: list[str], value: str, probs: dic
     )
 
 
-def _solve(data: DataFrame, keys: list[str], probs: dict[str, float], method: str, limit: int, sizes: DataFrame | None) -> DataFrame:
+def _solve(
+    data: DataFrame, keys: list[str], probs: dict[str, float], method: str, limit: int, sizes: DataFrame | None, counts: DataFrame | None
+) -> DataFrame:
+    # what is read: rows, or values with their numbers of rows
+    cells, more, number = (data, [], F.count(F.lit(1))) if counts is None else (counts, ["w"], F.sum("w"))
     if sizes is None:
-        counted = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        counted = cells.groupBy(*keys).agg(number.alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         sizes = cut_lineage(counted)
     groups, worst = sizes.agg(F.count(F.lit(1)), F.max("n")).first()
     if (worst or 0) <= min(SORTED_ROWS, limit):
-        rows = join_null_safe(data, hint_small(sizes, groups), keys)
-        counts = rows.groupBy(*keys, "n", "v").agg(F.count(F.lit(1)).alias("c"))
-        return _pick(counts.selectExpr(*keys, "n", "v", "c", "0 AS bucket", "0 AS base"), keys, probs, method)
+        rows = join_null_safe(cells, hint_small(sizes, groups), keys)
+        counted = rows.groupBy(*keys, "n", "v").agg(number.alias("c"))
+        return _pick(counted.selectExpr(*keys, "n", "v", "c", "0 AS bucket", "0 AS base"), keys, probs, method)
     sizes = sizes.withColumn("buckets", F.expr(f"least(bigint(ceil(n / {min(BUCKET_ROWS, limit)})), {MOST_BUCKETS})"))
     # the position grows with v, so buckets are in the order of their values
     bucket = "if(hi > lo AND hi - lo < double('inf'), least(floor((v - lo) / (hi - lo) * buckets), buckets - 1), 0) AS bucket"
     order = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     ranks = _ranks(probs, method)
-    placed = join_null_safe(data, hint_small(sizes, groups), keys).selectExpr(*keys, "v", "n", bucket)
+    placed = join_null_safe(cells, hint_small(sizes, groups), keys).selectExpr(*keys, "v", *more, "n", bucket)
     # a bucket of one value is an answer; the others' rows are read again
     wanted = cut_lineage(
         placed.groupBy(*keys, "n", "bucket")
-        .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("v"), F.max("v").alias("most"))
+        .agg(number.alias("c"), F.count(F.lit(1)).alias("cells"), F.min("v").alias("v"), F.max("v").alias("most"))
         .withColumn("upto", F.sum("c").over(order))
         .where(_any_hit(ranks))
-        .selectExpr(*keys, "n", "bucket", "upto - c AS base", "c", "v", "v < most AS mixed")
+        .selectExpr(*keys, "n", "bucket", "upto - c AS base", "c", "cells", "v", "v < most AS mixed")
     )
     picked = None
     if worst > limit:
         # too many rows in one bucket: the range is far wider than where most values lie
-        dense = cut_lineage(wanted.where(f"c > {limit} AND mixed").select(*keys).distinct())
-        number = dense.count()
-        if number:
-            dense = hint_small(dense, number)
+        dense = cut_lineage(wanted.where(f"cells > {limit} AND mixed").select(*keys).distinct())
+        many = dense.count()
+        if many:
+            dense = hint_small(dense, many)
             large = cut_lineage(join_null_safe(sizes.select(*keys, "n"), dense, keys, "left_semi"))
             picked = _select_ranks(join_null_safe(data, dense, keys, "left_semi"), large, keys, probs, method, limit)
             wanted = join_null_safe(wanted, dense, keys, "left_anti")
     mixed = wanted.where("mixed").drop("c", "v")
     bounds = join_null_safe(sizes.drop("n"), mixed.groupBy(*keys).agg(F.collect_set("bucket").alias("wanted")), keys)
-    again = join_null_safe(data, hint_small(bounds, groups), keys).selectExpr(*keys, "v", "wanted", bucket).where("array_contains(wanted, bucket)")
-    counts = again.groupBy(*keys, "bucket", "v").agg(F.count(F.lit(1)).alias("c"))
-    counts = join_null_safe(counts, hint_small(mixed, groups * len(ranks)), [*keys, "bucket"])
+    again = join_null_safe(cells, hint_small(bounds, groups), keys).selectExpr(*keys, "v", *more, "wanted", bucket).where("array_contains(wanted, bucket)")
+    counted = again.groupBy(*keys, "bucket", "v").agg(number.alias("c"))
+    counted = join_null_safe(counted, hint_small(mixed, groups * len(ranks)), [*keys, "bucket"])
     columns = [*keys, "n", "bucket", "base", "v", "c"]
-    found = _pick(counts.select(*columns).unionByName(wanted.where("NOT mixed").select(*columns)), keys, probs, method)
+    found = _pick(counted.select(*columns).unionByName(wanted.where("NOT mixed").select(*columns)), keys, probs, method)
     return found if picked is None else found.unionByName(picked)
 
 

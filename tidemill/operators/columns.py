@@ -4,7 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType, FractionalType, IntegralType, NumericType, StringType, StructType
+from pyspark.sql.types import (
+    BinaryType,
+    BooleanType,
+    DateType,
+    DecimalType,
+    FractionalType,
+    IntegralType,
+    NumericType,
+    StringType,
+    StructType,
+    TimestampNTZType,
+    TimestampType,
+)
 
 
 def string_columns(schema: StructType) -> list[str]:
@@ -47,15 +59,32 @@ def columns_by_kind(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
     return kinds
 
 
+def columns_by_own_kind(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
+    """As ``columns_by_kind``, but dates, times and decimals keep their types."""
+    kinds: dict[str, list[str]] = {}
+    for kind, names in columns_by_kind(df, columns).items():
+        for c in names:
+            t = df.schema[c].dataType
+            own = isinstance(t, (DateType, TimestampType, TimestampNTZType, DecimalType))
+            kinds.setdefault(t.simpleString() if own else kind, []).append(c)
+    return kinds
+
+
+def hashed_alike(schema: StructType) -> bool:
+    """Whether rows that are equal in grouping have equal hashes for sure: not with collations, or types that hold others."""
+    plain = (NumericType, BooleanType, BinaryType, DateType, TimestampType, TimestampNTZType)
+    return all(isinstance(f.dataType, plain) or f.dataType == StringType() for f in schema)
+
+
 def cells_by_kind(df: DataFrame, columns: list[str] | None = None) -> list[DataFrame]:
     """(column_name, value) cells without nulls, one table per value type.
 
-    Whole numbers stay whole, fractions stay double and everything else becomes text, so values
-    can be counted before any of them is formatted.
+    Whole numbers stay whole, fractions stay double, times and decimals keep their types and everything else becomes
+    text, so values can be counted before any of them is formatted.
     """
-    kinds = columns_by_kind(df, df.columns if columns is None else columns)
+    kinds = columns_by_own_kind(df, df.columns if columns is None else columns)
     return [
-        df.selectExpr(*[f"{kind}({name_sql(c)}) AS {name_sql(c)}" for c in names])
+        df.selectExpr(*[f"CAST({name_sql(c)} AS {kind}) AS {name_sql(c)}" for c in names])
         .unpivot([], [col(c) for c in names], "column_name", "value")
         .where("value is not null")
         for kind, names in kinds.items()

@@ -19,8 +19,9 @@ from tidemill.functions.scalars import is_blank
 from tidemill.operators.columns import (
     aggregate_sql,
     cells_by_kind,
-    columns_by_kind,
+    columns_by_own_kind,
     col,
+    hashed_alike,
     long_numeric,
     name_sql,
     numeric_columns,
@@ -30,7 +31,7 @@ from tidemill.operators.columns import (
 )
 from tidemill.operators.gram import wide_correlation
 from tidemill.plans.joins import join_null_safe
-from tidemill.plans.session import cut_lineage, group_rows, without_nan
+from tidemill.plans.session import cut_lineage, group_rows, hint_small, without_nan
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 # aggregates per pass: keeps generated code within what the JVM compiles well
@@ -95,10 +96,15 @@ def value_counts(df: DataFrame, columns: list[str] | None = None, only: DataFram
     if only is not None:
         keep = F.broadcast(only)
         tables = [t.withColumn("hash", F.xxhash64("value")).join(keep, ["column_name", "hash"], "left_semi") for t in tables]
+    return _counted(tables, "string")
+
+
+def _counted(tables: list[DataFrame], as_type: str) -> DataFrame:
+    """(column_name, value, n) of cells, counted in their own types."""
     parts = [
         cells.groupBy("column_name", "value")
         .agg(F.count(F.lit(1)).alias("n"))
-        .select("column_name", F.col("value").cast("string").alias("value"), "n")
+        .select("column_name", F.col("value").cast(as_type).alias("value"), "n")
         for cells in tables
     ]
     out = parts[0]
@@ -107,6 +113,15 @@ def value_counts(df: DataFrame, columns: list[str] | None = None, only: DataFram
     return out
 
 
+@without_nan
+def number_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column_name, value double, n) over the non-null cells of numeric columns, one row per distinct value.
+
+    Whole numbers that are the same double keep rows of their own.
+    """
+    return _counted(cells_by_kind(df, columns), "double")
+
+
 @without_nan
 def frequent_values(df: DataFrame, columns: list[str], k: int) -> tuple[DataFrame, list[str], list[str]]:
     """Counts (column_name, value, n) that hold the ``k`` most frequent values, without moving all distinct values.
@@ -120,10 +135,10 @@ def frequent_values(df: DataFrame, columns: list[str], k: int) -> tuple[DataFram
     summary's error allow, and the first ``k`` are proven if the k-th exact count is above that.
     """
     spark = df.sparkSession
-    kinds = {c: kind for kind, names in columns_by_kind(df, columns).items() for c in names}
+    kinds = {c: kind for kind, names in columns_by_own_kind(df, columns).items() for c in names}
     candidates = max(CANDIDATES, 2 * k)
     tracked = 10 * candidates
-    hashed = [f"if({name_sql(c)} IS NULL, NULL, xxhash64({kinds[c]}({name_sql(c)})))" for c in columns]
+    hashed = [f"if({name_sql(c)} IS NULL, NULL, xxhash64(CAST({name_sql(c)} AS {kinds[c]})))" for c in columns]
     found = {}
     for a in range(0, len(columns), SUMMARIES):
         part = range(a, min(len(columns), a + SUMMARIES))
@@ -171,8 +186,16 @@ def _every_column(df: DataFrame, columns: list[str], counts: DataFrame, metric:
 
 @without_nan
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """Rows equal to another one, the first of each group not counted; null equals null."""
-    groups = df.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("n"))
+    """Rows equal to another one, the first of each group not counted; null equals null.
+
+    In a large table only rows whose hash is found twice are compared.
+    """
+    spark, columns = df.sparkSession, [col(c) for c in df.columns]
+    if hashed_alike(df.schema) and df.count() > group_rows(spark):
+        df = df.withColumn("_row_hash", F.xxhash64(*columns))
+        twice = cut_lineage(df.groupBy("_row_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_row_hash"))
+        df = df.join(hint_small(twice, twice.count()), "_row_hash", "left_semi")
+    groups = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
     return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
 
 
@@ -233,14 +256,16 @@ def numeric_summary(df: DataFrame, exact: bool = True) -> DataFrame:
 
 
 @without_nan
-def quartile_bounds(df: DataFrame, columns: list[str] | None = None, stats: DataFrame | None = None, exact: bool = True) -> DataFrame:
+def quartile_bounds(
+    df: DataFrame, columns: list[str] | None = None, stats: DataFrame | None = None, exact: bool = True, counts: DataFrame | None = None
+) -> DataFrame:
     """(column_name, q25, q50, q75, lower_bound, upper_bound): one row per numeric column.
 
-    ``stats`` takes the columns' ``moments`` where these are known.
+    ``stats`` takes the columns' ``moments`` and ``counts`` their ``number_counts`` where these are known.
     """
     cells = long_numeric(df, columns)
     if exact:
-        q = exact_quantiles(cells, ["column_name"], "value", QUARTILES, sizes=None if stats is None else sizes_of(stats))
+        q = exact_quantiles(cells, ["column_name"], "value", QUARTILES, sizes=None if stats is None else sizes_of(stats), counts=counts)
     else:
         q = approximate_quantiles(cells, ["column_name"], "value", QUARTILES)
     iqr = F.col("q75") - F.col("q25")
@@ -261,12 +286,14 @@ def outlier_rows(df: DataFrame, row_id: list[str], columns: list[str] | None = N
 
 
 @without_nan
-def outlier_counts(df: DataFrame, columns: list[str] | None = None, bounds: DataFrame | None = None) -> DataFrame:
-    cells = long_numeric(df, columns)
+def outlier_counts(df: DataFrame, columns: list[str] | None = None, bounds: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """Cells strictly below or above 1.5 interquartile ranges, per column; ``counts`` takes the columns' ``number_counts`` if they are known."""
+    cells = long_numeric(df, columns) if counts is None else counts
     bounds = F.broadcast(quartile_bounds(df, columns) if bounds is None else bounds)
     outside = (F.col("value") < F.col("lower_bound")) | (F.col("value") > F.col("upper_bound"))
+    number = F.count_if(outside) if counts is None else F.sum(F.when(outside, F.col("n")).otherwise(0))
     return cells.join(bounds, "column_name").groupBy("column_name").agg(
-        F.count_if(outside).alias("num_outliers"),
+        number.alias("num_outliers"),
         F.first("lower_bound").alias("lower_bound"),
         F.first("upper_bound").alias("upper_bound"),
     )
@@ -482,27 +509,36 @@ def full_profile(df: DataFrame) -> DataFrame:
     gaps = wide_to_long(row, df.columns, ["missing", "missing_pct"])
     blanks = df.sparkSession.createDataFrame([(c, 0) for c in df.columns if c not in text], "column_name string, invalid bigint")
     blanks = blanks.unionByName(wide_to_long(row, text, ["invalid"])) if text else blanks
-    # one pass over values for distinct counts and modes; one row per column stays
+    # values of numbers are counted once and written: distinct counts, quartiles and outliers are read off them
+    unique = F.count(F.lit(1)).alias("distinct_values")
     best = F.min(F.struct((-F.col("n")).alias("n"), F.col("value"))).alias("best")
-    values = cut_lineage(value_counts(df).groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_values"), best))
+    others = [c for c in df.columns if c not in numbers and c not in text]
+    counts = cut_lineage(number_counts(df, numbers)) if numbers else None
+    found = [counts.groupBy("column_name").agg(unique)] if numbers else []
+    found += [value_counts(df, others).groupBy("column_name").agg(unique)] if others else []
+    found += [value_counts(df, text).groupBy("column_name").agg(unique, best)] if text else []
+    values = found[0]
+    for part in found[1:]:
+        values = values.unionByName(part, allowMissingColumns=True)
+    values = cut_lineage(values)  # one row per column
     parts = [
         rows(schema_report(df), "schema", ["data_type", "kind"], ("data_type", "kind")),
         rows(row.select("num_rows", F.lit(len(df.columns)).cast("long").alias("num_columns")), "shape", ["num_rows", "num_columns"]),
         rows(gaps, "missing", ["missing", "missing_pct"]),
         rows(blanks, "invalid", ["invalid"]),
-        rows(_every_column(df, df.columns, values.drop("best"), "distinct_values"), "unique", ["distinct_values"]),
+        rows(_every_column(df, df.columns, values.select("column_name", "distinct_values"), "distinct_values"), "unique", ["distinct_values"]),
         rows(duplicate_rows(df), "duplicates", ["duplicate_rows"]),
     ]
     if numbers:
         stats = wide_to_long(row, numbers, list(MOMENTS))
-        bounds = cut_lineage(quartile_bounds(df, numbers, stats))
+        bounds = cut_lineage(quartile_bounds(df, numbers, stats, counts=counts))
         first = row.first()
         known = {"total": first["num_rows"]}
         for i in range(len(numbers)):
             known |= {f"{k}{i}": first[f"{m}__{i}"] for k, m in (("count", "count"), ("avg", "mean"), ("min", "min"), ("max", "max"))}
         parts += [
             rows(_described(stats, bounds), "describe", ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]),
-            rows(outlier_counts(df, numbers, bounds), "outliers", ["num_outliers", "lower_bound", "upper_bound"]),
+            rows(outlier_counts(df, numbers, bounds, counts), "outliers", ["num_outliers", "lower_bound", "upper_bound"]),
             correlation_matrix(df, numbers, known).select(
                 F.lit("correlation").alias("section"),
                 F.col("column_x").alias("column_name"),
