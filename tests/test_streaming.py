@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_jobs import fold_slowly
+from tidemill.operators import jobs as J
 from tidemill.streaming import jobs as S
 from tidemill.streaming.runner import ROCKSDB, ClosingSource, keyed_overwrite, newest_per_key, replay_delay, run_append, run_update, state_store, table_stream
 
@@ -155,6 +156,52 @@ def test_sliced_states_equal_a_plain_loop(spark, tmp_path):
     assert {r.job_id: r.events for r in out.collect()} == {j: len(e) for j, e in per_job.items()}
 
 
+def test_jobs_of_a_slice_share_state_rows(spark, tmp_path, monkeypatch):
+    """Events of many jobs in few slices wait in a row per slice and bucket, and come out per job; jobs without a number too."""
+    monkeypatch.setattr(S, "SLICE_BUCKETS", 4)
+    rnd = random.Random(4)
+    acts = ["enqueue", "start", "complete", "fail", "odd"]
+    rows = [(i, at(rnd.randrange(60)), None if i % 11 == 0 else rnd.randrange(40), rnd.choice(acts)) for i in range(400)]
+    for k in range(2):
+        put(spark, tmp_path, rows[k::2], k)
+    source = stream(spark, str(tmp_path))
+    closing = ClosingSource(source, "ts")
+    slices = S.job_slices(source.unionByName(closing.stream()), "user_id", "event_type", "ts", "event_id", "3 hours", "30 minutes")
+    kept = []
+
+    def once():
+        query = slices.writeStream.foreachBatch(lambda batch, _: kept.extend(batch.collect())).option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+        return max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress)
+
+    assert once() <= 2 * 5, "4 buckets and that of jobs without a number"
+    closing.close()
+    once()
+    want = {}
+    for i, ts, job, act in rows:
+        want.setdefault((job, ts.minute // 30), []).append((ts, i, act))
+    assert len(kept) == len(want)
+    for r in kept:
+        events = want[r.job_id, r.slice.minute // 30]
+        first = r.outcome[0]
+        assert (r.events, first.state, first.attempts, first.rejected) == (len(events), *fold_slowly(events))
+        assert r.at_us == max(ts for ts, _, _ in events).replace(tzinfo=dt.timezone.utc).timestamp() * 1_000_000
+
+
+def test_outcomes_of_runs_from_every_state(spark):
+    rnd = random.Random(8)
+    acts = ["enqueue", "start", "complete", "fail", "other"]
+    runs = [[]] + [[rnd.choice(acts) for _ in range(rnd.randrange(1, 9))] for _ in range(200)] + [["other"] * 3000]
+    df = spark.createDataFrame([(r,) for r in runs], "run array<string>")
+    for (run, outcome) in df.select("run", J.outcome_of(F.col("run"))).collect():
+        for start, got in zip(J.STATES, outcome):
+            state, attempts, rejected = start, 0, 0
+            for act in run:
+                to = J.MOVES.get((state, act))
+                state, attempts, rejected = to or state, attempts + (to == "processing"), rejected + (to is None)
+            assert tuple(got) == (state, attempts, rejected)
+
+
 def test_slices_of_later_batches_go_on_from_the_states_before(spark, tmp_path):
     write, path = S.chain_into(str(tmp_path / "out")), str(tmp_path / "out")
     maps = lambda acts: S.outcome_of(F.array(*map(F.lit, acts)))

@@ -327,32 +327,53 @@ def _cell(state: str) -> Column:
     return F.struct(F.lit(state).alias("state"), F.lit(0).cast("long").alias("attempts"), F.lit(0).cast("long").alias("rejected"))
 
 
-def outcome_of(actions: Column) -> Column:
-    """What a run of actions makes of every possible state: one (state, attempts, rejected) per entry of ``STATES``."""
+# a state's position, attempts and rejected moves in one number, while the actions of a run are gone through
+ATTEMPT, REJECTION = 8, 1 << 33
 
-    def move(cell: Column, act: Column) -> Column:
-        state = cell["state"]
-        target = F.lit(None).cast("string")
-        for (frm, by), to in MOVES.items():
-            target = F.when((state == frm) & (act == by), F.lit(to)).otherwise(target)
-        return F.struct(
-            F.coalesce(target, state).alias("state"),
-            (cell["attempts"] + F.when(target == "processing", 1).otherwise(0)).alias("attempts"),
-            (cell["rejected"] + F.when(target.isNull(), 1).otherwise(0)).alias("rejected"),
-        )
 
-    return F.aggregate(actions, F.array(*map(_cell, STATES)), lambda acc, act: F.transform(acc, lambda c: move(c, act)))
+def outcome_of(actions: Column) -> Column:
+    """What a run of actions makes of every possible state: one (state, attempts, rejected) per entry of ``STATES``.
+
+    A run is one row's array, so it has far fewer than 2 ** 30 actions.
+    """
+    names = sorted({a for _, a in MOVES})
+    changes = []
+    for act in [None, *names]:  # position 0: an action that no move knows
+        for k in range(ATTEMPT):
+            to = MOVES.get((STATES[k], act)) if k < len(STATES) else None
+            changes.append(REJECTION if to is None else STATES.index(to) - k + ATTEMPT * (to == "processing"))
+    table = F.array(*[F.lit(c).cast("long") for c in changes])
+    position = F.array(*map(F.lit, names))
+    numbers = F.transform(actions, lambda a: F.coalesce(F.array_position(position, a), F.lit(0)) * ATTEMPT)
+    start = F.array(*[F.lit(k).cast("long") for k in range(len(STATES))])
+    ends = F.aggregate(
+        numbers, start, lambda acc, a: F.transform(acc, lambda c: c + F.get(table, (a + c.bitwiseAND(F.lit(ATTEMPT - 1))).cast("int")))
+    )
+    state = F.array(*map(F.lit, STATES))
+    return F.transform(
+        ends,
+        lambda c: F.struct(
+            F.get(state, c.bitwiseAND(F.lit(ATTEMPT - 1)).cast("int")).alias("state"),
+            F.shiftright(c.bitwiseAND(F.lit(REJECTION - 1)), 3).alias("attempts"),
+            F.shiftright(c, 33).alias("rejected"),
+        ),
+    )
 
 
 def follow(cell: Column, outcome: Column) -> Column:
     """A state after what ``outcome`` does to it."""
     position = F.array(*[F.lit(s) for s in STATES])
-    hit = F.element_at(outcome, F.array_position(position, cell["state"]).cast("int"))
-    return F.struct(
-        hit["state"].alias("state"),
-        (cell["attempts"] + hit["attempts"]).alias("attempts"),
-        (cell["rejected"] + hit["rejected"]).alias("rejected"),
-    )
+    found = F.array(F.element_at(outcome, F.array_position(position, cell["state"]).cast("int")))
+
+    def add(hit: Column) -> Column:
+        return F.struct(
+            hit["state"].alias("state"),
+            (cell["attempts"] + hit["attempts"]).alias("attempts"),
+            (cell["rejected"] + hit["rejected"]).alias("rejected"),
+        )
+
+    # a lambda's argument is looked up once
+    return F.transform(found, add)[0]
 
 
 def chained(steps: Column) -> Column:

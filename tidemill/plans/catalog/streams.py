@@ -74,7 +74,7 @@ def q_sliced(s, d):
     both, closing = job_stream(s, d)
     slices = S.job_slices(both, "job_id", "action", "ts", "event_id", delay(s, d), "1 hour")
     seen = F.timestamp_micros("last_us").cast("timestamp_ntz").alias("last_seen")
-    return S.run_sliced_states(slices, "job-slices", closing).select("job_id", "events", "status", "attempts", "rejected", seen)
+    return S.run_sliced_states(slices, "job-slices", closing, "day").select("job_id", "events", "status", "attempts", "rejected", seen)
 
 
 def q_recovery(s, d):

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -289,35 +289,59 @@ def silent_decisions(events: DataFrame, job: str, action: str, ts: str, tiebreak
 SLICE_ROW = "job_id long, slice timestamp, events long, at_us long, outcome array<struct<state:string,attempts:long,rejected:long>>"
 
 
+# Jobs whose events wait together in a slice of time: state rows are counted by slices and buckets and not by jobs.
+SLICE_BUCKETS = 512
+
+
 def job_slices(events: DataFrame, job: str, action: str, ts: str, tiebreak: str, delay: str = "10 minutes", length: str = "1 second") -> DataFrame:
     """What the events of a short slice of time do to a job, whatever its state: one row per job and slice (append mode).
 
-    The state is kept by job and slice, so a job with very many events spreads over all tasks, and none of them
+    The state is kept by slice and bucket of jobs, so a job with very many events spreads over all tasks, and none of them
     holds more than a slice's events. A slice is given out once, when the watermark has passed it.
     """
     step = action_of(F.col(action))
-    rows = events.select(F.col(job).alias("job_id"), step.alias("act"), F.unix_micros(F.col(ts)).alias("at"), F.col(tiebreak).alias("tie"), F.col(ts).alias("ts"))
-    runs = rows.withWatermark("ts", delay).groupBy(F.window("ts", length), "job_id").agg(
-        F.collect_list(F.struct("at", "tie", "act")).alias("run"), F.count(F.lit(1)).alias("events"), F.max("at").alias("at_us")
+    bucket = F.pmod(F.xxhash64(F.col(job)), F.lit(SLICE_BUCKETS)).cast("int").alias("bucket")
+    rows = events.select(bucket, F.col(job).alias("job_id"), step.alias("act"), F.unix_micros(F.col(ts)).alias("at"), F.col(tiebreak).alias("tie"), F.col(ts).alias("ts"))
+    waiting = rows.withWatermark("ts", delay).groupBy(F.window("ts", length), "bucket").agg(F.collect_list(F.struct("job_id", "at", "tie", "act")).alias("run"))
+    runs = waiting.select(F.col("window.start").alias("slice"), F.explode(_by_job(F.array_sort("run"))).alias("run"))
+    return runs.select(
+        F.col("run")[0]["job_id"].alias("job_id"),
+        "slice",
+        F.size("run").cast("long").alias("events"),
+        F.element_at("run", -1)["at"].alias("at_us"),
+        outcome_of(F.transform("run", lambda e: e["act"])).alias("outcome"),
     )
-    return runs.select("job_id", F.col("window.start").alias("slice"), "events", "at_us", outcome_of(F.transform(F.array_sort("run"), lambda e: e["act"])).alias("outcome"))
 
 
-def chain_into(path: str):
+def _by_job(ordered: Column) -> Column:
+    """An array of events in the order of their jobs, cut where another job begins."""
+
+    def cut(run: Column) -> Column:
+        first = F.filter(
+            F.sequence(F.lit(1), F.size(run)),
+            lambda i: (i == 1) | ~F.get(run, i - 1)["job_id"].eqNullSafe(F.get(run, F.greatest(i - 2, F.lit(0)))["job_id"]),
+        )
+        return F.transform(F.array(first), lambda at: F.transform(at, lambda i, k: F.slice(run, i, F.coalesce(F.get(at, k + 1), F.size(run) + 1) - i)))[0]
+
+    # a lambda's argument is evaluated once
+    return F.transform(F.array(ordered), cut)[0]
+
+
+def chain_into(path: str, span: str = "hour"):
     """A batch writer for ``foreachBatch``: chains a batch's slices onto the jobs' states and writes the changed ones.
 
-    Slices are chained per job and hour, then per job. The states before are read from the folders of earlier
+    Slices are chained per job and span (an hour or more, many slices long), then per job. The states before are read from the folders of earlier
     batches only, so a batch that is repeated writes the same folder again.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch = batch.where("job_id IS NOT NULL")
-        hours = batch.groupBy("job_id", F.date_trunc("hour", "slice").alias("hour")).agg(
+        spans = batch.groupBy("job_id", F.date_trunc(span, "slice").alias("span")).agg(
             F.sum("events").alias("events"), F.max("at_us").alias("last_us"), chained(F.array_sort(F.collect_list(F.struct("slice", "outcome")))).alias("outcome")
         )
-        maps = hours.groupBy("job_id").agg(
-            F.sum("events").alias("more"), F.max("last_us").alias("newer"), chained(F.array_sort(F.collect_list(F.struct("hour", "outcome")))).alias("outcome")
+        maps = spans.groupBy("job_id").agg(
+            F.sum("events").alias("more"), F.max("last_us").alias("newer"), chained(F.array_sort(F.collect_list(F.struct("span", "outcome")))).alias("outcome")
         )
         before = states_before(spark, path, batch_id)
         known = maps.join(before, "job_id", "left") if before is not None else maps.withColumns(
@@ -345,13 +369,13 @@ def states_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame |
     return newest_per_key(written.where(F.col("batch") < batch_id), ["job_id"])
 
 
-def run_sliced_states(slices: DataFrame, label: str, closing=None) -> DataFrame:
-    """Run ``job_slices`` over what is available now; the newest state of every job."""
+def run_sliced_states(slices: DataFrame, label: str, closing=None, span: str = "hour") -> DataFrame:
+    """Run ``job_slices`` over what is available now; the newest state of every job. ``span`` is that of ``chain_into``."""
     spark = slices.sparkSession
     out, checkpoint = work_dir(spark, f"{label}-out"), work_dir(spark, f"{label}-state")
 
     def once() -> None:
-        slices.writeStream.foreachBatch(chain_into(out)).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        slices.writeStream.foreachBatch(chain_into(out, span)).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
     once()
     if closing is not None:
