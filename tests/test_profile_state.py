@@ -60,3 +60,20 @@ def test_only_the_new_batch_is_read(spark, table, tmp_path):
     S.add_batch(spark.read.parquet(f"{rows}/a"), folder, "b")
     got = {r.column_name: r for r in S.profile_of_states(*S.stored_states(spark, folder)).collect()}
     assert (got["id"]["count"], got["id"]["min"], got["id"]["max"]) == (200, 0.0, 2999.0)
+
+
+def test_distinct_sketches_see_a_value_once(spark):
+    """They are made of value counts, hash numbers as numbers, as states stored before do, and are empty where there is no value."""
+    df = spark.range(5000).selectExpr(
+        "id % 300 AS k", "float(id % 70) / 8 AS x", "if(id % 9 = 0, -0.0D, 0.0D) AS zero", "timestamp_ntz'2021-01-01' + make_dt_interval(id % 31) AS t", "concat('v', id % 17) AS s", "CAST(NULL AS int) AS void"
+    )
+    states = S.column_states(df)
+    kinds = {"k": "bigint(k)", "x": "double(x)", "zero": "zero", "t": "string(t)", "s": "s", "void": "bigint(void)"}
+    old = df.selectExpr(*[f"hll_sketch_agg(if({c} IS NULL, NULL, xxhash64({e})), {S.HLL_BITS}) AS {c}" for c, e in kinds.items()])
+    rows = states.selectExpr("column_name", "hll_sketch_estimate(distinct_sketch) AS new", "distinct_sketch").crossJoin(old)
+    both = {r.column_name: r for r in rows.selectExpr("column_name", "new", *[f"if(column_name = '{c}', hll_sketch_estimate(hll_union(distinct_sketch, {c})), NULL) AS {c}" for c in kinds]).collect()}
+    assert {c: r.new for c, r in both.items()} == pytest.approx({"k": 300, "x": 70, "zero": 1, "t": 31, "s": 17, "void": 0}, rel=0.05)
+    assert {c: r[c] for c, r in both.items()} == pytest.approx({c: r.new for c, r in both.items()}, rel=0.03), "the same hashes"
+    known = df.limit(0).select(F.lit("k").alias("column_name"), F.lit("5").alias("value"), F.lit(1).alias("n"))
+    estimates = {r.column_name: r.e for r in S.column_states(df, known).selectExpr("column_name", "hll_sketch_estimate(distinct_sketch) AS e").collect()}
+    assert set(estimates.values()) == {0}, "no row is read for them where the counts are known"

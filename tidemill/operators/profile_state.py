@@ -19,42 +19,57 @@ HLL_BITS = 12
 KLL_SIZE = 400
 COLUMNS_PER_PASS = 100
 
-METRICS = ["rows", "n", "blank", "mean", "m2", "lo", "hi", "distinct_sketch", "quantile_sketch"]
+SUMS = ["rows", "n", "blank", "mean", "m2", "lo", "hi"]
 
 
 @without_nan
-def column_states(df: DataFrame) -> DataFrame:
+def column_states(df: DataFrame, values: DataFrame | None = None) -> DataFrame:
     """One row per column: rows, n (not null), blank, mean, m2 (sum of squares around it), lo, hi and the sketches.
 
     Moments and the quantile sketch are those of numbers, and null for other columns. A table without rows has
-    states that change nothing.
+    states that change nothing. Sums and quantile sketches are passes of their own, since Spark compiles the sums only without sketches
+    beside them. Distinct sketches see each value once: they are made of the table's ``value_counts``, which ``values`` takes if they are known.
     """
     numbers, texts = set(numeric_columns(df.schema)), set(string_columns(df.schema))
     parts = []
     for a in range(0, len(df.columns), COLUMNS_PER_PASS):
         names = df.columns[a : a + COLUMNS_PER_PASS]
-        kinds = {c: kind for kind, some in columns_by_kind(df, names).items() for c in some}
-        aggs = []
+        sums, sketches = [], []
         for i, c in enumerate(names):
             x, q = (f"double({name_sql(c)})" if c in numbers else "CAST(NULL AS double)"), name_sql(c)
-            aggs += [
+            sums += [
                 f"count(1) AS rows__{i}", f"count({q}) AS n__{i}",
                 f"avg({x}) AS mean__{i}", f"var_pop({x}) * count({x}) AS m2__{i}", f"min({x}) AS lo__{i}", f"max({x}) AS hi__{i}",
-                f"hll_sketch_agg(if({q} IS NULL, NULL, xxhash64({kinds[c]}({q}))), {HLL_BITS}) AS distinct_sketch__{i}",
-                f"kll_sketch_agg_double({x}, {KLL_SIZE}) AS quantile_sketch__{i}",
             ]
-            aggs.append((F.count_if(is_blank(col(c))) if c in texts else F.count(F.lit(None))).alias(f"blank__{i}"))
-        parts.append(wide_to_long(aggregate_sql(df, aggs), names, METRICS))
+            sums.append((F.count_if(is_blank(col(c))) if c in texts else F.count(F.lit(None))).alias(f"blank__{i}"))
+            sketches += [f"kll_sketch_agg_double({x}, {KLL_SIZE}) AS quantile_sketch__{i}", f"hll_sketch_agg(CAST(NULL AS bigint), {HLL_BITS}) AS empty__{i}"]
+        ranks = wide_to_long(aggregate_sql(df, sketches), names, ["quantile_sketch", "empty"])
+        # one row per column
+        parts.append(wide_to_long(aggregate_sql(df, sums), names, SUMS).join(F.broadcast(ranks), "column_name"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    distinct = _distinct_sketches(df, value_counts(df) if values is None else values)
+    found = F.coalesce("found", "empty").alias("distinct_sketch")  # a column without values has an empty sketch
+    return out.join(F.broadcast(distinct), "column_name", "left").select("column_name", *SUMS, found, "quantile_sketch")
+
+
+def _distinct_sketches(df: DataFrame, values: DataFrame) -> DataFrame:
+    """A sketch of the distinct values of each column that has any. Numbers are hashed as numbers."""
+    value = F.col("value")
+    hashed = F.xxhash64(value)
+    for kind, names in columns_by_kind(df, df.columns).items():
+        if kind != "string":
+            hashed = F.when(F.col("column_name").isin(names), F.xxhash64(value.cast(kind))).otherwise(hashed)
+    return values.select("column_name", hashed.alias("hash")).groupBy("column_name").agg(F.hll_sketch_agg("hash", F.lit(HLL_BITS)).alias("found"))
 
 
 def add_batch(df: DataFrame, folder: str, batch: str) -> None:
     """Profile the rows of a batch and store its state below ``folder``; a batch that is added again replaces itself."""
-    for rows, kind in ((column_states(df), "columns"), (value_counts(df), "values")):
-        rows.write.mode("overwrite").parquet(f"{folder}/{kind}/batch={batch}")
+    values, written = value_counts(df), f"{folder}/values/batch={batch}"
+    values.write.mode("overwrite").parquet(written)
+    states = column_states(df, df.sparkSession.read.schema(values.schema).parquet(written))
+    states.write.mode("overwrite").parquet(f"{folder}/columns/batch={batch}")
 
 
 def stored_states(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
