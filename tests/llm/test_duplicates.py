@@ -2,12 +2,13 @@
 
 import collections
 import itertools
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from tidemill.llm import common, mixing, shingles, vectors
-from tidemill.plans.session import cut_lineage
+from tidemill.plans.session import cut_lineage, shared_dir
 
 
 def plain_components(n, links):
@@ -86,6 +87,75 @@ def test_bounds_never_lose_a_pair():
     assert found == set(zip(*(x.tolist() for x in np.nonzero(a @ b.T >= 0.9))))
 
 
+def vector_rows(rng, n=400, dim=24):
+    """Directions in a few bunches with near and exact copies, as float values."""
+    middle = rng.normal(size=(12, dim)) * 2
+    points = middle[rng.integers(0, 12, n)] + rng.normal(size=(n, dim)) * rng.choice([0.2, 0.8, 1.5], (n, 1))
+    points[::40] = points[7]
+    return [(k, list(map(float, v.astype(np.float32)))) for k, v in enumerate(points)]
+
+
+def test_vectors_around_many_pivots_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "TILE", 64)
+    monkeypatch.setattr(vectors, "MEMBERS", 5)
+    rows = vector_rows(np.random.default_rng(6))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)).collect()}
+    links = cosine_links(rows)
+    degree, label = np.bincount(np.array(links).ravel(), minlength=len(rows)), plain_components(len(rows), links)
+    assert len(links) > 500 and got == {k: (degree[k], min(j for j in range(len(rows)) if label[j] == label[k])) for k in range(len(rows))}
+
+
+def test_linking_vectors_takes_little_disk(spark, monkeypatch, tmp_path):
+    """Stored tables stay below three times the input and go when they are done with; many tiles meet without a copy of the vectors."""
+    monkeypatch.setattr(vectors, "TILE", 256)
+    rng = np.random.default_rng(9)
+    spark.createDataFrame([(k, list(map(float, v))) for k, v in enumerate(rng.normal(size=(3000, 64)))], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "in"))
+    size = lambda d: sum(f.stat().st_size for f in Path(d).rglob("*.parquet"))
+    shared = shared_dir(spark)
+    before, stored, plans = size(shared), [], []
+
+    def seen(table):
+        out = cut_lineage(table)
+        stored.append(size(shared) - before)
+        plans.append(table._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(vectors, "cut_lineage", seen)
+    assert vectors.link_vectors(spark.read.parquet(str(tmp_path / "in"))).count() == 3000
+    assert max(stored) < 3 * size(tmp_path / "in")
+    assert size(shared) - before < size(tmp_path / "in"), "no copy of the vectors is left"
+    meeting = [p for p in plans if "CartesianProduct" in p]
+    assert len(meeting) == 1 and "Exchange" not in meeting[0]
+
+
+def test_cones_never_lose_a_pair():
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    a = unit(rng.normal(size=(500, 16)))
+    b = unit(np.concatenate([a[:200] + rng.normal(size=(200, 16)) * 0.06, rng.normal(size=(300, 16))]))
+    pivots = a[rng.choice(500, 40, False)]
+
+    def side(x):
+        cosines = x @ pivots.T
+        cell, angle = cosines.argmax(1), np.arccos(np.clip(cosines.max(1), -1, 1))
+        order = np.lexsort((angle, cell))
+        out = vectors.Side(x[order])
+        out.cell, out.angle = cell[order], angle[order].astype(np.float32)
+        return out
+
+    a, b = side(a), side(b)
+    want = set(zip(*(x.tolist() for x in np.nonzero(a.unit @ b.unit.T >= 0.95))))
+    found, compared = [], 0
+    for x, y, turned in ((a, b, False), (b, a, True)):
+        blocks = list(vectors.cones(x, y, pivots.astype(np.float32), 0.95))
+        compared += sum((e - s) * len(at) for s, e, at in blocks)
+        for i, j in vectors.compare(x, y, 0.95, blocks):
+            first = x.angle[i] <= y.angle[j] if turned else x.angle[i] < y.angle[j]
+            found += list(zip(*((j[first].tolist(), i[first].tolist()) if turned else (i[first].tolist(), j[first].tolist()))))
+    assert len(want) > 100 and set(found) == want and len(found) == len(want)
+    assert compared < 500 * 500, "less than half, seen from both sides"
+
+
 def grams(text, width=5):
     words = (text or "").encode().split()
     if not words:

@@ -1,221 +1,354 @@
-"""Near-duplicate vectors: exact cosine links, compared tile by tile in order of principal components."""
+"""Near-duplicate vectors: exact cosine links, looked for in cones around pivots, tile by tile."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 from hashlib import blake2b
+from operator import add
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from tidemill.llm.common import components, forest, groups_of
-from tidemill.plans.session import cut_lineage
-
-# Vectors in a tile; two tiles meet in a task.
-TILE = 4096
-# Rows of a tile that are compared at a time.
-BLOCK = 1024
-# Groups of tasks whose sums of products reach the driver, and meetings of tiles per task, about.
+from pyspark.sql.types import ArrayType, FloatType
+
+from tidemill.llm.common import components, forest
+from tidemill.plans.session import cut_lineage, drop_stored
+
+# Vectors in a tile, and their bytes, at most; two tiles meet at a time. Where these make fewer tiles than a few per core, tiles are smaller.
+TILE = 16384
+TILE_BYTES = 8 << 20
+LEAST_TILE = 1024
+# Vectors per pivot, about; pivots of a dimension and their bytes, at most, since all tasks get them.
+MEMBERS = 256
+PIVOTS = 16384
+PIVOT_BYTES = 32 << 20
+# Neighbours of a pivot that are compared at a time, and how many others with them.
+BLOCK = 64
+OTHERS = 512
+# Pivots whose distances to a tile are held at a time.
+CELLS = 256
+# Groups of tasks whose sums of products reach the driver.
 GROUPS = 32
-MEETINGS = 8
-# Leading components that are accumulated before a bound is tested.
-STEPS = (16, 32, 48)
-# Room for rounding in single precision; what it lets through is recomputed in double precision.
+# Numbers of leading components that may be multiplied to test a bound, and those by which tiles are told apart.
+STEPS = (7, 15, 23, 31, 47, 63)
+SIDES = 4
+# Room for rounding in single precision, of products and angles; what it lets through is recomputed in double precision.
 SLACK = 1e-4
+TURN = 1e-2
+# Double precision products of whole blocks are recomputed pair by pair this close to the threshold.
+EDGE = 1e-9
+# Links of a task that are held before they are summed up.
+HELD = 500_000
 
 
 def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Unit vectors in double precision and a key of their exact values; none for unusable ones."""
+    """Values, dimension and a key of the exact values; none for unusable vectors."""
     for batch in batches:
-        units, keys = [], []
-        for v in batch.column("vector").to_pylist():
-            x = np.array([np.nan if c is None else c for c in v], np.float64) if v else np.zeros(0)
-            size = np.sqrt(x @ x)
+        lists = batch.column("vector")
+        dims = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        values = lists.flatten().to_numpy(zero_copy_only=False)
+        starts = np.cumsum(dims) - dims
+        keys, kept = [None] * len(dims), [None] * len(dims)
+        for d in np.unique(dims[dims > 0]):
+            at = np.flatnonzero(dims == d)
+            x = values[starts[at][:, None] + np.arange(d)].astype(np.float64)
+            good = np.isfinite(x).all(1) & x.any(1)
+            at, x = at[good], x[good]
+            with np.errstate(over="ignore", under="ignore"):
+                size = np.sqrt(_dots(x, x))
             # also vectors whose squares overflow or vanish have a direction
-            if len(x) and np.isfinite(x).all() and x.any() and not (0 < size < np.inf and 1e-140 < size < 1e140):
-                x = x / np.abs(x).max()
-                size = np.sqrt(x @ x)
-            good = len(x) > 0 and np.isfinite(x).all() and x.any()
-            unit = x / size if good else None
-            units.append(unit.tobytes() if good else None)
-            keys.append(blake2b((x + 0.0).tobytes(), digest_size=16).digest() if good else None)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(keys, pa.binary()), pa.array(units, pa.binary())], names=["id", "key", "unit"])
-
-
-def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum of x x' over a partition, by dimension; partitions are dealt into groups."""
-    group = TaskContext.get().partitionId() % GROUPS
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for d, x in _matrices(batch.column("unit")):
-            sums[d] = sums.get(d, 0) + x.T @ x
-    for d, m in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([group], pa.int32()), pa.array([m.tobytes()], pa.binary())], names=["dim", "part", "sum"])
+            odd = ~((size > 1e-140) & (size < 1e140))
+            x[odd] /= np.abs(x[odd]).max(1, keepdims=True)
+            for k, row, stored in zip(at, x + 0.0, x.astype(values.dtype)):
+                keys[k], kept[k] = blake2b(row.tobytes(), digest_size=16).digest(), stored.tobytes()
+        cols = [batch.column("id"), pa.array(keys, pa.binary()), pa.array(dims, pa.int32()), pa.array(kept, pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, names=["id", "key", "dim", "x"])
+
+
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", a, b)
+
+
+def _units(data: bytes | pa.Buffer, d: int, kind: str) -> np.ndarray:
+    """Unit vectors in double precision."""
+    x = np.frombuffer(data, kind).reshape(-1, d).astype(np.float64)
+    return x / np.sqrt(_dots(x, x))[:, None]
+
+
+def _by_dim(batch: pa.RecordBatch, kind: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each dimension: the rows that have it, and their unit vectors."""
+    dims, x = batch.column("dim").to_numpy(), batch.column("x").to_pylist()
+    for d in np.unique(dims).tolist():
+        at = np.flatnonzero(dims == d)
+        yield d, at, _units(b"".join(x[k] for k in at), d, kind)
+
+
+def _moments(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Number of vectors and sum of x x' over a partition, by dimension; partitions are dealt into groups."""
+        group = TaskContext.get().partitionId() % GROUPS
+        sums: dict[int, list] = {}
+        for batch in batches:
+            for d, at, x in _by_dim(batch, kind):
+                n, m = sums.get(d, (0, 0))
+                sums[d] = [n + len(at), m + x.T @ x]
+        for d, (n, m) in sums.items():
+            yield _moment_row(d, group, n, m)
+
+    return run
+
+
+def _moment_row(d: int, part: int, n: int, m: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([m.tobytes()], pa.binary())], names=["dim", "part", "n", "sum"])
 
 
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One sum per dimension and group."""
-    sums: dict[tuple, np.ndarray] = {}
+    sums: dict[tuple, tuple] = {}
     for batch in batches:
-        for d, part, data in zip(*(batch.column(c).to_pylist() for c in ("dim", "part", "sum"))):
-            sums[d, part] = sums.get((d, part), 0) + np.frombuffer(data)
-    for (d, part), m in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([part], pa.int32()), pa.array([m.tobytes()], pa.binary())], names=["dim", "part", "sum"])
+        for d, part, n, data in zip(*(batch.column(c).to_pylist() for c in ("dim", "part", "n", "sum"))):
+            k, m = sums.get((d, part), (0, 0))
+            sums[d, part] = (k + n, m + np.frombuffer(data))
+    for (d, part), (n, m) in sums.items():
+        yield _moment_row(d, part, n, m)
+
 
+def _chosen(rates: dict[int, float]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows whose keys, which are as good as random, lie below the dimension's rate."""
+        for batch in (b for b in batches if b.num_rows):
+            keys = np.frombuffer(b"".join(k[:8] for k in batch.column("key").to_pylist()), np.uint64)
+            least = np.array([rates[d] for d in batch.column("dim").to_pylist()])
+            yield batch.filter(pa.array(keys / 2.0**64 < least)).select(["dim", "x"])
+
+    return run
 
-def _matrices(units: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-    values = units.to_pylist()
-    for d in sorted({len(u) for u in values}):
-        yield d // 8, np.frombuffer(b"".join(u for u in values if len(u) == d), np.float64).reshape(-1, d // 8)
 
+class Model(NamedTuple):
+    """What tasks know of a dimension: its number of vectors, leading principal directions and unit pivots, neighbours next to each other."""
 
-def bases(classes: DataFrame) -> dict[int, np.ndarray]:
-    """For each dimension, the orthogonal basis of principal directions, largest first (dimension squared numbers).
+    size: int
+    basis: np.ndarray
+    pivots: np.ndarray
+
+
+def models(classes: DataFrame, kind: str, least: float) -> dict[int, Model]:
+    """For each dimension, principal directions and pivots (about one vector in ``MEMBERS``; any would do, they only affect speed).
 
     Tasks add up their own vectors, then groups of tasks; the driver gets one sum per group, ``GROUPS`` at most.
     """
-    sums: dict[int, np.ndarray] = {}
-    schema = "dim int, part int, sum binary"
-    for row in classes.select("unit").mapInArrow(_moments, schema).repartition("dim", "part").mapInArrow(_add_up, schema).collect():
+    sums: dict[int, tuple] = {}
+    schema = "dim int, part int, n long, sum binary"
+    for row in classes.select("dim", "x").mapInArrow(_moments(kind), schema).repartition("dim", "part").mapInArrow(_add_up, schema).collect():
         d = row["dim"]
-        sums[d] = sums.get(d, 0) + np.frombuffer(row["sum"], np.float64).reshape(d, d)
-    return {d: np.linalg.eigh(m)[1][:, ::-1].copy() for d, m in sums.items()}
+        n, m = sums.get(d, (0, 0))
+        sums[d] = (n + row["n"], m + np.frombuffer(row["sum"], np.float64).reshape(d, d))
+    rates = {d: min(n / MEMBERS, PIVOTS, max(1, PIVOT_BYTES // (4 * d))) / n for d, (n, _) in sums.items()}
+    drawn: dict[int, list] = {d: [] for d in sums}
+    for row in classes.select("key", "dim", "x").mapInArrow(_chosen(rates), "dim int, x binary").collect():
+        drawn[row["dim"]].append(row["x"])
+    out = {}
+    for d, (n, m) in sums.items():
+        values, basis = (x[..., ::-1] for x in np.linalg.eigh(m / n))
+        lead = basis[:, : depth(values, least)].copy()
+        pivots = _units(b"".join(sorted(drawn[d])), d, kind) if drawn[d] else basis[:, :1].T
+        out[d] = Model(n, lead, pivots[side_by_side(pivots @ lead)].astype(np.float32))
+    return out
+
+
+def depth(values: np.ndarray, least: float) -> int:
+    """How many leading components to multiply, given the squares' means: few pairs should pass that don't link."""
+    lead, spread = np.cumsum(values), np.sqrt(np.cumsum(values**2))
+    for k in STEPS:
+        if k >= len(values):
+            break
+        if lead[k - 1] - (1 - least) >= 4 * spread[k - 1] or 1 - lead[k - 1] <= (1 - least) / 2:
+            return k
+    return min(len(values), STEPS[-1])
+
+
+def side_by_side(points: np.ndarray) -> np.ndarray:
+    """An order of points in which neighbours follow each other: halved again and again along the widest coordinate."""
+    if len(points) < 3:
+        return np.arange(len(points))
+    order = np.argsort(points[:, np.argmax(np.ptp(points, axis=0))], kind="stable")
+    halves = np.array_split(order, 2)
+    return np.concatenate([half[side_by_side(points[half])] for half in halves])
+
+
+def _assign(sent, kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Add each vector's nearest pivot and the angle to it."""
+        for batch in batches:
+            cell, angle = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows, np.float32)
+            for d, at, x in _by_dim(batch, kind):
+                flat, pivots = x.astype(np.float32), sent.value[d].pivots
+                for s in range(0, len(at), OTHERS):
+                    cosines = flat[s : s + OTHERS] @ pivots.T
+                    best = cosines.argmax(1)
+                    cell[at[s : s + OTHERS]] = best
+                    angle[at[s : s + OTHERS]] = np.arccos(np.clip(cosines[np.arange(len(best)), best], -1, 1))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "n", "dim", "x")), pa.array(cell), pa.array(angle)], names=["node", "n", "dim", "x", "cell", "angle"])
 
+    return run
 
-def _rotate(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
-    """Coordinates in the principal directions; the two leading ones also as columns."""
-    for batch in batches:
-        units = batch.column("unit").to_pylist()
-        dims = np.array([len(u) // 8 for u in units])
-        out: list = [None] * len(units)
-        lead = np.zeros((2, len(units)))
-        for d, basis in sent.value.items():
-            at = np.flatnonzero(dims == d)
-            if len(at):
-                y = np.frombuffer(b"".join(units[k] for k in at), np.float64).reshape(-1, d) @ basis
-                lead[: min(2, d), at] = y[:, :2].T
-                for k, row in zip(at, y):
-                    out[k] = row.tobytes()
-        cols = [batch.column("node"), batch.column("n"), pa.array(dims, pa.int32()), pa.array(out, pa.binary()), pa.array(lead[0]), pa.array(lead[1])]
-        yield pa.RecordBatch.from_arrays(cols, names=["node", "n", "dim", "y", "lead1", "lead2"])
+
+PACKED = "dim int, tile long, node binary, n binary, cell binary, angle binary, x binary, " + ", ".join(f"{n}{k} double" for k in range(SIDES) for n in ("lo", "hi"))
+
+
+def _pack(sent, kind: str, size: dict[int, int]):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A partition's vectors in tiles of about equal size, one row each, by pivot and angle; also their box in ``SIDES`` leading components."""
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held)
+        dim, node, n, cell, angle = (rows.column(c).to_numpy() for c in ("dim", "node", "n", "cell", "angle"))
+        x = rows.column("x").to_pylist()
+        for d in np.unique(dim).tolist():
+            at = np.flatnonzero(dim == d)
+            at = at[np.lexsort((node[at], angle[at], cell[at]))]
+            for some in np.array_split(at, -(-len(at) // size[d])):
+                data = b"".join(x[k] for k in some)
+                lead = _units(data, d, kind) @ sent.value[d].basis[:, :SIDES]
+                box = [v for k in range(SIDES) for v in ((lead[:, k].min(), lead[:, k].max()) if k < lead.shape[1] else (0.0, 0.0))]
+                cols = [d, int(node[some].min()), *(v[some].tobytes() for v in (node, n, cell, angle)), data, *map(float, box)]
+                yield pa.RecordBatch.from_pylist([dict(zip(NAMES, cols))], schema=LAYOUT)
+
+    return run
 
 
-def _survivors(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows whose dot product may reach ``least``.
+LAYOUT = pa.schema([(c.split()[0], {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}[c.split()[1]]) for c in PACKED.split(", ")])
+NAMES = LAYOUT.names
 
-    The leading components are multiplied first; what the others can still add is at most the product of the
-    rows' remaining norms. Where that doesn't reach, the pair is out, and the rest goes on with more components.
+
+def meetings(packed: DataFrame, least: float) -> DataFrame:
+    """Pairs of tiles, each pair once, whose boxes are near enough for a link.
+
+    Unit vectors with a cosine of at least ``least`` lie within sqrt(2 - 2 least), also in any components. Nothing is
+    shuffled: tasks read the stored tiles of a pair of partitions, so the pairs take no disk.
     """
-    d = a.shape[1]
-    tails = [[np.sqrt(np.maximum(0, (x[:, k:] ** 2).sum(1))) for x in (a, b)] for k in STEPS if k < d]
-    steps = [k for k in STEPS if k < d]
-    if not steps:
-        return np.nonzero(a @ b.T >= least - SLACK)
-    fa, fb = a.astype(np.float32), b.astype(np.float32)
-    k = steps[0]
-    part = fa[:, :k] @ fb[:, :k].T
-    bound = np.multiply.outer(tails[0][0].astype(np.float32), tails[0][1].astype(np.float32))
-    bound += part
-    i, j = np.nonzero(bound >= least - SLACK)
-    part = part[i, j]
-    for n, (ta, tb) in zip([*steps[1:], d], [*tails[1:], (None, None)]):
-        if len(i) > a.shape[0] * b.shape[0] // 16:
-            break  # most pairs are left: whole products are cheaper than picking
-        part = part + np.einsum("ij,ij->i", fa[i, k:n], fb[j, k:n])
-        keep = part + (ta[i] * tb[j] if ta is not None else 0) >= least - SLACK
-        i, j, part, k = i[keep], j[keep], part[keep], n
-    return i, j
-
-
-def compare(a: np.ndarray, b: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of unit rows with a dot product of at least ``least`` in double precision, block by block."""
-    for s in range(0, len(a), BLOCK):
-        for t in range(0, len(b), BLOCK):
-            x, y = a[s : s + BLOCK], b[t : t + BLOCK]
-            i, j = _survivors(x, y, least)
-            if len(i) > x.shape[0] * y.shape[0] // 16:
-                i, j = np.nonzero(x @ y.T >= least)
-            elif len(i):
-                keep = np.einsum("ij,ij->i", x[i], y[j]) >= least
-                i, j = i[keep], j[keep]
-            yield i + s, j + t
+    reach = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-9
+    left, right = (packed.toDF(*[f"{side}_{c}" for c in NAMES]) for side in "ab")
+    gap = lambda k: F.greatest(F.lit(0.0), F.col(f"b_lo{k}") - F.col(f"a_hi{k}"), F.col(f"a_lo{k}") - F.col(f"b_hi{k}"))
+    near = reduce(add, [gap(k) * gap(k) for k in range(SIDES)]) <= reach * reach
+    pairs = left.join(right.hint("shuffle_replicate_nl"), (F.col("a_dim") == F.col("b_dim")) & (F.col("a_tile") <= F.col("b_tile")) & near)
+    return pairs.select(*[f"{side}_{c}" for side in "ab" for c in NAMES[:7]])
 
 
-def _tile_pairs(least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each pair of tiles: how many vectors each one links to, and the smallest one it reaches there."""
-        for group in groups_of(batches, ["dim", "left", "right"]):
-            tile, node, n = (group.column(k).to_numpy() for k in ("tile", "node", "n"))
-            d = group.column("dim")[0].as_py()
-            y = np.frombuffer(b"".join(group.column("y").to_pylist()), np.float64).reshape(-1, d)
-            own = group.column("left")[0].as_py() == group.column("right")[0].as_py()
-            order = np.argsort(node, kind="stable")
-            tile, node, n, y = tile[order], node[order], n[order], y[order]
-            first = np.arange(len(node)) if own else np.flatnonzero(tile == group.column("left")[0].as_py())
-            second = first if own else np.flatnonzero(tile == group.column("right")[0].as_py())
-            links = np.zeros(len(node), np.int64)
-            label = np.arange(len(node))
-            for i, j in compare(y[first], y[second], least):
-                i, j = first[i], second[j]
-                if own:
-                    i, j = i[i != j], j[i != j]
-                    links += np.bincount(i, weights=n[j], minlength=len(node)).astype(np.int64)
-                else:
-                    links += (np.bincount(i, weights=n[j], minlength=len(node)) + np.bincount(j, weights=n[i], minlength=len(node))).astype(np.int64)
-                if len(i):
-                    # what a block links is folded into one link per vector before the next one
-                    label = forest(np.concatenate([i, np.arange(len(node))]), np.concatenate([j, label]), len(node))
-            at = np.flatnonzero(links)
-            yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(links[at]), pa.array(node[label[at]])], names=["node", "links", "reach"])
+class Side:
+    """Unit vectors, and in single precision with their leading components and the norm of the others."""
 
-    return run
+    def __init__(self, unit: np.ndarray, basis: np.ndarray | None = None):
+        lead = unit[:, : STEPS[0]] if basis is None else unit @ basis
+        self.unit, self.flat = unit, unit.astype(np.float32)
+        self.lead = np.column_stack([lead, np.sqrt(np.maximum(0, 1 - _dots(lead, lead)))]).astype(np.float32)
 
 
-def tiles(points: DataFrame) -> DataFrame:
-    """Add ``tile``: vectors of one dimension that lie next to each other in the two leading components.
+class Tile(Side):
+    def __init__(self, batch: pa.RecordBatch, row: int, side: str, sent: dict[int, Model], kind: str):
+        data = lambda c, t: np.frombuffer(batch.column(f"{side}_{c}")[row].as_buffer(), t)
+        self.name = batch.column(f"{side}_tile")[row].as_py()
+        self.dim = batch.column(f"{side}_dim")[row].as_py()
+        self.node, self.n, self.cell, self.angle = data("node", np.int64), data("n", np.int64), data("cell", np.int32), data("angle", np.float32)
+        super().__init__(_units(batch.column(f"{side}_x")[row].as_buffer(), self.dim, kind), sent[self.dim].basis)
 
-    Slabs along the first component are cut along the second one; what is still too large (many vectors in
-    one place) is dealt out by node. A tile has at most about ``TILE`` vectors.
+
+def cones(a: Tile, b: Tile, pivots: np.ndarray, least: float) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Blocks of vectors of ``a`` with a common pivot, and the vectors of ``b`` that may link to one at a smaller or equal angle.
+
+    A vector that links to one at the angle t from a pivot is itself at most t and the angle of ``least`` away from it.
     """
-    sizes = points.groupBy("dim").agg(F.count(F.lit(1)).alias("size"))
-    most = sizes.agg(F.max("size")).first()[0] or 0
-    side = max(1, round((most / TILE) ** 0.5))
-    parts = [k / side for k in range(1, side)] or [0.5]
-
-    def place(rows: DataFrame, lead: str, by: list[str], name: str) -> DataFrame:
-        cuts = rows.groupBy(*by).agg(F.percentile_approx(lead, parts, 2000).alias("cuts"))
-        if side == 1:
-            return rows.withColumn(name, F.lit(0))
-        # a row per slab at most, with as many numbers
-        return rows.join(F.broadcast(cuts), by).withColumn(name, F.size(F.filter("cuts", lambda c: c <= F.col(lead)))).drop("cuts")
-
-    placed = place(place(points, "lead1", ["dim"], "slab"), "lead2", ["dim", "slab"], "part")
-    filled = placed.groupBy("dim", "slab", "part").agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE)).cast("int").alias("layers"))
-    layer = F.pmod(F.xxhash64("node"), F.col("layers")).cast("int")
-    cell = placed.join(filled, ["dim", "slab", "part"]).withColumn("layer", layer)
-    return cell.withColumn("tile", F.xxhash64("slab", "part", "layer")).drop("layers", "layer", "slab", "part")
-
-
-def meetings(tiled: DataFrame, least: float) -> DataFrame:
-    """Pairs of tiles (dim, left, right) whose boxes in the two leading components are near enough for a link.
-
-    Unit vectors with a cosine of at least ``least`` lie within sqrt(2 - 2 least), also in any components. Tiles
-    meet through the strips of that width that they touch along the first component.
+    turn = np.arccos(np.clip(least, -1, 1)) + TURN
+    cells, starts = np.unique(a.cell, return_index=True)
+    ends = [*starts[1:], len(a.cell)]
+    order = np.argsort(b.angle, kind="stable")
+    angles, flat = b.angle[order], b.flat[order]
+    for k in range(0, len(cells), CELLS):
+        cosines = pivots[cells[k : k + CELLS]] @ flat.T
+        for row, start, end in zip(cosines, starts[k : k + CELLS], ends[k : k + CELLS]):
+            for s in range(start, end, BLOCK):
+                e = min(end, s + BLOCK)
+                # room also here, so that order can be settled for single pairs
+                low = np.searchsorted(angles, a.angle[s])
+                at = order[low + np.flatnonzero(row[low:] >= np.cos(min(np.pi, a.angle[e - 1] + turn)))]
+                if len(at):
+                    yield s, e, at
+
+
+def compare(a: Side | np.ndarray, b: Side | np.ndarray, least: float, blocks: Iterable[tuple[int, int, np.ndarray]] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of unit rows with a dot product of at least ``least`` in double precision, block by block.
+
+    ``blocks`` are rows of ``a`` from one to another with the rows of ``b`` that they are compared with, else all. The leading components
+    are multiplied first; what the others can add is at most the product of their norms. The same sum decides on a pair in any block.
     """
-    reach = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-9
-    boxes = tiled.groupBy("dim", "tile").agg(*[f(c).alias(f"{n}{k}") for k, c in ((1, "lead1"), (2, "lead2")) for n, f in (("lo", F.min), ("hi", F.max))])
-    strip = lambda c: F.floor(c / F.lit(reach)).cast("int")
-    left = boxes.withColumn("strip", F.explode(F.sequence(strip(F.col("lo1")), strip(F.col("hi1")))))
-    right = boxes.withColumn("strip", F.explode(F.sequence(strip(F.col("lo1") - reach), strip(F.col("hi1") + reach))))
-    l, r = left.alias("l"), right.alias("r")  # noqa: E741
-    gap = lambda k: F.greatest(F.lit(0.0), F.col(f"r.lo{k}") - F.col(f"l.hi{k}"), F.col(f"l.lo{k}") - F.col(f"r.hi{k}"))
-    near = gap(1) * gap(1) + gap(2) * gap(2) <= reach * reach
-    same = (F.col("l.dim") == F.col("r.dim")) & (F.col("l.strip") == F.col("r.strip"))
-    pairs = l.join(r, same & (F.col("l.tile") <= F.col("r.tile")) & near)
-    return pairs.select(F.col("l.dim").alias("dim"), F.col("l.tile").alias("left"), F.col("r.tile").alias("right")).distinct()
+    a, b = (x if isinstance(x, Side) else Side(x) for x in (a, b))
+    if blocks is None:
+        blocks = ((s, min(len(a.unit), s + BLOCK), np.arange(len(b.unit))) for s in range(0, len(a.unit), BLOCK))
+    bound = np.float32(least - SLACK - a.unit.shape[1] * float(np.finfo(np.float32).eps))
+    room = np.empty(OTHERS * BLOCK, np.float32)
+    for s, e, at in blocks:
+        lead = np.ascontiguousarray(a.lead[s:e].T)
+        for t in range(0, len(at), OTHERS):
+            some = at[t : t + OTHERS]
+            part = np.matmul(b.lead[some], lead, out=room[: len(some) * (e - s)].reshape(len(some), e - s))
+            if part.max() < bound:
+                continue
+            j, i = np.nonzero(part >= bound)
+            if len(i) > part.size // 64:
+                whole = b.unit[some] @ a.unit[s:e].T  # cheaper than picking so many
+                links = whole >= least
+                j, i = np.nonzero(np.abs(whole - least) <= EDGE)
+                links[j, i] = _dots(a.unit[s + i], b.unit[some[j]]) >= least
+                j, i = np.nonzero(links)
+            else:
+                keep = _dots(a.unit[s + i], b.unit[some[j]]) >= least
+                i, j = i[keep], j[keep]
+            if len(i):
+                yield s + i, some[j]
+
+
+def _sum_up(state: tuple, held: list[tuple]) -> tuple:
+    """Add links (two nodes and their numbers of rows) to the sums so far: node, number of rows it links to, smallest node reached."""
+    u, v, nu, nv = (np.concatenate(x) for x in zip(*held))
+    node, links, reach = state
+    nodes, at = np.unique(np.concatenate([node, reach, u, v]), return_inverse=True)
+    own, root, x, y = np.split(at, np.cumsum([len(node), len(node), len(u)]))
+    count = lambda k, n: np.bincount(k, weights=n, minlength=len(nodes)).astype(np.int64)
+    label = forest(np.concatenate([own, x]), np.concatenate([root, y]), len(nodes))
+    return nodes, count(own, links) + count(x, nv) + count(y, nu), nodes[label]
+
+
+def _links(sent, kind: str, least: float) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For all pairs of tiles of a task together: how many vectors each one links to, and the smallest one it reaches there."""
+        state, held, count, a = tuple(np.zeros(0, np.int64) for _ in range(3)), [], 0, None
+        for batch in batches:
+            for row in range(batch.num_rows):
+                if a is None or a.name != batch.column("a_tile")[row].as_py():
+                    a = Tile(batch, row, "a", sent.value, kind)
+                same = a.name == batch.column("b_tile")[row].as_py()
+                b = a if same else Tile(batch, row, "b", sent.value, kind)
+                for x, y in [(a, b)] if same else [(a, b), (b, a)]:
+                    for i, j in compare(x, y, least, cones(x, y, sent.value[x.dim].pivots, least)):
+                        # a link is seen from the end at the smaller angle, for equal angles from the smaller node
+                        once = (x.angle[i] < y.angle[j]) | ((x.angle[i] == y.angle[j]) & (x.node[i] < y.node[j]))
+                        i, j = i[once], j[once]
+                        held.append((x.node[i], y.node[j], x.n[i], y.n[j]))
+                        count += len(i)
+                        if count > HELD:
+                            state, held, count = _sum_up(state, held), [], 0
+        if held:
+            state = _sum_up(state, held)
+        for s in range(0, len(state[0]), 65536):
+            yield pa.RecordBatch.from_arrays([pa.array(x[s : s + 65536]) for x in state], names=["node", "links", "reach"])
+
+    return run
 
 
 def link_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = 0.95) -> DataFrame:
@@ -226,29 +359,41 @@ def link_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     Equal vectors are compared once and count as often as they occur. ``component_id`` is the smallest key
     reachable by links, itself included (null keys come last); ``kept`` says whether that is the row's own
     key. Repeated keys are rows of their own. Other columns are dropped. An empty table gives no rows.
+
+    Vectors are written as they are and moved twice; a stored copy goes as soon as the next one is written.
     """
-    points = cut_lineage(
-        vectors.select(F.col(f"`{key}`").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("vector")).mapInArrow(
-            _points, f"id {vectors.schema[key].dataType.simpleString()}, key binary, unit binary"
+    spark = vectors.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    kind = vectors.schema[vector].dataType
+    kind = "float" if isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType) else "double"
+    code = {"float": "<f4", "double": "<f8"}[kind]
+    stored = cut_lineage(
+        vectors.select(F.col(f"`{key}`").alias("id"), F.col(f"`{vector}`").cast(f"array<{kind}>").alias("vector")).mapInArrow(
+            _points, f"id {vectors.schema[key].dataType.simpleString()}, key binary, dim int, x binary"
         )
     )
-    groups = points.where("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.first("unit").alias("unit"))
-    classes = cut_lineage(groups.withColumn("node", F.monotonically_increasing_id()))
-    sent = vectors.sparkSession.sparkContext.broadcast(bases(classes))
-    rotated = classes.select("node", "n", "unit").mapInArrow(lambda b: _rotate(b, sent), "node long, n long, dim int, y binary, lead1 double, lead2 double")
-    tiled = cut_lineage(tiles(cut_lineage(rotated)))
-    pairs = cut_lineage(meetings(tiled, least))
-    sides = pairs.select("dim", "left", "right", F.explode(F.array_distinct(F.array("left", "right"))).alias("tile"))
-    # tasks of a few meetings each, however many tiles there are
-    parts = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs.count() // MEETINGS))
-    met = tiled.drop("lead1", "lead2").join(sides, ["dim", "tile"]).repartition(parts, "dim", "left", "right").sortWithinPartitions("dim", "left", "right")
-    found = cut_lineage(met.mapInArrow(_tile_pairs(least), "node long, links long, reach long"))
+    points = cut_lineage(stored.select("id", "key"))
+    groups = stored.where("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.first("dim").alias("dim"), F.first("x").alias("x"))
+    whole = cut_lineage(groups.withColumn("node", F.monotonically_increasing_id()))
+    drop_stored(stored)
+    classes = cut_lineage(whole.select("key", "node", "n", "low"))
+    known = models(whole, code, least)
+    sent = spark.sparkContext.broadcast(known)
+    near = cut_lineage(whole.select("node", "n", "dim", "x").mapInArrow(_assign(sent, code), "node long, n long, dim int, x binary, cell int, angle float"))
+    drop_stored(whole)
+    bytes_of = lambda d: d * int(code[-1])
+    size = {d: max(1, min(TILE, TILE_BYTES // bytes_of(d), max(LEAST_TILE, -(-m.size // (4 * cores))))) for d, m in known.items()}
+    parts = sum(-(-m.size // (4 * size[d])) for d, m in known.items())
+    packed = cut_lineage(near.repartitionByRange(max(1, parts), "dim", "cell", "angle", "node").mapInArrow(_pack(sent, code, size), PACKED))
+    drop_stored(near)
+    found = cut_lineage(meetings(packed, least).mapInArrow(_links(sent, code, least), "node long, links long, reach long"))
+    drop_stored(packed)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("reach").alias("b")))
-    member = classes.select("key", "node", "n", "low").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    member = classes.join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lows = member.groupBy("root").agg(F.min("low").alias("component"))
     info = member.join(lows, "root").select("key", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component")
     component = F.coalesce("component", "id")
-    return points.drop("unit").join(info, "key", "left").select(
+    return points.join(info, "key", "left").select(
         F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept")
     )

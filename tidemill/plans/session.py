@@ -115,8 +115,7 @@ def run_folder(spark: SparkSession) -> Iterator[str]:
         yield folder
     finally:
         _run_folders.remove(folder)
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete_folder(spark, folder)
 
 
 def in_run_folder(run: Callable) -> Callable:
@@ -138,7 +137,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = work_dir(spark, "step")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    return table
+
+
+def drop_stored(table: DataFrame) -> None:
+    """Delete the files of a table that ``cut_lineage`` gave, once nothing will read it again."""
+    delete_folder(table.sparkSession, table._stored_at)
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def hint_small(df: DataFrame, rows: int) -> DataFrame:
