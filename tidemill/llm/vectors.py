@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from tidemill.llm.common import components, forest
+from tidemill.llm.common import components, forest, tidy
 from tidemill.plans.session import cut_lineage, drop_stored
 
 # Vectors in a tile, and their bytes, at most; two tiles meet at a time. Where these make fewer tiles than a few per core, tiles are smaller.
@@ -42,7 +42,10 @@ SLACK = 1e-4
 TURN = 1e-2
 # Double precision products of whole blocks are recomputed pair by pair this close to the threshold.
 EDGE = 1e-9
-# Links of a task that are held before they are summed up.
+# Partitions of stored tiles have so many bytes at most, about, and as many pairs as make some tasks per core: each pair reads its two again.
+READ_BYTES = 64 << 20
+TASKS = 8
+# Links of two tiles, and linked vectors of a task, that are held before they are summed up.
 HELD = 500_000
 
 
@@ -203,7 +206,7 @@ PACKED = "dim int, tile long, node binary, n binary, cell binary, angle binary,
 
 def _pack(sent, kind: str, size: dict[int, int]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A partition's vectors in tiles of about equal size, one row each, by pivot and angle; also their box in ``SIDES`` leading components."""
+        """A partition's vectors in tiles of about equal size, one row each: dealt by pivot, sorted by angle; also their box in ``SIDES`` leading components."""
         held = [b for b in batches if b.num_rows]
         if not held:
             return
@@ -214,6 +217,7 @@ def _pack(sent, kind: str, size: dict[int, int]):
             at = np.flatnonzero(dim == d)
             at = at[np.lexsort((node[at], angle[at], cell[at]))]
             for some in np.array_split(at, -(-len(at) // size[d])):
+                some = some[np.lexsort((node[some], angle[some]))]
                 data = b"".join(x[k] for k in some)
                 lead = _units(data, d, kind) @ sent.value[d].basis[:, :SIDES]
                 box = [v for k in range(SIDES) for v in ((lead[:, k].min(), lead[:, k].max()) if k < lead.shape[1] else (0.0, 0.0))]
@@ -227,14 +231,14 @@ LAYOUT = pa.schema([(c.split()[0], {"int": pa.int32(), "long": pa.int64(), "bina
 NAMES = LAYOUT.names
 
 
-def meetings(packed: DataFrame, least: float) -> DataFrame:
+def meetings(packed: DataFrame, least: float, parts: int) -> DataFrame:
     """Pairs of tiles, each pair once, whose boxes are near enough for a link.
 
     Unit vectors with a cosine of at least ``least`` lie within sqrt(2 - 2 least), also in any components. Nothing is
-    shuffled: tasks read the stored tiles of a pair of partitions, so the pairs take no disk.
+    shuffled: tasks read the stored tiles of a pair of partitions (``parts`` at most), so the pairs take no disk.
     """
     reach = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-9
-    left, right = (packed.toDF(*[f"{side}_{c}" for c in NAMES]) for side in "ab")
+    left, right = (packed.coalesce(parts).toDF(*[f"{side}_{c}" for c in NAMES]) for side in "ab")
     gap = lambda k: F.greatest(F.lit(0.0), F.col(f"b_lo{k}") - F.col(f"a_hi{k}"), F.col(f"a_lo{k}") - F.col(f"b_hi{k}"))
     near = reduce(add, [gap(k) * gap(k) for k in range(SIDES)]) <= reach * reach
     pairs = left.join(right.hint("shuffle_replicate_nl"), (F.col("a_dim") == F.col("b_dim")) & (F.col("a_tile") <= F.col("b_tile")) & near)
@@ -259,93 +263,122 @@ class Tile(Side):
         super().__init__(_units(batch.column(f"{side}_x")[row].as_buffer(), self.dim, kind), sent[self.dim].basis)
 
 
-def cones(a: Tile, b: Tile, pivots: np.ndarray, least: float) -> Iterator[tuple[int, int, np.ndarray]]:
+def cones(a: Tile, b: Tile, pivots: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Blocks of vectors of ``a`` with a common pivot, and the vectors of ``b`` that may link to one at a smaller or equal angle.
 
     A vector that links to one at the angle t from a pivot is itself at most t and the angle of ``least`` away from it.
+    Both are sorted by angle.
     """
     turn = np.arccos(np.clip(least, -1, 1)) + TURN
-    cells, starts = np.unique(a.cell, return_index=True)
-    ends = [*starts[1:], len(a.cell)]
-    order = np.argsort(b.angle, kind="stable")
-    angles, flat = b.angle[order], b.flat[order]
+    order = np.argsort(a.cell, kind="stable")
+    cells, starts = np.unique(a.cell[order], return_index=True)
+    members = np.split(order, starts[1:])
     for k in range(0, len(cells), CELLS):
-        cosines = pivots[cells[k : k + CELLS]] @ flat.T
-        for row, start, end in zip(cosines, starts[k : k + CELLS], ends[k : k + CELLS]):
-            for s in range(start, end, BLOCK):
-                e = min(end, s + BLOCK)
-                # room also here, so that order can be settled for single pairs
-                low = np.searchsorted(angles, a.angle[s])
-                at = order[low + np.flatnonzero(row[low:] >= np.cos(min(np.pi, a.angle[e - 1] + turn)))]
+        cosines = pivots[cells[k : k + CELLS]] @ b.flat.T
+        for row, own in zip(cosines, members[k : k + CELLS]):
+            least_cosine = lambda k: np.cos(min(np.pi, a.angle[k] + turn))
+            wide = np.flatnonzero(row >= least_cosine(own[-1]))
+            near, angle = row[wide], b.angle[wide]
+            for block in np.split(own, range(BLOCK, len(own), BLOCK)):
+                low = np.searchsorted(angle, a.angle[block[0]])
+                at = wide[low:][near[low:] >= least_cosine(block[-1])]
                 if len(at):
-                    yield s, e, at
+                    yield block, at
 
 
-def compare(a: Side | np.ndarray, b: Side | np.ndarray, least: float, blocks: Iterable[tuple[int, int, np.ndarray]] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def compare(a: Side | np.ndarray, b: Side | np.ndarray, least: float, blocks: Iterable[tuple] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs of unit rows with a dot product of at least ``least`` in double precision, block by block.
 
-    ``blocks`` are rows of ``a`` from one to another with the rows of ``b`` that they are compared with, else all. The leading components
+    ``blocks`` are up to ``BLOCK`` rows of ``a`` each, with the rows of ``b`` that they are compared with, else all. The leading components
     are multiplied first; what the others can add is at most the product of their norms. The same sum decides on a pair in any block.
     """
     a, b = (x if isinstance(x, Side) else Side(x) for x in (a, b))
     if blocks is None:
-        blocks = ((s, min(len(a.unit), s + BLOCK), np.arange(len(b.unit))) for s in range(0, len(a.unit), BLOCK))
+        blocks = ((np.arange(s, min(len(a.unit), s + BLOCK)), np.arange(len(b.unit))) for s in range(0, len(a.unit), BLOCK))
     bound = np.float32(least - SLACK - a.unit.shape[1] * float(np.finfo(np.float32).eps))
     room = np.empty(OTHERS * BLOCK, np.float32)
-    for s, e, at in blocks:
-        lead = np.ascontiguousarray(a.lead[s:e].T)
+    for rows, at in blocks:
+        lead = np.ascontiguousarray(a.lead[rows].T)
         for t in range(0, len(at), OTHERS):
             some = at[t : t + OTHERS]
-            part = np.matmul(b.lead[some], lead, out=room[: len(some) * (e - s)].reshape(len(some), e - s))
+            part = np.matmul(b.lead[some], lead, out=room[: len(some) * len(rows)].reshape(len(some), -1))
             if part.max() < bound:
                 continue
             j, i = np.nonzero(part >= bound)
             if len(i) > part.size // 64:
-                whole = b.unit[some] @ a.unit[s:e].T  # cheaper than picking so many
+                whole = b.unit[some] @ a.unit[rows].T  # cheaper than picking so many
                 links = whole >= least
                 j, i = np.nonzero(np.abs(whole - least) <= EDGE)
-                links[j, i] = _dots(a.unit[s + i], b.unit[some[j]]) >= least
+                links[j, i] = _dots(a.unit[rows[i]], b.unit[some[j]]) >= least
                 j, i = np.nonzero(links)
             else:
-                keep = _dots(a.unit[s + i], b.unit[some[j]]) >= least
+                keep = _dots(a.unit[rows[i]], b.unit[some[j]]) >= least
                 i, j = i[keep], j[keep]
             if len(i):
-                yield s + i, some[j]
+                yield rows[i], some[j]
 
 
-def _sum_up(state: tuple, held: list[tuple]) -> tuple:
-    """Add links (two nodes and their numbers of rows) to the sums so far: node, number of rows it links to, smallest node reached."""
-    u, v, nu, nv = (np.concatenate(x) for x in zip(*held))
-    node, links, reach = state
-    nodes, at = np.unique(np.concatenate([node, reach, u, v]), return_inverse=True)
-    own, root, x, y = np.split(at, np.cumsum([len(node), len(node), len(u)]))
-    count = lambda k, n: np.bincount(k, weights=n, minlength=len(nodes)).astype(np.int64)
-    label = forest(np.concatenate([own, x]), np.concatenate([root, y]), len(nodes))
-    return nodes, count(own, links) + count(x, nv) + count(y, nu), nodes[label]
+class Links:
+    """Links between the rows of two tiles, or of one with itself: how many rows each row links to, and the first one it reaches."""
+
+    def __init__(self, a: Tile, b: Tile):
+        self.node, self.n = (a.node, a.n) if a is b else (np.concatenate([a.node, b.node]), np.concatenate([a.n, b.n]))
+        self.links, self.label = np.zeros(len(self.node), np.int64), np.arange(len(self.node))
+        self.held, self.count = [], 0
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        self.held.append((i, j))
+        self.count += len(i)
+        if self.count > HELD:
+            self.settle()
+
+    def settle(self) -> None:
+        if not self.held:
+            return
+        i, j = (np.concatenate(x) for x in zip(*self.held))
+        self.held, self.count = [], 0
+        for x, y in ((i, j), (j, i)):
+            self.links += np.bincount(x, weights=self.n[y], minlength=len(self.node)).astype(np.int64)
+        new = self.label[i] != self.label[j]
+        if new.any():
+            self.label = forest(np.concatenate([i[new], np.arange(len(self.node))]), np.concatenate([j[new], self.label]), len(self.node))
+
+    def rows(self) -> tuple[np.ndarray, ...]:
+        self.settle()
+        at = np.flatnonzero(self.links)
+        return self.node[at], self.links[at], self.node[self.label[at]]
+
+
+def _sum_up(rows: list[tuple]) -> tuple[np.ndarray, ...]:
+    """Rows (node, links, reach) of several pairs of tiles as one for each node."""
+    node, links, reach = (np.concatenate(x) for x in zip(*rows))
+    nodes, at = np.unique(np.concatenate([node, reach]), return_inverse=True)
+    own, root = np.split(at, 2)
+    return nodes, np.bincount(own, weights=links, minlength=len(nodes)).astype(np.int64), nodes[forest(own, root, len(nodes))]
 
 
 def _links(sent, kind: str, least: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For all pairs of tiles of a task together: how many vectors each one links to, and the smallest one it reaches there."""
-        state, held, count, a = tuple(np.zeros(0, np.int64) for _ in range(3)), [], 0, None
+        """For all pairs of tiles of a task together: how many vectors each one links to, and one that it reaches there, the same for all that it reaches."""
+        rows, count, a = [], 0, None
         for batch in batches:
             for row in range(batch.num_rows):
                 if a is None or a.name != batch.column("a_tile")[row].as_py():
                     a = Tile(batch, row, "a", sent.value, kind)
                 same = a.name == batch.column("b_tile")[row].as_py()
                 b = a if same else Tile(batch, row, "b", sent.value, kind)
-                for x, y in [(a, b)] if same else [(a, b), (b, a)]:
+                found = Links(a, b)
+                for x, y, turned in [(a, b, False)] if same else [(a, b, False), (b, a, True)]:
                     for i, j in compare(x, y, least, cones(x, y, sent.value[x.dim].pivots, least)):
                         # a link is seen from the end at the smaller angle, for equal angles from the smaller node
                         once = (x.angle[i] < y.angle[j]) | ((x.angle[i] == y.angle[j]) & (x.node[i] < y.node[j]))
                         i, j = i[once], j[once]
-                        held.append((x.node[i], y.node[j], x.n[i], y.n[j]))
-                        count += len(i)
-                        if count > HELD:
-                            state, held, count = _sum_up(state, held), [], 0
-        if held:
-            state = _sum_up(state, held)
-        for s in range(0, len(state[0]), 65536):
+                        found.add(i + len(a.node) * turned, j + len(a.node) * (not same and not turned))
+                rows.append(found.rows())
+                count += len(rows[-1][0])
+                if count > HELD:
+                    rows, count = [_sum_up(rows)], 0
+        for s in range(0, len((state := _sum_up(rows))[0]) if rows else 0, 65536):
             yield pa.RecordBatch.from_arrays([pa.array(x[s : s + 65536]) for x in state], names=["node", "links", "reach"])
 
     return run
@@ -369,7 +402,7 @@ def link_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     code = {"float": "<f4", "double": "<f8"}[kind]
     stored = cut_lineage(
         vectors.select(F.col(f"`{key}`").alias("id"), F.col(f"`{vector}`").cast(f"array<{kind}>").alias("vector")).mapInArrow(
-            _points, f"id {vectors.schema[key].dataType.simpleString()}, key binary, dim int, x binary"
+            tidy(_points), f"id {vectors.schema[key].dataType.simpleString()}, key binary, dim int, x binary"
         )
     )
     points = cut_lineage(stored.select("id", "key"))
@@ -379,14 +412,15 @@ def link_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     classes = cut_lineage(whole.select("key", "node", "n", "low"))
     known = models(whole, code, least)
     sent = spark.sparkContext.broadcast(known)
-    near = cut_lineage(whole.select("node", "n", "dim", "x").mapInArrow(_assign(sent, code), "node long, n long, dim int, x binary, cell int, angle float"))
+    near = cut_lineage(whole.select("node", "n", "dim", "x").mapInArrow(tidy(_assign(sent, code)), "node long, n long, dim int, x binary, cell int, angle float"))
     drop_stored(whole)
-    bytes_of = lambda d: d * int(code[-1])
-    size = {d: max(1, min(TILE, TILE_BYTES // bytes_of(d), max(LEAST_TILE, -(-m.size // (4 * cores))))) for d, m in known.items()}
-    parts = sum(-(-m.size // (4 * size[d])) for d, m in known.items())
-    packed = cut_lineage(near.repartitionByRange(max(1, parts), "dim", "cell", "angle", "node").mapInArrow(_pack(sent, code, size), PACKED))
+    width = {d: d * int(code[-1]) for d in known}
+    size = {d: max(1, min(TILE, TILE_BYTES // width[d], max(LEAST_TILE, -(-m.size // (4 * cores))))) for d, m in known.items()}
+    heaps = sum(-(-m.size // (4 * size[d])) for d, m in known.items())
+    packed = cut_lineage(near.repartitionByRange(max(1, heaps), "dim", "cell", "angle", "node").mapInArrow(tidy(_pack(sent, code, size)), PACKED))
     drop_stored(near)
-    found = cut_lineage(meetings(packed, least).mapInArrow(_links(sent, code, least), "node long, links long, reach long"))
+    parts = max(int(np.ceil(np.sqrt(TASKS * cores))), sum(m.size * width[d] for d, m in known.items()) // READ_BYTES)
+    found = cut_lineage(meetings(packed, least, parts).mapInArrow(tidy(_links(sent, code, least)), "node long, links long, reach long"))
     drop_stored(packed)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("reach").alias("b")))
